@@ -116,3 +116,69 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materialised metrics in the shape the governed query reads."""
     return facts(spark, sf_dir).select("company_id", "fy", "metric_key", "value", "pin_id")
+
+
+# fixed values: order priorities stand for the fields of a filing
+FIELD_OF_PRIORITY = {
+    "1-URGENT": "p1.e1.urgent",
+    "2-HIGH": "p1.e2.high",
+    "3-MEDIUM": "p2.e1.medium",
+    "4-NOT SPECIFIED": "p2.e2.not_specified",
+    "5-LOW": "a.basics.low",
+}
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One filing per customer and year: the newest order."""
+    from tidemark.operators.ranking import first_per_key
+
+    orders = table(spark, sf_dir, "orders").withColumn("fy", F.year("o_orderdate"))
+    newest = first_per_key(orders, ["o_custkey", "fy"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+    status = (
+        F.when(F.col("o_orderstatus") == "F", "fetched")
+        .when(F.col("o_orderstatus") == "O", "parsed")
+        .otherwise("missing")
+    )
+    return newest.select(
+        F.col("o_orderkey").alias("filing_id"),
+        F.col("o_custkey").alias("company_id"),
+        "fy",
+        status.alias("status"),
+        F.col("o_orderdate").alias("submitted"),
+    )
+
+
+def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as registered companies."""
+    band = (
+        F.when(F.col("c_acctbal") >= 7000, "large").when(F.col("c_acctbal") >= 3000, "mid").otherwise("small")
+    )
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("company_id"),
+        F.col("c_name").alias("company"),
+        F.col("c_mktsegment").alias("sector"),
+        band.alias("mcap_band"),
+    )
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append-only extracted-field versions: orders as versions of (customer, priority)."""
+    field = F.create_map(*[F.lit(x) for pair in FIELD_OF_PRIORITY.items() for x in pair])
+    status = (
+        F.when(F.col("o_orderstatus") == "F", "sampled_ok")
+        .when(F.col("o_orderstatus") == "P", "corrected")
+        .otherwise("unreviewed")
+    )
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("field_id"),
+        F.col("o_custkey").alias("filing_id"),
+        field[F.col("o_orderpriority")].alias("field_key"),
+        (key + 1).alias("version"),
+        status.alias("qa_status"),
+        (((key * 37) % 101) / 100).cast("decimal(5,4)").alias("confidence"),
+        F.when(key % 3 == 0, "xbrl").otherwise("llm").alias("method"),
+        F.when(key % 10 != 0, (key % 50 + 1).cast("int")).alias("source_page"),
+        money("o_totalprice").alias("value_num"),
+        F.col("o_orderdate").alias("created_at"),
+    )

@@ -56,3 +56,28 @@ scores AS (
         UNION ALL SELECT company_id, fy, 'substance', 'v2', a + r, n * 2 FROM counted
         UNION ALL SELECT company_id, fy, 'assurance_readiness', 'v1', r, n FROM counted
         UNION ALL SELECT company_id, fy, 'assurance_readiness', 'v2', r * 3 + f, n * 4 FROM counted) s)"""
+
+FILINGS = """filings AS (
+  SELECT o_orderkey AS filing_id, o_custkey AS company_id, CAST(year(o_orderdate) AS INTEGER) AS fy,
+         CASE o_orderstatus WHEN 'F' THEN 'fetched' WHEN 'O' THEN 'parsed' ELSE 'missing' END AS status,
+         o_orderdate AS submitted
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate)
+                                         ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
+
+ISSUERS = """issuers AS (
+  SELECT c_custkey AS company_id, c_name AS company, c_mktsegment AS sector,
+         CASE WHEN c_acctbal >= 7000 THEN 'large' WHEN c_acctbal >= 3000 THEN 'mid' ELSE 'small' END AS mcap_band
+  FROM customer)"""
+
+VERSIONS = """versions AS (
+  SELECT o_orderkey AS field_id, o_custkey AS filing_id,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'p1.e1.urgent' WHEN '2-HIGH' THEN 'p1.e2.high'
+              WHEN '3-MEDIUM' THEN 'p2.e1.medium' WHEN '4-NOT SPECIFIED' THEN 'p2.e2.not_specified'
+              WHEN '5-LOW' THEN 'a.basics.low' END AS field_key,
+         o_orderkey + 1 AS version,
+         CASE o_orderstatus WHEN 'F' THEN 'sampled_ok' WHEN 'P' THEN 'corrected' ELSE 'unreviewed' END AS qa_status,
+         CAST(((o_orderkey * 37) % 101) / 100.0 AS DECIMAL(5,4)) AS confidence,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'xbrl' ELSE 'llm' END AS method,
+         CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey % 50 + 1 AS INTEGER) END AS source_page,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS value_num, o_orderdate AS created_at
+  FROM orders)"""
