@@ -182,3 +182,21 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         money("o_totalprice").alias("value_num"),
         F.col("o_orderdate").alias("created_at"),
     )
+
+
+AS_OF = "2024-01-31"
+WINDOW_DAYS = 14
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with some users nulled: every fifth is anonymous, every 25th has no id at all."""
+    key = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "ts",
+        F.col("event_type").alias("name"),
+        F.when(key % 5 != 0, F.col("user_id")).alias("user_id"),
+        F.when(key % 25 != 0, F.concat(F.lit("anon-"), F.col("user_id") % 40)).alias("anon_id"),
+        "props",
+        "value",
+    )
