@@ -200,3 +200,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "props",
         "value",
     )
+
+
+# fixed values: closing sentences that give the invented prose something to find
+CLOSINGS = (
+    " We target a 20% cut by FY 2030 under ISO 14001.",
+    " The policy and code of conduct help to reduce 15 kl of water.",
+    " Training and safety of every employee and worker before 2027.",
+    " Electricity in kWh and gigajoule follows the GHG Protocol methodology.",
+    " Environment and ESG report, CSR and BRSR filing until FY2026.",
+    "",
+)
+
+
+def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a closing sentence by number: doc_id, company (source), text."""
+    closing = F.element_at(F.array(*[F.lit(c) for c in CLOSINGS]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("company"), F.concat("text", closing).alias("text"), "lang", "n_chars"
+    )

@@ -81,3 +81,31 @@ VERSIONS = """versions AS (
          CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey % 50 + 1 AS INTEGER) END AS source_page,
          CAST(o_totalprice AS DECIMAL(18,2)) AS value_num, o_orderdate AS created_at
   FROM orders)"""
+
+CLOSINGS = (
+    " We target a 20% cut by FY 2030 under ISO 14001.",
+    " The policy and code of conduct help to reduce 15 kl of water.",
+    " Training and safety of every employee and worker before 2027.",
+    " Electricity in kWh and gigajoule follows the GHG Protocol methodology.",
+    " Environment and ESG report, CSR and BRSR filing until FY2026.",
+    "",
+)
+
+NARRATIVES = (
+    "narr AS (SELECT doc_id, source AS company, text || CASE doc_id % 6 "
+    + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLOSINGS))
+    + " END AS text, lang, n_chars FROM documents)"
+)
+
+SHINGLES = (
+    NARRATIVES
+    + """, w AS (SELECT doc_id, company, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM narr),
+sh AS (SELECT doc_id, company, array_to_string(w[i:i+7], ' ') AS phrase FROM w, unnest(range(1, len(w) - 6)) AS r(i))"""
+)
+
+
+def hash_vectors_sql(name: str, source: str, doc: str, text: str, dimensions: int) -> str:
+    return f"""{name}_t AS (SELECT {doc}, sha256(token) AS h FROM {source}, unnest(regexp_split_to_array(lower({text}), '\\s+')) AS x(token) WHERE token <> ''),
+{name}_w AS (SELECT {doc}, CAST(('0x' || substr(h, 1, 8))::UBIGINT % {dimensions} AS INTEGER) AS index,
+  sum(CASE WHEN ('0x' || substr(h, 9, 2))::UBIGINT % 2 = 1 THEN -1 ELSE 1 END) AS weight FROM {name}_t GROUP BY 1, 2),
+{name} AS (SELECT *, sum(weight * weight) OVER (PARTITION BY {doc}) AS norm2 FROM {name}_w WHERE weight <> 0)"""
