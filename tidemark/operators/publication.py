@@ -42,10 +42,10 @@ def publish_decision(
 ) -> DataFrame:
     """Every version with the gates it fails; ``allowed`` where none does.
 
-    ``accuracy`` has one row per field family (config-sized, hence the broadcast).
+    ``accuracy`` has one row per field family.
     """
     rows = versions.withColumn("family", field_family(F.col("field_key"))).join(
-        F.broadcast(accuracy.select("family", "accuracy")), "family", "left"
+        accuracy.select("family", "accuracy"), "family", "left"
     )
     gates = {
         "qa_not_passed": ~qa_passed(F.col("qa_status")),
@@ -139,9 +139,7 @@ def check_citations(items: DataFrame, pages: DataFrame, field_defs: DataFrame) -
     """
     known = field_defs.select("field_key", F.lit(True).alias("known"))
     cited = pages.select("filing_id", F.col("page_no").alias("source_page"), "text")
-    joined = items.join(F.broadcast(known), "field_key", "left").join(  # the reporting form's fields
-        cited, ["filing_id", "source_page"], "left"
-    )
+    joined = items.join(known, "field_key", "left").join(cited, ["filing_id", "source_page"], "left")
     verbatim = F.coalesce((F.length("quote") > 0) & F.col("text").contains(F.col("quote")), F.lit(False))
     flags = F.array_compact(
         F.array(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,7 +158,7 @@ def lineage_rows(
     published = annotations.where(F.col("status") == "published").select("pin_id", "annotation_id")
     return (
         pins.join(fields, "field_id")
-        .join(F.broadcast(field_defs), "field_key")  # the reporting form: some hundred fields
+        .join(field_defs, "field_key")
         .join(pages, ["filing_id", "source_page"], "left")
         .join(published, "pin_id", "left")
     )
@@ -174,7 +173,3 @@ def measure_registry(spark, measures: dict) -> DataFrame:  # noqa: ANN001 - sess
     """Measure metadata as a small table."""
     rows = [(key, m.additive, m.polarity, m.unit) for key, m in measures.items()]
     return rule_table(spark, ["metric_key", "additive", "polarity", "unit"], rows)
-
-
-def as_decimal(value: str) -> Column:
-    return F.lit(Decimal(value))

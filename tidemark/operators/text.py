@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -359,7 +359,8 @@ def anchor_scorer(anchors: dict[str, tuple[str, ...]]) -> Callable[[list[str], f
                 common = np.minimum(head_counts(width), wanted).sum(axis=1)
                 bound = 2.0 * common / (len(anchor) + np.minimum(size, width))
                 matcher = SequenceMatcher(None, "", "")
-                for line in np.flatnonzero(bound > floor):
+                likely = np.flatnonzero(bound > floor)
+                for line in likely[np.argsort(-bound[likely], kind="stable")]:
                     page = owner[line]
                     if exact[page] or bound[line] <= out[page, section]:
                         continue
@@ -506,7 +507,3 @@ def high_score_pages(
     return ranked.join(
         eligible.select("page_id", F.substring("text", 1, excerpt).alias("excerpt"), "fy"), "page_id"
     )
-
-
-def column_or(df: DataFrame, name: str, default: Column) -> Column:
-    return F.col(name) if name in df.columns else default
