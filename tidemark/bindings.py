@@ -219,3 +219,56 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("company"), F.concat("text", closing).alias("text"), "lang", "n_chars"
     )
+
+
+# fixed values: fields of the form that documents fill in turn (key, dtype, core), and two that none fills
+FORM_FIELDS = (
+    ("a.basics.name", "text", False),
+    ("p1.policy.text", "text", True),
+    ("p1.training.note", "text", False),
+    ("p3.safety.note", "text", True),
+    ("p6.e1.energy", "number", True),
+    ("p6.e1.note", "text", False),
+    ("p6.assurance.status", "text", True),
+    ("p6.e2.water", "number", False),
+    ("p8.csr.note", "text", False),
+    ("p9.consumer.note", "text", False),
+    ("p5.assured.flag", "boolean", False),
+    ("p2.design.note", "text", False),
+    ("p4.never.filled", "text", True),
+    ("p7.never.filled", "number", False),
+)
+
+
+def form_fields(spark: SparkSession) -> DataFrame:
+    from tidemark.functions.exprs import rule_table
+
+    return rule_table(spark, ["field_key", "dtype", "core"], FORM_FIELDS)
+
+
+def pinned_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published fields of one filing per (source, language), filled from the documents."""
+    keys = F.array(*[F.lit(key) for key, _, _ in FORM_FIELDS[:12]])
+    doc = F.col("doc_id")
+    key = F.element_at(keys, (F.floor(doc / 20) % 12 + 1).cast("int"))
+    status = F.element_at(
+        F.array(F.lit("nil"), F.lit("No"), F.lit("Reasonable assurance")), (F.col("n_chars") % 3 + 1).cast("int")
+    )
+    value = (
+        F.when(key.isin("p6.e1.energy", "p6.e2.water"), F.col("n_chars").cast("string"))
+        .when(key == "p5.assured.flag", F.when(doc % 4 == 0, "true").otherwise("false"))
+        .when(key == "p6.assurance.status", status)
+        .otherwise(F.col("text"))
+    )
+    year = F.when(F.col("lang") == "en", 2025).when(F.col("lang") == "fr", 2024).when(F.col("lang") == "es", 2023)
+    return narratives(spark, sf_dir).select(
+        F.concat("company", F.lit("/"), "lang").alias("filing_id"),
+        F.col("company").alias("company_id"),
+        year.otherwise(2022).alias("fy"),
+        key.alias("field_key"),
+        value.alias("value_raw"),
+        F.when(doc % 3 == 0, "xbrl").otherwise("llm").alias("method"),
+        F.when(doc % 7 != 0, (doc % 50).cast("int")).alias("source_page"),
+        (doc % 5 != 0).alias("has_span"),
+        stable_key("pin", "doc_id").alias("pin_id"),
+    )
