@@ -114,8 +114,6 @@ def config_hash(scoring: dict[str, Any] | None = None) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _component(column: Column) -> Column:
-    return column.cast("string")
 
 
 def score_rows(pinned: DataFrame, field_defs: DataFrame, scoring: dict[str, Any] | None = None) -> DataFrame:
