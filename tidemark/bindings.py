@@ -189,9 +189,13 @@ WINDOW_DAYS = 14
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def shape_events(raw: DataFrame) -> DataFrame:
     """Events with some users nulled: every fifth is anonymous, every 25th has no id at all."""
     key = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return raw.select(
         "event_id",
         "ts",
         F.col("event_type").alias("name"),

@@ -73,16 +73,16 @@ def _e4(spark: SparkSession, d: str) -> DataFrame:
     return b.events(spark, d).groupBy(e.identity().alias("identity")).agg(F.count(F.lit(1)).alias("events"))
 
 
-@query(
-    "e5_ordered_funnel",
-    f"""WITH {EV}, o AS (SELECT identity, name, {{'ts': ts, 'id': event_id}} AS m FROM idy),
+FUNNEL = f"""WITH {EV}, o AS (SELECT identity, name, {{'ts': ts, 'id': event_id}} AS m FROM idy),
     s1 AS (SELECT identity, min(m) AS m FROM o WHERE name = 'view' GROUP BY 1),
     s2 AS (SELECT o.identity, min(o.m) AS m FROM o JOIN s1 USING (identity) WHERE name = 'click' AND o.m > s1.m GROUP BY 1),
     s3 AS (SELECT o.identity, min(o.m) AS m FROM o JOIN s2 USING (identity) WHERE name = 'purchase' AND o.m > s2.m GROUP BY 1),
     c AS (SELECT 0 AS stage, 'View' AS name, count(*) AS users FROM s1 UNION ALL SELECT 1, 'Click', count(*) FROM s2
       UNION ALL SELECT 2, 'Purchase', count(*) FROM s3)
-    SELECT *, round(users / lag(users) OVER (ORDER BY stage), 4) AS conversion_from_previous FROM c""",
-)
+    SELECT *, round(users / lag(users) OVER (ORDER BY stage), 4) AS conversion_from_previous FROM c"""
+
+
+@query("e5_ordered_funnel", FUNNEL)
 def _e5(spark: SparkSession, d: str) -> DataFrame:
     return e.funnel(b.events(spark, d), STEPS)
 
@@ -247,6 +247,10 @@ def _e15b(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uses(spark: SparkSession, d: str) -> DataFrame:
+    return shape_uses(b.table(spark, d, "events"))
+
+
+def shape_uses(raw: DataFrame) -> DataFrame:
     """Quota uses: four event kinds as four quotas, the user's tier by its number."""
     tier = F.element_at(F.array(*[F.lit(t) for t in ("explore", "pro", "studio", "research")]), (F.col("user_id") % 4 + 1).cast("int"))
     quota = (
@@ -255,7 +259,7 @@ def uses(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", "exports_per_month")
         .otherwise("studio_tokens_per_month")
     )
-    return b.table(spark, d, "events").select(
+    return raw.select(
         "event_id",
         "ts",
         F.col("user_id").cast("string").alias("identity"),
@@ -310,15 +314,15 @@ def _e17(spark: SparkSession, d: str) -> DataFrame:
     return orders.select("o_orderkey", e.licence_state(expires, grace, "1998-06-01").alias("state"))
 
 
-@query(
-    "e18_anchored_rate_limit",
-    f"""WITH RECURSIVE {EV}, starts AS (SELECT identity, min(ts) AS s FROM idy GROUP BY 1
+LIMITED = f"""WITH RECURSIVE {EV}, starts AS (SELECT identity, min(ts) AS s FROM idy GROUP BY 1
       UNION ALL SELECT identity, n FROM (SELECT st.identity, (SELECT min(ts) FROM idy WHERE idy.identity = st.identity AND idy.ts >= st.s + INTERVAL 6 HOURS) AS n
         FROM starts st) x WHERE n IS NOT NULL),
     placed AS (SELECT i.identity, i.event_id, i.ts, max(s) AS s FROM idy i JOIN starts st ON st.identity = i.identity AND st.s <= i.ts GROUP BY 1, 2, 3)
     SELECT identity, event_id, row_number() OVER (PARTITION BY identity, s ORDER BY ts, event_id) AS place,
-      row_number() OVER (PARTITION BY identity, s ORDER BY ts, event_id) > 2 AS rejected FROM placed""",
-)
+      row_number() OVER (PARTITION BY identity, s ORDER BY ts, event_id) > 2 AS rejected FROM placed"""
+
+
+@query("e18_anchored_rate_limit", LIMITED)
 def _e18(spark: SparkSession, d: str) -> DataFrame:
     hits = b.events(spark, d).withColumn("identity", e.identity())
     return e.rate_limit(hits, limit=2, window_seconds=6 * 3600)
