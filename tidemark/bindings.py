@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import money, stable_key
+from tidemark.session import spread
 
 METRIC_KEYS = ("qty", "revenue", "discount", "tax", "rev_a", "rev_n", "rev_r")
 
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -220,7 +225,7 @@ CLOSINGS = (
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a closing sentence by number: doc_id, company (source), text."""
     closing = F.element_at(F.array(*[F.lit(c) for c in CLOSINGS]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("company"), F.concat("text", closing).alias("text"), "lang", "n_chars"
     )
 

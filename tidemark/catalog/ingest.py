@@ -39,7 +39,7 @@ def _s1(spark: SparkSession, d: str) -> DataFrame:
 
 def instances(spark: SparkSession, d: str) -> DataFrame:
     """One instance document per line item: a few facts in one context, as XML text."""
-    li = b.table(spark, d, "lineitem")
+    li = b.spread_table(spark, d, "lineitem")
     text = lambda column: F.col(column).cast("string")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     year = F.year("l_shipdate")
@@ -302,7 +302,7 @@ def _s10(spark: SparkSession, d: str) -> DataFrame:
         (F.col("page_id") % 3 + 2020),
         F.lit("'>BRSR filing</a></p>"),
     )
-    pages = b.table(spark, d, "pages").select("page_id", extra.alias("html"))
+    pages = b.spread_table(spark, d, "pages").select("page_id", extra.alias("html"))
     return g.find_report_link(pages, ["annual", "brsr"], F.lit(2022)).drop("html")
 
 

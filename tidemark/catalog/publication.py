@@ -57,7 +57,7 @@ def number_sql(source: str) -> str:
 
 
 def numbers(df: DataFrame) -> DataFrame:
-    parsed = df.select("id", t.parse_number(F.col("raw")).alias("n")).select("id", "n.*")
+    parsed = t.parse_numbers(df, "raw", "n").select("id", "n.*")
     return parsed.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("value", "lower", "upper")})
 
 
@@ -400,8 +400,8 @@ def _g6(spark: SparkSession, d: str) -> DataFrame:
 )
 def _g7(spark: SparkSession, d: str) -> DataFrame:
     cited = cited_pages(spark, d).select("filing_id", "text")
-    rows = items(spark, d).join(cited, "filing_id")
-    parsed = t.parse_number(F.col("quote"))["value"]
+    rows = t.parse_numbers(items(spark, d).join(cited, "filing_id"), "quote", "parsed")
+    parsed = F.col("parsed")["value"]
     numeric = F.col("filing_id") % 2 == 0
     return rows.select(
         "filing_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: patterns of the three narrative signals, on lower-cased text. (?U) gives word
@@ -95,33 +95,46 @@ def is_verbatim(quote: Column, source: Column) -> Column:
     return F.coalesce((q != "") & normalised(source).contains(q), F.lit(False))
 
 
-def parse_number(raw: Column) -> Column:
-    """Struct (value, lower, upper, is_percent, is_nil) of a locale-formatted amount.
+def parse_numbers(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Add a struct (value, lower, upper, is_percent, is_nil) of a locale-formatted amount.
 
     Nil words are 0, lakh and crore scale the number, a range gives its middle and bounds,
-    otherwise the first number counts. The value is null when there is no number.
+    otherwise the first number counts. The value is null when there is no number. The steps are
+    columns of their own, so that the patterns run once per row.
     """
     text = F.lower(F.trim(raw))
     text = F.replace(F.replace(text, F.lit("₹"), F.lit("")), F.lit("inr"), F.lit(""))
+    rows = df.withColumn("__text", text)
     scale = F.lit(1)
     for word, factor in reversed(SCALES):
-        scale = F.when(text.rlike(rf"(?U)\b{word}s?\b"), factor).otherwise(scale)
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    numbers = F.transform(
-        found, lambda n: (F.replace(n, F.lit(","), F.lit("")).try_cast("decimal(28,6)") * scale).cast("decimal(38,6)")
+        scale = F.when(F.col("__text").rlike(rf"(?U)\b{word}s?\b"), factor).otherwise(scale)
+    # The first two numbers are all that is ever used; the split leaves the rest of a text alone.
+    rows = rows.withColumns(
+        {
+            "__found": F.slice(F.regexp_extract_all("__text", F.lit(NUMBER), F.lit(0)), 1, 2),
+            "__scale": scale,
+            "__nil": F.col("__text").isin(list(NIL_WORDS)),
+        }
     )
-    first, second = F.try_element_at(numbers, F.lit(1)), F.try_element_at(numbers, F.lit(2))
-    is_nil = text.isin(list(NIL_WORDS))
-    is_range = ~is_nil & (F.size(found) >= 2) & text.rlike(f"(?U){RANGE_WORD}")
+
+    def number(place: int) -> Column:
+        digits = F.replace(F.try_element_at("__found", F.lit(place)), F.lit(","), F.lit(""))
+        return (digits.try_cast("decimal(28,6)") * F.col("__scale")).cast("decimal(38,6)")
+
+    is_range = ~F.col("__nil") & (F.size("__found") >= 2) & F.col("__text").rlike(f"(?U){RANGE_WORD}")
+    rows = rows.withColumns({"__first": number(1), "__second": number(2), "__range": is_range})
+    first, second = F.col("__first"), F.col("__second")
     middle = ((first + second) / F.lit(2)).cast("decimal(38,6)")
-    value = F.when(is_nil, F.lit(0)).when(is_range, middle).otherwise(first)
-    return F.struct(
+    value = F.when(F.col("__nil"), F.lit(0)).when(F.col("__range"), middle).otherwise(first)
+    percent = F.col("__text").contains("%") | F.col("__text").contains("percent")
+    parsed = F.struct(
         value.cast("decimal(38,6)").alias("value"),
-        F.when(is_range, F.least(first, second)).alias("lower"),
-        F.when(is_range, F.greatest(first, second)).alias("upper"),
-        (~is_nil & first.isNotNull() & (text.contains("%") | text.contains("percent"))).alias("is_percent"),
-        is_nil.alias("is_nil"),
+        F.when(F.col("__range"), F.least(first, second)).alias("lower"),
+        F.when(F.col("__range"), F.greatest(first, second)).alias("upper"),
+        (~F.col("__nil") & first.isNotNull() & percent).alias("is_percent"),
+        F.col("__nil").alias("is_nil"),
     )
+    return rows.withColumn(out, parsed).drop("__text", "__found", "__scale", "__nil", "__first", "__second", "__range")
 
 
 def candidate_value(dtype: Column, text: Column) -> Column:

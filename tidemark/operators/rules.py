@@ -57,22 +57,20 @@ def finding(severity: str, message: Column | str, tier: str) -> list[Column]:
     return ["filing_id", F.lit(severity).alias("severity"), "field_key", text.alias("message"), F.lit(tier).alias("tier")]
 
 
-def check_values(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
-    """Known answers with ``normalised`` and ``error``: the first rule that the value breaks, or null.
+def _with_form(answers: DataFrame, form: Sequence[FieldDef], how: str) -> DataFrame:
+    return answers.join(F.broadcast(form_table(answers.sparkSession, form)), "field_key", how)  # configuration
 
-    Whole numbers, numbers with thousands separators, yes/no words, ISO dates, JSON arrays for
-    repeating groups, the expected unit, and percentages from 0 to 100.
-    """
-    rows = answers.join(F.broadcast(form_table(answers.sparkSession, form)), "field_key")  # configuration
+
+def _value_error() -> Column:
+    """First rule that a value breaks, or null; needs the form's columns."""
     text = F.trim("value")
-    plain = F.replace(text, F.lit(","), F.lit(""))
-    number = plain.try_cast(NUMBER)
+    number = F.replace(text, F.lit(","), F.lit("")).try_cast(NUMBER)
     lowered, dtype = F.lower(text), F.col("dtype")
     json_array = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.lit(False))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
     whole = number.isNotNull() & (number == F.floor(number))
     percent = F.coalesce(number.between(0, 100), F.lit(False))
-    error = (
+    return (
         F.when(F.coalesce(text, F.lit("")) == "", "Value cannot be empty")
         .when((dtype == "integer") & ~whole, "Expected a whole number")
         .when((dtype == "number") & number.isNull(), "Expected a number")
@@ -85,13 +83,24 @@ def check_values(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
         )
         .when((F.col("expected_unit") == "percent") & ~percent, "Percentage must be between 0 and 100")
     )
+
+
+def check_values(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
+    """Known answers with ``normalised`` and ``error``: the first rule that the value breaks, or null.
+
+    Whole numbers, numbers with thousands separators, yes/no words, ISO dates, JSON arrays for
+    repeating groups, the expected unit, and percentages from 0 to 100.
+    """
+    text = F.trim("value")
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    dtype = F.col("dtype")
     normal = (
-        F.when(dtype == "integer", number.cast("decimal(38,0)").cast("string"))
+        F.when(dtype == "integer", plain.try_cast(NUMBER).cast("decimal(38,0)").cast("string"))
         .when(dtype == "number", plain)
-        .when(dtype == "boolean", F.when(lowered.isin("true", "yes"), "true").otherwise("false"))
+        .when(dtype == "boolean", F.when(F.lower(text).isin("true", "yes"), "true").otherwise("false"))
         .otherwise(text)
     )
-    checked = rows.withColumn("error", error)
+    checked = _with_form(answers, form, "inner").withColumn("error", _value_error())
     return checked.withColumn("normalised", F.when(F.col("error").isNull(), normal))
 
 
@@ -106,16 +115,45 @@ def unknown_fields(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     return answers.join(known, "field_key", "left_anti").select(*finding("error", "Unknown field", "L1"))
 
 
-def relation_findings(answers: DataFrame, relations: Sequence[Relation]) -> DataFrame:
-    """Totals that differ from their operands; checked only where all of them are numbers."""
+def _machine() -> Column:
+    """Proposed by a machine and reviewed by nobody."""
+    return F.coalesce((F.col("author") == "ai") & (F.col("review_status") == "unreviewed"), F.lit(False))
+
+
+def _finding_struct(severity: str, key: Column, message: Column | str, tier: str) -> Column:
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.struct(
+        F.lit(severity).alias("severity"), key.alias("field_key"), text.alias("message"), F.lit(tier).alias("tier")
+    )
+
+
+MACHINE_MESSAGE = "AI-proposed answer has not been reviewed"
+MISSING_MESSAGE = "Required answer is missing"
+
+
+def answer_findings(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
+    """Findings that one answer shows by itself, in one pass without a shuffle: unknown field,
+    broken value rule, unreviewed machine answer."""
+    key = F.col("field_key")
+    rows = _with_form(answers, form, "left").withColumn("__error", F.when(F.col("dtype").isNotNull(), _value_error()))
+    found = F.array(
+        F.when(F.col("dtype").isNull(), _finding_struct("error", key, "Unknown field", "L1")),
+        F.when(F.col("__error").isNotNull(), _finding_struct("error", key, F.col("__error"), "L1")),
+        F.when(_machine(), _finding_struct("error", key, MACHINE_MESSAGE, "L3")),
+    )
+    return rows.select("filing_id", F.inline(F.array_compact(found))).select(*FINDING)
+
+
+def _relation_numbers(relations: Sequence[Relation]) -> tuple[list[Column], dict[str, str]]:
+    """Aggregates that pick each needed number of a filing, and their names by field."""
     keys = sorted({k for r in relations for k in (r.target, *r.operands)})
-    name = {key: f"k{i}" for i, key in enumerate(keys)}
+    name = {key: f"n{i}" for i, key in enumerate(keys)}
     number = F.trim("value").try_cast(NUMBER)
-    wide = (
-        answers.where(F.col("field_key").isin(keys))
-        .groupBy("filing_id")
-        .agg(*[F.max(F.when(F.col("field_key") == key, number)).alias(alias) for key, alias in name.items()])
-    )
+    return [F.max(F.when(F.col("field_key") == key, number)).alias(alias) for key, alias in name.items()], name
+
+
+def _broken_relations(relations: Sequence[Relation], name: dict[str, str]) -> list[Column]:
+    """A finding per relation whose numbers are all there and do not add up, else null."""
     checks = []
     for relation in relations:
         expected = F.col(name[relation.operands[0]])
@@ -129,9 +167,29 @@ def relation_findings(answers: DataFrame, relations: Sequence[Relation]) -> Data
             F.format_number(expected, 2),
         )
         broken = F.abs(actual - expected) > Decimal(relation.tolerance)
-        checks.append(F.when(broken, F.struct(F.lit(relation.target).alias("field_key"), message.alias("message"))))
-    found = F.filter(F.array(*checks), lambda c: c.isNotNull())
-    return wide.select("filing_id", F.inline(found)).select(*finding("error", F.col("message"), "L2"))
+        checks.append(F.when(broken, _finding_struct("error", F.lit(relation.target), message, "L2")))
+    return checks
+
+
+def relation_findings(answers: DataFrame, relations: Sequence[Relation]) -> DataFrame:
+    """Totals that differ from their operands; checked only where all of them are numbers."""
+    numbers, name = _relation_numbers(relations)
+    wide = answers.where(F.col("field_key").isin(list(name))).groupBy("filing_id").agg(*numbers)
+    checks = F.array_compact(F.array(*_broken_relations(relations, name)))
+    return wide.select("filing_id", F.inline(checks)).select(*FINDING)
+
+
+def filing_findings(answers: DataFrame, form: Sequence[FieldDef], relations: Sequence[Relation]) -> DataFrame:
+    """Findings that need a filing's answers together, in one shuffle: totals and missing fields."""
+    numbers, name = _relation_numbers(relations)
+    rows = _per_filing(answers, form, *numbers)
+    missing = F.transform(
+        F.array_except(_required(form, form), F.col("present")),
+        lambda key: _finding_struct("error", key, MISSING_MESSAGE, "L3"),
+    )
+    if relations:
+        missing = F.concat(F.array_compact(F.array(*_broken_relations(relations, name))), missing)
+    return rows.select("filing_id", F.inline(missing)).select(*FINDING)
 
 
 def movement_findings(
@@ -152,13 +210,12 @@ def movement_findings(
     return moved.select(*finding("warning", f"Year-on-year movement exceeds {threshold}%", "L2"))
 
 
-def _per_filing(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
+def _per_filing(answers: DataFrame, form: Sequence[FieldDef], *extra: Column) -> DataFrame:
     """Present and reviewed field sets per filing; both are bounded by the size of the form."""
-    machine = (F.col("author") == "ai") & (F.col("review_status") == "unreviewed")
     keys = [f.field_key for f in form]
     conditions = sorted({f.condition[0] for f in form if f.condition})
     known = F.when(F.col("field_key").isin(keys), F.col("field_key"))
-    eligible = F.when(F.col("field_key").isin(keys) & ~F.coalesce(machine, F.lit(False)), F.col("field_key"))
+    eligible = F.when(F.col("field_key").isin(keys) & ~_machine(), F.col("field_key"))
     return answers.groupBy("filing_id").agg(
         F.collect_set(known).alias("present"),
         F.collect_set(eligible).alias("eligible"),
@@ -167,6 +224,7 @@ def _per_filing(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
             F.max(F.when(F.col("field_key") == key, F.col("value"))).alias(f"c{i}")
             for i, key in enumerate(conditions)
         ],
+        *extra,
     )
 
 
@@ -194,12 +252,11 @@ def missing_required(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     """
     missing = F.array_except(_required(form, form), F.col("present"))
     rows = _per_filing(answers, form).select("filing_id", F.explode(missing).alias("field_key"))
-    return rows.select(*finding("error", "Required answer is missing", "L3"))
+    return rows.select(*finding("error", MISSING_MESSAGE, "L3"))
 
 
 def unreviewed_machine_answers(answers: DataFrame) -> DataFrame:
-    machine = (F.col("author") == "ai") & (F.col("review_status") == "unreviewed")
-    return answers.where(machine).select(*finding("error", "AI-proposed answer has not been reviewed", "L3"))
+    return answers.where(_machine()).select(*finding("error", MACHINE_MESSAGE, "L3"))
 
 
 def validate_filings(
@@ -209,14 +266,10 @@ def validate_filings(
     prior: DataFrame | None = None,
     threshold: str = "50",
 ) -> DataFrame:
-    """All findings of all filings."""
-    parts = [unknown_fields(answers, form), value_findings(answers, form), relation_findings(answers, relations)]
+    """All findings of all filings: one pass per answer, one shuffle per filing, one prior join."""
+    out = answer_findings(answers, form).unionByName(filing_findings(answers, form, relations))
     if prior is not None:
-        parts.append(movement_findings(answers, prior, form, threshold))
-    parts += [missing_required(answers, form), unreviewed_machine_answers(answers)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(movement_findings(answers, prior, form, threshold))
     return out
 
 

@@ -48,3 +48,13 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table of few files with its rows spread over the cores, for work heavy on the processor.
+
+    A file of one row group is one task, however many cores there are. Tables of more files than
+    cores are left alone, so at scale this adds no shuffle. ``scan`` must be a plain table read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
