@@ -86,6 +86,8 @@ def derive(candidates: DataFrame, rules: MetricRules) -> DataFrame:
 
     Ratios may use additive outputs. A missing or zero denominator gives no row.
     """
+    if not rules.additive and not rules.ratios:
+        return candidates.withColumn("contributing_pin_ids", F.array("pin_id")).limit(0)
     inputs = [k for a in rules.additive for k in a.addends]
     inputs += [k for r in rules.ratios for k in (*r.numerators, r.denominator)]
     wide, names = _by_filing(candidates, inputs, ("sector",))
@@ -128,8 +130,6 @@ def derive(candidates: DataFrame, rules: MetricRules) -> DataFrame:
         top = (_total([t[0] for t in tops]) * F.lit(Decimal(rule.scale))).cast("decimal(38,6)")
         value = F.try_divide(top, bottom[0])
         emit(rule.metric_key, value, tops[0][1], F.array(*[t[1] for t in tops], bottom[1]))
-    if not made:
-        return candidates.limit(0)
     return (
         wide.select(*FILING, "sector", F.inline(F.array(*made)))
         .where(F.col("value").isNotNull())
@@ -140,6 +140,8 @@ def derive(candidates: DataFrame, rules: MetricRules) -> DataFrame:
 def with_derived(candidates: DataFrame, rules: MetricRules) -> DataFrame:
     """Reported and derived candidates; a reported value has its own pin as lineage."""
     base = candidates.withColumn("contributing_pin_ids", F.array("pin_id"))
+    if not rules.additive and not rules.ratios:
+        return base
     return base.unionByName(derive(candidates, rules))
 
 
