@@ -3,6 +3,7 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -34,12 +35,14 @@ def test_quotes_match_brute_force_on_random_text(frame):
     assert {(r.quote_id, r.page_id) for r in got.collect()} == want
 
 
-def test_dense_top_k_matches_numpy(frame):
+@pytest.mark.parametrize("bound", [1000, 2])
+def test_dense_top_k_matches_numpy(frame, monkeypatch, bound):
+    monkeypatch.setattr(x, "CHUNK", 100)
     rng = np.random.default_rng(0)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(300)]
     queries = [(f"q{i}", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(4)]
     df = frame(vectors, "item int, v array<double>").repartition(5)
-    got = x.dense_top_k(frame(queries, "q string, v array<double>"), df, "q", "item", "v", 7)
+    got = x.dense_top_k(frame(queries, "q string, v array<double>"), df, "q", "item", "v", 7, max_queries=bound)
     matrix = np.array([v for _, v in vectors])
     for name, q in queries:
         scores = matrix @ np.array(q)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import rule_table
 from tidemark.operators.ranking import attach_ranks
+from tidemark.session import staged
 
 FILING = ("company_id", "fy")
 VALUE = "decimal(24,6)"
@@ -243,8 +244,14 @@ def yoy_delta(df: DataFrame, out: str = "yoy_delta") -> DataFrame:
 
 
 def materialise(candidates: DataFrame, rules: MetricRules) -> DataFrame:
-    """The metrics table: plausible candidates with both percentiles, yearly delta and lineage."""
-    rows = withhold_implausible(with_derived(candidates, rules), rules)
+    """The metrics table: plausible candidates with both percentiles, yearly delta and lineage.
+
+    Candidates feed the screens, both percentiles and the result, so they are written once before
+    and once after the screens instead of being worked out for every use.
+    """
+    rows = staged(with_derived(candidates, rules), "candidates")
+    if blocked_keys(rules):
+        rows = staged(withhold_implausible(rows, rules), "plausible")
     rows = midrank_percentile(rows, ["fy", "metric_key"], "value", "percentile_all")
     rows = midrank_percentile(
         rows, ["fy", "metric_key", "sector"], "value", "percentile_sector", rules.minimum_sector_size

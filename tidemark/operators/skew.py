@@ -30,10 +30,3 @@ def salted_join(
     copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("__salt", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
 
-
-def checked_broadcast(df: DataFrame, bound: int, what: str) -> DataFrame:
-    """Broadcast hint for a table that must have at most ``bound`` rows; fails beyond it."""
-    over = df.limit(bound + 1).count()
-    if over > bound:
-        raise ValueError(f"{what} has more than {bound} rows")
-    return F.broadcast(df)

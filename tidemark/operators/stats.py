@@ -46,26 +46,32 @@ def at_or_below_rank(df: DataFrame, keys: Sequence[str], value: str, out: str =
     return ranked.withColumn(out, share).drop("n", "below", "total")
 
 
+def _top_share_sums(value: str, k: int) -> list[Column]:
+    """Aggregates over ordered counts: non-negative rows, their sum, and the sum of the k largest.
+
+    Equal values are collapsed there, so "the k largest" is how many copies fall into the top k
+    places; negative values come last and never get a place that a non-negative one wants.
+    """
+    counted = F.when(F.col(value) >= 0, F.col("n"))
+    above = F.col("total") - F.col("below") - F.col("n")
+    taken = F.greatest(F.lit(0), F.least(counted, F.lit(k) - above))
+    return [
+        F.coalesce(F.sum(counted), F.lit(0)).alias("positive_n"),
+        F.sum(F.col(value) * counted).cast("double").alias("positive_total"),
+        F.sum(F.when(F.col(value) >= 0, F.col(value) * taken)).cast("double").alias("positive_top"),
+    ]
+
+
+def _top_share(k: int) -> Column:
+    enough = (F.col("positive_n") > k) & (F.col("positive_total") > 0)
+    return F.when(enough, F.col("positive_top") / F.col("positive_total") * 100)
+
+
 def top_share(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
     """Combined share of the k largest non-negative values; null unless more than k rows, total > 0."""
-    positive = _clean(df, value).where(F.col(value) >= 0)
-    # Equal values are collapsed, so "the k largest" is how many copies fall into the top k places.
-    ranks = ordered_counts(positive, keys, value)
-    above = F.col("total") - F.col("below") - F.col("n")
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - above))
-    return (
-        ranks.groupBy(*keys)
-        .agg(
-            F.max("total").alias("n"),
-            F.sum(F.col(value) * taken).cast("double").alias("top"),
-            F.sum(F.col(value) * F.col("n")).cast("double").alias("all"),
-        )
-        .select(
-            *keys,
-            "n",
-            F.when((F.col("n") > k) & (F.col("all") > 0), F.col("top") / F.col("all") * 100).alias("share"),
-        )
-    )
+    ranks = ordered_counts(_clean(df, value).where(F.col(value) >= 0), keys, value)
+    sums = ranks.groupBy(*keys).agg(*_top_share_sums(value, k))
+    return sums.select(*keys, F.col("positive_n").alias("n"), _top_share(k).alias("share"))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 8) -> DataFrame:
@@ -167,23 +173,38 @@ def insight_flags(
     polarity: str,
     timeseries: bool,
 ) -> DataFrame:
-    """One row per group with the readings its numbers support; groups of one row give none."""
+    """One row per group with the readings its numbers support; groups of one row give none.
+
+    One table of ordered counts gives the summary and the concentration, one aggregation of the
+    rows gives trend and thin rows.
+    """
     clean = _clean(df, value)
-    summary = five_number_summary(clean, keys, value).where(F.col("n") >= 2)
-    thin_rows = clean.groupBy(*keys).agg(F.count_if(F.col(thin)).alias("thin_rows"))
-    out = summary.join(thin_rows, list(keys))
+    x = F.col(value)
+    summary = quantiles_of_counts(
+        ordered_counts(clean, keys, value),
+        keys,
+        value,
+        {"q1": 0.25, "median": 0.5, "q3": 0.75},
+        F.sum("n").alias("n"),
+        F.min(x).cast("double").alias("min"),
+        F.max(x).cast("double").alias("max"),
+        *_top_share_sums(value, 3),
+    ).where(F.col("n") >= 2)
+    rows = clean.groupBy(*keys).agg(
+        F.count_if(F.col(thin)).alias("thin_rows"),
+        F.min_by(value, order).cast("double").alias("first"),
+        F.max_by(value, order).cast("double").alias("last"),
+    )
+    no_number = F.lit(None).cast("double")
     span = safe_ratio(F.col("max"), F.col("min"))
-    out = out.withColumn("span", F.when((F.col("min") > 0) & (span >= 1.5), span))
-    if additive:
-        shares = top_share(clean, keys, value, 3).select(*keys, F.col("share").alias("top3_share"))
-        out = out.join(shares, list(keys), "left")
-    else:
-        out = out.withColumn("top3_share", F.lit(None).cast("double"))
-    if timeseries:
-        moves = first_to_last(clean, keys, value, order).select(*keys, F.col("percent").alias("trend_percent"))
-        out = out.join(moves, list(keys), "left")
-    else:
-        out = out.withColumn("trend_percent", F.lit(None).cast("double"))
+    trend = safe_ratio(F.col("last") - F.col("first"), F.abs(F.col("first"))) * 100
+    out = summary.join(rows, list(keys)).withColumns(
+        {
+            "span": F.when((F.col("min") > 0) & (span >= 1.5), span),
+            "top3_share": _top_share(3) if additive else no_number,
+            "trend_percent": trend if timeseries else no_number,
+        }
+    )
     return out.select(
         *keys,
         "n",

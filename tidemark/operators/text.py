@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,41 +144,94 @@ def themes(texts: DataFrame, doc: str, text: str, seeds: dict[str, str] | None =
 # ---- dense vectors -------------------------------------------------------------------------
 
 
+CHUNK = 20_000
+
+
 def dense_top_k(
     queries: DataFrame, vectors: DataFrame, query: str, item: str, vector: str, k: int, max_queries: int = MAX_QUERIES
 ) -> DataFrame:
     """Exact top ``k`` items per query by dot product; ties by item.
 
-    The query matrix is bounded and checked. Every task multiplies its Arrow batches with it and
-    keeps the best ``k`` per query only, so pairs are never written out or shuffled.
+    Up to ``max_queries`` queries form a matrix that every task multiplies its Arrow batches with.
+    More queries than that meet the vectors chunk by chunk in a shuffle. Either way a task keeps
+    only its best ``k`` per query, so pairs are never written out or shuffled.
     """
-    rows = queries.select(query, vector).orderBy(query).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split them into several runs")
-    names = [row[0] for row in rows]
-    matrix = queries.sparkSession.sparkContext.broadcast(np.array([row[1] for row in rows], dtype=np.float64))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame | None] = [None] * len(names)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(item)
-            scores = np.stack(pdf[vector].to_numpy()).astype(np.float64) @ matrix.value.T
-            for number, name in enumerate(names):
-                top = np.argsort(-scores[:, number], kind="stable")[:k]
-                part = pd.DataFrame({query: name, item: pdf[item].to_numpy()[top], "score": scores[top, number]})
-                if kept[number] is not None:
-                    part = pd.concat([kept[number], part])
-                    part = part.sort_values(["score", item], ascending=[False, True]).head(k)
-                kept[number] = part
-        yield from (part for part in kept if part is not None)
-
     schema = T.StructType([queries.schema[query], vectors.schema[item], T.StructField("score", T.DoubleType())])
-    partial = vectors.select(item, vector).mapInPandas(best, schema)
+    rows = queries.select(query, vector).orderBy(query).limit(max_queries + 1).collect()
+    if not rows:
+        return queries.sparkSession.createDataFrame([], schema)
+    best_of = top_rows(query, item, k)
+    if len(rows) <= max_queries:
+        names = [row[0] for row in rows]
+        matrix = queries.sparkSession.sparkContext.broadcast(np.array([row[1] for row in rows], dtype=np.float64))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: pd.DataFrame | None = None
+            for pdf in batches:
+                if not pdf.empty:
+                    data = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                    kept = best_of(names, matrix.value, pdf[item].to_numpy(), data, kept)
+            if kept is not None:
+                yield kept
+
+        partial = vectors.select(item, vector).mapInPandas(best, schema)
+    else:
+        partial = _chunked_top_k(queries, vectors, query, item, vector, max_queries, best_of, schema)
     return first_per_key(partial, [query], F.desc("score"), F.asc(item), n=k)
 
 
+def top_rows(query: str, item: str, k: int) -> Callable[..., pd.DataFrame]:
+    """Function that scores items against all queries and merges with the rows kept so far."""
+
+    def best_of(
+        names: list, matrix: np.ndarray, items: np.ndarray, data: np.ndarray, kept: pd.DataFrame | None
+    ) -> pd.DataFrame:
+        order = np.argsort(items, kind="stable")
+        scores = matrix @ data[order].T
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = pd.DataFrame(
+            {
+                query: np.repeat(np.array(names, dtype=object), top.shape[1]),
+                item: items[order][top].ravel(),
+                "score": np.take_along_axis(scores, top, axis=1).ravel(),
+            }
+        )
+        if kept is not None:
+            found = pd.concat([kept, found])
+        found = found.sort_values([query, "score", item], ascending=[True, False, True])
+        return found.groupby(query, sort=False).head(k)
+
+    return best_of
+
+
+def _chunked_top_k(
+    queries: DataFrame,
+    vectors: DataFrame,
+    query: str,
+    item: str,
+    vector: str,
+    block: int,
+    best_of: Callable[..., pd.DataFrame],
+    schema: T.StructType,
+) -> DataFrame:
+    """Blocks of queries against chunks of vectors, one bounded pair of them per group."""
+    blocks = max(1, -(-queries.count() // block))
+    chunks = max(1, -(-vectors.count() // CHUNK))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(query, vector, place(query, blocks).alias("b"), every(chunks).alias("c"))
+    right = vectors.select(item, vector, place(item, chunks).alias("c"), every(blocks).alias("b"))
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame(columns=schema.names)
+        matrix = np.stack(asked[vector].to_numpy()).astype(np.float64)
+        data = np.stack(held[vector].to_numpy()).astype(np.float64)
+        return best_of(asked[query].tolist(), matrix, held[item].to_numpy(), data, None)
+
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(best, schema)
+
+
 # ---- token-set retrieval -------------------------------------------------------------------
 
 
@@ -245,6 +298,7 @@ def evidence_gaps(field_defs: DataFrame, evidenced: DataFrame) -> DataFrame:
 # ---- verbatim quotes -----------------------------------------------------------------------
 
 ANCHOR_WORDS = 3
+GRAM = 3
 
 
 def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -252,34 +306,42 @@ def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
     A quote can start or end inside a word of the page, but its inner words stand there whole. Three
     of them make an anchor: pages are looked up by their word triples, and only those candidates
-    are compared in full. Quotes too short for an anchor are compared with all pages through a
-    bounded pattern table (see ``short``).
+    are compared in full. Quotes with too few words are looked up by three of their letters
+    instead, so every quote comes to its pages by an equi join.
     """
     # Inner words only; the first and last may be cut. Non-ASCII letters split words on both
     # sides in the same way, so the triples agree.
-    listed = quotes.select("quote_id", "quote", t.words(t.normalised(F.col("quote"))).alias("w"))
+    listed = quotes.select("quote_id", "quote", t.normalised(F.col("quote")).alias("q")).where(F.col("q") != "")
+    listed = listed.withColumn("w", t.words(F.col("q")))
     long_enough = F.size("w") >= ANCHOR_WORDS + 2
+    normal = pages.select("page_id", t.normalised(F.col("text")).alias("text"))
     anchored = listed.where(long_enough).select(
         "quote_id", "quote", t.digest(F.array_join(F.slice("w", 2, ANCHOR_WORDS), " ")).alias("anchor")
     )
-    triples = shingle_rows(
-        pages.select("page_id", t.normalised(F.col("text")).alias("text")), ["page_id"], "text", ANCHOR_WORDS
-    ).withColumnRenamed("phrase_hash", "anchor")
-    hits = triples.join(anchored, "anchor").select("quote_id", "quote", "page_id").distinct()
-    long_matches = (
-        hits.join(pages.select("page_id", "text"), "page_id")
+    triples = shingle_rows(normal, ["page_id"], "text", ANCHOR_WORDS).withColumnRenamed("phrase_hash", "anchor")
+    hits = triples.join(anchored, "anchor").select("quote_id", "quote", "page_id")
+    short = listed.where(~long_enough)
+    if not short.isEmpty():
+        middle = F.greatest(F.lit(1), F.floor((F.length("q") - GRAM) / 2) + 1).cast("int")
+        asked = short.select("quote_id", "quote", F.substr("q", middle, F.lit(GRAM)).alias("gram"))
+        hits = hits.unionByName(letter_grams(normal).join(asked, "gram").select("quote_id", "quote", "page_id"))
+    return (
+        hits.distinct()
+        .join(pages.select("page_id", "text"), "page_id")
         .where(t.is_verbatim(F.col("quote"), F.col("text")))
         .select("quote_id", "page_id")
     )
-    short = listed.where(~long_enough).limit(MAX_QUERIES + 1).select("quote_id", "quote").collect()
-    if len(short) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} quotes without an anchor")
-    if not short:
-        return long_matches
-    found = F.array_compact(
-        F.array(*[F.when(t.is_verbatim(F.lit(q["quote"]), F.col("text")), F.lit(q["quote_id"])) for q in short])
-    )
-    return long_matches.unionByName(pages.select(F.explode(found).alias("quote_id"), "page_id"))
+
+
+def letter_grams(pages: DataFrame) -> DataFrame:
+    """Distinct runs of one to three characters of each page, as rows (page_id, gram)."""
+    ends = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text")))
+
+    def runs(length: int) -> Column:
+        return F.transform(ends, lambda i: F.substr("text", i, F.lit(length)))
+
+    grams = [runs(length) for length in range(1, GRAM + 1)]
+    return pages.select("page_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
 
 
 # ---- sections and tables -------------------------------------------------------------------

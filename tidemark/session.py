@@ -29,17 +29,23 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local runs) a temporary folder is made.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session may do without:
+    it gets a temporary folder, which no executor on another machine could see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+        base = _LOCAL[context.applicationId]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -82,10 +82,26 @@ def ordered_union(lists: Sequence[DataFrame], key: str, position: str) -> DataFr
     return first_per_key(out, [key], F.asc("source_no"), F.asc(position))
 
 
+POSITION_BLOCK = 65_536
+
+
 def with_ordinal(registry: DataFrame) -> DataFrame:
-    """Zero-based place of each row in registry order; registries are small dimension tables."""
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("source_no", "row_no")) - 1
-    return registry.withColumn("ordinal", place)
+    """Zero-based place of each row in registry order (source_no, row_no).
+
+    Places are counted within blocks of positions and the blocks are counted up, so that no task
+    sees the whole list.
+    """
+    blocked = registry.withColumn("__block", F.floor(F.col("row_no") / POSITION_BLOCK))
+    inside = W.partitionBy("source_no", "__block").orderBy("row_no")
+    sizes = blocked.groupBy("source_no", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("source_no", "__block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    return (
+        blocked.withColumn("__place", F.row_number().over(inside) - 1)
+        .join(starts, ["source_no", "__block"])
+        .withColumn("ordinal", F.col("__start") + F.col("__place"))
+        .drop("__block", "__place", "__start")
+    )
 
 
 def cohort_slice(
