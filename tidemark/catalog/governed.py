@@ -232,3 +232,59 @@ def _top(spark: SparkSession, d: str) -> DataFrame:
 )
 def _lineage(spark: SparkSession, d: str) -> DataFrame:
     return s.lineage(_top(spark, d), b.facts(spark, d).select("pin_id", "company_id", "fy", "metric_key"))
+
+
+# ---- curated questions end to end: the shapes a reader starts from ----------------------------
+
+SCORE_SQL = f"""SELECT {{dims}}, round(CAST(avg(value) AS DOUBLE), 6) AS value, count(*) AS cohort_n, CAST(NULL AS VARCHAR) AS pin_id,
+  '{{key}}' AS measure, count(*) < 5 AS thin_cohort FROM scores JOIN companies USING (company_id)
+  WHERE score_key = '{{key}}' AND {LATEST} AND fy = 1999 GROUP BY {{dims}} ORDER BY avg(value) {{way}}, {{dims}} LIMIT {{limit}}"""
+
+
+def curated(measure: str, dims: list[str], shape: str, way: str, limit: int) -> dict[str, Any]:
+    return {"measures": [measure], "dimensions": dims, "filters": [eq("fy", 1999)], "shape": shape,
+            "sort": {"by": "value", "direction": way}, "limit": limit}
+
+
+def curated_score(name: str, key: str, dim: str, shape: str, way: str, limit: int) -> None:
+    sql = f"WITH {COMPANIES}, {SCORES} " + SCORE_SQL.format(dims=dim, key=key, way=way, limit=limit)
+    query(name, sql)(lambda spark, d: ask(spark, d, curated(key, [dim], shape, way, limit), tier="explore"))
+
+
+curated_score("q_most_complete_sectors", "completeness", "sector", "distribution", "desc", 20)
+curated_score("q_most_substantive_sectors", "substance", "sector", "distribution", "desc", 20)
+curated_score("q_readiness_gaps", "assurance_readiness", "sector", "distribution", "asc", 20)
+curated_score("q_evidence_by_industry", "substance", "industry", "comparison", "desc", 20)
+curated_score("q_quality_by_size_band", "completeness", "mcap_band", "comparison", "desc", 10)
+
+
+def curated_ranking(name: str, key: str, limit: int) -> None:
+    sql = f"WITH {STAR} " + row_sql("company", key, "fy = 1999", "value DESC, company, pin_id", limit)
+    query(name, sql)(lambda spark, d: ask(spark, d, curated(key, ["company"], "ranking", "desc", limit)))
+
+
+curated_ranking("q_largest_revenue_reporters", "revenue", 10)
+curated_ranking("q_largest_quantity_reporters", "qty", 25)
+
+
+def curated_lowest(name: str, key: str, limit: int) -> None:
+    """Lower is better: the lowest rows are reported as an anonymised cohort."""
+    inner = row_sql("company", key, "fy = 1999", "value, company, pin_id", limit)
+    sql = f"WITH {STAR} SELECT '{COHORT_LABEL}' AS cohort, value, cohort_n, pin_id, measure, thin_cohort FROM ({inner})"
+    query(name, sql)(lambda spark, d: ask(spark, d, curated(key, ["company"], "ranking", "asc", limit)))
+
+
+curated_lowest("q_lowest_tax_reporters", "tax", 25)
+curated_lowest("q_lowest_discount_reporters", "discount", 25)
+
+
+@query(
+    "q_readiness_trend",
+    f"""WITH {COMPANIES}, {SCORES} SELECT fy, round(CAST(value AS DOUBLE), 6) AS value, CAST(NULL AS BIGINT) AS cohort_n, pin_id,
+      'assurance_readiness' AS measure, false AS thin_cohort FROM scores WHERE score_key = 'assurance_readiness' AND {LATEST}
+      AND fy BETWEEN 1998 AND 1999 ORDER BY fy, pin_id LIMIT 10""",
+)
+def _trend(spark: SparkSession, d: str) -> DataFrame:
+    spec = {"measures": ["assurance_readiness"], "dimensions": ["fy"], "shape": "timeseries", "limit": 10,
+            "filters": [{"dimension": "fy", "operator": "between", "value": [1998, 1999]}]}
+    return ask(spark, d, spec, tier="explore")

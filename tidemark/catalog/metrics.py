@@ -165,12 +165,14 @@ REBUILD = f"""WITH {KEPT} SELECT k.company_id, k.fy, k.metric_key, k.value, k.pi
 
 @query("m10_rebuild_metrics", REBUILD)
 def _m10(spark: SparkSession, d: str) -> DataFrame:
-    """Written as a table partitioned by year, twice, and read back: a rebuild changes nothing."""
+    """A stale table, partitioned by year, that the rebuild replaces."""
     path = shared_dir(spark, "metrics")
-    rows = m.materialise(b.candidates(spark, d, broken=True), RULES).drop("sector")
+    candidates = b.candidates(spark, d, broken=True)
+    rows = m.materialise(candidates, RULES).drop("sector")
+    stale = m.build_candidates(candidates).withColumn("value", F.lit(0).cast(m.VALUE))
+    m.replace_partitions(stale.select("company_id", "fy", "metric_key", "value"), path, "fy")
     m.replace_partitions(rows, path, "fy")
-    m.replace_partitions(rows, path, "fy")
-    return plain(spark.read.parquet(path)).withColumn("yoy_delta", F.round("yoy_delta", 6))
+    return plain(spark.read.schema(rows.schema).parquet(path)).withColumn("yoy_delta", F.round("yoy_delta", 6))
 
 
 @query(

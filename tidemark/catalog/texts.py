@@ -14,10 +14,6 @@ from tidemark.functions.exprs import any_term
 from tidemark.operators import text as x
 
 
-def hexed(name: str) -> F.Column:
-    return F.lower(F.hex(name)).alias(name)
-
-
 @query(
     "t1_word_shingles",
     f"""WITH {SHINGLES} SELECT doc_id, count(*) AS shingles, count(DISTINCT phrase) AS distinct_shingles,
@@ -43,7 +39,7 @@ def _t1(spark: SparkSession, d: str) -> DataFrame:
 def _t2(spark: SparkSession, d: str) -> DataFrame:
     texts = b.narratives(spark, d)
     shared = x.boilerplate(x.distinct_phrases(texts, ["company"], "text"), "company")
-    return x.with_phrase_text(shared, texts, "text").select(hexed("phrase_hash"), "phrase", "company_count")
+    return x.with_phrase_text(shared, texts, "text")
 
 
 ORIGINALITY = f"""{SHINGLES}, shared AS (SELECT phrase FROM sh GROUP BY phrase HAVING count(DISTINCT company) >= 3),

@@ -42,10 +42,15 @@ def shingles(word_list: Column, n: int) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """32-byte key of a text, the only part of a phrase that is shuffled."""
+    """SHA-256 of a text as 32 bytes."""
     return F.unhex(F.sha2(text, 256))
 
 
+def short_digest(text: Column) -> Column:
+    """First 16 bytes of the digest: the part of a phrase that is shuffled and joined on."""
+    return F.substring(digest(text), 1, 16)
+
+
 def tokens(text: Column) -> Column:
     """Parts between white space of the lower-cased text."""
     return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")

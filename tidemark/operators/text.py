@@ -30,19 +30,23 @@ def phrase_rows(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) ->
 
 
 def shingle_rows(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) -> DataFrame:
-    """One row per shingle occurrence: the ids and the 32-byte key."""
+    """One row per shingle occurrence: the ids and the phrase's SHA-256."""
     return phrase_rows(texts, ids, text, n).select(*ids, t.digest(F.col("phrase")).alias("phrase_hash"))
 
 
 def distinct_phrases(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) -> DataFrame:
-    """Distinct shingle keys per id; repeats inside a text are dropped before the shuffle."""
-    return shingle_rows(texts, ids, text, n).distinct()
+    """Distinct shingle keys per id; repeats inside a text are dropped before the shuffle.
+
+    There is about one shingle per word, so the size of its key is the size of the job: 16 bytes.
+    """
+    rows = phrase_rows(texts, ids, text, n)
+    return rows.select(*ids, t.short_digest(F.col("phrase")).alias("phrase_key")).distinct()
 
 
 def phrase_companies(phrases: DataFrame, company: str) -> DataFrame:
     """Distinct companies per shingle key. Only keys are shuffled, never phrase text."""
-    pairs = phrases.select(company, "phrase_hash").distinct()
-    return pairs.groupBy("phrase_hash").agg(F.count(F.lit(1)).alias("company_count"))
+    pairs = phrases.select(company, "phrase_key").distinct()
+    return pairs.groupBy("phrase_key").agg(F.count(F.lit(1)).alias("company_count"))
 
 
 def boilerplate(phrases: DataFrame, company: str, threshold: int = 3) -> DataFrame:
@@ -51,10 +55,11 @@ def boilerplate(phrases: DataFrame, company: str, threshold: int = 3) -> DataFra
 
 
 def with_phrase_text(shared: DataFrame, texts: DataFrame, text: str, n: int = 8) -> DataFrame:
-    """The words of each shared shingle, fetched for the shared ones only."""
-    rows = phrase_rows(texts, [], text, n).withColumn("phrase_hash", t.digest(F.col("phrase")))
-    words = rows.join(shared.select("phrase_hash"), "phrase_hash", "left_semi")
-    return shared.join(words.groupBy("phrase_hash").agg(F.min("phrase").alias("phrase")), "phrase_hash")
+    """(phrase_hash, phrase, company_count) of each shared shingle; words are fetched for these only."""
+    rows = phrase_rows(texts, [], text, n).withColumn("phrase_key", t.short_digest(F.col("phrase")))
+    words = rows.join(shared.select("phrase_key"), "phrase_key", "left_semi")
+    named = shared.join(words.groupBy("phrase_key").agg(F.min("phrase").alias("phrase")), "phrase_key")
+    return named.select(F.sha2("phrase", 256).alias("phrase_hash"), "phrase", "company_count")
 
 
 def originality(phrases: DataFrame, docs: DataFrame, doc: str, shared: DataFrame) -> DataFrame:
@@ -64,8 +69,8 @@ def originality(phrases: DataFrame, docs: DataFrame, doc: str, shared: DataFrame
     list of shared keys has one row per key and the next step groups by document, so AQE may split
     that key.
     """
-    own = phrases.select(doc, "phrase_hash").distinct()
-    marked = own.join(shared.select("phrase_hash", F.lit(1).alias("hit")), "phrase_hash", "left")
+    own = phrases.select(doc, "phrase_key").distinct()
+    marked = own.join(shared.select("phrase_key", F.lit(1).alias("hit")), "phrase_key", "left")
     counts = marked.groupBy(doc).agg(
         F.count(F.lit(1)).alias("phrase_count"), F.count("hit").alias("boilerplate_phrases")
     )
@@ -316,9 +321,9 @@ def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     long_enough = F.size("w") >= ANCHOR_WORDS + 2
     normal = pages.select("page_id", t.normalised(F.col("text")).alias("text"))
     anchored = listed.where(long_enough).select(
-        "quote_id", "quote", t.digest(F.array_join(F.slice("w", 2, ANCHOR_WORDS), " ")).alias("anchor")
+        "quote_id", "quote", t.short_digest(F.array_join(F.slice("w", 2, ANCHOR_WORDS), " ")).alias("anchor")
     )
-    triples = shingle_rows(normal, ["page_id"], "text", ANCHOR_WORDS).withColumnRenamed("phrase_hash", "anchor")
+    triples = distinct_phrases(normal, ["page_id"], "text", ANCHOR_WORDS).withColumnRenamed("phrase_key", "anchor")
     hits = triples.join(anchored, "anchor").select("quote_id", "quote", "page_id")
     short = listed.where(~long_enough)
     if not short.isEmpty():
