@@ -52,7 +52,7 @@ def _a3(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "a4_usage_since_month_start",
     """SELECT CAST(user_id % 20 AS BIGINT) AS org_id,
-      coalesce(sum(CASE WHEN ts >= TIMESTAMP '2024-01-29' AND event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END), 0) AS used
+      CAST(coalesce(sum(CASE WHEN ts >= TIMESTAMP '2024-01-29' AND event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END), 0) AS BIGINT) AS used
     FROM events GROUP BY 1""",
 )
 def _a4(spark: SparkSession, d: str) -> DataFrame:

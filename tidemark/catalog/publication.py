@@ -51,14 +51,15 @@ def number_sql(source: str) -> str:
       CASE WHEN regexp_matches(s, '\\blakhs?\\b') THEN 100000 WHEN regexp_matches(s, '\\blacs?\\b') THEN 100000 WHEN regexp_matches(s, '\\bcrores?\\b') THEN 10000000 ELSE 1 END AS k FROM x),
     z AS (SELECT *, TRY_CAST(replace(f[1], ',', '') AS DECIMAL(28,6)) * k AS a, TRY_CAST(replace(f[2], ',', '') AS DECIMAL(28,6)) * k AS c,
       NOT is_nil AND len(f) >= 2 AND regexp_matches(s, '\\b(?:to|through)\\b|[–—]') AS is_range FROM y)
-    SELECT id, round(CAST(CASE WHEN is_nil THEN 0 WHEN is_range THEN (a + c) / 2 ELSE a END AS DOUBLE), 4) AS value,
-      round(CAST(CASE WHEN is_range THEN least(a, c) END AS DOUBLE), 4) AS lower, round(CAST(CASE WHEN is_range THEN greatest(a, c) END AS DOUBLE), 4) AS upper,
+    SELECT id, CAST(CAST(CASE WHEN is_nil THEN 0 WHEN is_range THEN (a + c) * 0.5 ELSE a END AS DECIMAL(38,6)) AS VARCHAR) AS value,
+      CAST(CAST(CASE WHEN is_range THEN least(a, c) END AS DECIMAL(38,6)) AS VARCHAR) AS lower, CAST(CAST(CASE WHEN is_range THEN greatest(a, c) END AS DECIMAL(38,6)) AS VARCHAR) AS upper,
       NOT is_nil AND a IS NOT NULL AND (contains(s, '%') OR contains(s, 'percent')) AS is_percent, is_nil FROM z"""
 
 
 def numbers(df: DataFrame) -> DataFrame:
     parsed = t.parse_numbers(df, "raw", "n").select("id", "n.*")
-    return parsed.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("value", "lower", "upper")})
+    # As text: card-sized numbers do not fit a double to the last digit.
+    return parsed.withColumns({c: F.col(c).cast("string") for c in ("value", "lower", "upper")})
 
 
 @query(
