@@ -69,11 +69,11 @@ def test_intake_drops_repeats_and_sets_unknown_names_aside(feed, spark, tmp_path
     assert spark.read.parquet(f"{tmp_path}/quarantine").count() == kept.where("name = 'odd'").count()
 
 
-def test_lead_scores_equal_batch(feed):
+def test_lead_scores_equal_batch(feed, tmp_path):
     table, stream = feed
     rules = [e.SignalRule("view", 10, "V", max_occurrences=3), e.SignalRule("buy", 50, "B", instant=True)]
     as_of = "2024-01-06"
-    got = s.run_lead_scores(stream, None, rules, as_of, 3)
+    got = s.run_lead_scores(stream, None, rules, as_of, 3, str(tmp_path))
     want = e.lead_scores(table, rules, as_of, 3).select("user_id", "score", "instant")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 

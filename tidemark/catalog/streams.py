@@ -78,7 +78,7 @@ def _r4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r5_stream_lead_scores", f"WITH {batch.SIGNALS} SELECT * FROM leads")
 def _r5(spark: SparkSession, d: str) -> DataFrame:
-    return stream.run_lead_scores(event_stream(spark, d), None, batch.RULES, AS_OF, WINDOW_DAYS)
+    return stream.run_lead_scores(event_stream(spark, d), None, batch.RULES, AS_OF, WINDOW_DAYS, shared_dir(spark, "leads"))
 
 
 @query("r6_stream_funnel_progress", f"SELECT stage, users FROM ({batch.FUNNEL}) f")

@@ -46,9 +46,21 @@ def split_registered(
     return accepted, quarantined
 
 
+def without_users(events: DataFrame, users: DataFrame) -> DataFrame:
+    """Events without those of the listed users; rows without a user stay.
+
+    Those rows take no part in the join: as null keys they would all meet in one task.
+    """
+    gone = users.select("user_id").distinct()
+    if events.isStreaming:  # a stream is read once
+        return events.join(gone, "user_id", "left_anti")
+    named = events.where(F.col("user_id").isNotNull()).join(gone, "user_id", "left_anti")
+    return named.select(*events.columns).unionByName(events.where(F.col("user_id").isNull()))
+
+
 def drop_opted_out(events: DataFrame, opted_out: DataFrame) -> DataFrame:
     """Events without those of users who opted out; anonymous events stay."""
-    return events.join(opted_out.select("user_id").distinct(), "user_id", "left_anti")
+    return without_users(events, opted_out)
 
 
 def merge_identity(events: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,7 +313,8 @@ def export_subjects(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def erase_subjects(events: DataFrame, requests: DataFrame) -> DataFrame:
-    return events.join(requests.select("user_id").distinct(), "user_id", "left_anti")
+    """The events table after erasing the requesting users."""
+    return without_users(events, requests)
 
 
 # ---- quotas and limits ---------------------------------------------------------------------

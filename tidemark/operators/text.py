@@ -455,17 +455,24 @@ def section_scores(pages: DataFrame, anchors: dict[str, tuple[str, ...]] | None
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             rows: list[list[float]] = []
-            for low in range(0, len(series), 500):
-                texts = [text or "" for text in series.iloc[low : low + 500]]
+            texts: list[str] = []
+            size = 0
+            for number, text in enumerate(series):
+                texts.append(text or "")
+                size += len(texts[-1])
+                # Pages are scored together up to a number of characters, which bounds memory.
+                if size < 1_000_000 and number + 1 < len(series):
+                    continue
                 found = likeness_of(texts, limit - 1e-9)
                 whole = [
                     i
-                    for i, text in enumerate(texts)
-                    if found[i, first] >= limit or title in " ".join(text.lower().split())
+                    for i, page in enumerate(texts)
+                    if found[i, first] >= limit or title in " ".join(page.lower().split())
                 ]
                 if whole:
                     found[whole] = likeness_of([texts[i] for i in whole], 0.0)
                 rows += found.tolist()
+                texts, size = [], 0
             yield pd.Series(rows)
 
     likeness = F.pandas_udf(score, T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR_ITER)

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from tidemark.operators import events as e
 from tidemark.operators.relational import upsert
-from tidemark.session import shared_dir
 from tidemark.streaming.runner import run_available
 
 
@@ -133,32 +133,32 @@ def run_lead_scores(
     rules: Sequence[e.SignalRule],
     as_of: str,
     days: int,
+    folder: str,
 ) -> DataFrame:
     """Lead scores kept up to date: each micro-batch rescores the users it touches.
 
-    Arrived events are appended to a table; a batch reads its users' window from there, so no
-    state grows in the stream. ``history`` holds events from before the stream.
+    Arrived events are appended to a table below ``folder``; a batch reads its users' window from
+    there, so no state grows in the stream. Every batch writes the scores after it, from those
+    after the batch before: running a batch again gives the same table. ``history`` holds events from
+    before the stream.
     """
     spark = stream.sparkSession
-    folder = shared_dir(spark, "lead-stream")
     columns = ["event_id", "ts", "name", "user_id", "props"]
     schema = stream.select(*columns).schema
-    scored: list[str] = []
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.select(*columns).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
-        arrived = spark.read.schema(schema).parquet(f"{folder}/events/batch={batch_id}")
-        seen = spark.read.schema(schema).parquet(f"{folder}/events")
+        seen = spark.read.schema(schema.add("batch", IntegerType())).parquet(f"{folder}/events")
+        touched = seen.where(F.col("batch") == batch_id).select("user_id").distinct()
+        seen = seen.select(*columns)
         if history is not None:
             seen = seen.unionByName(history.select(*columns))
-        touched = arrived.select("user_id").distinct()
         window = seen.join(touched, "user_id", "left_semi")
         fresh = e.lead_scores(window, rules, as_of, days).select("user_id", "score", "instant")
-        if scored:
-            fresh = upsert(spark.read.parquet(scored[-1]), fresh, ["user_id"])
-        path = f"{folder}/leads/after={batch_id}"
-        fresh.write.mode("overwrite").parquet(path)
-        scored.append(path)
+        if batch_id > 0:
+            fresh = upsert(spark.read.parquet(f"{folder}/leads/after={batch_id - 1}"), fresh, ["user_id"])
+        fresh.write.mode("overwrite").parquet(f"{folder}/leads/after={batch_id}")
 
     run_available(stream, write, f"{folder}/checkpoint")
-    return spark.read.parquet(scored[-1])
+    leads = spark.read.parquet(f"{folder}/leads")
+    return leads.where(F.col("after") == leads.agg(F.max("after")).scalar()).drop("after")
