@@ -70,3 +70,16 @@ def test_versions_are_reused_for_the_same_fact(frame):
     latest = frame([("f", "k", 3, "x1", "v2"), ("g", "k", 5, "x2", "v1")], "filing_id string, field_key string, version int, fact_id string, mapping_version string")
     out = {r.filing_id: (r.reused, r.version) for r in m.reuse_versions(published, latest, "v2").collect()}
     assert out == {"f": (True, 3), "g": (False, 6), "h": (False, 1)}
+
+
+def test_text_facts_publish_only_on_request(frame):
+    end = date(2025, 3, 31)
+    filings = frame([("f", "i")], "filing_id string, issuer string")
+    facts = frame([("f", "Energy", "main", end, 1, "x", None, None, " Yes ")], FACT + ", value_raw string")
+    registry = frame([], "issuer string, scale string")
+    run = lambda **options: [
+        (r.status, r.asDict().get("value_text"))
+        for r in m.publish_mappings(filings, facts, MAPPINGS[1:2], registry, 2025, **options).collect()
+    ]
+    assert run() == [("missing", None)]
+    assert run(passthrough_text=True) == [("published", "Yes")]

@@ -86,8 +86,15 @@ def prior_answers(spark: SparkSession, d: str) -> DataFrame:
     )
     kept = now.where(key % 4 != 1).select("filing_id", "field_key", value.alias("value"))
     filings = now.select("filing_id").distinct()
-    extra = filings.where(key % 14 == 5).select("filing_id", F.lit("a.basics.other"), F.lit("44"))
-    return kept.union(extra).union(filings.where(key % 14 == 6).select("filing_id", F.lit("z.unknown"), F.lit("1")))
+    # As generated rows: a literal key would turn the later key lookup into a nested loop.
+    more = F.inline(
+        F.array(
+            F.struct(F.lit("a.basics.other").alias("field_key"), F.lit("44").alias("value"), F.lit(5).alias("slot")),
+            F.struct(F.lit("z.unknown").alias("field_key"), F.lit("1").alias("value"), F.lit(6).alias("slot")),
+        )
+    )
+    extra = filings.select("filing_id", more).where(key % 14 == F.col("slot")).drop("slot")
+    return kept.unionByName(extra)
 
 
 FORM_ROWS = ", ".join(

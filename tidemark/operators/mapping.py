@@ -124,11 +124,13 @@ def publish_mappings(
     registry: DataFrame,
     fy: int,
     context: str = "main",
+    passthrough_text: bool = False,
 ) -> DataFrame:
     """One row per filing and active mapping with status published, withheld or missing.
 
     Every unit and scale that cannot be resolved withholds its own value only. Facts without a
-    number count as missing. ``filings``: filing_id, issuer (of the fiscal year).
+    number count as missing, unless ``passthrough_text`` publishes their reported text
+    (``facts.value_raw``). ``filings``: filing_id, issuer (of the fiscal year).
     """
     spark = filings.sparkSession
     active = [m for m in mappings if m.review_status != "rejected"]
@@ -146,7 +148,12 @@ def publish_mappings(
     # Every filing needs every mapping: the list is configuration and rides along as a constant.
     expected = filings.select("filing_id", "issuer", F.inline(wanted))
     chosen = select_facts(facts, [m.concept for m in active], fy, context).select(
-        "filing_id", "concept", "fact_id", "value_num", "unit"
+        "filing_id",
+        "concept",
+        "fact_id",
+        "value_num",
+        "unit",
+        (F.col("value_raw") if passthrough_text else F.lit(None).cast("string")).alias("value_text"),
     )
     factors = [(m.field_key, unit, Decimal(f)) for m in active for unit, f in m.unit_factors.items()]
     rules = rule_table(spark, ["field_key", "unit", "factor"], factors)
@@ -158,8 +165,12 @@ def publish_mappings(
     by_unit = (F.col("value_num").cast("decimal(24,6)") * F.col("factor")).cast(NUMERIC)
     value = F.when(F.col("registered_scale"), F.col("absolute")).otherwise(by_unit)
     token = F.when(F.col("registered_scale"), F.col("scale")).otherwise(F.col("unit"))
+    text = F.when(F.col("value_num").isNull(), F.nullif(F.trim("value_text"), F.lit("")))
     status = (
-        F.when(F.col("value_num").isNull(), "missing").when(value.isNull(), "withheld").otherwise("published")
+        F.when(text.isNotNull(), "published")
+        .when(F.col("value_num").isNull(), "missing")
+        .when(value.isNull(), "withheld")
+        .otherwise("published")
     )
     return scaled.select(
         "filing_id",
@@ -169,6 +180,7 @@ def publish_mappings(
         status.alias("status"),
         F.when(status == "published", value).alias("value_num"),
         F.when(status == "published", token).alias("resolved_scale"),
+        *([text.alias("value_text")] if passthrough_text else []),
     )
 
 
