@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, simhash
+from tidemark.llm import decontaminate, hamming, html_text, language, licenses, packing, simhash, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-WORDS = public_tokenizers.path("word_bpe_49k.json")
+WORDS, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -38,6 +38,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(documents, table(spark, sf_dir, "benchmark")))
 
 
+@query("op2_license_scan", licenses.oracle())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and again after its personal data have been replaced."""
+    trees = token_counts.build(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    before = trees.withColumn("before", F.struct("doc_id", "n_tokens")).drop("doc_id").withColumnRenamed("before", "doc_id")
+    after = token_counts.apply_edits(token_counts.with_redactions(before), RANKS, public_tokenizers.PATTERN)
+    return after.select("doc_id.doc_id", F.col("doc_id.n_tokens").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "n_edits", "n_again")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
@@ -47,3 +72,29 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def hamming_oracle(k: int = hamming.K) -> str:
+    bits = " + ".join(f"(CASE WHEN embedding[{b + 1}] > 0 THEN {1 << b} ELSE 0 END)::UBIGINT" for b in range(64))
+    return f"""
+WITH c AS (SELECT DISTINCT vec_id, {bits} AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, CAST(min(bit_count(xor(q.code, r.code))) AS INTEGER) AS distance
+  FROM c q JOIN c r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, neighbour_id, distance FROM n WHERE rank <= {k}"""
+
+
+@query("op8_hamming_top_k", hamming_oracle())
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op9_repeated_substrings")
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_page_text")
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
