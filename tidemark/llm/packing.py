@@ -5,8 +5,8 @@
 2. The plan is made from the histogram of lengths, which has at most ``capacity`` rows whatever the
    corpus. An index of available lengths and pair sums finds one, two or three lengths that fill a
    gap exactly; such a pattern is taken as often as its lengths allow. Where nothing fits exactly,
-   the longest length that fits goes in. A pattern uses up at least one length, so there are at
-   most ``capacity`` patterns.
+   the longest length that fits goes in. A pattern is taken until one of its lengths has fewer pieces
+   left than the pattern needs, so there are at most about ``capacity * log(capacity)`` patterns.
 3. A piece's rank among all of its length (rank in task + offset of the task) gives its pattern,
    sequence and place. No window or sort over pieces is needed, so a hot length is no problem.
 
@@ -42,8 +42,8 @@ def _cut(path: str, capacity: int, end_token: int):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = tokenizer.text(text.as_py() or "") + end
+            for k, ids in enumerate(tokenizer.texts([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     size = len(part) // 4
