@@ -157,7 +157,7 @@ def apply(tree: Tree, text: str, edits: list[tuple[int, int, str]], count: Count
                 reach(stop + shift)
                 k += 1
 
-        reach(begin)
+        reach(edits[k][0] + shift)
         absorb()
         cuts: list[tuple[int, int]] = []
         at = begin
