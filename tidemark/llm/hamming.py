@@ -17,6 +17,7 @@ to the smaller id; fewer than k rows give fewer neighbours; an empty table gives
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,6 +54,12 @@ def codes(vectors: DataFrame) -> DataFrame:
     return there.mapInArrow(_codes, "vec_id long, code long")
 
 
+@functools.cache
+def _flips(radius: int) -> np.ndarray:
+    """All segments with this many bits."""
+    return np.array([sum(1 << b for b in chosen) for chosen in combinations(range(SEGMENT_BITS), radius)])
+
+
 class Index:
     """Codes of a shard, with the rows of every value of every segment."""
 
@@ -71,9 +78,16 @@ class Index:
 
     def candidates(self, code: np.ndarray, segment: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, row) pairs whose segment differs in exactly ``radius`` bits, CANDIDATES or so at a time."""
-        flips = np.array([sum(1 << b for b in chosen) for chosen in combinations(range(SEGMENT_BITS), radius)])
+        flips = _flips(radius)
         starts, rows = self.starts[segment], self.rows[segment]
         key = self.key(code, segment)
+        if len(flips) > len(self.code):  # fewer rows than keys to look up: compare the rows' keys instead
+            held = self.key(self.code, segment).astype(np.uint64)
+            step = max(1, CANDIDATES // len(held))
+            for at in range(0, len(code), step):
+                q, row = np.nonzero(np.bitwise_count(key[at : at + step, None].astype(np.uint64) ^ held) == radius)
+                yield at + q, row
+            return
         step = max(1, CANDIDATES // len(flips))
         for at in range(0, len(code), step):
             wanted = (key[at : at + step, None] ^ flips).ravel()
