@@ -23,12 +23,13 @@ FORM = [
 ]
 RELATIONS = [r.Relation("a.basics.total", ["a.basics.permanent", "a.basics.other"])]
 
-# One filing per order with up to ten answers worked out from its columns; a null value is no answer.
+# One filing per order with up to ten answers worked out from its columns; a null value is no answer,
+# and every 33rd order has none at all.
 VALUES = {
-    "a.basics.total": "CASE WHEN k % 9 = 1 THEN NULL WHEN k % 13 = 2 THEN '12.5' ELSE CAST(c % 700 + k % 90 + CASE WHEN k % 8 = 3 THEN 5 ELSE 0 END AS {s}) END",
+    "a.basics.total": "CASE WHEN k % 9 = 1 THEN NULL WHEN k % 13 = 2 THEN '12.5' WHEN k % 31 = 3 THEN '12.0000001' WHEN k % 31 = 4 THEN '1.2e3' WHEN k % 31 = 5 THEN CAST(c % 700 + k % 90 AS {s}) || '.0000001' ELSE CAST(c % 700 + k % 90 + CASE WHEN k % 8 = 3 THEN 5 ELSE 0 END AS {s}) END",
     "a.basics.permanent": "CASE WHEN k % 21 = 4 THEN 'many' ELSE CAST(c % 700 AS {s}) END",
     "a.basics.other": "CASE WHEN k % 14 = 5 THEN NULL ELSE CAST(k % 90 AS {s}) END",
-    "p1.training.pct": "CASE WHEN k % 17 = 0 THEN '1,000' ELSE CAST(k % 120 AS {s}) END",
+    "p1.training.pct": "CASE WHEN k % 17 = 0 THEN '1,000' WHEN k % 23 = 5 THEN '100.0000001' WHEN k % 23 = 7 THEN '1e1' WHEN k % 23 = 9 THEN '12345678901234567890123456789012345' ELSE CAST(k % 120 AS {s}) END",
     "p1.policy.exists": "CASE k % 5 WHEN 0 THEN 'No' WHEN 1 THEN 'yes' WHEN 2 THEN 'maybe' WHEN 3 THEN 'TRUE' ELSE 'false' END",
     "p1.policy.reason": "CASE WHEN k % 10 = 0 THEN 'Not yet' WHEN k % 10 = 7 THEN '  ' END",
     "p2.audit.date": "CASE k % 6 WHEN 0 THEN '1998-02-30' WHEN 1 THEN '1998-02-03' WHEN 2 THEN '3 Feb' WHEN 3 THEN NULL ELSE '2001-12-31' END",
@@ -38,7 +39,7 @@ VALUES = {
 }
 
 ANSWERS = (
-    "ans AS (SELECT * FROM ("
+    "ans AS MATERIALIZED (SELECT * FROM ("
     + " UNION ALL ".join(
         f"SELECT k AS filing_id, '{key}' AS field_key, {text.format(s='VARCHAR')} AS value, "
         f"CASE WHEN '{key}' = 'p1.training.pct' AND k % 7 <> 0 THEN 'percent' WHEN '{key}' = 'p1.training.pct' THEN 'count' END AS unit, "
@@ -47,15 +48,15 @@ ANSWERS = (
         f"CASE WHEN (k + length('{key}')) % 4 = 0 THEN 'doc' ELSE '' END AS evidence FROM o"
         for key, text in VALUES.items()
     )
-    + ") u WHERE value IS NOT NULL), o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
+    + ") u WHERE value IS NOT NULL AND filing_id % 33 <> 0), o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
 )
 # DuckDB wants the order table first.
 _o = "o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
 ANSWERS = _o + ", " + ANSWERS.replace(", " + _o, "")
 
-PRIOR = """pri AS (SELECT filing_id, field_key, CASE WHEN field_key LIKE 'a.%' AND filing_id % 6 = 0 THEN CAST(TRY_CAST(value AS DECIMAL(38,6)) * 3 AS VARCHAR)
+PRIOR = """pri AS MATERIALIZED (SELECT filing_id, field_key, CASE WHEN field_key LIKE 'a.%' AND filing_id % 6 = 0 THEN CAST(TRY_CAST(value AS DECIMAL(38,6)) * 3 AS VARCHAR)
   WHEN filing_id % 50 = 1 THEN 'bad' WHEN filing_id % 50 = 2 THEN '0' ELSE value END AS value FROM ans WHERE filing_id % 4 <> 1
-  UNION ALL SELECT k, 'a.basics.other', '44' FROM o WHERE k % 14 = 5 UNION ALL SELECT k, 'z.unknown', '1' FROM o WHERE k % 14 = 6)"""
+  UNION ALL SELECT k, 'a.basics.other', '44' FROM o WHERE k % 14 = 5 AND k % 33 <> 0 UNION ALL SELECT k, 'z.unknown', '1' FROM o WHERE k % 14 = 6 AND k % 33 <> 0)"""
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +65,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     long = orders.select("k", F.expr(f"stack({len(VALUES)}, {pairs}) AS (field_key, value)"))
     code = F.col("k") + F.length("field_key")
     training = F.col("field_key") == "p1.training.pct"
-    return long.where(F.col("value").isNotNull()).select(
+    return long.where(F.col("value").isNotNull() & (F.col("k") % 33 != 0)).select(
         F.col("k").alias("filing_id"),
         "field_key",
         "value",
@@ -75,6 +76,10 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def filings(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "orders").select(F.col("o_orderkey").alias("filing_id"))
+
+
 def prior_answers(spark: SparkSession, d: str) -> DataFrame:
     now, key = answers(spark, d), F.col("filing_id")
     tripled = (F.col("value").try_cast("decimal(38,6)") * 3).cast("decimal(38,6)").cast("string")
@@ -85,7 +90,7 @@ def prior_answers(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.col("value"))
     )
     kept = now.where(key % 4 != 1).select("filing_id", "field_key", value.alias("value"))
-    filings = now.select("filing_id").distinct()
+    answered = now.select("filing_id").distinct()
     # As generated rows: a literal key would turn the later key lookup into a nested loop.
     more = F.inline(
         F.array(
@@ -93,7 +98,7 @@ def prior_answers(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit("z.unknown").alias("field_key"), F.lit("1").alias("value"), F.lit(6).alias("slot")),
         )
     )
-    extra = filings.select("filing_id", more).where(key % 14 == F.col("slot")).drop("slot")
+    extra = answered.select("filing_id", more).where(key % 14 == F.col("slot")).drop("slot")
     return kept.unionByName(extra)
 
 
@@ -105,20 +110,20 @@ FORM_ROWS = ", ".join(
 FORM_SQL = f"form(field_key, principle, dtype, expected_unit, repeating, core, needed) AS (VALUES {FORM_ROWS})"
 
 CHECKED = f"""{ANSWERS}, {FORM_SQL}, n AS (SELECT ans.*, form.dtype, form.expected_unit, form.repeating, trim(value) AS t, replace(trim(value), ',', '') AS p,
-  TRY_CAST(replace(trim(value), ',', '') AS DECIMAL(38,6)) AS num FROM ans JOIN form USING (field_key)),
+  CASE WHEN regexp_full_match(replace(trim(value), ',', ''), '-?[0-9]+([.][0-9]+)?(e[0-9]+)?') THEN CAST(replace(trim(value), ',', '') AS DOUBLE) END AS num FROM ans JOIN form USING (field_key)),
 chk AS (SELECT *, CASE WHEN t = '' THEN 'Value cannot be empty'
-  WHEN dtype = 'integer' AND NOT coalesce(num = floor(num), false) THEN 'Expected a whole number'
+  WHEN dtype = 'integer' AND NOT coalesce(num IS NOT NULL AND CASE WHEN contains(p, 'e') THEN num = floor(num) ELSE rtrim(split_part(p, '.', 2), '0') = '' END, false) THEN 'Expected a whole number'
   WHEN dtype = 'number' AND num IS NULL THEN 'Expected a number'
   WHEN dtype = 'boolean' AND lower(t) NOT IN ('true', 'false', 'yes', 'no') THEN 'Expected true/false or yes/no'
   WHEN dtype = 'date' AND (NOT regexp_matches(t, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') OR TRY_CAST(t AS DATE) IS NULL) THEN 'Expected an ISO date'
   WHEN repeating AND NOT (json_valid(t) AND coalesce(CASE WHEN json_valid(t) THEN json_type(t) END = 'ARRAY', false)) THEN 'Repeating groups must be a JSON array'
   WHEN expected_unit IS NOT NULL AND unit IS DISTINCT FROM expected_unit THEN 'Expected unit ' || expected_unit
-  WHEN expected_unit = 'percent' AND NOT (num BETWEEN 0 AND 100) THEN 'Percentage must be between 0 and 100' END AS error FROM n)"""
+  WHEN expected_unit = 'percent' AND NOT coalesce(num BETWEEN 0 AND 100, false) THEN 'Percentage must be between 0 and 100' END AS error FROM n)"""
 
 
 @query(
     "v1_typed_values",
-    f"""WITH {CHECKED} SELECT filing_id, field_key, error, CASE WHEN error IS NULL THEN CASE dtype WHEN 'integer' THEN CAST(CAST(num AS BIGINT) AS VARCHAR) WHEN 'number' THEN p
+    f"""WITH {CHECKED} SELECT filing_id, field_key, error, CASE WHEN error IS NULL THEN CASE dtype WHEN 'integer' THEN CASE WHEN contains(p, 'e') THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE split_part(p, '.', 1) END WHEN 'number' THEN CASE WHEN contains(p, 'e') THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE p END
       WHEN 'boolean' THEN CASE WHEN lower(t) IN ('true', 'yes') THEN 'true' ELSE 'false' END ELSE t END END AS normalised FROM chk""",
 )
 def _v1(spark: SparkSession, d: str) -> DataFrame:
@@ -133,10 +138,11 @@ def _v2(spark: SparkSession, d: str) -> DataFrame:
     return r.unknown_fields(answers(spark, d), FORM)
 
 
-TOTALS = """tot AS (SELECT filing_id, max(TRY_CAST(trim(value) AS DECIMAL(38,6))) FILTER (WHERE field_key = 'a.basics.total') AS a,
-  max(TRY_CAST(trim(value) AS DECIMAL(38,6))) FILTER (WHERE field_key = 'a.basics.permanent') + max(TRY_CAST(trim(value) AS DECIMAL(38,6))) FILTER (WHERE field_key = 'a.basics.other') AS e FROM ans GROUP BY 1)"""
-V3 = """SELECT filing_id, 'error' AS severity, 'a.basics.total' AS field_key, 'Total ' || format('{:,.2f}', CAST(a AS DOUBLE)) || ' does not equal component sum ' || format('{:,.2f}', CAST(e AS DOUBLE)) AS message, 'L2' AS tier
-  FROM tot WHERE abs(a - e) > 0"""
+TOTALS = """tot AS (SELECT filing_id, max(trim(value)) FILTER (WHERE field_key = 'a.basics.total') AS t, max(TRY_CAST(trim(value) AS HUGEINT)) FILTER (WHERE field_key = 'a.basics.permanent')
+  + max(TRY_CAST(trim(value) AS HUGEINT)) FILTER (WHERE field_key = 'a.basics.other') AS e FROM ans GROUP BY 1)"""
+# The parts are whole numbers here; a total equals them only if nothing but zeros follows its point.
+V3 = """SELECT filing_id, 'error' AS severity, 'a.basics.total' AS field_key, 'Total ' || CASE WHEN contains(t, 'e') THEN CAST(CAST(CAST(t AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE t END || ' does not equal component sum ' || e AS message, 'L2' AS tier
+  FROM tot WHERE t IS NOT NULL AND e IS NOT NULL AND CASE WHEN contains(t, 'e') THEN CAST(t AS DOUBLE) <> CAST(e AS DOUBLE) ELSE split_part(t, '.', 1) <> CAST(e AS VARCHAR) OR rtrim(split_part(t, '.', 2), '0') <> '' END"""
 
 
 @query("v3_sum_relations", f"WITH {ANSWERS}, {TOTALS} {V3}")
@@ -145,7 +151,7 @@ def _v3(spark: SparkSession, d: str) -> DataFrame:
 
 
 V4 = """SELECT filing_id, 'warning' AS severity, field_key, 'Year-on-year movement exceeds 50%' AS message, 'L2' AS tier FROM (
-  SELECT a.filing_id, a.field_key, CAST(TRY_CAST(trim(a.value) AS DECIMAL(38,6)) AS DOUBLE) AS n, CAST(TRY_CAST(trim(p.value) AS DECIMAL(38,6)) AS DOUBLE) AS o
+  SELECT a.filing_id, a.field_key, TRY_CAST(trim(a.value) AS DOUBLE) AS n, TRY_CAST(trim(p.value) AS DOUBLE) AS o
   FROM ans a JOIN pri p ON p.filing_id = a.filing_id AND p.field_key = a.field_key JOIN form f ON f.field_key = a.field_key AND f.dtype IN ('number', 'integer')) m
   WHERE o <> 0 AND abs((n - o) / o * 100) > 50"""
 
@@ -155,15 +161,15 @@ def _v4(spark: SparkSession, d: str) -> DataFrame:
     return r.movement_findings(answers(spark, d), prior_answers(spark, d), FORM)
 
 
-NEEDED = """need AS (SELECT k AS filing_id, form.field_key, form.principle FROM o, form WHERE needed AND (form.field_key <> 'p1.policy.reason'
-  OR EXISTS (SELECT 1 FROM ans WHERE ans.filing_id = k AND ans.field_key = 'p1.policy.exists' AND ans.value = 'No')))"""
-V5 = """SELECT filing_id, 'error' AS severity, field_key, 'Required answer is missing' AS message, 'L3' AS tier FROM need
-  WHERE NOT EXISTS (SELECT 1 FROM ans WHERE ans.filing_id = need.filing_id AND ans.field_key = need.field_key)"""
+NEEDED = """no AS (SELECT filing_id AS k FROM ans WHERE field_key = 'p1.policy.exists' AND value = 'No'),
+need AS MATERIALIZED (SELECT o.k AS filing_id, form.field_key, form.principle FROM o CROSS JOIN form LEFT JOIN no ON no.k = o.k WHERE needed AND (form.field_key <> 'p1.policy.reason' OR no.k IS NOT NULL))"""
+V5 = """SELECT need.filing_id, 'error' AS severity, need.field_key, 'Required answer is missing' AS message, 'L3' AS tier FROM need
+  ANTI JOIN ans ON ans.filing_id = need.filing_id AND ans.field_key = need.field_key"""
 
 
 @query("v5_required_with_condition", f"WITH {ANSWERS}, {FORM_SQL}, {NEEDED} {V5}")
 def _v5(spark: SparkSession, d: str) -> DataFrame:
-    return r.missing_required(answers(spark, d), FORM)
+    return r.missing_required(filings(spark, d), answers(spark, d), FORM)
 
 
 V6 = """SELECT filing_id, 'error' AS severity, field_key, 'AI-proposed answer has not been reviewed' AS message, 'L3' AS tier FROM ans WHERE author = 'ai' AND review_status = 'unreviewed'"""
@@ -179,24 +185,24 @@ sec0 AS (SELECT n.filing_id, n.principle, CAST(round_even(count(e.field_key) * 1
 sec AS (SELECT k AS filing_id, p.principle, coalesce(pct, 100) AS pct FROM o CROSS JOIN (SELECT DISTINCT principle FROM form) p LEFT JOIN sec0 ON sec0.filing_id = k AND sec0.principle = p.principle),
 core AS (SELECT k AS filing_id, CAST(round_even(count(e.field_key) * 100.0::DOUBLE / count(*), 0) AS INTEGER) AS core_pct FROM o JOIN form ON core LEFT JOIN elig e ON e.filing_id = k AND e.field_key = form.field_key GROUP BY 1),
 ev AS (SELECT filing_id, count(*) FILTER (WHERE evidence <> '') AS evidenced FROM ans GROUP BY 1),
-prog AS (SELECT filing_id, CAST(round_even(sum(pct) / count(*), 0) AS INTEGER) AS overall_pct, any_value(core_pct) AS core_pct, bool_and(pct = 100) AS complete, any_value(evidenced) AS evidenced
-  FROM sec JOIN core USING (filing_id) JOIN ev USING (filing_id) GROUP BY 1)"""
+prog AS (SELECT filing_id, CAST(round_even(sum(pct) / count(*), 0) AS INTEGER) AS overall_pct, any_value(core_pct) AS core_pct, bool_and(pct = 100) AS complete, coalesce(any_value(evidenced), 0) AS evidenced
+  FROM sec JOIN core USING (filing_id) LEFT JOIN ev USING (filing_id) GROUP BY 1)"""
 
 
 @query("v7_progress_by_principle", f"WITH {ANSWERS}, {FORM_SQL}, {PROGRESS} SELECT * FROM sec")
 def _v7(spark: SparkSession, d: str) -> DataFrame:
-    return r.progress(answers(spark, d), FORM)[0]
+    return r.progress(filings(spark, d), answers(spark, d), FORM)[0]
 
 
 @query("v7_progress_summary", f"WITH {ANSWERS}, {FORM_SQL}, {PROGRESS} SELECT * FROM prog")
 def _v7b(spark: SparkSession, d: str) -> DataFrame:
-    return r.progress(answers(spark, d), FORM)[1]
+    return r.progress(filings(spark, d), answers(spark, d), FORM)[1]
 
 
 @query(
     "v8_prefill_candidates",
-    f"""WITH {ANSWERS}, {FORM_SQL}, {PRIOR} SELECT p.filing_id, p.field_key, p.value, 'candidate' AS status FROM pri p WHERE p.field_key IN (SELECT field_key FROM form)
-      AND NOT EXISTS (SELECT 1 FROM ans a WHERE a.filing_id = p.filing_id AND a.field_key = p.field_key)""",
+    f"""WITH {ANSWERS}, {FORM_SQL}, {PRIOR} SELECT p.filing_id, p.field_key, p.value, 'candidate' AS status FROM pri p SEMI JOIN form USING (field_key)
+      ANTI JOIN ans a ON a.filing_id = p.filing_id AND a.field_key = p.field_key""",
 )
 def _v8(spark: SparkSession, d: str) -> DataFrame:
     return r.prefill_candidates(answers(spark, d), prior_answers(spark, d), FORM)
@@ -207,13 +213,12 @@ ALL = f"""{CHECKED}, {PRIOR}, {TOTALS}, {PROGRESS}, fnd AS ({V2} UNION ALL SELEC
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    return r.validate_filings(answers(spark, d), FORM, RELATIONS, prior_answers(spark, d))
+    return r.validate_filings(filings(spark, d), answers(spark, d), FORM, RELATIONS, prior_answers(spark, d))
 
 
-@query("v9_export_gate", f"WITH {ALL} SELECT k AS filing_id, NOT EXISTS (SELECT 1 FROM fnd WHERE fnd.filing_id = k AND severity = 'error') AS allowed FROM o")
+@query("v9_export_gate", f"WITH {ALL} SELECT k AS filing_id, bad.filing_id IS NULL AS allowed FROM o LEFT JOIN (SELECT DISTINCT filing_id FROM fnd WHERE severity = 'error') bad ON bad.filing_id = k")
 def _v9(spark: SparkSession, d: str) -> DataFrame:
-    filings = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("filing_id"))
-    return r.export_gate(filings, findings(spark, d))
+    return r.export_gate(filings(spark, d), findings(spark, d))
 
 
 @query(
@@ -223,7 +228,7 @@ def _v9(spark: SparkSession, d: str) -> DataFrame:
       core_pct, evidenced, coalesce(findings, 0) AS findings FROM prog LEFT JOIN c USING (filing_id)""",
 )
 def _v10(spark: SparkSession, d: str) -> DataFrame:
-    return r.gap_scores(r.progress(answers(spark, d), FORM)[1], findings(spark, d))
+    return r.gap_scores(r.progress(filings(spark, d), answers(spark, d), FORM)[1], findings(spark, d))
 
 
 @query(

@@ -9,19 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import numbers as num
 from tidemark.functions.exprs import rule_table
 from tidemark.operators.ranking import first_per_key
 
 FIELD_KEY_PATTERN = r"^(a|b|p[1-9])\.[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)+$"  # fixed value: format of field keys
 DTYPES = ("text", "number", "integer", "boolean", "date")  # fixed values
 FINDING = ("filing_id", "severity", "field_key", "message", "tier")
-NUMBER = "decimal(38,6)"
+
+# What findings say.
+EMPTY, WHOLE, NUMERIC = "Value cannot be empty", "Expected a whole number", "Expected a number"
+BOOLEAN, ISO_DATE, JSON_ROWS = "Expected true/false or yes/no", "Expected an ISO date", "Repeating groups must be a JSON array"
+UNIT, PERCENT, UNKNOWN = "Expected unit ", "Percentage must be between 0 and 100", "Unknown field"
+MACHINE_MESSAGE, MISSING_MESSAGE = "AI-proposed answer has not been reviewed", "Required answer is missing"
+SHORT_NAME_PREFIX = "a.basics."  # fixed value: where the short names of conditions live
 
 
 @dataclass(frozen=True)
@@ -32,7 +38,7 @@ class FieldDef:
     unit: str | None = None
     required: bool = True
     leadership: bool = False
-    condition: tuple[str, str] | None = None  # (field key, value it must have)
+    condition: tuple[str, str] | None = None  # (field key or its short name, value it must have)
     core: bool = False
     repeating: bool = False
 
@@ -61,27 +67,29 @@ def _with_form(answers: DataFrame, form: Sequence[FieldDef], how: str) -> DataFr
     return answers.join(F.broadcast(form_table(answers.sparkSession, form)), "field_key", how)  # configuration
 
 
+def _numbered(answers: DataFrame) -> DataFrame:
+    """With ``__number``: the value as a plain number, thousands separators taken out; null if it is none."""
+    return num.with_plain(answers, "__number", F.replace(F.trim("value"), F.lit(","), F.lit("")))
+
+
 def _value_error() -> Column:
-    """First rule that a value breaks, or null; needs the form's columns."""
-    text = F.trim("value")
-    number = F.replace(text, F.lit(","), F.lit("")).try_cast(NUMBER)
+    """First rule that a value breaks, or null; needs the form's columns and ``__number``."""
+    text, number = F.trim("value"), F.col("__number")
     lowered, dtype = F.lower(text), F.col("dtype")
     json_array = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.lit(False))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-    whole = number.isNotNull() & (number == F.floor(number))
-    percent = F.coalesce(number.between(0, 100), F.lit(False))
     return (
-        F.when(F.coalesce(text, F.lit("")) == "", "Value cannot be empty")
-        .when((dtype == "integer") & ~whole, "Expected a whole number")
-        .when((dtype == "number") & number.isNull(), "Expected a number")
-        .when((dtype == "boolean") & ~lowered.isin("true", "false", "yes", "no"), "Expected true/false or yes/no")
-        .when((dtype == "date") & iso.isNull(), "Expected an ISO date")
-        .when(F.col("repeating") & ~json_array, "Repeating groups must be a JSON array")
+        F.when(F.coalesce(text, F.lit("")) == "", EMPTY)
+        .when((dtype == "integer") & ~F.coalesce(num.is_whole(number), F.lit(False)), WHOLE)
+        .when((dtype == "number") & number.isNull(), NUMERIC)
+        .when((dtype == "boolean") & ~lowered.isin("true", "false", "yes", "no"), BOOLEAN)
+        .when((dtype == "date") & iso.isNull(), ISO_DATE)
+        .when(F.col("repeating") & ~json_array, JSON_ROWS)
         .when(
             F.col("expected_unit").isNotNull() & ~F.col("unit").eqNullSafe(F.col("expected_unit")),
-            F.concat(F.lit("Expected unit "), F.col("expected_unit")),
+            F.concat(F.lit(UNIT), F.col("expected_unit")),
         )
-        .when((F.col("expected_unit") == "percent") & ~percent, "Percentage must be between 0 and 100")
+        .when((F.col("expected_unit") == "percent") & ~F.coalesce(num.within_percent(number), F.lit(False)), PERCENT)
     )
 
 
@@ -91,17 +99,16 @@ def check_values(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     Whole numbers, numbers with thousands separators, yes/no words, ISO dates, JSON arrays for
     repeating groups, the expected unit, and percentages from 0 to 100.
     """
-    text = F.trim("value")
-    plain = F.replace(text, F.lit(","), F.lit(""))
-    dtype = F.col("dtype")
+    text, number, dtype = F.trim("value"), F.col("__number"), F.col("dtype")
+    integer = F.regexp_replace(F.regexp_replace(number, r"\..*$", ""), "^-0$", "0")
     normal = (
-        F.when(dtype == "integer", plain.try_cast(NUMBER).cast("decimal(38,0)").cast("string"))
-        .when(dtype == "number", plain)
+        F.when(dtype == "integer", integer)
+        .when(dtype == "number", number)
         .when(dtype == "boolean", F.when(F.lower(text).isin("true", "yes"), "true").otherwise("false"))
         .otherwise(text)
     )
-    checked = _with_form(answers, form, "inner").withColumn("error", _value_error())
-    return checked.withColumn("normalised", F.when(F.col("error").isNull(), normal))
+    checked = _numbered(_with_form(answers, form, "inner")).withColumn("error", _value_error())
+    return checked.withColumn("normalised", F.when(F.col("error").isNull(), normal)).drop("__number")
 
 
 def value_findings(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
@@ -112,7 +119,7 @@ def value_findings(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
 def unknown_fields(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     """Answers to fields that the form does not have."""
     known = F.broadcast(form_table(answers.sparkSession, form).select("field_key"))  # configuration
-    return answers.join(known, "field_key", "left_anti").select(*finding("error", "Unknown field", "L1"))
+    return answers.join(known, "field_key", "left_anti").select(*finding("error", UNKNOWN, "L1"))
 
 
 def _machine() -> Column:
@@ -127,17 +134,15 @@ def _finding_struct(severity: str, key: Column, message: Column | str, tier: str
     )
 
 
-MACHINE_MESSAGE = "AI-proposed answer has not been reviewed"
-MISSING_MESSAGE = "Required answer is missing"
 
 
 def answer_findings(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     """Findings that one answer shows by itself, in one pass without a shuffle: unknown field,
     broken value rule, unreviewed machine answer."""
     key = F.col("field_key")
-    rows = _with_form(answers, form, "left").withColumn("__error", F.when(F.col("dtype").isNotNull(), _value_error()))
+    rows = _numbered(_with_form(answers, form, "left")).withColumn("__error", F.when(F.col("dtype").isNotNull(), _value_error()))
     found = F.array(
-        F.when(F.col("dtype").isNull(), _finding_struct("error", key, "Unknown field", "L1")),
+        F.when(F.col("dtype").isNull(), _finding_struct("error", key, UNKNOWN, "L1")),
         F.when(F.col("__error").isNotNull(), _finding_struct("error", key, F.col("__error"), "L1")),
         F.when(_machine(), _finding_struct("error", key, MACHINE_MESSAGE, "L3")),
     )
@@ -145,50 +150,58 @@ def answer_findings(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
 
 
 def _relation_numbers(relations: Sequence[Relation]) -> tuple[list[Column], dict[str, str]]:
-    """Aggregates that pick each needed number of a filing, and their names by field."""
+    """Aggregates that pick each needed number of a filing (from ``__plain``), and their names by field."""
     keys = sorted({k for r in relations for k in (r.target, *r.operands)})
     name = {key: f"n{i}" for i, key in enumerate(keys)}
-    number = F.trim("value").try_cast(NUMBER)
-    return [F.max(F.when(F.col("field_key") == key, number)).alias(alias) for key, alias in name.items()], name
+    return [F.max(F.when(F.col("field_key") == key, F.col("__plain"))).alias(alias) for key, alias in name.items()], name
 
 
-def _broken_relations(relations: Sequence[Relation], name: dict[str, str]) -> list[Column]:
-    """A finding per relation whose numbers are all there and do not add up, else null."""
+def _with_broken_relations(filings: DataFrame, relations: Sequence[Relation], name: dict[str, str]) -> DataFrame:
+    """``broken``: a finding per relation whose numbers are all there and do not add up."""
+    columns = {}
+    for alias in name.values():
+        columns[f"{alias}_w"], columns[f"{alias}_f"] = num.parts(F.col(alias))
+    filings = filings.withColumns(columns)
+    pair = lambda key: (F.col(f"{name[key]}_w"), F.col(f"{name[key]}_f"))
     checks = []
-    for relation in relations:
-        expected = F.col(name[relation.operands[0]])
-        for key in relation.operands[1:]:
-            expected = expected + F.col(name[key])
-        actual = F.col(name[relation.target])
+    for i, relation in enumerate(relations):
+        expected = num.total([pair(key) for key in relation.operands])
+        filings = num.with_settled(filings, f"e{i}", expected)
+        filings = num.with_settled(filings, f"d{i}", num.difference(pair(relation.target), expected))
+        places = [F.length(num.fraction_digits(F.col(name[key]))) for key in relation.operands]
+        filings = filings.withColumn(f"p{i}", F.greatest(*places) if len(places) > 1 else places[0])
         message = F.concat(
-            F.lit("Total "),
-            F.format_number(actual, 2),
-            F.lit(" does not equal component sum "),
-            F.format_number(expected, 2),
+            F.lit("Total "), F.col(name[relation.target]), F.lit(" does not equal component sum "), num.shown(f"e{i}", F.col(f"p{i}"))
         )
-        broken = F.abs(actual - expected) > Decimal(relation.tolerance)
-        checks.append(F.when(broken, _finding_struct("error", F.lit(relation.target), message, "L2")))
-    return checks
+        finding_ = _finding_struct("error", F.lit(relation.target), message, "L2")
+        checks.append(F.when(num.exceeds(f"d{i}", relation.tolerance), finding_))
+    return filings.withColumn("broken", F.array_compact(F.array(*checks)))
+
+
+def _plain_values(answers: DataFrame) -> DataFrame:
+    """With ``__plain``: the value as a plain number; null if it is none."""
+    return num.with_plain(answers, "__plain", F.trim("value"))
 
 
 def relation_findings(answers: DataFrame, relations: Sequence[Relation]) -> DataFrame:
     """Totals that differ from their operands; checked only where all of them are numbers."""
     numbers, name = _relation_numbers(relations)
-    wide = answers.where(F.col("field_key").isin(list(name))).groupBy("filing_id").agg(*numbers)
-    checks = F.array_compact(F.array(*_broken_relations(relations, name)))
-    return wide.select("filing_id", F.inline(checks)).select(*FINDING)
+    wide = _plain_values(answers.where(F.col("field_key").isin(list(name)))).groupBy("filing_id").agg(*numbers)
+    return _with_broken_relations(wide, relations, name).select("filing_id", F.inline("broken")).select(*FINDING)
 
 
-def filing_findings(answers: DataFrame, form: Sequence[FieldDef], relations: Sequence[Relation]) -> DataFrame:
+def filing_findings(
+    filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef], relations: Sequence[Relation]
+) -> DataFrame:
     """Findings that need a filing's answers together, in one shuffle: totals and missing fields."""
     numbers, name = _relation_numbers(relations)
-    rows = _per_filing(answers, form, *numbers)
+    rows = _per_filing(filings, _plain_values(answers) if relations else answers, form, *numbers)
     missing = F.transform(
         F.array_except(_required(form, form), F.col("present")),
         lambda key: _finding_struct("error", key, MISSING_MESSAGE, "L3"),
     )
     if relations:
-        missing = F.concat(F.array_compact(F.array(*_broken_relations(relations, name))), missing)
+        rows, missing = _with_broken_relations(rows, relations, name), F.concat("broken", missing)
     return rows.select("filing_id", F.inline(missing)).select(*FINDING)
 
 
@@ -200,44 +213,62 @@ def movement_findings(
     Values that are not numbers, and a prior value of zero, are skipped.
     """
     numeric = [f.field_key for f in form if f.dtype in {"number", "integer"}]
-    now = answers.where(F.col("field_key").isin(numeric)).select(
-        "filing_id", "field_key", F.trim("value").try_cast(NUMBER).alias("now")
+    now = _plain_values(answers.where(F.col("field_key").isin(numeric))).select(
+        "filing_id", "field_key", F.col("__plain").try_cast("double").alias("now")
     )
-    before = prior.select("filing_id", "field_key", F.trim("value").try_cast(NUMBER).alias("before"))
+    before = _plain_values(prior).select("filing_id", "field_key", F.col("__plain").try_cast("double").alias("before"))
     pairs = now.join(before, ["filing_id", "field_key"]).where(F.col("before") != 0)
-    change = F.abs((F.col("now") - F.col("before")).cast("double") / F.col("before").cast("double") * 100)
+    change = F.abs((F.col("now") - F.col("before")) / F.col("before") * 100)
     moved = pairs.where(change > float(threshold))
     return moved.select(*finding("warning", f"Year-on-year movement exceeds {threshold}%", "L2"))
 
 
-def _per_filing(answers: DataFrame, form: Sequence[FieldDef], *extra: Column) -> DataFrame:
-    """Present and reviewed field sets per filing; both are bounded by the size of the form."""
+def _condition_keys(form: Sequence[FieldDef]) -> list[str]:
+    """Fields that conditions look at: the name as it is, and below the basics."""
+    names = {f.condition[0] for f in form if f.condition}
+    return sorted(names | {SHORT_NAME_PREFIX + name for name in names})
+
+
+def _per_filing(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef], *extra: Column) -> DataFrame:
+    """Present and reviewed field sets of every filing, also of those without any answer.
+
+    Both sets are bounded by the size of the form.
+    """
     keys = [f.field_key for f in form]
-    conditions = sorted({f.condition[0] for f in form if f.condition})
     known = F.when(F.col("field_key").isin(keys), F.col("field_key"))
     eligible = F.when(F.col("field_key").isin(keys) & ~_machine(), F.col("field_key"))
-    return answers.groupBy("filing_id").agg(
+    grouped = answers.groupBy("filing_id").agg(
         F.collect_set(known).alias("present"),
         F.collect_set(eligible).alias("eligible"),
         F.count_if(F.coalesce(F.col("evidence") != "", F.lit(False))).alias("evidenced"),
         *[
             F.max(F.when(F.col("field_key") == key, F.col("value"))).alias(f"c{i}")
-            for i, key in enumerate(conditions)
+            for i, key in enumerate(_condition_keys(form))
         ],
         *extra,
     )
+    none = F.array().cast("array<string>")
+    every = filings.select("filing_id").distinct().join(grouped, "filing_id", "full")
+    return every.withColumns(
+        {
+            "present": F.coalesce("present", none),
+            "eligible": F.coalesce("eligible", none),
+            "evidenced": F.coalesce("evidenced", F.lit(0).cast("long")),
+        }
+    )
 
 
 def _required(form: Sequence[FieldDef], fields: Sequence[FieldDef]) -> Column:
     """Array of the required keys among ``fields``, given the filing's condition answers."""
-    conditions = sorted({f.condition[0] for f in form if f.condition})
+    place = {key: f"c{i}" for i, key in enumerate(_condition_keys(form))}
     items = []
     for f in fields:
         if not f.required or f.leadership:
             continue
         if f.condition:
-            answer = F.col(f"c{conditions.index(f.condition[0])}")
-            items.append(F.when(answer == f.condition[1], F.lit(f.field_key)))
+            name, value = f.condition
+            answer = F.coalesce(place[name], place[SHORT_NAME_PREFIX + name])
+            items.append(F.when(answer == value, F.lit(f.field_key)))
         else:
             items.append(F.lit(f.field_key))
     if not items:
@@ -245,13 +276,13 @@ def _required(form: Sequence[FieldDef], fields: Sequence[FieldDef]) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def missing_required(answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
+def missing_required(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     """Required fields without an answer; conditions are equalities on other answers.
 
     The difference of two small sets per filing, so answered fields never become rows.
     """
     missing = F.array_except(_required(form, form), F.col("present"))
-    rows = _per_filing(answers, form).select("filing_id", F.explode(missing).alias("field_key"))
+    rows = _per_filing(filings, answers, form).select("filing_id", F.explode(missing).alias("field_key"))
     return rows.select(*finding("error", MISSING_MESSAGE, "L3"))
 
 
@@ -260,6 +291,7 @@ def unreviewed_machine_answers(answers: DataFrame) -> DataFrame:
 
 
 def validate_filings(
+    filings: DataFrame,
     answers: DataFrame,
     form: Sequence[FieldDef],
     relations: Sequence[Relation],
@@ -267,19 +299,19 @@ def validate_filings(
     threshold: str = "50",
 ) -> DataFrame:
     """All findings of all filings: one pass per answer, one shuffle per filing, one prior join."""
-    out = answer_findings(answers, form).unionByName(filing_findings(answers, form, relations))
+    out = answer_findings(answers, form).unionByName(filing_findings(filings, answers, form, relations))
     if prior is not None:
         out = out.unionByName(movement_findings(answers, prior, form, threshold))
     return out
 
 
-def progress(answers: DataFrame, form: Sequence[FieldDef]) -> tuple[DataFrame, DataFrame]:
+def progress(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef]) -> tuple[DataFrame, DataFrame]:
     """(per filing and principle, per filing): share of required and core fields that are done.
 
     Answers that a machine proposed and nobody reviewed do not count. Percentages are rounded
     half to even; a principle without required fields is complete.
     """
-    rows = _per_filing(answers, form)
+    rows = _per_filing(filings, answers, form)
     names = sorted({f.principle for f in form})
     shares = []
     for name in names:
