@@ -87,3 +87,26 @@ def test_quota_counters_equal_batch(feed):
     got = {(r.identity, r.period_start): r.used for r in rows.collect()}
     want = {(r.identity, r.d): r.n for r in shape(table).groupBy("identity", F.date_trunc("day", "ts").alias("d")).agg(F.sum("amount").alias("n")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_streams_read_files_folders_and_empty_tables(spark, tmp_path, parts):
+    """The same answers from one file, a folder of files and a table without rows."""
+    import shutil
+
+    from tidemark.catalog import streams as registered
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    if parts == 1:
+        shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "events.parquet")
+    else:
+        (source.repartition(parts) if parts else source.limit(0)).write.parquet(str(tmp_path / "events.parquet"))
+    count = lambda fn: fn(spark, str(tmp_path)).count()
+    got = {fn.__name__: count(fn) for fn in (registered._r1, registered._r4, registered._r5)}
+    here = lambda fn: fn(spark, "/root/testdata/sf0.001").count()
+    assert got == {fn.__name__: here(fn) if parts else 0 for fn in (registered._r1, registered._r4, registered._r5)}
+
+
+def test_months_are_sums_of_days(frame):
+    days = frame([("q", "t", "u", datetime(2024, 1, d), 2) for d in (1, 30)] + [("q", "t", "u", datetime(2024, 2, 1), 1)], "quota string, tier string, identity string, period_start timestamp, used long")
+    assert sorted((r.period_start, r.used) for r in s.monthly(days).collect()) == [(datetime(2024, 1, 1), 4), (datetime(2024, 2, 1), 1)]

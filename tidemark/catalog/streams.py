@@ -17,7 +17,7 @@ from tidemark.streaming import runner
 
 def raw_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = b.table(spark, d, "events").schema
-    raw = runner.file_stream(spark, d, schema, "events.parquet")
+    raw = runner.file_stream(spark, f"{d}/events.parquet", schema)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -50,12 +50,12 @@ def _r1(spark: SparkSession, d: str) -> DataFrame:
 def _r2(spark: SparkSession, d: str) -> DataFrame:
     uses = batch.shape_uses(raw_stream(spark, d))
     keys = ["quota", "tier", "identity", "period_start"]
-    spans = {"1 minute": "%per_minute", "1 day": "%per_day", "": "%per_month"}
+    spans = {"%per_minute": "1 minute", "%per_day": "1 day", "%per_month": "1 day"}
     out = None
-    for span, quota in spans.items():
-        chosen = uses.where(F.col("quota").like(quota))
-        counters = stream.quota_counters(chosen, span) if span else stream.monthly_counters(chosen)
+    for quota, span in spans.items():
+        counters = stream.quota_counters(uses.where(F.col("quota").like(quota)), span)
         rows = runner.last_update(runner.collected(counters, "quota", "update"), *keys)
+        rows = stream.monthly(rows) if quota == "%per_month" else rows
         out = rows if out is None else out.unionByName(rows)
     return out.select("quota", "identity", F.date_format("period_start", "yyyy-MM-dd HH:mm").alias("period"), "used")
 

@@ -13,16 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from tidemark.operators import events as e
-from tidemark.operators.relational import upsert
-from tidemark.streaming.runner import run_available
+from tidemark.streaming.runner import last_update, nothing_yet, run_available
 
 
 def intake(stream: DataFrame, opted_out: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events without opted-out users and without repeats of an event id within the delay."""
-    kept = e.drop_opted_out(stream, opted_out)
+    """Events without opted-out users and without repeats of an event id within the delay.
+
+    A stream is read once, so rows without a user take part in the lookup, each under a key of its
+    own that no user has; they do not meet in one task.
+    """
+    user = F.col("user_id").cast("string")
+    own = F.coalesce(F.concat(F.lit("u"), user), F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    gone = opted_out.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("__user")).distinct()
+    kept = stream.withColumn("__user", own).join(gone, "__user", "left_anti").select(*stream.columns)
     return kept.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -31,14 +37,18 @@ def run_intake(
 ) -> None:
     """Write accepted events and, apart from them, events with unregistered names."""
 
+    rows = intake(stream, opted_out, delay)
+
     def write(df: DataFrame, batch_id: int) -> None:
-        df.persist()
-        accepted, quarantined = e.split_registered(df, registered)
+        df.write.mode("overwrite").parquet(f"{folder}/arrived/batch={batch_id}")
+        arrived = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/arrived/batch={batch_id}")
+        accepted, quarantined = e.split_registered(arrived, registered)
         accepted.write.mode("overwrite").parquet(f"{folder}/accepted/batch={batch_id}")
         quarantined.write.mode("overwrite").parquet(f"{folder}/quarantine/batch={batch_id}")
-        df.unpersist()
 
-    run_available(intake(stream, opted_out, delay), write, f"{folder}/checkpoint")
+    for name in ("accepted", "quarantine"):
+        nothing_yet(stream.sparkSession, rows.schema, f"{folder}/{name}")
+    run_available(rows, write, f"{folder}/checkpoint")
 
 
 def quota_counters(uses: DataFrame, span: str, delay: str = "1 hour") -> DataFrame:
@@ -51,11 +61,13 @@ def quota_counters(uses: DataFrame, span: str, delay: str = "1 hour") -> DataFra
     )
 
 
-def monthly_counters(uses: DataFrame) -> DataFrame:
-    """Used amount per calendar month, which no fixed window can express."""
-    return uses.groupBy("quota", "tier", "identity", F.date_trunc("month", "ts").alias("period_start")).agg(
-        F.sum("amount").alias("used")
-    )
+def monthly(days: DataFrame) -> DataFrame:
+    """Used amount per calendar month, from the newest daily counters.
+
+    No window of fixed length is a month, and state by month would never be let go; days are.
+    """
+    keys = ["quota", "tier", "identity"]
+    return days.groupBy(*keys, F.date_trunc("month", "period_start").alias("period_start")).agg(F.sum("used").alias("used"))
 
 
 def daily_rollup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -68,44 +80,63 @@ def daily_rollup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def rate_limiter(hits: DataFrame, limit: int, window_seconds: int = 60) -> DataFrame:
+def _hold(state: GroupState, value: tuple, until: int) -> None:
+    """Keep a value until the watermark passes a moment (milliseconds); not at all if it has passed already."""
+    if until > state.getCurrentWatermarkMs():
+        state.update(value)
+        state.setTimeoutTimestamp(until)
+    elif state.exists:
+        state.remove()
+
+
+def rate_limiter(hits: DataFrame, limit: int, window_seconds: int = 60, delay: str = "1 hour") -> DataFrame:
     """Place of each hit in its identity's anchored window and whether it is rejected.
 
-    State per identity: start of the window and hits in it. Hits of one micro-batch are put into
-    time order first; the batch size bounds what one task holds.
+    State per identity: start of the window and hits in it, until the watermark has passed the
+    window's end. Hits of one micro-batch are put into time order first; the batch size bounds what
+    one task holds.
     """
     width = int(window_seconds) * 1_000_000
     place_hits = e.anchored_window(width)
 
     def place(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(chunks)).sort_values(["at", "event_id"])
         start, count = state.get if state.exists else (None, 0)
         ranks, start, count = place_hits(pdf["at"].to_numpy(), start, count)
-        state.update((start, count))
+        _hold(state, (start, count), (start + width) // 1000)
         yield pd.DataFrame(
             {"identity": key[0], "event_id": pdf["event_id"].to_numpy(), "place": ranks, "rejected": ranks > limit}
         )
 
-    rows = hits.select("identity", "event_id", F.unix_micros("ts").alias("at"))
+    rows = hits.withWatermark("ts", delay).select("identity", "event_id", "ts", F.unix_micros("ts").alias("at"))
     return rows.groupBy("identity").applyInPandasWithState(
         place,
         "identity string, event_id long, place long, rejected boolean",
         "start long, count long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def funnel_progress(stream: DataFrame, steps: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+def funnel_progress(
+    stream: DataFrame, steps: Sequence[tuple[str, Sequence[str]]], look_back_days: int = 90, delay: str = "1 hour"
+) -> DataFrame:
     """(identity, stage, event_id) whenever an identity reaches a further stage.
 
-    State per identity: the stage reached. Events are in time order within a micro-batch; an event
+    State per identity: the stage reached, until nothing has come for ``look_back_days``; an identity
+    that comes back later starts anew. Events are in time order within a micro-batch; an event
     that comes a batch too late counts from where the identity stands (batch results may differ).
     """
     wanted = [frozenset(names) for _, names in steps]
     every = sorted(set().union(*wanted))
 
     def advance(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(chunks)).sort_values(["at", "event_id"])
         names, ids = pdf["name"].to_numpy(), pdf["event_id"].to_numpy()
         stage, low, reached = (state.get[0] if state.exists else 0), 0, []
@@ -116,14 +147,14 @@ def funnel_progress(stream: DataFrame, steps: Sequence[tuple[str, Sequence[str]]
             low += int(hits[0]) + 1
             reached.append((key[0], stage, int(ids[low - 1])))
             stage += 1
-        state.update((stage,))
+        _hold(state, (stage,), int(pdf["at"].iloc[-1]) // 1000 + look_back_days * 86_400_000)
         yield pd.DataFrame(reached, columns=["identity", "stage", "event_id"])
 
-    rows = stream.where(F.col("name").isin(every)).select(
-        e.identity().alias("identity"), "event_id", "name", F.unix_micros("ts").alias("at")
+    rows = stream.withWatermark("ts", delay).where(F.col("name").isin(every)).select(
+        e.identity().alias("identity"), "event_id", "name", "ts", F.unix_micros("ts").alias("at")
     )
     return rows.groupBy("identity").applyInPandasWithState(
-        advance, "identity string, stage int, event_id long", "stage int", "append", GroupStateTimeout.NoTimeout
+        advance, "identity string, stage int, event_id long", "stage int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -137,28 +168,33 @@ def run_lead_scores(
 ) -> DataFrame:
     """Lead scores kept up to date: each micro-batch rescores the users it touches.
 
-    Arrived events are appended to a table below ``folder``; a batch reads its users' window from
-    there, so no state grows in the stream. Every batch writes the scores after it, from those
-    after the batch before: running a batch again gives the same table. ``history`` holds events from
-    before the stream.
+    Arrived events are kept by day in a table below ``folder``; a batch reads the days of the window
+    there, and of those its own users, so no state grows in the stream. A batch writes the scores of
+    its users; the newest row of a user is the valid one. Running a batch again replaces its own
+    folders. ``history`` holds events from before the stream.
     """
     spark = stream.sparkSession
     columns = ["event_id", "ts", "name", "user_id", "props"]
     schema = stream.select(*columns).schema
+    stored = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("day", DateType())])
+    day = F.to_date("ts")
 
     def write(df: DataFrame, batch_id: int) -> None:
-        df.select(*columns).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
-        seen = spark.read.schema(schema.add("batch", IntegerType())).parquet(f"{folder}/events")
+        kept = df.select(*columns, day.alias("day"))
+        kept.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/events/batch={batch_id}")
+        seen = spark.read.schema(stored).option("basePath", f"{folder}/events").parquet(f"{folder}/events")
         touched = seen.where(F.col("batch") == batch_id).select("user_id").distinct()
-        seen = seen.select(*columns)
+        first = F.date_sub(F.to_date(F.lit(as_of)), days + 1)
+        window = seen.where((F.col("day") >= first) & (F.col("batch") <= batch_id)).select(*columns)
         if history is not None:
-            seen = seen.unionByName(history.select(*columns))
-        window = seen.join(touched, "user_id", "left_semi")
+            window = window.unionByName(e.look_back(history, as_of, days).select(*columns))
+        window = window.join(touched, "user_id", "left_semi")
         fresh = e.lead_scores(window, rules, as_of, days).select("user_id", "score", "instant")
-        if batch_id > 0:
-            fresh = upsert(spark.read.parquet(f"{folder}/leads/after={batch_id - 1}"), fresh, ["user_id"])
-        fresh.write.mode("overwrite").parquet(f"{folder}/leads/after={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{folder}/leads/batch={batch_id}")
 
+    empty = spark.createDataFrame([], schema)
+    scores = e.lead_scores(empty, rules, as_of, days).select("user_id", "score", "instant").schema
+    nothing_yet(spark, scores, f"{folder}/leads")
     run_available(stream, write, f"{folder}/checkpoint")
-    leads = spark.read.parquet(f"{folder}/leads")
-    return leads.where(F.col("after") == leads.agg(F.max("after")).scalar()).drop("after")
+    leads = spark.read.schema(scores.add("batch", IntegerType())).option("basePath", f"{folder}/leads").parquet(f"{folder}/leads")
+    return last_update(leads, "user_id")

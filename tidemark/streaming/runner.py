@@ -13,17 +13,14 @@ from tidemark.session import shared_dir
 BatchWriter = Callable[[DataFrame, int], None]
 
 
-def file_stream(
-    spark: SparkSession, folder: str, schema: StructType, pattern: str | None = None, files_per_batch: int = 1000
-) -> DataFrame:
-    """Parquet files of a folder as a stream; ``pattern`` limits the file names.
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream.
 
     ``files_per_batch`` bounds a micro-batch, and with it what a stateful task holds at once.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+    path = path.rstrip("/")
+    any_kind = f"{path[:-1]}[{path[-1]}]"  # as a pattern of this one name, which may then be a file too
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(any_kind)
 
 
 def run_available(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "append") -> None:
@@ -47,10 +44,16 @@ def batch_folder(path: str) -> BatchWriter:
     return write
 
 
+def nothing_yet(spark: SparkSession, schema: StructType, path: str, partition: str = "batch") -> None:
+    """An empty first part, so that the table can be read when no batch has been written."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{partition}=-1")
+
+
 def collected(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Rows of all micro-batches, with their ``batch`` number."""
     spark = stream.sparkSession
     folder = shared_dir(spark, purpose)
+    nothing_yet(spark, stream.schema, f"{folder}/rows")
     run_available(stream, batch_folder(f"{folder}/rows"), f"{folder}/checkpoint", mode)
     schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
     return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
