@@ -22,8 +22,15 @@ def test_two_identical_texts_have_no_own_phrase(frame):
     shared = x.boilerplate(phrases, "company", threshold=2)
     assert shared.count() == 3
     assert {r.originality for r in x.originality(phrases, texts, "company", shared).collect()} == {0.0}
-    words = {r.phrase for r in x.with_phrase_text(shared, texts, "text").collect()}
-    assert "one two three four five six seven eight" in words
+    words = {(r.phrase, r.company_count) for r in x.shared_phrases(texts, ["company"], "company", "text", threshold=2).collect()}
+    assert words == {(" ".join(text.split()[k : k + 8]), 2) for k in range(3)}
+
+
+def test_phrases_are_never_shuffled(frame, capsys):
+    texts = frame([(1, "a", "x"), (2, "b", "x")], "d int, company string, text string")
+    x.shared_phrases(texts, ["d"], "company", "text", threshold=2).explain()
+    lines = capsys.readouterr().out.splitlines()
+    assert not any("Exchange hashpartitioning(phrase" in line and "phrase_key" not in line for line in lines)
 
 
 def test_short_text_has_no_shingle(frame):

@@ -35,14 +35,15 @@ def test_quotes_match_brute_force_on_random_text(frame):
     assert {(r.quote_id, r.page_id) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("bound", [1000, 2])
-def test_dense_top_k_matches_numpy(frame, monkeypatch, bound):
-    monkeypatch.setattr(x, "CHUNK", 100)
+@pytest.mark.parametrize("block, chunk", [(1000, 20_000), (2, 70)])
+def test_dense_top_k_matches_numpy(frame, monkeypatch, block, chunk):
+    whole = x.block_top_k
+    monkeypatch.setattr(x, "block_top_k", lambda *a, **k: whole(*a, **{**k, "block": block, "chunk": chunk}))
     rng = np.random.default_rng(0)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(300)]
     queries = [(f"q{i}", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(4)]
     df = frame(vectors, "item int, v array<double>").repartition(5)
-    got = x.dense_top_k(frame(queries, "q string, v array<double>"), df, "q", "item", "v", 7, max_queries=bound)
+    got = x.dense_top_k(frame(queries, "q string, v array<double>"), df, "q", "item", "v", 7)
     matrix = np.array([v for _, v in vectors])
     for name, q in queries:
         scores = matrix @ np.array(q)
@@ -60,10 +61,21 @@ def test_retrieval_stays_inside_the_organisation(frame):
 
 def test_field_proposals(frame):
     pages = frame([(1, "a", "Total energy: a12 is 1,250.5 GJ")], "page_id int, org string, text string")
-    fields = frame([("n", "a", "total energy", "number"), ("i", "a", "total energy", "integer"), ("b", "a", "energy", "boolean"), ("done", "a", "energy", "text")], "query_id string, org string, label string, dtype string")
+    rows = [("n", "a", "total energy", "number"), ("i", "a", "total energy", "integer"), ("b", "a", "power", "boolean"), ("done", "a", "energy", "text")]
+    rows = [(*r, "p6.energy", "GJ") for r in rows]  # the boolean is found by its key alone
+    fields = frame(rows, "query_id string, org string, label string, dtype string, field_key string, unit string")
     out = {r.query_id: r for r in x.propose_fields(fields, pages, fields.where("query_id = 'done'")).collect()}
     assert {k: r.value for k, r in out.items()} == {"n": "2", "i": "2", "b": "false"}
-    assert all(0.7 < r.confidence <= 0.98 and r.review_status == "unreviewed" for r in out.values())
+    assert all(0.7 < r.confidence <= 0.98 and r.review_status == "unreviewed" and r.unit == "GJ" for r in out.values())
+
+
+def test_search_plans_run_nothing_and_pass_on_k_rows(frame, spark):
+    queries = frame([(f"q{i}", "a", "energy water use") for i in range(5)], "query_id string, org string, query string")
+    pages = frame([(i, "a", f"energy use of page {i}") for i in range(200)], "page_id int, org string, text string").repartition(4)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    found = x.retrieve(queries, pages, 3)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+    assert found.count() == 15
 
 
 def test_themes(frame):

@@ -37,9 +37,7 @@ def _t1(spark: SparkSession, d: str) -> DataFrame:
     FROM sh GROUP BY phrase HAVING count(DISTINCT company) >= 3""",
 )
 def _t2(spark: SparkSession, d: str) -> DataFrame:
-    texts = b.narratives(spark, d)
-    shared = x.boilerplate(x.distinct_phrases(texts, ["company"], "text"), "company")
-    return x.with_phrase_text(shared, texts, "text")
+    return x.shared_phrases(b.narratives(spark, d), ["doc_id"], "company", "text")
 
 
 ORIGINALITY = f"""{SHINGLES}, shared AS (SELECT phrase FROM sh GROUP BY phrase HAVING count(DISTINCT company) >= 3),
@@ -63,7 +61,7 @@ def _t3(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, index, CAST(weight AS BIGINT) AS weight, round(weight / sqrt(norm2), 6) AS value FROM v""",
 )
 def _t4(spark: SparkSession, d: str) -> DataFrame:
-    rows = x.hash_vectors(b.spread_table(spark, d, "documents"), "doc_id", "text")
+    rows = x.hash_vectors(b.table(spark, d, "documents"), "doc_id", "text")
     value = F.col("weight") / F.sqrt(F.col("norm2").cast("double"))
     return rows.select("doc_id", "index", "weight", F.round(value, 6).alias("value"))
 
@@ -76,7 +74,7 @@ def _t4(spark: SparkSession, d: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 12""",
 )
 def _t5(spark: SparkSession, d: str) -> DataFrame:
-    vectors = b.spread_table(spark, d, "embeddings")
+    vectors = b.table(spark, d, "embeddings")
     queries = vectors.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     top = x.dense_top_k(queries, vectors, "query_id", "vec_id", "embedding", 12)
     return top.withColumn("score", F.round("score", 6))
@@ -126,12 +124,14 @@ def field_queries(spark: SparkSession, d: str) -> DataFrame:
         F.col("item_id").alias("query_id"),
         F.concat(F.lit("src"), F.col("item_id") % 20).alias("org"),
         F.col("text").alias("label"),
+        F.concat(F.lit("a.evidence.item"), F.col("item_id") % 7).alias("field_key"),
+        F.when(F.col("item_id") % 3 == 0, "percent").alias("unit"),
         F.element_at(dtypes, (F.col("item_id") % 4 + 1).cast("int")).alias("dtype"),
     )
 
 
 def document_pages(spark: SparkSession, d: str) -> DataFrame:
-    return b.spread_table(spark, d, "documents").select(
+    return b.table(spark, d, "documents").select(
         F.col("doc_id").alias("page_id"), F.col("source").alias("org"), "text"
     )
 
@@ -158,7 +158,7 @@ def report_pages(spark: SparkSession, d: str) -> DataFrame:
         "",
     )
     heading = F.element_at(F.array(*[F.lit(h) for h in headings]), (F.floor(F.col("doc_id") / 20) % 7 + 1).cast("int"))
-    return b.spread_table(spark, d, "documents").select(
+    return b.table(spark, d, "documents").select(
         F.col("source").alias("filing_id"),
         F.floor(F.col("doc_id") / 20).alias("page_no"),
         F.concat(heading, "text").alias("text"),
@@ -239,13 +239,13 @@ def _t12(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "t13_field_proposals",
-    f"""WITH {JACCARD}, best AS (SELECT * FROM j WHERE query_id % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) = 1),
+    f"""WITH {JACCARD.replace("lower(text)", "lower(text || ' a.evidence.item' || (item_id % 7))", 1)}, best AS (SELECT * FROM j WHERE query_id % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) = 1),
     v AS (SELECT query_id, page_id, score, text, replace(nullif(regexp_extract(text, '(^|[^A-Za-z])([0-9][0-9,]*(?:\\.[0-9]+)?)', 2), ''), ',', '') AS num
       FROM best JOIN p USING (page_id)),
     o AS (SELECT query_id, page_id, CASE query_id % 4 WHEN 0 THEN num WHEN 1 THEN CAST(CAST(floor(CAST(num AS DOUBLE)) AS BIGINT) AS VARCHAR)
         WHEN 2 THEN CASE WHEN contains(lower(text), 'yes') OR contains(lower(text), 'approved') OR contains(lower(text), 'available') THEN 'true' ELSE 'false' END
         ELSE nullif(left(trim(text), 500), '') END AS value, trim(left(text, 280)) AS quote, least(0.98::DOUBLE, 0.7::DOUBLE + score) AS confidence FROM v)
-    SELECT query_id, page_id, value, quote, round(confidence, 9) AS confidence, 'unreviewed' AS review_status FROM o WHERE value IS NOT NULL AND quote <> ''""",
+    SELECT query_id, 'a.evidence.item' || (query_id % 7) AS field_key, CASE WHEN query_id % 3 = 0 THEN 'percent' END AS unit, page_id, value, quote, round(confidence, 9) AS confidence, 'unreviewed' AS review_status FROM o WHERE value IS NOT NULL AND quote <> ''""",
 )
 def _t13(spark: SparkSession, d: str) -> DataFrame:
     fields = field_queries(spark, d)
@@ -277,7 +277,7 @@ def _t14(spark: SparkSession, d: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, page_id) <= 5""",
 )
 def _t15(spark: SparkSession, d: str) -> DataFrame:
-    pages = b.spread_table(spark, d, "documents").select(
+    pages = b.table(spark, d, "documents").select(
         F.col("doc_id").alias("page_id"),
         (F.col("doc_id") % 10).alias("company_id"),
         (F.col("doc_id") % 5 + 1996).cast("int").alias("fy"),

@@ -17,7 +17,6 @@ from tidemark.functions.exprs import rule_table
 from tidemark.operators.ranking import first_per_key
 from tidemark.session import staged
 
-MAX_QUERIES = 1000
 
 
 # ---- shared phrases ------------------------------------------------------------------------
@@ -54,12 +53,29 @@ def boilerplate(phrases: DataFrame, company: str, threshold: int = 3) -> DataFra
     return phrase_companies(phrases, company).where(F.col("company_count") >= threshold)
 
 
-def with_phrase_text(shared: DataFrame, texts: DataFrame, text: str, n: int = 8) -> DataFrame:
-    """(phrase_hash, phrase, company_count) of each shared shingle; words are fetched for these only."""
-    rows = phrase_rows(texts, [], text, n).withColumn("phrase_key", t.short_digest(F.col("phrase")))
-    words = rows.join(shared.select("phrase_key"), "phrase_key", "left_semi")
-    named = shared.join(words.groupBy("phrase_key").agg(F.min("phrase").alias("phrase")), "phrase_key")
-    return named.select(F.sha2("phrase", 256).alias("phrase_hash"), "phrase", "company_count")
+def shared_phrases(
+    texts: DataFrame, ids: Sequence[str], company: str, text: str, threshold: int = 3, n: int = 8
+) -> DataFrame:
+    """(phrase_hash, phrase, company_count) of shingles used by at least ``threshold`` companies.
+
+    One pass cuts the texts; every key carries a pointer, the smallest (ids, place) it stands at. The
+    few pointers of shared keys go back to their texts, which slice the words out there, so no phrase
+    is shuffled. ``ids`` name a text; where they do not, the key tells the right one.
+    """
+    more = [] if company in ids else [company]
+    cut = texts.select(*ids, *more, t.words(F.col(text)).alias("__words"))
+    keys = F.transform(t.shingles(F.col("__words"), n), lambda p, i: F.struct(t.short_digest(p).alias("key"), i.alias("at")))
+    rows = cut.select(*ids, *more, F.explode(keys).alias("k"))
+    pointer = F.struct(*ids, F.col("k.at").alias("at")).alias("pointer")
+    rows = rows.select(F.col(company).alias("__company"), F.col("k.key").alias("phrase_key"), pointer)
+    per_company = rows.groupBy("phrase_key", "__company").agg(F.min("pointer").alias("pointer"))
+    shared = per_company.groupBy("phrase_key").agg(F.count(F.lit(1)).alias("company_count"), F.min("pointer").alias("pointer"))
+    shared = shared.where(F.col("company_count") >= threshold).select("phrase_key", "company_count", "pointer.*")
+    words = texts.select(*ids, t.words(F.col(text)).alias("__words"))
+    phrase = F.array_join(F.slice("__words", F.col("at") + 1, n), " ").alias("phrase")
+    found = shared.join(words, list(ids)).select("phrase_key", phrase, "company_count")
+    found = found.where(t.short_digest(F.col("phrase")) == F.col("phrase_key")).dropDuplicates(["phrase_key"])
+    return found.select(F.sha2("phrase", 256).alias("phrase_hash"), "phrase", "company_count")
 
 
 def originality(phrases: DataFrame, docs: DataFrame, doc: str, shared: DataFrame) -> DataFrame:
@@ -107,24 +123,44 @@ def hash_vectors(texts: DataFrame, doc: str, text: str, dimensions: int = 1024)
     return rows.withColumn("norm2", F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(doc)))
 
 
-def sparse_similarity(queries: DataFrame, pages: DataFrame, query: str, page: str) -> DataFrame:
-    """Dot product of normalised sparse vectors for every (query, page) that shares an index."""
-    left = queries.select(query, "index", F.col("weight").alias("q_weight"), F.col("norm2").alias("q_norm2"))
-    both = pages.join(left, "index")
-    dots = both.groupBy(query, page, "norm2", "q_norm2").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
+def seed_similarity(seeds: DataFrame, texts: DataFrame, seed: str, doc: str) -> DataFrame:
+    """Dot product of normalised sparse vectors for every text and the few seeds that share an index."""
+    left = seeds.select(seed, "index", F.col("weight").alias("q_weight"), F.col("norm2").alias("q_norm2"))
+    both = texts.join(F.broadcast(left), "index")  # configuration
+    dots = both.groupBy(seed, doc, "norm2", "q_norm2").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
     return dots.select(
-        query, page, (F.col("dot") / (F.sqrt(F.col("norm2").cast("double")) * F.sqrt(F.col("q_norm2").cast("double")))).alias("similarity")
+        seed, doc, (F.col("dot") / (F.sqrt(F.col("norm2").cast("double")) * F.sqrt(F.col("q_norm2").cast("double")))).alias("similarity")
     )
 
 
 def rank_texts(
     queries: DataFrame, pages: DataFrame, query: str, page: str, text: str, k: int, dimensions: int = 1024
 ) -> DataFrame:
-    """Top pages per query text by embedding similarity; ties by page."""
-    scored = sparse_similarity(
-        hash_vectors(queries, query, text, dimensions), hash_vectors(pages, page, text, dimensions), query, page
-    )
-    return first_per_key(scored, [query], F.desc(F.round("similarity", 9)), F.asc(page), n=k)
+    """Top pages per query text by embedding similarity; ties by page.
+
+    A page counts for a query if they share an index. Blocks of queries meet chunks of pages as
+    matrices, and only the best ``k`` rows of each are passed on.
+    """
+
+    def packed(texts: DataFrame, doc: str) -> DataFrame:
+        rows = hash_vectors(texts, doc, text, dimensions)
+        pair = F.array_sort(F.collect_list(F.struct("index", "weight")))  # at most ``dimensions`` entries
+        return rows.groupBy(doc).agg(pair.alias("vector"))
+
+    def matrix(vectors: pd.Series) -> np.ndarray:
+        out = np.zeros((len(vectors), dimensions))
+        for row, vector in enumerate(vectors):
+            for entry in vector:
+                out[row, entry["index"]] = entry["weight"]
+        return out
+
+    def similarity(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+        q, p = matrix(asked["vector"]), matrix(held["vector"])
+        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((p * p).sum(axis=1))
+        return np.where((q != 0).astype(float) @ (p != 0).astype(float).T > 0, (q @ p.T) / norms, np.nan)
+
+    scored = block_top_k(packed(queries, query), packed(pages, page), query, page, similarity, k, block=1000, chunk=5000)
+    return scored.withColumnRenamed("score", "similarity")
 
 
 def themes(texts: DataFrame, doc: str, text: str, seeds: dict[str, str] | None = None) -> DataFrame:
@@ -133,7 +169,7 @@ def themes(texts: DataFrame, doc: str, text: str, seeds: dict[str, str] | None =
     rows = [(number, label, words) for number, (label, words) in enumerate(seeds.items())]
     table = rule_table(texts.sparkSession, ["seed", "theme", "words"], rows)
     seed_vectors = hash_vectors(table, "seed", "words", 256)
-    scored = sparse_similarity(F.broadcast(seed_vectors), hash_vectors(texts, doc, text, 256), "seed", doc)
+    scored = seed_similarity(seed_vectors, hash_vectors(texts, doc, text, 256), "seed", doc)
     best = scored.groupBy(doc).agg(
         F.max_by("seed", F.struct(F.round("similarity", 9), -F.col("seed"))).alias("seed"),
         F.max("similarity").alias("similarity"),
@@ -149,136 +185,101 @@ def themes(texts: DataFrame, doc: str, text: str, seeds: dict[str, str] | None =
 # ---- dense vectors -------------------------------------------------------------------------
 
 
-CHUNK = 20_000
-
-
-def dense_top_k(
-    queries: DataFrame, vectors: DataFrame, query: str, item: str, vector: str, k: int, max_queries: int = MAX_QUERIES
+def block_top_k(
+    queries: DataFrame,
+    items: DataFrame,
+    query: str,
+    item: str,
+    score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray],
+    k: int,
+    block: int,
+    chunk: int,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact top ``k`` items per query by dot product; ties by item.
+    """(query, item, score): the best ``k`` items of every query; ties by item, scores rounded to 9 places.
 
-    Up to ``max_queries`` queries form a matrix that every task multiplies its Arrow batches with.
-    More queries than that meet the vectors chunk by chunk in a shuffle. Either way a task keeps
-    only its best ``k`` per query, so pairs are never written out or shuffled.
+    About ``block`` queries and ``chunk`` items meet in a group, which scores them as a matrix (NaN:
+    no match) and passes on ``k`` rows per query. The numbers of blocks and chunks are scalar
+    subqueries of the plan, so one plan serves any number of queries, and nothing runs while it is
+    made. ``within``: columns that query and item must agree on.
     """
-    schema = T.StructType([queries.schema[query], vectors.schema[item], T.StructField("score", T.DoubleType())])
-    rows = queries.select(query, vector).orderBy(query).limit(max_queries + 1).collect()
-    if not rows:
-        return queries.sparkSession.createDataFrame([], schema)
-    best_of = top_rows(query, item, k)
-    if len(rows) <= max_queries:
-        names = [row[0] for row in rows]
-        matrix = queries.sparkSession.sparkContext.broadcast(np.array([row[1] for row in rows], dtype=np.float64))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: pd.DataFrame | None = None
-            for pdf in batches:
-                if not pdf.empty:
-                    data = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                    kept = best_of(names, matrix.value, pdf[item].to_numpy(), data, kept)
-            if kept is not None:
-                yield kept
-
-        partial = vectors.select(item, vector).mapInPandas(best, schema)
-    else:
-        partial = _chunked_top_k(queries, vectors, query, item, vector, max_queries, best_of, schema)
-    return first_per_key(partial, [query], F.desc("score"), F.asc(item), n=k)
-
-
-def top_rows(query: str, item: str, k: int) -> Callable[..., pd.DataFrame]:
-    """Function that scores items against all queries and merges with the rows kept so far."""
+    number = lambda df, size: F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(size)).cast("int")
+    blocks, chunks = F.greatest(number(queries, block), F.lit(1)), F.greatest(number(items, chunk), F.lit(1))
+    place = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = queries.withColumn("__b", place(query, blocks)).withColumn("__c", every(chunks))
+    right = items.withColumn("__c", place(item, chunks)).withColumn("__b", every(blocks))
+    schema = T.StructType([queries.schema[query], items.schema[item], T.StructField("score", T.DoubleType())])
 
-    def best_of(
-        names: list, matrix: np.ndarray, items: np.ndarray, data: np.ndarray, kept: pd.DataFrame | None
-    ) -> pd.DataFrame:
-        order = np.argsort(items, kind="stable")
-        scores = matrix @ data[order].T
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        found = pd.DataFrame(
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame(columns=schema.names)
+        held = held.sort_values(item)
+        scores = np.round(score(asked, held), 9)
+        top = np.argsort(np.where(np.isnan(scores), np.inf, -scores), axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame(
             {
-                query: np.repeat(np.array(names, dtype=object), top.shape[1]),
-                item: items[order][top].ravel(),
+                query: np.repeat(asked[query].to_numpy(), top.shape[1]),
+                item: held[item].to_numpy()[top].ravel(),
                 "score": np.take_along_axis(scores, top, axis=1).ravel(),
             }
         )
-        if kept is not None:
-            found = pd.concat([kept, found])
-        found = found.sort_values([query, "score", item], ascending=[True, False, True])
-        return found.groupby(query, sort=False).head(k)
+        return out[out["score"].notna()]
 
-    return best_of
+    keys = [*within, "__b", "__c"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
+    return first_per_key(partial, [query], F.desc("score"), F.asc(item), n=k)
 
 
-def _chunked_top_k(
-    queries: DataFrame,
-    vectors: DataFrame,
-    query: str,
-    item: str,
-    vector: str,
-    block: int,
-    best_of: Callable[..., pd.DataFrame],
-    schema: T.StructType,
-) -> DataFrame:
-    """Blocks of queries against chunks of vectors, one bounded pair of them per group."""
-    blocks = max(1, -(-queries.count() // block))
-    chunks = max(1, -(-vectors.count() // CHUNK))
-    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(query, vector, place(query, blocks).alias("b"), every(chunks).alias("c"))
-    right = vectors.select(item, vector, place(item, chunks).alias("c"), every(blocks).alias("b"))
+def dense_top_k(queries: DataFrame, vectors: DataFrame, query: str, item: str, vector: str, k: int) -> DataFrame:
+    """Exact top ``k`` items per query by dot product; ties by item."""
 
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame(columns=schema.names)
-        matrix = np.stack(asked[vector].to_numpy()).astype(np.float64)
-        data = np.stack(held[vector].to_numpy()).astype(np.float64)
-        return best_of(asked[query].tolist(), matrix, held[item].to_numpy(), data, None)
+    def product(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+        stacked = lambda df: np.stack(df[vector].to_numpy()).astype(np.float64)
+        return stacked(asked) @ stacked(held).T
 
-    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(best, schema)
+    return block_top_k(queries.select(query, vector), vectors.select(item, vector), query, item, product, k, block=1000, chunk=20_000)
 
 
 # ---- token-set retrieval -------------------------------------------------------------------
 
 
-def jaccard_matches(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Token-set overlap of every query with the pages of its organisation that share a token.
+def retrieve(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
+    """Top ``k`` pages of the query's organisation by Jaccard score of token sets, ties by page.
 
-    ``queries``: query_id, org, query. ``pages``: page_id, org, text. An inverted index on
-    (org, token): a page's tokens are combined on the map side right after the join, which AQE
-    turns into a broadcast join for a small query set.
+    ``queries``: query_id, org, query. ``pages``: page_id, org, text. Pages without a common token
+    do not count. Tokens travel as 64-bit hashes.
     """
-    asked = queries.select("query_id", "org", t.token_set(F.col("query")).alias("set"))
-    asked = asked.select("query_id", "org", F.size("set").alias("q_size"), F.explode("set").alias("token"))
-    held = pages.select("page_id", "org", t.token_set(F.col("text")).alias("set"))
-    held = held.select("page_id", "org", F.size("set").alias("p_size"), F.explode("set").alias("token"))
-    shared = (
-        held.join(asked, ["org", "token"])
-        .groupBy("query_id", "page_id", "q_size", "p_size")
-        .agg(F.count(F.lit(1)).alias("common"))
-    )
-    return shared.select(
-        "query_id", "page_id", (F.col("common") / (F.col("q_size") + F.col("p_size") - F.col("common"))).alias("score")
-    )
+    hashes = lambda text: F.transform(t.token_set(F.col(text)), lambda w: F.xxhash64(w))
 
+    def overlap(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+        known = np.unique(np.concatenate([np.asarray(s, np.int64) for s in asked["set"]]))
+        member = lambda sets: np.stack([np.isin(known, np.asarray(s, np.int64)) for s in sets]).astype(np.float32)
+        common = (member(asked["set"]) @ member(held["set"]).T).astype(float)
+        sizes = np.array([len(s) for s in asked["set"]])[:, None] + np.array([len(s) for s in held["set"]])
+        return np.where(common > 0, common / np.maximum(1, sizes - common), np.nan)
 
-def retrieve(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """Top ``k`` pages per query by Jaccard score, ties by page."""
-    return first_per_key(jaccard_matches(queries, pages), ["query_id"], F.desc("score"), F.asc("page_id"), n=k)
+    asked = queries.select("query_id", "org", hashes("query").alias("set"))
+    held = pages.select("page_id", "org", hashes("text").alias("set"))
+    return block_top_k(asked, held, "query_id", "page_id", overlap, k, block=200, chunk=2000, within=["org"])
 
 
 def propose_fields(fields: DataFrame, pages: DataFrame, answered: DataFrame) -> DataFrame:
-    """Best evidence page per unanswered field and the value it offers.
+    """Best evidence page per unanswered field and the value it offers, with the field's unit.
 
-    ``fields``: query_id, org, label, dtype. Confidence is 0.7 plus the score, at most 0.98.
+    ``fields``: query_id, org, label, field_key, dtype, unit. Pages are searched with label and key.
+    Confidence is 0.7 plus the score, at most 0.98.
     """
     open_fields = fields.join(answered.select("query_id"), "query_id", "left_anti")
-    evidence = retrieve(open_fields.withColumnRenamed("label", "query"), pages, k=1)
-    rows = evidence.join(open_fields.select("query_id", "dtype"), "query_id").join(
+    evidence = retrieve(open_fields.withColumn("query", F.concat_ws(" ", "label", "field_key")), pages, k=1)
+    rows = evidence.join(open_fields.select("query_id", "field_key", "dtype", "unit"), "query_id").join(
         pages.select("page_id", "text"), "page_id"
     )
     quote = F.trim(F.substring("text", 1, 280))
     proposals = rows.select(
         "query_id",
+        "field_key",
+        "unit",
         "page_id",
         t.candidate_value(F.col("dtype"), F.col("text")).alias("value"),
         quote.alias("quote"),
@@ -303,7 +304,6 @@ def evidence_gaps(field_defs: DataFrame, evidenced: DataFrame) -> DataFrame:
 # ---- verbatim quotes -----------------------------------------------------------------------
 
 ANCHOR_WORDS = 3
-GRAM = 3
 
 
 def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -311,8 +311,7 @@ def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
     A quote can start or end inside a word of the page, but its inner words stand there whole. Three
     of them make an anchor: pages are looked up by their word triples, and only those candidates
-    are compared in full. Quotes with too few words are looked up by three of their letters
-    instead, so every quote comes to its pages by an equi join.
+    are compared in full. Quotes with too few words for that are looked for in blocks.
     """
     # Inner words only; the first and last may be cut. Non-ASCII letters split words on both
     # sides in the same way, so the triples agree.
@@ -320,33 +319,43 @@ def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     listed = listed.withColumn("w", t.words(F.col("q")))
     long_enough = F.size("w") >= ANCHOR_WORDS + 2
     normal = pages.select("page_id", t.normalised(F.col("text")).alias("text"))
-    anchored = listed.where(long_enough).select(
-        "quote_id", "quote", t.short_digest(F.array_join(F.slice("w", 2, ANCHOR_WORDS), " ")).alias("anchor")
-    )
+    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    anchors = F.transform(t.shingles(inner, ANCHOR_WORDS), lambda p: t.short_digest(p))
+    possible = listed.where(long_enough).select("quote_id", "quote", F.explode(F.array_distinct(anchors)).alias("anchor"))
     triples = distinct_phrases(normal, ["page_id"], "text", ANCHOR_WORDS).withColumnRenamed("phrase_key", "anchor")
-    hits = triples.join(anchored, "anchor").select("quote_id", "quote", "page_id")
-    short = listed.where(~long_enough)
-    if not short.isEmpty():
-        middle = F.greatest(F.lit(1), F.floor((F.length("q") - GRAM) / 2) + 1).cast("int")
-        asked = short.select("quote_id", "quote", F.substr("q", middle, F.lit(GRAM)).alias("gram"))
-        hits = hits.unionByName(letter_grams(normal).join(asked, "gram").select("quote_id", "quote", "page_id"))
-    return (
+    # The rarest triple of a quote leads to the fewest pages; a triple of no page rules the quote out.
+    spread = triples.join(possible.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("pages"))
+    counted = possible.join(spread, "anchor", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    chosen = counted.groupBy("quote_id", "quote").agg(F.min(F.struct("pages", "anchor")).alias("rarest"))
+    chosen = chosen.where("rarest.pages > 0").select("quote_id", "quote", F.col("rarest.anchor").alias("anchor"))
+    hits = triples.join(chosen, "anchor").select("quote_id", "quote", "page_id")
+    found = (
         hits.distinct()
         .join(pages.select("page_id", "text"), "page_id")
         .where(t.is_verbatim(F.col("quote"), F.col("text")))
         .select("quote_id", "page_id")
     )
+    return found.unionByName(_short_quotes(listed.where(~long_enough).select("quote_id", "q"), normal))
 
 
-def letter_grams(pages: DataFrame) -> DataFrame:
-    """Distinct runs of one to three characters of each page, as rows (page_id, gram)."""
-    ends = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text")))
+def _short_quotes(quotes: DataFrame, pages: DataFrame, block: int = 500, chunk: int = 2000) -> DataFrame:
+    """(quote_id, page_id) of quotes without an anchor: blocks of quotes are looked for in chunks of pages.
 
-    def runs(length: int) -> Column:
-        return F.transform(ends, lambda i: F.substr("text", i, F.lit(length)))
-
-    grams = [runs(length) for length in range(1, GRAM + 1)]
-    return pages.select("page_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    Numbers of blocks and chunks are scalar subqueries, so the plan is the same with and without such quotes.
+    """
+    number = lambda df, size: F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(size)).cast("int"), F.lit(1))
+    blocks, chunks = number(quotes, block), number(pages, chunk)
+    place = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = quotes.withColumn("b", place("quote_id", blocks)).withColumn("c", every(chunks))
+    right = pages.withColumn("c", place("page_id", chunks)).withColumn("b", every(blocks))
+    schema = T.StructType([quotes.schema["quote_id"], pages.schema["page_id"]])
+
+    def inside(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, p) for i, q in zip(asked["quote_id"], asked["q"], strict=True) for p, text in zip(held["page_id"], held["text"], strict=True) if text and q in text]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(inside, schema)
 
 
 # ---- sections and tables -------------------------------------------------------------------

@@ -43,8 +43,8 @@ def rebuild(
 
     texts = pinned.join(field_defs.where("dtype = 'text'").select("field_key"), "field_key", "left_semi")
     words = scoring["substance"]["phrase_words"]
-    phrases = x.distinct_phrases(texts, ["company_id"], "value_raw", words)
-    shared = x.boilerplate(phrases, "company_id", scoring["substance"]["company_threshold"])
-    shared = x.with_phrase_text(shared, texts, "value_raw", words).withColumn("method_version", version)
+    threshold = scoring["substance"]["company_threshold"]
+    shared = x.shared_phrases(texts, ["company_id", "fy", "field_key"], "company_id", "value_raw", threshold, words)
+    shared = shared.withColumn("method_version", version)
     m.replace_partitions(shared, f"{out_dir}/shared_phrases", "method_version")
     return {name: spark.read.parquet(f"{out_dir}/{name}") for name in ("metrics", "scores", "shared_phrases")}
