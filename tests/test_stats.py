@@ -64,3 +64,22 @@ def test_versions_upserts_and_drift(frame):
     assert out == {"f": 3, "g": 1}
     scores = frame([(1, 1, "s", "a", 10.0), (1, 1, "s", "b", 13.0), (2, 1, "s", "a", 5.0), (2, 1, "s", "b", 4.0), (3, 1, "s", "a", 1.0)], "company_id int, fy int, score_key string, method_version string, value double")
     assert tuple(r.score_drift(scores, "a", "b").first()) == ("s", 2, 2.0, 3.0)
+
+
+def test_close_values_spread_over_many_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import ranking
+
+    # a hundred thousand values within 0.01 % of each other, and some far away
+    close = spark.range(100_000).select(F.lit("g").alias("g"), (F.lit(5000) + F.col("id") * 5e-6).alias("v"))
+    far = spark.range(-500, 500).select(F.lit("g").alias("g"), (F.col("id") * 1.5).alias("v"))
+    df = close.unionByName(far)
+    per_block = df.groupBy(ranking.value_block(F.col("v")).alias("b")).count()
+    assert per_block.agg(F.max("count")).first()[0] <= 200
+    out = ranking.ordered_counts(df, ["g"], "v")
+    from pyspark.sql import Window as W
+
+    plain = df.withColumn("want", F.rank().over(W.partitionBy("g").orderBy("v")) - 1)
+    wrong = plain.join(out, ["g", "v"]).where("want <> below OR total <> 101000").count()
+    assert wrong == 0 and out.count() == 101_000
