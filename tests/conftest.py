@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidemark.session import build_session  # noqa: E402
+from tidemark.session import build_session, release  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import bindings as b
+from tidemark import bindings as b, config
 from tidemark.bindings import AS_OF, WINDOW_DAYS
 from tidemark.catalog import query
+from tidemark.catalog.fragments import hash_vectors_sql
+from tidemark.catalog.texts import SEEDS
 from tidemark.functions.exprs import stable_key
 from tidemark.operators import events as e
 
@@ -92,19 +94,38 @@ USAGE = """SELECT CASE name WHEN 'view' THEN 'Company deep-dives' WHEN 'click' T
 INTEREST = "SELECT json_extract_string(props, '$.k') AS name, count(*) AS count FROM ev GROUP BY 1"
 
 
+ASKED = ("Which sector is leader on renewable energy?", "How much water is recycled?", "Any stock tip or weather news?", "")
+
+
+def themes_sql(events: str) -> str:
+    """Themes of the questions asked with clicks, as a query of its own."""
+    cases = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(ASKED) if text)
+    return f"""WITH conv AS (SELECT * FROM (SELECT event_id AS doc_id, CASE event_id % 4 {cases} END AS text FROM {events} WHERE name = 'click') WHERE text IS NOT NULL),
+    seeds(seed, theme, words) AS (VALUES {SEEDS}), {hash_vectors_sql("sv", "seeds", "seed", "words", 256)}, {hash_vectors_sql("v", "conv", "doc_id", "text", 256)},
+    s AS (SELECT doc_id, seed, sum(v.weight * sv.weight) / (sqrt(any_value(v.norm2)) * sqrt(any_value(sv.norm2))) AS sim FROM v JOIN sv USING (index) GROUP BY 1, 2),
+    best AS (SELECT doc_id, seed, sim FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 9) DESC, seed) = 1)
+    SELECT coalesce(theme, '{config.THEME_OTHER}') AS name, count(*) AS count FROM conv LEFT JOIN best ON best.doc_id = conv.doc_id AND sim > 0 LEFT JOIN seeds USING (seed) GROUP BY 1"""
+
+
+def with_questions(events: DataFrame) -> DataFrame:
+    question = F.element_at(F.array(*[F.lit(text) for text in ASKED]), (F.col("event_id") % 4 + 1).cast("int"))
+    return events.withColumn("props", F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), question.alias("question"))))
+
+
 @query(
     "e6_usage_and_interest",
     f"""WITH {EV} SELECT 'usage' AS kind, name, count FROM ({USAGE}) UNION ALL SELECT 'interest', name, count FROM ({INTEREST})
+    UNION ALL SELECT 'theme', name, count FROM ({themes_sql("ev")})
     UNION ALL SELECT 'range_start', strftime(min(ts), '%Y-%m-%d %H:%M:%S'), count(*) FROM ev""",
 )
 def _e6(spark: SparkSession, d: str) -> DataFrame:
-    ev = b.events(spark, d)
+    ev = with_questions(b.events(spark, d))
     tag = lambda kind, df: df.select(F.lit(kind).alias("kind"), "name", "count")
     start = ev.agg(
         F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("name"), F.count(F.lit(1)).alias("count")
     )
     parts = tag("usage", e.feature_usage(ev, LABELS)).unionByName(tag("interest", e.property_counts(ev, "k")))
-    return parts.unionByName(tag("range_start", start))
+    return parts.unionByName(tag("theme", e.question_themes(ev, name="click"))).unionByName(tag("range_start", start))
 
 
 @query("e7_look_back_window", f"WITH {EV} SELECT event_id, name FROM ev WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL {WINDOW_DAYS} DAYS")
@@ -112,16 +133,20 @@ def _e7(spark: SparkSession, d: str) -> DataFrame:
     return e.look_back(b.events(spark, d), AS_OF, WINDOW_DAYS).select("event_id", "name")
 
 
+TOP = "ORDER BY count DESC, name LIMIT 5"
+
+
 @query(
     "e8_digest_top_five",
     f"""WITH {EV}, ev7 AS (SELECT * FROM ev WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS)
-    SELECT * FROM ({USAGE.replace('FROM ev', 'FROM ev7')} ORDER BY count DESC, name LIMIT 5)
-    UNION ALL SELECT * FROM ({INTEREST.replace('FROM ev', 'FROM ev7')} ORDER BY count DESC, name LIMIT 5)""",
+    SELECT 'usage' AS kind, * FROM ({USAGE.replace('FROM ev', 'FROM ev7')} {TOP}) UNION ALL SELECT 'interest', * FROM ({INTEREST.replace('FROM ev', 'FROM ev7')} {TOP})
+    UNION ALL SELECT 'theme', * FROM ({themes_sql("ev7")} {TOP})""",
 )
 def _e8(spark: SparkSession, d: str) -> DataFrame:
-    week = e.look_back(b.events(spark, d), AS_OF, 7)
-    usage = e.digest_top(e.feature_usage(week, LABELS))
-    return usage.unionByName(e.digest_top(e.property_counts(week, "k")))
+    week = with_questions(e.look_back(b.events(spark, d), AS_OF, 7))
+    counts = {"usage": e.feature_usage(week, LABELS), "interest": e.property_counts(week, "k"), "theme": e.question_themes(week, name="click")}
+    parts = [e.digest_top(rows).select(F.lit(kind).alias("kind"), "name", "count") for kind, rows in counts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

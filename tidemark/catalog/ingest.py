@@ -39,7 +39,7 @@ def _s1(spark: SparkSession, d: str) -> DataFrame:
 
 def instances(spark: SparkSession, d: str) -> DataFrame:
     """One instance document per line item: a few facts in one context, as XML text."""
-    li = b.spread_table(spark, d, "lineitem")
+    li = b.table(spark, d, "lineitem")
     text = lambda column: F.col(column).cast("string")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     year = F.year("l_shipdate")
@@ -103,13 +103,13 @@ def _s2b(spark: SparkSession, d: str) -> DataFrame:
 
 
 FILES = """files AS (SELECT page_id || CASE page_id % 4 WHEN 0 THEN '.xml' WHEN 1 THEN '.PDF' WHEN 2 THEN '.xbrl' ELSE '.html' END AS filename,
-  CASE page_id % 4 WHEN 1 THEN CASE WHEN page_id % 3 = 0 THEN '%PDF-1.7 ' ELSE 'PDF ' END || html WHEN 2 THEN '  ' || html ELSE html END AS content FROM pages)"""
+  CASE page_id % 4 WHEN 1 THEN CASE WHEN page_id % 3 = 0 THEN '%PDF-1.7 ' ELSE 'PDF ' END || html WHEN 2 THEN repeat(' ', CASE WHEN page_id % 8 = 2 THEN 2000 ELSE 2 END) || html ELSE html END AS content FROM pages)"""
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("page_id")
     suffix = F.when(key % 4 == 0, ".xml").when(key % 4 == 1, ".PDF").when(key % 4 == 2, ".xbrl").otherwise(".html")
-    head = F.when(key % 4 == 1, F.when(key % 3 == 0, "%PDF-1.7 ").otherwise("PDF ")).when(key % 4 == 2, "  ").otherwise("")
+    head = F.when(key % 4 == 1, F.when(key % 3 == 0, "%PDF-1.7 ").otherwise("PDF ")).when(key % 8 == 2, " " * 2000).when(key % 4 == 2, "  ").otherwise("")
     return b.table(spark, d, "pages").select(
         F.concat(key, suffix).alias("filename"), F.encode(F.concat(head, "html"), "UTF-8").alias("content")
     )
@@ -174,9 +174,8 @@ def _s4b(spark: SparkSession, d: str) -> DataFrame:
 
 DIVISIONS = ", ".join(
     f"({division}, '{sector}')"
-    for sector, ranges in config.SECTOR_DIVISIONS
-    for low, high in ranges
-    for division in range(low, high + 1)
+    for sector, divisions in config.SECTOR_DIVISIONS
+    for division in divisions
 )
 
 
@@ -287,9 +286,9 @@ LINKED = """html || '<p><a class="doc" href="/files/annual-' || (2018 + page_id
 
 @query(
     "s10_link_discovery",
-    f"""WITH p AS (SELECT page_id, {LINKED} AS html FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*>(.*?)</a>', 1)) AS href,
+    f"""WITH p AS (SELECT page_id, url, {LINKED} AS html FROM pages), l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*>(.*?)</a>', 1)) AS href,
       unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*>(.*?)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*>(.*?)</a>', 1), 1) AS pos FROM p)
-    SELECT page_id, href, regexp_replace(label, '<[^>]*>', '', 'g') AS label FROM l WHERE (contains(lower(href || ' ' || regexp_replace(label, '<[^>]*>', '', 'g')), 'annual') OR contains(lower(href || ' ' || regexp_replace(label, '<[^>]*>', '', 'g')), 'brsr'))
+    SELECT page_id, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE href END AS href, regexp_replace(label, '<[^>]*>', '', 'g') AS label FROM l WHERE (contains(lower(href || ' ' || regexp_replace(label, '<[^>]*>', '', 'g')), 'annual') OR contains(lower(href || ' ' || regexp_replace(label, '<[^>]*>', '', 'g')), 'brsr'))
       AND (contains(href || ' ' || regexp_replace(label, '<[^>]*>', '', 'g'), '2022') OR contains(href || ' ' || regexp_replace(label, '<[^>]*>', '', 'g'), '2021'))
     QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1""",
 )
@@ -302,8 +301,8 @@ def _s10(spark: SparkSession, d: str) -> DataFrame:
         (F.col("page_id") % 3 + 2020),
         F.lit("'>BRSR filing</a></p>"),
     )
-    pages = b.spread_table(spark, d, "pages").select("page_id", extra.alias("html"))
-    return g.find_report_link(pages, ["annual", "brsr"], F.lit(2022)).drop("html")
+    pages = b.table(spark, d, "pages").select("page_id", "url", extra.alias("html"))
+    return g.find_report_link(pages, ["annual", "brsr"], F.lit(2022)).drop("html", "url")
 
 
 DATASET = f"""WITH {COMPANIES}, {SCORES} SELECT sector, fy AS financial_year, score_key AS measure, count(*) AS company_count, round(CAST(sum(value) AS DOUBLE) / count(*), 4) AS average_value

@@ -111,16 +111,16 @@ QUOTAS = {
     },
 }
 
-# fixed values: two-digit industry divisions per sector, as inclusive ranges
+# fixed values: two-digit industry divisions per sector
 SECTOR_DIVISIONS = (
-    ("Agriculture & Natural Resources", ((1, 3), (5, 9))),
-    ("Manufacturing", ((10, 33),)),
-    ("Energy & Utilities", ((35, 39),)),
-    ("Construction & Real Estate", ((41, 43), (68, 68))),
-    ("Consumer & Logistics", ((45, 47), (49, 53), (55, 56))),
-    ("Technology & Communications", ((58, 63),)),
-    ("Financial Services", ((64, 66),)),
-    ("Professional Services", ((69, 75), (77, 82))),
-    ("Health, Education & Social", ((84, 88), (90, 96))),
+    ("Agriculture & Natural Resources", (1, 2, 3, 5, 6, 7, 8, 9)),
+    ("Manufacturing", (10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33)),
+    ("Energy & Utilities", (35, 36, 37, 38, 39)),
+    ("Construction & Real Estate", (41, 42, 43, 68)),
+    ("Consumer & Logistics", (45, 46, 47, 49, 50, 51, 52, 53, 55, 56)),
+    ("Technology & Communications", (58, 59, 60, 61, 62, 63)),
+    ("Financial Services", (64, 65, 66)),
+    ("Professional Services", (69, 70, 71, 72, 73, 74, 75, 77, 78, 79, 80, 81, 82)),
+    ("Health, Education & Social", (84, 85, 86, 87, 88, 90, 91, 92, 93, 94, 95, 96)),
 )
 SECTOR_FALLBACK = "Other / Review Required"

@@ -21,6 +21,7 @@ from tidemark.functions.exprs import rule_table, stable_key
 from tidemark.operators.ranking import first_per_key
 from tidemark.operators.relational import upsert
 from tidemark.operators.skew import salted_join
+from tidemark.operators.text import themes
 
 
 def order_key() -> Column:
@@ -154,6 +155,13 @@ def property_counts(events: DataFrame, prop: str) -> DataFrame:
     )
 
 
+def question_themes(events: DataFrame, prop: str = "question", name: str | None = None) -> DataFrame:
+    """Counts per theme of the questions that events carry in a property; empty ones do not count."""
+    asked = events if name is None else events.where(F.col("name") == name)
+    texts = asked.select("event_id", F.get_json_object("props", f"$.{prop}").alias("text")).where(F.col("text") != "")
+    return themes(texts, "event_id", "text").groupBy(F.col("theme").alias("name")).agg(F.count(F.lit(1)).alias("count"))
+
+
 def digest_top(counts: DataFrame, n: int = 5) -> DataFrame:
     """The report's first rows: most common first, then by name."""
     return counts.orderBy(F.desc("count"), "name").limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,24 +31,44 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-_LOCAL: dict[str, str] = {}
+_BASES: dict[str, str] = {}
+
+
+def _base(spark: SparkSession) -> str:
+    """The application's own folder below the cluster's checkpoint folder; everything in it is scratch."""
+    context = spark.sparkContext
+    if context.applicationId not in _BASES:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tidemark-")
+        _BASES[context.applicationId] = f"{base.rstrip('/')}/tidemark-{context.applicationId}"
+        atexit.register(_at_exit, spark)
+    return _BASES[context.applicationId]
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped before
+        release(spark)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder.
+    """A fresh folder below the application's folder, which ``release`` removes.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session may do without:
+    The cluster names the place in ``spark.checkpoint.dir``. Only a local session may do without:
     it gets a temporary folder, which no executor on another machine could see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if context.applicationId not in _LOCAL:
-            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-        base = _LOCAL[context.applicationId]
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all staged tables and stream folders of the application; called at exit, or when results are written."""
+    context = spark.sparkContext
+    base = _BASES.pop(context.applicationId, None)
+    if base and context._jsc is not None and context._jvm is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -54,13 +76,3 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A table of few files with its rows spread over the cores, for work heavy on the processor.
-
-    A file of one row group is one task, however many cores there are. Tables of more files than
-    cores are left alone, so at scale this adds no shuffle. ``scan`` must be a plain table read.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan

@@ -35,12 +35,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sector_table(spark: SparkSession) -> DataFrame:
-    rows = [
-        (division, sector)
-        for sector, ranges in config.SECTOR_DIVISIONS
-        for low, high in ranges
-        for division in range(low, high + 1)
-    ]
+    rows = [(division, sector) for sector, divisions in config.SECTOR_DIVISIONS for division in divisions]
     return rule_table(spark, ["division", "sector"], rows)
 
 
@@ -189,10 +184,10 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
 def sniff(files: DataFrame) -> DataFrame:
     """Type by file name and first bytes, with checksum and size; null type when they disagree."""
     suffix = F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1))
-    # Only the first bytes matter; white space may come before the first tag.
-    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
-    kind = F.when((suffix == ".pdf") & head.startswith("%PDF-"), "pdf").when(
-        suffix.isin(".xml", ".xbrl") & F.regexp_like(head, F.lit(r"^\s*<")), "xbrl"
+    # Any amount of white space may come before the first tag.
+    body = F.decode("content", "ISO-8859-1")
+    kind = F.when((suffix == ".pdf") & body.startswith("%PDF-"), "pdf").when(
+        suffix.isin(".xml", ".xbrl") & F.regexp_like(body, F.lit(r"^[ \t\n\r\f\x0B]*+<")), "xbrl"
     )
     return files.withColumns(
         {"artifact_type": kind, "checksum": F.sha2("content", 256), "size": F.length("content").cast("long")}
@@ -239,10 +234,30 @@ def page_links(html: Column) -> Column:
     return F.zip_with(hrefs, labels, lambda h, l: F.struct(h.alias("href"), clean(l).alias("label")))
 
 
+def resolved(base: Column, href: Column) -> Column:
+    """The address that a link on the page ``base`` leads to."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    path = F.substring(page, F.length(origin) + 1, F.length(page))
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    relative = F.concat(F.when(folder == "", "/").otherwise(folder), F.regexp_replace(href, r"^(\./)+", ""))
+    for _ in range(8):  # one folder up each time
+        relative = F.regexp_replace(relative, r"^(.*?)/(?!\.\./)[^/]+/\.\./", "$1/")
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.coalesce(origin, F.lit("")) == ""), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^/]*:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .otherwise(F.concat(origin, relative))
+    )
+
+
 def find_report_link(pages: DataFrame, terms: Sequence[str], fy: Column) -> DataFrame:
     """First link per page whose address or label has a term and names the year or the year before.
 
-    Worked out inside the row, so nothing is shuffled.
+    With a column ``url`` the address is that which the link leads to from there. Worked out inside
+    the row, so nothing is shuffled.
     """
     links = pages.withColumn("__links", page_links(F.col("html"))).withColumn("__fy", fy)
 
@@ -256,8 +271,10 @@ def find_report_link(pages: DataFrame, terms: Sequence[str], fy: Column) -> Data
         return term & year
 
     chosen = F.try_element_at(F.filter("__links", wanted), F.lit(1))
+    href = F.col("__chosen.href")
+    target = resolved(F.col("url"), href) if "url" in pages.columns else href
     return (
         links.withColumn("__chosen", chosen)
         .where(F.col("__chosen").isNotNull())
-        .select(*pages.columns, F.col("__chosen.href").alias("href"), F.col("__chosen.label").alias("label"))
+        .select(*pages.columns, target.alias("href"), F.col("__chosen.label").alias("label"))
     )
