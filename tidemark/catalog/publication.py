@@ -163,7 +163,31 @@ def published(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u4_publish_mappings", f"WITH {MAPPED} SELECT * FROM pub")
 def _u4(spark: SparkSession, d: str) -> DataFrame:
-    return published(spark, d).withColumn("value_num", F.round(F.col("value_num").cast("double"), 4))
+    return published(spark, d).withColumn("value_num", F.round(F.col("value_num").cast("double"), 4)).drop("lineage")
+
+
+@query(
+    "u4_published_lineage",
+    f"""WITH {MAPPED} SELECT filing_id, field_key, maps.concept AS source_concept, 'main' AS context_id, '{FY}-03-31' AS period_end, pub0.unit AS reported_unit, 'provisional' AS review_status,
+      CASE maps.concept WHEN 'C1' THEN '' WHEN 'C2' THEN 'GJ=1 MJ=0.001 TJ=1000' ELSE 'GJ=1' END AS conversion_rules FROM pub JOIN pub0 USING (filing_id, field_key) JOIN maps USING (field_key) WHERE status = 'published'""",
+)
+def _u4c(spark: SparkSession, d: str) -> DataFrame:
+    rows = published(spark, d).where(F.col("status") == "published").select("filing_id", "field_key", "lineage.*")
+    return rows.withColumn("period_end", F.col("period_end").cast("string"))
+
+
+@query(
+    "u4_pins_after_publish",
+    f"""WITH {MAPPED}, pins AS (SELECT filing_id, field_key FROM pub UNION ALL SELECT filing_id, 'p6.e3.rejected' FROM fil)
+    SELECT filing_id, field_key, filing_id % 7 AS version FROM pins WHERE filing_id % 2 = 0 AND field_key <> 'p6.e3.rejected'
+      AND (filing_id, field_key) NOT IN (SELECT (filing_id, field_key) FROM pub WHERE status = 'withheld')""",
+)
+def _u4d(spark: SparkSession, d: str) -> DataFrame:
+    rows = published(spark, d)
+    rejected = [mapping.field_key for mapping in MAPPINGS if mapping.review_status == "rejected"]
+    filings = mapping_inputs(spark, d)[0].select("filing_id", F.explode(F.array(*map(F.lit, rejected))).alias("field_key"))
+    pins = rows.select("filing_id", "field_key").unionByName(filings).where("filing_id % 2 = 0")
+    return m.pins_after_publish(pins.withColumn("version", F.col("filing_id") % 7), rows, rejected)
 
 
 LATEST = """latest AS (SELECT filing_id, field_key, fact_id - CASE WHEN filing_id % 3 = 0 THEN 0 ELSE 1 END AS fact_id, filing_id % 4 + 1 AS version,

@@ -130,7 +130,8 @@ def publish_mappings(
 
     Every unit and scale that cannot be resolved withholds its own value only. Facts without a
     number count as missing, unless ``passthrough_text`` publishes their reported text
-    (``facts.value_raw``). ``filings``: filing_id, issuer (of the fiscal year).
+    (``facts.value_raw``). ``lineage`` says where a published value comes from and by which rules.
+    ``filings``: filing_id, issuer (of the fiscal year).
     """
     spark = filings.sparkSession
     active = [m for m in mappings if m.review_status != "rejected"]
@@ -141,6 +142,8 @@ def publish_mappings(
                 F.lit(m.field_key).alias("field_key"),
                 F.lit(m.target_unit).alias("target_unit"),
                 F.lit(m.registered_scale).alias("registered_scale"),
+                F.lit(m.review_status).alias("review_status"),
+                F.lit(" ".join(f"{unit}={factor}" for unit, factor in sorted(m.unit_factors.items()))).alias("conversion_rules"),
             )
             for m in active
         ]
@@ -153,6 +156,8 @@ def publish_mappings(
         "fact_id",
         "value_num",
         "unit",
+        "context_id",
+        "period_end",
         (F.col("value_raw") if passthrough_text else F.lit(None).cast("string")).alias("value_text"),
     )
     factors = [(m.field_key, unit, Decimal(f)) for m in active for unit, f in m.unit_factors.items()]
@@ -172,10 +177,19 @@ def publish_mappings(
         .when(value.isNull(), "withheld")
         .otherwise("published")
     )
+    lineage = F.struct(
+        F.col("concept").alias("source_concept"),
+        "context_id",
+        "period_end",
+        F.col("unit").alias("reported_unit"),
+        "review_status",
+        "conversion_rules",
+    )
     return scaled.select(
         "filing_id",
         "field_key",
         "fact_id",
+        F.when(status == "published", lineage).alias("lineage"),
         "target_unit",
         status.alias("status"),
         F.when(status == "published", value).alias("value_num"),
