@@ -217,8 +217,9 @@ def movement_findings(
         "filing_id", "field_key", F.col("__plain").try_cast("double").alias("now")
     )
     before = _plain_values(prior).select("filing_id", "field_key", F.col("__plain").try_cast("double").alias("before"))
-    pairs = now.join(before, ["filing_id", "field_key"]).where(F.col("before") != 0)
-    change = F.abs((F.col("now") - F.col("before")) / F.col("before") * 100)
+    pairs = now.join(before, ["filing_id", "field_key"])
+    # Not a filter of its own: pushed below the join, it would parse every number anew for each digit it looks at.
+    change = F.when(F.col("before") != 0, F.abs((F.col("now") - F.col("before")) / F.col("before") * 100))
     moved = pairs.where(change > float(threshold))
     return moved.select(*finding("warning", f"Year-on-year movement exceeds {threshold}%", "L2"))
 
