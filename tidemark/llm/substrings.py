@@ -5,16 +5,18 @@
    equal places. About one byte in eighty is an anchor. Anchors whose hash occurs once in the corpus
    are done with; only numbers have been shuffled so far.
 2. Segments. The texts meet the repeated anchors by a join on the row's key. An anchor's segment is
-   the bytes of the windows that it is anchor of. Equal segments fold to one class with a count, so
-   groups of copies, however large, shrink before they meet.
+   the bytes of the windows that it is anchor of. Equal segments of a task fold to one class with a
+   count before they are shuffled, so groups of copies, however large, shrink before they meet.
 3. Suffix order. The classes of one anchor hash come to one task. The suffixes at window starts are
    sorted by prefix doubling over ``size`` bytes, ties in text order. The previous smaller position in
    suffix order, if it shares the full prefix, is the longest previous factor of at least ``size``
    bytes, and the next one a later copy.
-4. The verdicts go back over the class to its members, and meet the texts in the same partitioning.
+4. The verdicts go back over the class to its members, and meet the texts in the same partitioning:
+   the texts are shuffled once.
 
 A hash with more than ``most`` anchors is not sent to one task: each window of its classes becomes a
-digest of 128 bits, and the digests are counted with partial aggregation instead.
+digest of 128 bits, and the digests are counted with partial aggregation instead; its members meet
+their verdicts over ``SALTS`` tasks.
 
 Defined results: a null text is empty; texts shorter than ``size`` lose nothing; repeated rows are
 documents of their own when all copies go, and one document (both stay) when the first copy is kept;
@@ -35,10 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.columns import pieces, spans, utf8
+from tidemark.session import staged
 
 SIZE, KMER = 200, 32
 #: Anchors of one hash that may meet in a task as segments; bytes sorted at a time; bytes hashed at a time.
 MOST, BLOCK_BYTES, PIECE_BYTES = 20_000, 1 << 20, 1 << 18
+#: Classes that a task folds at a time; tasks over which the members of a hot hash are dealt.
+FOLD, SALTS = 50_000, 64
 
 _PRIME, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,48 +109,79 @@ def _anchors_placed(size: int):
             row = np.searchsorted(offsets, place, "right") - 1
             spot = (place - offsets[row]) << 16 | (place - first) << 8 | (place - last)
             key, check = batch.column(1).to_numpy(zero_copy_only=False)[row], batch.column(2).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(check), pa.array(spot)], ["h", "key", "check", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(check << 48 | spot)], ["h", "key", "place"])
 
     return run
 
 
-def _segments(size: int):
-    """Rows of row, key, check, spots: one row per repeated anchor, with its class and the segment's bytes."""
+def _found(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
+    """(row, h, c, lo, width, hot, segment) of each repeated anchor in rows of row, key, check, spots."""
+    texts, spots = _text(batch), batch.column(3)
+    at, values = spots.offsets.to_numpy(), spots.values.to_numpy()
+    for k in range(len(batch)):
+        raw = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
+        for spot in values[at[k] : at[k + 1]].tolist():
+            place, back, near = spot >> 16 & 0xFFFFFFFF, spot >> 8 & 0xFF, spot & 0xFF
+            piece = raw[place - back : place - near + size]
+            h = xxhash.xxh3_64_intdigest(raw[place : place + KMER]) - (1 << 63)
+            c = xxhash.xxh3_64_intdigest(piece, back) - (1 << 63)
+            yield k, h, c, place - back, back - near + 1, bool(spot >> 48), piece
+
+
+def _classes(size: int):
+    """Equal segments of a task folded: their number, their first member in document order, and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list = []
+
+        def folded(classes: dict) -> pa.RecordBatch:
+            rows = [(h, c, *rest) for (h, c), rest in classes.items()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in zip((0, 1, 4, 5, 2, 6), kinds, strict=False)]
+            rank = pa.array([dict(zip(("none", "doc_id", "key", "check", "lo"), r[3], strict=True)) for r in rows], kinds[-1])
+            return pa.RecordBatch.from_arrays([*columns, rank], ["h", "c", "hot", "width", "n", "segment", "rank"])
+
+        held: dict = {}
         for batch in batches:
-            texts, spots = _text(batch), batch.column(3)
-            at = spots.offsets.to_numpy()
-            values = spots.values.to_numpy()
-            row, h, c, lo, width, hot, segment = [], [], [], [], [], [], []
-            for k in range(len(batch)):
-                raw = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
-                for spot in values[at[k] : at[k + 1]].tolist():
-                    place, back, near = spot >> 16 & 0xFFFFFFFF, spot >> 8 & 0xFF, spot & 0xFF
-                    piece = raw[place - back : place - near + size]
-                    row.append(k)
-                    h.append(xxhash.xxh3_64_intdigest(raw[place : place + KMER]) - (1 << 63))
-                    c.append(xxhash.xxh3_64_intdigest(piece, back) - (1 << 63))
-                    lo.append(place - back)
-                    width.append(back - near + 1)
-                    hot.append(bool(spot >> 48))
-                    segment.append(piece)
-                if len(row) >= 20_000:
-                    yield _segment_batch(batch, row, h, c, lo, width, hot, segment)
-                    row, h, c, lo, width, hot, segment = [], [], [], [], [], [], []
-            if row:
-                yield _segment_batch(batch, row, h, c, lo, width, hot, segment)
+            ids = batch.column(0).field(batch.column(0).type.get_field_index("doc_id"))
+            rank = pa.struct([("none", pa.bool_()), ("doc_id", ids.type), ("key", pa.int64()), ("check", pa.int64()), ("lo", pa.int64())])
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), rank]
+            names, keys, checks = ids.to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for k, h, c, lo, width, hot, segment in _found(batch, size):
+                member = (names[k] is None, names[k], keys[k], checks[k], lo)
+                if (seen := held.get((h, c))) is None:
+                    if len(held) >= FOLD:
+                        yield folded(held)
+                        held = {}
+                    held[h, c] = [1, member, hot, width, segment]
+                else:
+                    seen[0] += 1
+                    if _order(member) < _order(seen[1]):
+                        seen[1] = member
+        if held:
+            yield folded(held)
 
     return run
 
 
-def _segment_batch(batch, row, h, c, lo, width, hot, segment) -> pa.RecordBatch:
-    index = pa.array(row, pa.int64())
-    ids = batch.column(0).field(batch.column(0).type.get_field_index("doc_id"))
-    columns = [ids.take(index), batch.column(1).take(index), batch.column(2).take(index)]
-    columns += [pa.array(x, pa.int64()) for x in (h, c, lo, width)]
-    columns += [pa.array(hot, pa.bool_()), pa.array(segment, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "check", "h", "c", "lo", "width", "hot", "segment"])
+def _order(member: tuple) -> tuple:
+    """Documents without an id come last."""
+    return (member[0], 0 if member[0] else member[1], *member[2:])
+
+
+def _members(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x[:6] for x in _found(batch, size)]
+            k, h, c, lo, _, hot = zip(*rows, strict=True) if rows else [[]] * 6
+            index = pa.array(k, pa.int64())
+            columns = [*(pa.array(x, pa.int64()) for x in (h, c)), pa.array(hot, pa.bool_()), batch.column(1).take(index), batch.column(2).take(index), pa.array(lo, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "hot", "key", "check", "lo"])
+
+    return run
+
+
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
 
 
 def window_ranks(buffer: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -200,11 +236,12 @@ def matches(segments: list[bytes], widths: np.ndarray, order: np.ndarray, first:
 
 #: scope of a verdict: all members of the class, the first of them only, all but the first
 ALL, FIRST, OTHERS, DIGEST = 0, 1, 2, 3
-JUDGED = "kind int, h long, c long, n long, first_key long, first_check long, first_lo long, since long, upto long, high long, low long, rank struct<{}>"
+RANK = "struct<none:boolean,doc_id:{},key:bigint,check:bigint,lo:bigint>"
+JUDGED = "kind int, h long, c long, hot boolean, n long, since long, upto long, high long, low long, rank "
 
 
 def _judge(first: bool, size: int):
-    """Rows (unit, h, c, n, hot, segment, width, rank) sorted by unit: verdicts, or digests for hot hashes."""
+    """Rows (unit, h, c, hot, width, n, segment, rank) sorted by unit and class: verdicts, or digests for hot hashes."""
 
     def full(rows: list[dict]) -> Iterator[tuple]:
         for r in rows:
@@ -234,6 +271,11 @@ def _judge(first: bool, size: int):
         group: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
+                row["rank"] = tuple(row["rank"].values())
+                if group and (row["h"], row["c"]) == (group[-1]["h"], group[-1]["c"]):  # folded by another task
+                    group[-1]["n"] += row["n"]
+                    group[-1]["rank"] = min(group[-1]["rank"], row["rank"], key=_order)
+                    continue
                 if group and (row["hot"] or row["unit"] != group[-1]["unit"]):
                     yield group
                     group = []
@@ -264,12 +306,11 @@ def _judge(first: bool, size: int):
 
         def batch() -> pa.RecordBatch:
             columns = [pa.array([x[0] for x in out], pa.int32())]
-            columns += [pa.array([x[1][name] for x in out], pa.int64()) for name in ("h", "c", "n")]
-            columns += [pa.array([x[1]["rank"][name] for x in out], pa.int64()) for name in ("key", "check", "lo")]
+            columns += [pa.array([x[1][name] for x in out], k) for name, k in (("h", pa.int64()), ("c", pa.int64()), ("hot", pa.bool_()), ("n", pa.int64()))]
             columns += [pa.array([x[k] if len(x) > k else 0 for x in out], pa.int64()) for k in (2, 3, 4, 5)]
-            columns.append(pa.array([x[1]["rank"] for x in out], kind))
-            names = ["kind", "h", "c", "n", "first_key", "first_check", "first_lo", "since", "upto", "high", "low", "rank"]
-            return pa.RecordBatch.from_arrays(columns, names)
+            fields = ("none", "doc_id", "key", "check", "lo")
+            columns.append(pa.array([dict(zip(fields, x[1]["rank"], strict=True)) for x in out], kind))
+            return pa.RecordBatch.from_arrays(columns, ["kind", "h", "c", "hot", "n", "since", "upto", "high", "low", "rank"])
 
         def seen() -> Iterator[pa.RecordBatch]:
             nonlocal kind
@@ -288,16 +329,10 @@ def _judge(first: bool, size: int):
     return run
 
 
-def _order(rank: dict) -> tuple:
-    doc_id = rank["doc_id"]
-    return (doc_id is not None, doc_id if doc_id is not None else 0, rank["key"], rank["check"], rank["lo"])
-
-
 def spans_of(documents: DataFrame, keep_first: bool = False, size: int = SIZE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """The documents as (row, key, check), and (key, check, cuts): the byte ranges to remove of each."""
     if size < 64 or size > KMER + 255:
         raise ValueError(f"size must be from 64 to {KMER + 255}")
-    spark = documents.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = [F.xxhash64("doc_id", "text").alias("key"), F.crc32(text).bitwiseAND(F.lit(0xFFFF)).alias("check")]
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]
@@ -305,20 +340,20 @@ def spans_of(documents: DataFrame, keep_first: bool = False, size: int = SIZE, m
     keyed = documents.select(text.alias("text"), *keys)
 
     repeated = keyed.select("text").mapInArrow(_anchors_only(size), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = keyed.mapInArrow(_anchors_placed(size), "h long, key long, check long, spot long")
-    hot = F.when(F.col("n") > most, F.lit(1 << 48)).otherwise(F.lit(0))
-    spots = placed.join(repeated, "h").select("key", "check", F.col("spot").bitwiseOR(hot).alias("spot"))
+    repeated = staged(repeated, "anchors")  # so that the join below is one that AQE can split
+    placed = keyed.mapInArrow(_anchors_placed(size), "h long, key long, place long").join(repeated, "h")
+    spot = F.col("place").bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.when(F.col("n") > most, F.lit(1 << 48)).otherwise(F.lit(0)))
+    spots = placed.select("key", F.shiftrightunsigned("place", 48).alias("check"), spot.alias("spot"))
     spots = spots.groupBy("key", "check").agg(F.collect_set("spot").alias("spots"))
+    found = docs.join(spots, ["key", "check"]).select("row", "key", "check", "spots")
 
-    doc_id = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {doc_id}, key long, check long, h long, c long, lo long, width long, hot boolean, segment binary"
-    found = docs.join(spots, ["key", "check"]).select("row", "key", "check", "spots").mapInArrow(_segments(size), schema)
-    rank = F.min(F.struct("doc_id", "key", "check", "lo"))
-    classes = found.groupBy("h", "c", "hot", "width").agg(F.count(F.lit(1)).alias("n"), F.first("segment").alias("segment"), rank.alias("rank"))
+    rank = RANK.format(documents.schema["doc_id"].dataType.simpleString())
+    classes = found.mapInArrow(_classes(size), f"h long, c long, hot boolean, width long, n long, segment binary, rank {rank}")
     unit = F.when(F.col("hot"), F.xxhash64("h", "c")).otherwise(F.col("h"))
-    judged = classes.select(unit.alias("unit"), *classes.columns).repartition("unit").sortWithinPartitions("unit")
-    judged = judged.mapInArrow(_judge(keep_first, size), JUDGED.format(f"doc_id:{doc_id},key:bigint,check:bigint,lo:bigint"))
-    judged = judged.repartition("h", "c")  # read three times below, made once
+    judged = classes.select(unit.alias("unit"), *classes.columns).repartition("unit").sortWithinPartitions("unit", "h", "c")
+    judged = judged.mapInArrow(_judge(keep_first, size), JUDGED + rank)
+    # Made once and read three times: the identity keeps all columns, so the exchange below it is one and the same.
+    judged = judged.repartition("h", "c").mapInArrow(_same, JUDGED + rank)
 
     digests = judged.filter(F.col("kind") == DIGEST)
     met = digests.groupBy("high", "low").agg(F.count(F.lit(1)).alias("classes"), F.min(F.struct("rank", "since")).alias("least")).filter("classes > 1")
@@ -328,12 +363,16 @@ def spans_of(documents: DataFrame, keep_first: bool = False, size: int = SIZE, m
         again = again.withColumn("kind", F.when(F.col("n") > 1, FIRST).otherwise(ALL))
     else:
         again = again.filter("n = 1").withColumn("kind", F.lit(ALL))
-    names = ["kind", "h", "c", "first_key", "first_check", "first_lo", "since", "upto"]
+    names = ["kind", "h", "c", "hot", "rank", "since", "upto"]
     verdicts = judged.filter(F.col("kind") != DIGEST).select(*names).unionByName(again.select(*names))
 
-    is_first = (F.col("key") == F.col("first_key")) & (F.col("check") == F.col("first_check")) & (F.col("lo") == F.col("first_lo"))
-    applies = (F.col("kind") == ALL) | (F.when(is_first, FIRST).otherwise(OTHERS) == F.col("kind"))
-    cuts = found.select("h", "c", "key", "check", "lo").join(verdicts, ["h", "c"]).filter(applies)
+    every = F.array(*[F.lit(k) for k in range(SALTS)])
+    verdicts = verdicts.withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0))))).drop("hot")
+    members = found.mapInArrow(_members(size), "h long, c long, hot boolean, key long, check long, lo long")
+    members = members.withColumn("salt", F.when(F.col("hot"), F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    first = (F.col("key") == F.col("rank.key")) & (F.col("check") == F.col("rank.check")) & (F.col("lo") == F.col("rank.lo"))
+    applies = (F.col("kind") == ALL) | (F.when(first, FIRST).otherwise(OTHERS) == F.col("kind"))
+    cuts = members.join(verdicts, ["h", "c", "salt"]).filter(applies)
     span = F.struct((F.col("lo") + F.col("since")).alias("since"), (F.col("lo") + F.col("upto") + size).alias("upto"))
     return docs, cuts.groupBy("key", "check").agg(F.collect_set(span).alias("cuts"))
 
