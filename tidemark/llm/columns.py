@@ -29,13 +29,23 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+def text_column(batch: pa.RecordBatch) -> pa.Array:
+    """The column ``text``, or that field of the first column, a row."""
+    at = batch.schema.get_field_index("text")
+    if at >= 0:
+        return batch.column(at)
+    row = batch.column(0)
+    return row.field(row.type.get_field_index("text"))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows so that a piece holds at most ``most`` bytes of text, or one row."""
     for batch in batches:
-        _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+        _, offsets = utf8(text_column(batch))
         first = 0
         while first < len(batch):
             after = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
             after = max(first + 1, min(after, len(batch)))
             yield batch.slice(first, after - first)
             first = after
+        pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import lists, pieces, spans, utf8
+from tidemark.llm.columns import lists, pieces, spans, text_column, utf8
 from tidemark.session import staged
 
 #: Fixed: what counts as a word, after A-Z are lower-cased.
@@ -177,9 +177,9 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
             yield encode_block(rows, window)
 
 
-def shard_words(batch: pa.RecordBatch, text: str, block: Block) -> tuple[np.ndarray, np.ndarray]:
+def shard_words(batch: pa.RecordBatch, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of the shard, 0 for words outside the benchmark and after each text; first index of each text."""
-    raw, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+    raw, offsets = utf8(text_column(batch))
     hashes, first = word_hashes(raw, offsets)
     place = np.searchsorted(block.vocabulary, hashes)
     place[place == len(block.vocabulary)] = 0
@@ -239,12 +239,12 @@ def occurrences(words: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([empty, *at]), np.concatenate([empty, *size]), np.concatenate([empty, *item])
 
 
-def _mark(text: str, held, first_pass: bool):
+def _mark(held, first_pass: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
         names = pa.array(block.names, pa.string())
-        for batch in pieces(batches, text, SHARD_BYTES):
-            words, begin = shard_words(batch, text, block)
+        for batch in pieces(batches, SHARD_BYTES):
+            words, begin = shard_words(batch, block)
             at, size, item = occurrences(words, block)
             change = np.zeros(len(words) + 1, np.int64)
             np.add.at(change, at, 1)
@@ -264,7 +264,7 @@ def _mark(text: str, held, first_pass: bool):
             ]
             if not first_pass:  # add to what earlier blocks have found
                 for k in (1, 2, 3):
-                    both = pa.concat_arrays([batch.column(1 + k).cast(found[k].type), found[k]])
+                    both = pa.concat_arrays([batch.column(2 + k).cast(found[k].type), found[k]])
                     n = len(batch)
                     order = np.arange(2 * n).reshape(2, n).T.ravel()
                     taken = both.take(pa.array(order))
@@ -274,16 +274,13 @@ def _mark(text: str, held, first_pass: bool):
     return run
 
 
-def _count_words(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, SHARD_BYTES):
-            _, first = word_hashes(*utf8(batch.column(1)))
-            none = np.zeros(len(batch) + 1, np.int64)
-            empty = np.zeros(0, np.int64)
-            found = [pa.array(np.diff(first), pa.int64()), lists(none, empty), lists(none, empty), lists(none, pa.array([], pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["doc_id", "text", "n_words", "starts", "ends", "items"])
-
-    return run
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, SHARD_BYTES):
+        _, first = word_hashes(*utf8(batch.column(1)))
+        none = np.zeros(len(batch) + 1, np.int64)
+        empty = np.zeros(0, np.int64)
+        found = [pa.array(np.diff(first), pa.int64()), lists(none, empty), lists(none, empty), lists(none, pa.array([], pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["doc_id", "text", "n_words", "starts", "ends", "items"])
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -299,8 +296,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     out = None
     for block in blocks(benchmark, window, block_words):
         held = context.broadcast(block)  # bounded by block_words
-        out = source.mapInArrow(_mark("text", held, True), schema) if out is None else staged(out, "contamination").mapInArrow(_mark("text", held, False), schema)
-    return source.mapInArrow(_count_words("text"), schema) if out is None else out
+        out = source.mapInArrow(_mark(held, True), schema) if out is None else staged(out, "contamination").mapInArrow(_mark(held, False), schema)
+    return source.mapInArrow(_count_words, schema) if out is None else out
 
 
 def summary(marked: DataFrame) -> DataFrame:
@@ -328,11 +325,11 @@ def summary(marked: DataFrame) -> DataFrame:
     )
 
 
-def _keep_clean(text: str, held):
+def _keep_clean(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        for batch in pieces(batches, text, SHARD_BYTES):
-            words, begin = shard_words(batch, text, block)
+        for batch in pieces(batches, SHARD_BYTES):
+            words, begin = shard_words(batch, block)
             clean = np.ones(len(batch), bool)
             clean[np.searchsorted(begin, occurrences(words, block)[0], "right") - 1] = False
             yield batch.filter(pa.array(clean))
@@ -346,15 +343,15 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     out = documents
     for k, block in enumerate(blocks(benchmark, window, block_words)):
         held = context.broadcast(block)
-        out = (staged(out, "clean") if k else out).mapInArrow(_keep_clean("text", held), out.schema)
+        out = (staged(out, "clean") if k else out).mapInArrow(_keep_clean(held), out.schema)
     return out
 
 
-def _longest(text: str, held):
+def _longest(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        for batch in pieces(batches, text, SHARD_BYTES):
-            words, begin = shard_words(batch, text, block)
+        for batch in pieces(batches, SHARD_BYTES):
+            words, begin = shard_words(batch, block)
             best: dict[int, tuple] = {}
             for suffix, low, high, array, length in search(words, block):
                 if length >= WINDOW or (block.need[suffix] == length).any():
@@ -384,7 +381,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
     schema = T.StructType(fields + [T.StructField(n, T.LongType()) for n in ("doc_word", "n_words")])
     found = None
     for block in blocks(benchmark, window, block_words):
-        part = source.mapInArrow(_longest("text", context.broadcast(block)), schema)
+        part = source.mapInArrow(_longest(context.broadcast(block)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import pieces, spans
+from tidemark.llm.columns import pieces, spans, text_column
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: Documents of each language in the training sample, and the most rows it may have in all.
@@ -36,7 +36,7 @@ PER_LANGUAGE, MOST_SAMPLE = 800, 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.01, 4
 SCALE = 20.0
 UNKNOWN = "und"
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 @functools.cache
@@ -85,13 +85,13 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column(0).to_pylist()]
+    return [t or "" for t in text_column(batch).to_pylist()]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, rows = np.zeros(1 << BITS, np.int64), 0
     there = np.zeros(1 << BITS, bool)
-    for batch in pieces(batches, "text", PIECE_BYTES):
+    for batch in pieces(batches, PIECE_BYTES):
         features, offsets, _ = ngrams(_texts(batch))
         for k in range(len(batch)):
             there[features[offsets[k] : offsets[k + 1]]] = True
@@ -106,7 +106,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, lang, tuning -> the distinct features and their counts, as bytes."""
-    for batch in pieces(batches, "text", PIECE_BYTES):
+    for batch in pieces(batches, PIECE_BYTES):
         features, offsets, lettered = ngrams(_texts(batch))
         index, count = [], []
         for k in range(len(batch)):
@@ -230,21 +230,24 @@ def _predict(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in pieces(batches, "text", PIECE_BYTES):
+        for batch in pieces(batches, PIECE_BYTES):
             features, offsets, lettered = ngrams(_texts(batch))
             chance = softmax(model.logits(features, offsets) / model.temperature)
             best = np.where(lettered, chance.argmax(axis=1), len(model.languages))
             score = np.where(lettered, chance.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+            first = 0 if pa.types.is_struct(batch.column(0).type) else 1
+            found = [pa.array(names[best], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], *found], [*batch.schema.names[first:], "lang_pred", "score"])
 
     return run
 
 
 def predict(rows: DataFrame, model: Model | None) -> DataFrame:
-    """``rows`` (text first) without the text, with lang_pred and score."""
+    """``rows`` with lang_pred and score. First comes either a text, which is dropped, or a row that has one."""
+    kept = [c for c in rows.columns if c != "text"]
     if model is None:
-        return rows.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    fields = [*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        return rows.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    fields = [*[rows.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(model)), T.StructType(fields))
 
 
@@ -258,6 +261,6 @@ def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 def keep_identified(documents: DataFrame, least_score: float = 0.5, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The documents, all columns, whose language is known with at least this score."""
     model = train(documents.filter(~held_out()).select("text", "lang"), per_language)
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    found = predict(documents.select(F.col("text").cast("string").alias("text"), row), model)
+    row = F.struct(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    found = predict(documents.select(row.alias("row")), model)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

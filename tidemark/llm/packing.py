@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.columns import pieces
 from tidemark.llm.tokens import packed
 from tidemark.session import staged
 
 CAPACITY, END_TOKEN = 4096, 1
+PIECE_BYTES = 4 << 20
 
 
 def _cut(path: str, capacity: int, end_token: int):
@@ -40,7 +42,7 @@ def _cut(path: str, capacity: int, end_token: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, task = packed(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, PIECE_BYTES):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for k, ids in enumerate(tokenizer.texts([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
@@ -179,8 +181,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_tok
 
     ``tokenizer`` is the path of the vocabulary file, on every executor.
     """
-    pieces = staged(cut_pieces(documents, tokenizer, capacity, end_token), "pieces")
-    by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    cut = staged(cut_pieces(documents, tokenizer, capacity, end_token), "pieces")
+    by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     by_task = staged(by_task, "lengths")
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
@@ -188,7 +190,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_tok
     held = documents.sparkSession.sparkContext.broadcast(slots(make_plan(counts)))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("length", "task", F.sum("n").over(earlier).alias("before"))
-    ranked = pieces.join(offsets, ["length", "task"]).select(
+    ranked = cut.join(offsets, ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank")
     )
     schema = T.StructType([*ranked.drop("rank").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

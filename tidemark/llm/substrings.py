@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import pieces, spans, utf8
+from tidemark.llm.columns import pieces, spans, text_column, utf8
 from tidemark.session import staged
 
 SIZE, KMER = 200, 32
@@ -86,14 +86,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _text(batch: pa.RecordBatch) -> pa.Array:
-    row = batch.column(0)
-    return row.field(row.type.get_field_index("text"))
-
-
 def _anchors_only(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 22):
+        for batch in pieces(batches, 1 << 22):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(*utf8(batch.column(0)), size)[0])], ["h"])
 
     return run
@@ -103,7 +98,7 @@ def _anchors_placed(size: int):
     """A place holds 16 bits of the row's check, 32 of the position and the distances to the first and last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 22):
+        for batch in pieces(batches, 1 << 22):
             raw, offsets = utf8(batch.column(0))
             h, place, first, last = anchors(raw, offsets, size)
             row = np.searchsorted(offsets, place, "right") - 1
@@ -116,7 +111,7 @@ def _anchors_placed(size: int):
 
 def _found(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
     """(row, h, c, lo, width, hot, segment) of each repeated anchor in rows of row, key, check, spots."""
-    texts, spots = _text(batch), batch.column(3)
+    texts, spots = text_column(batch), batch.column(3)
     at, values = spots.offsets.to_numpy(), spots.values.to_numpy()
     for k in range(len(batch)):
         raw = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
@@ -141,7 +136,7 @@ def _classes(size: int):
             return pa.RecordBatch.from_arrays([*columns, rank], ["h", "c", "hot", "width", "n", "segment", "rank"])
 
         held: dict = {}
-        for batch in batches:
+        for batch in pieces(batches, 1 << 21):
             ids = batch.column(0).field(batch.column(0).type.get_field_index("doc_id"))
             rank = pa.struct([("none", pa.bool_()), ("doc_id", ids.type), ("key", pa.int64()), ("check", pa.int64()), ("lo", pa.int64())])
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), rank]
@@ -170,7 +165,7 @@ def _order(member: tuple) -> tuple:
 
 def _members(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1 << 21):
             rows = [x[:6] for x in _found(batch, size)]
             k, h, c, lo, _, hot = zip(*rows, strict=True) if rows else [[]] * 6
             index = pa.array(k, pa.int64())
@@ -412,7 +407,7 @@ def whole_characters(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int,
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, cuts in zip(_text(batch), batch.column(3), strict=True):
+        for text, cuts in zip(text_column(batch), batch.column(3), strict=True):
             raw, gone = text.as_py().encode("utf-8", "surrogatepass"), merged(cuts.as_py() or [])
             kept = kept_bytes(raw, gone)
             rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
@@ -433,7 +428,7 @@ def report(documents: DataFrame, keep_first: bool = False, size: int = SIZE, mos
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, left = [], []
-        for text, cuts in zip(_text(batch), batch.column(3), strict=True):
+        for text, cuts in zip(text_column(batch), batch.column(3), strict=True):
             raw = text.as_py().encode("utf-8", "surrogatepass")
             texts.append(kept_bytes(raw, whole_characters(raw, merged(cuts.as_py() or []))).decode("utf-8", "surrogatepass"))
             left.append(bool(texts[-1]) or not raw)

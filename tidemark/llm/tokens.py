@@ -20,7 +20,7 @@ CUT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-
 NOT_PLAIN = re.compile("[^ \t\n\r!-~À-ÖØ-öø-ÿ]")
 SPACE = re.compile("[ \t\n\r]+")
 #: Pieces in memory (twice as many for a while); characters worked on at a time.
-MOST_PIECES, GROUP = 500_000, 1 << 20
+MOST_PIECES, GROUP = 250_000, 1 << 20
 
 
 class Packed:
@@ -78,6 +78,7 @@ class Packed:
             get = self.held.__getitem__
             for pieces in cut:
                 yield b"".join(map(get, pieces))
+        self.older = {}
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:

@@ -38,7 +38,7 @@ LEAST_DOCS, RATE, DECAY, EPOCHS = 4, 0.1, 2e-4, 12
 #: Buckets for the length of a text, in powers of two, after the hashed ones.
 LENGTHS = 32
 THRESHOLD = 0.7
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def telling(there: np.ndarray, totals: np.ndarray, most: int = FEATURES) -> np.n
 def _by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = (1 << BITS) + LENGTHS
     there, totals = np.zeros((size, 2), np.int64), np.zeros(2, np.int64)
-    for batch in pieces(batches, "text", PIECE_BYTES):
+    for batch in pieces(batches, PIECE_BYTES):
         owner, bucket = terms(batch.column(0).fill_null("").to_pylist())
         pair = np.unique(owner * size + bucket)
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -155,7 +155,7 @@ def _by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gather(held, features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = held.value
-        for batch in pieces(batches, "text", PIECE_BYTES):
+        for batch in pieces(batches, PIECE_BYTES):
             owner, bucket = terms(batch.column(0).fill_null("").to_pylist())
             feature = kept[bucket]
             row, feature, value = counted(owner[feature >= 0], feature[feature >= 0].astype(np.int64), features)
@@ -206,7 +206,7 @@ def train(documents: DataFrame, labels: DataFrame, most_sample: int = MOST_SAMPL
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = held.value
-        for batch in pieces(batches, "text", PIECE_BYTES):
+        for batch in pieces(batches, PIECE_BYTES):
             scores = machine.scores(batch.column(0).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
 
