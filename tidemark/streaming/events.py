@@ -5,7 +5,7 @@ Streams carry ``event_id, ts (timestamp), name, user_id, anon_id, props``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -80,13 +80,18 @@ def daily_rollup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def _hold(state: GroupState, value: tuple, until: int) -> None:
-    """Keep a value until the watermark passes a moment (milliseconds); not at all if it has passed already."""
-    if until > state.getCurrentWatermarkMs():
-        state.update(value)
-        state.setTimeoutTimestamp(until)
-    elif state.exists:
-        state.remove()
+def _holder() -> Callable[[GroupState, tuple, int], None]:
+    """Made by a factory so that workers get it by value."""
+
+    def hold(state: GroupState, value: tuple, until: int) -> None:
+        """Keep a value until the watermark passes a moment (milliseconds); not at all if it has passed already."""
+        if until > state.getCurrentWatermarkMs():
+            state.update(value)
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+
+    return hold
 
 
 def rate_limiter(hits: DataFrame, limit: int, window_seconds: int = 60, delay: str = "1 hour") -> DataFrame:
@@ -97,7 +102,7 @@ def rate_limiter(hits: DataFrame, limit: int, window_seconds: int = 60, delay: s
     one task holds.
     """
     width = int(window_seconds) * 1_000_000
-    place_hits = e.anchored_window(width)
+    place_hits, hold = e.anchored_window(width), _holder()
 
     def place(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -106,7 +111,7 @@ def rate_limiter(hits: DataFrame, limit: int, window_seconds: int = 60, delay: s
         pdf = pd.concat(list(chunks)).sort_values(["at", "event_id"])
         start, count = state.get if state.exists else (None, 0)
         ranks, start, count = place_hits(pdf["at"].to_numpy(), start, count)
-        _hold(state, (start, count), (start + width) // 1000)
+        hold(state, (start, count), (start + width) // 1000)
         yield pd.DataFrame(
             {"identity": key[0], "event_id": pdf["event_id"].to_numpy(), "place": ranks, "rejected": ranks > limit}
         )
@@ -131,7 +136,7 @@ def funnel_progress(
     that comes a batch too late counts from where the identity stands (batch results may differ).
     """
     wanted = [frozenset(names) for _, names in steps]
-    every = sorted(set().union(*wanted))
+    every, hold = sorted(set().union(*wanted)), _holder()
 
     def advance(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -147,7 +152,7 @@ def funnel_progress(
             low += int(hits[0]) + 1
             reached.append((key[0], stage, int(ids[low - 1])))
             stage += 1
-        _hold(state, (stage,), int(pdf["at"].iloc[-1]) // 1000 + look_back_days * 86_400_000)
+        hold(state, (stage,), int(pdf["at"].iloc[-1]) // 1000 + look_back_days * 86_400_000)
         yield pd.DataFrame(reached, columns=["identity", "stage", "event_id"])
 
     rows = stream.withWatermark("ts", delay).where(F.col("name").isin(every)).select(
