@@ -9,7 +9,7 @@ def test_notices_are_found(frame, nothing):
     half = len(apache) // 2
     docs = [
         (1, "Some prose.\nReleased under the MIT license\nMore."),
-        (2, "x\n\n" + apache[:half] + "\n" + apache[half:] + "\n\ny"),
+        (2, "many other words stand here " * 20 + "\n\n" + apache[:half] + "\n" + apache[half:] + "\n\ny"),
         (3, mit.replace("Permission is hereby granted", "Permission is granted").replace(" ", "\n", 5)),
         (4, "the license of the work is not stated and nothing is released"), (5, None), (6, ""), (7, "license"), (8, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0!"),
         (8, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0!"), (9, "word " * 50_000),
