@@ -78,14 +78,19 @@ def numbered_bigrams(text: str) -> list[str]:
     return out
 
 
+#: Words that any English text has; they are the last to be chosen.
+COMMON = set("a and any as at be by can for from if in is it may no not of on or other such that the this to under use was which with without you".split())
+
+
 def needed_words(text: str, least: float) -> list[str]:
     """Words of which every passage that matches holds one: the bigrams without them are too few."""
     words = normal_words(text)
     pairs = list(zip(words, words[1:], strict=False))
+    worth = lambda w: sum(w in p for p in pairs) * (min(len(w), 8) if w not in COMMON else 0.1)
     shared = math.ceil(len(pairs) * least / (2 - least) - 1e-9)
     chosen: list[str] = []
     while len(pairs) >= shared:
-        left = sorted({w for p in pairs for w in p}, key=lambda w: (-sum(w in p for p in pairs) * min(len(w), 8), w))
+        left = sorted({w for p in pairs for w in p}, key=lambda w: (-worth(w), w))
         chosen.append(left[0])
         pairs = [p for p in pairs if left[0] not in p]
     return chosen
@@ -112,7 +117,8 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     bigrams = {name: numbered_bigrams(text) for name, text in templates.items()}
     low = {name: len(b) * least / (2 - least) - 1e-9 for name, b in bigrams.items()}
     high = {name: len(b) * (2 - least) / least + 1e-9 for name, b in bigrams.items()}
-    words = sorted({w for text in templates.values() for w in needed_words(text, least)})
+    needed = {w for text in templates.values() for w in needed_words(text, least)}
+    words = sorted(w for w in needed if not any(v in w for v in needed - {w}))  # who holds a word holds its parts
     text = F.lower(F.col("text").cast("string"))
     holds = lambda c: functools.reduce(operator.or_, [F.contains(c, F.lit(w)) for w in words])
     some = documents.filter(holds(text))  # no passage of the others can match
