@@ -215,6 +215,19 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, parts: int = PAR
     return _rooted(rows, F.col("doc_id"), radius, parts).select("doc_id", "fp", "component_id")
 
 
+def row_key(text: Column) -> list[Column]:
+    """What a row is known by: key and check."""
+    return [F.xxhash64("doc_id", text).alias("key"), F.crc32(F.coalesce(text, F.lit(""))).alias("check")]
+
+
+def rows_of(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents, all columns, of the kept keys (key, check); of rows that repeat both, one."""
+    inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *row_key(F.col("text").cast("string")))
+    one = Window.partitionBy("key", "check").orderBy("key")  # cut to one per task before the shuffle
+    first = inner.withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return first.join(kept, ["key", "check"], "left_semi").select("row.*")
+
+
 def keep_one(documents: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """The documents, all columns, of which one row stays per component: that of the smallest doc_id.
 
@@ -222,11 +235,6 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, parts: int = PARTS, shi
     without doc_id stay only where their whole component has none.
     """
     text = F.col("text").cast("string")
-    key = [F.xxhash64("doc_id", text).alias("key"), F.crc32(F.coalesce(text, F.lit(""))).alias("check")]
-    rows = staged(fingerprints(documents.select("doc_id", *key, text.alias("text")), shingle, seed), "fingerprints")
+    rows = staged(fingerprints(documents.select("doc_id", *row_key(text), text.alias("text")), shingle, seed), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "check")
-    kept = _rooted(rows, order, radius, parts).select("component_id.key", "component_id.check").distinct()
-    inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *key)
-    one = Window.partitionBy("key", "check").orderBy("key")  # cut to one per task before the shuffle
-    first = inner.withColumn("n", F.row_number().over(one)).filter("n = 1")
-    return first.join(kept, ["key", "check"], "left_semi").select("row.*")
+    return rows_of(documents, _rooted(rows, order, radius, parts).select("component_id.key", "component_id.check").distinct())
