@@ -56,3 +56,24 @@ def test_pages(spark, frame):
     odd = frame([(1, "u", None), (1, "u", None), (None, None, "<p>x")], "page_id long, url string, html string")
     assert sorted((tuple(r) for r in extract(odd).collect()), key=str) == [(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1)]
     assert extract(odd.limit(0)).count() == 0
+
+
+ARTICLE = f"<article><h1>Flood</h1><p>{P1}</p><p>{P2}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        '<svg class="icon"/>', "<math/>", "<object data=x>", "<div><canvas></div>", "<template>", "<noscript>", "<svg><title/><path d='M0'/></svg>",
+        "<svg><g><svg><text>a</text></svg><text>b</text></g></svg>", "<object><object>a</object>b</object>", "<template><template>a</template>b</template>",
+        "<canvas>old</canvas>", "<noscript><p>no script</p></noscript>",
+    ],
+)
+def test_embedded_elements_end_where_they_end(before):
+    for page in (f"<body>{before}{ARTICLE}</body>", f"<body>{before}{ARTICLE}<div><svg><path/></svg><canvas></canvas></div></body>"):
+        assert main_text(page) == one(f"Flood {P1} {P2}")
+
+
+def test_formulas_stay():
+    page = f"<article><p>{P1}</p><p>so <math><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></math>.</p></article>"
+    assert main_text(page) == one(f"{P1} so x2=4.")

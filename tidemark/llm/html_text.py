@@ -30,10 +30,13 @@ from pyspark.sql import types as T
 
 #: Fixed: elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title iframe noembed noframes xmp noscript template svg math canvas object".split())
+RAW = set("script style textarea title iframe noembed noframes xmp".split())
+#: Elements with markup inside that a page does not show. One without an end of its own holds nothing.
+EMBEDDED = set("noscript template svg canvas object".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom".split()
 )
 #: Elements between two text runs that do not part them.
 UNSEEN = INLINE | set("script style template noscript".split())
@@ -78,6 +81,7 @@ class Tree:
         self.tag: list[str] = ["body"]
         self.text: list[str] = [""]
         self.named: list[bool] = [False]
+        self.ended: set[int] = set()  # nodes with an end tag of their own
 
     def add(self, parent: int, tag: str, text: str = "", named: bool = False) -> int:
         self.parent.append(parent)
@@ -101,10 +105,12 @@ def parse(page: str) -> Tree:
         if run:
             tree.add(stack[-1], "", html.unescape(run))
 
-    def end(names: set[str], beyond: set[str]) -> None:
+    def end(names: set[str], beyond: set[str], own: bool = False) -> None:
         """Close down to the nearest open element of these names, unless one of ``beyond`` is nearer."""
         for depth in range(len(stack) - 1, 0, -1):
             if tree.tag[stack[depth]] in names:
+                if own:
+                    tree.ended.add(stack[depth])
                 del stack[depth:]
                 return
             if tree.tag[stack[depth]] in beyond:
@@ -124,7 +130,7 @@ def parse(page: str) -> Tree:
         if name in ("html", "body"):
             continue
         if closing:
-            end({name}, {"td", "th", "table"} - {name} if name in ("p", "li", "div", "span", "a", "b") else set())
+            end({name}, {"td", "th", "table"} - {name} if name in ("p", "li", "div", "span", "a", "b") else set(), own=True)
             continue
         if name in CLOSES_P:
             end({"p"}, {"td", "th", "table", "li", "div", "article", "section", "main", "button", "blockquote", "aside", "footer", "header", "nav"})
@@ -133,10 +139,11 @@ def parse(page: str) -> Tree:
         if name in ENDS:
             end(*ENDS[name])
         node = tree.add(stack[-1], name, named=bool(attributes) and "=" in attributes and _named_aside(attributes))
-        if name in RAW:
+        empty = attributes.endswith("/")
+        if name in RAW and not (empty and any(tree.tag[k] in ("svg", "math") for k in stack)):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-        elif name not in VOID and not attributes.endswith("/"):
+        elif name not in VOID and not empty:
             stack.append(node)
 
 
@@ -154,7 +161,7 @@ def _left_out(tree: Tree) -> list[bool]:
     for k in range(1, count):
         up = tree.parent[k]
         inside[k] = inside[up] or tree.tag[k] in ("article", "main")
-        own = tree.tag[k] in NOT_TEXT or (tree.tag[k] == "header" and not inside[up]) or (tree.named[k] and not holds[k])
+        own = tree.tag[k] in NOT_TEXT or (tree.tag[k] in EMBEDDED and k in tree.ended) or (tree.tag[k] == "header" and not inside[up]) or (tree.named[k] and not holds[k])
         out[k] = out[up] or own
     return out
 
