@@ -77,3 +77,27 @@ def test_embedded_elements_end_where_they_end(before):
 def test_formulas_stay():
     page = f"<article><p>{P1}</p><p>so <math><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></math>.</p></article>"
     assert main_text(page) == one(f"{P1} so x2=4.")
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="discussion">{}</section>', '<h2 id="search-results">{}</h2>', '<h3 id="related-work">{}</h3>', '<p class="notice">{}</p>',
+        '<div id="social-impact">{}</div>', '<p>so <span class="comment">{}</span></p>',
+    ],
+)
+def test_named_parts_of_the_article_stay(part):
+    page = f"<body>{NAV}<article><h1>Flood</h1><p>{P1}</p>{part.format('the words of it')}<p>{P2}</p></article></body>"
+    assert main_text(page) == one(f"Flood {P1} {'so ' if 'span' in part else ''}the words of it {P2}")
+
+
+@pytest.mark.parametrize("name", ["comments", "share-buttons", "related-posts", "left-sidebar", "cookie-notice"])
+def test_named_containers_inside_the_article_go(name):
+    page = f'<body><article><h1>Flood</h1><p>{P1}</p><div class="{name}"><p>not of it</p></div><p>{P2}</p></article></body>'
+    assert main_text(page) == one(f"Flood {P1} {P2}")
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "post has-comments", "page-search-hidden"])
+def test_a_named_wrapper_of_the_text_stays(name):
+    page = f'<body>{NAV}<div class=top><h1>Flood</h1></div><div class="{name}"><p>{P1}</p><p>{P2}</p></div><div class="sidebar"><p>{P1[:100]}</p></div></body>'
+    assert one(f"{P1} {P2}") in main_text(page) and main_text(page).count(P1[:60]) == 3  # P1 says it three times

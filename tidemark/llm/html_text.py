@@ -62,6 +62,19 @@ ASIDE = set(
     "sidebar sidebars rail widget widgets comment comments commentlist disqus replies respond discussion menu menus nav navbar navigation "
     "breadcrumb breadcrumbs pagination pager masthead header footer copyright skip toolbar complementary contentinfo search login".split()
 )
+#: Further parts of names such as ``share-buttons`` or ``left-sidebar``.
+FILLER = set(
+    "area bar block bottom box btn button buttons container content entry form global group inner item items left link links list main outer "
+    "page panel post posts primary right row secondary section site slot top unit wrap wrapper".split()
+)
+#: Words that as an id of a part of the article may be the anchor of its heading.
+TOPICS = set(
+    "ad ads alert banner comment cookie cookies copyright discussion footer gdpr header login menu menus navigation notice notices "
+    "notification overlay promotion related search share sharing social sponsor".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that may be left out by name inside an article.
+CONTAINERS = set("div section article ul ol dl table center details header".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -80,10 +93,10 @@ class Tree:
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["body"]
         self.text: list[str] = [""]
-        self.named: list[bool] = [False]
+        self.named: list[int] = [0]
         self.ended: set[int] = set()  # nodes with an end tag of their own
 
-    def add(self, parent: int, tag: str, text: str = "", named: bool = False) -> int:
+    def add(self, parent: int, tag: str, text: str = "", named: int = 0) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.text.append(text)
@@ -91,11 +104,21 @@ class Tree:
         return len(self.tag) - 1
 
 
-def _named_aside(attributes: str) -> bool:
-    for _, *values in NAMED.findall(attributes):
-        if any(word.lower() in ASIDE for word in PART.findall("".join(values))):
-            return True
-    return False
+def _named_aside(attributes: str) -> int:
+    """How far class, id or role mark what is not the article: 0 not, 1 a part of a name, 2 a topic as the id, 3 a whole name."""
+    most = 0
+    for attribute, *values in NAMED.findall(attributes):
+        for name in "".join(values).split():
+            words = [word.lower() for word in PART.findall(name)]
+            if not any(word in ASIDE for word in words):
+                continue
+            if not all(word in ASIDE or word in FILLER or word.isdigit() for word in words):
+                most = max(most, 1)
+            elif attribute.lower() == "id" and len(words) == 1 and words[0] in TOPICS:
+                most = max(most, 2)
+            else:
+                most = 3
+    return most
 
 
 def parse(page: str) -> Tree:
@@ -138,7 +161,7 @@ def parse(page: str) -> Tree:
             end({"head"}, set())
         if name in ENDS:
             end(*ENDS[name])
-        node = tree.add(stack[-1], name, named=bool(attributes) and "=" in attributes and _named_aside(attributes))
+        node = tree.add(stack[-1], name, named=_named_aside(attributes) if attributes and "=" in attributes else 0)
         empty = attributes.endswith("/")
         if name in RAW and not (empty and any(tree.tag[k] in ("svg", "math") for k in stack)):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -147,22 +170,53 @@ def parse(page: str) -> Tree:
             stack.append(node)
 
 
+def _bulk(tree: Tree, shown: list[bool]) -> list[int]:
+    """Characters of each node that are not in links, of nodes that are shown."""
+    count = len(tree.tag)
+    chars = [0] * count
+    for k in range(count - 1, 0, -1):
+        if not tree.tag[k]:
+            chars[k] = len(" ".join(tree.text[k].split()))
+        if shown[k] and tree.tag[k] != "a":
+            chars[tree.parent[k]] += chars[k]
+    return chars
+
+
 def _left_out(tree: Tree) -> list[bool]:
-    """Whether a node belongs to menus, notices and the like. A class or id does not take out the article itself."""
+    """Whether a node belongs to menus, notices and the like.
+
+    A class or id does not take out the article itself: what holds a ``h1``, ``main`` or ``article``, or,
+    on a page without the latter two, most of the text outside links (nearly all of it, if the whole name
+    says so). Inside an article only containers go by their name, and only by a whole name; headings never go.
+    """
     count = len(tree.tag)
     holds = [False] * count
+    marked = False
+    inside = [False] * count
+    shown = [True] * count
+    for k in range(1, count):
+        inside[k] = inside[tree.parent[k]] or tree.tag[k] in ("article", "main")
+        marked = marked or tree.tag[k] == "main" or (tree.tag[k] == "article" and not tree.named[k])
+        head = tree.tag[k] == "header" and not inside[tree.parent[k]]
+        shown[k] = not (tree.tag[k] in NOT_TEXT or (tree.tag[k] in EMBEDDED and k in tree.ended) or head)
     for k in range(count - 1, 0, -1):
-        if tree.tag[k] in ("h1", "main") or (tree.tag[k] == "article" and not tree.named[k]):
+        if tree.tag[k] in ("h1", "main") or (tree.tag[k] == "article" and tree.named[k] < 2):
             holds[k] = True
         if holds[k]:
             holds[tree.parent[k]] = True
+    chars = _bulk(tree, shown)
     out = [False] * count
-    inside = [False] * count
     for k in range(1, count):
-        up = tree.parent[k]
-        inside[k] = inside[up] or tree.tag[k] in ("article", "main")
-        own = tree.tag[k] in NOT_TEXT or (tree.tag[k] in EMBEDDED and k in tree.ended) or (tree.tag[k] == "header" and not inside[up]) or (tree.named[k] and not holds[k])
-        out[k] = out[up] or own
+        up, named, tag = tree.parent[k], tree.named[k], tree.tag[k]
+        if inside[up]:
+            goes = named == 3 and tag in CONTAINERS
+        elif tag in HEADINGS:
+            goes = False
+        else:
+            goes = named >= (2 if tag == "p" or tag in INLINE else 1)
+        if goes and not marked and chars[k] > (0.8 if named >= 2 else 0.5) * chars[0]:
+            goes = False
+        out[k] = out[up] or not shown[k] or (goes and not holds[k])
     return out
 
 
