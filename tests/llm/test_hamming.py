@@ -31,3 +31,23 @@ def test_few_rows(frame):
     assert [tuple(r) for r in hamming.top_k(df, df.filter("vec_id = 0")).collect()] == [(0, 1, 1, 64)]
     assert hamming.top_k(df.limit(0), df).count() == 0
     assert hamming.top_k(df, df.limit(0)).count() == 0
+
+
+def test_ids_with_many_vectors(frame, monkeypatch):
+    monkeypatch.setattr(hamming, "SHARD_ROWS", 64)
+    random = np.random.default_rng(3)
+    base = random.normal(size=64)
+    near = lambda: [float(x) for x in np.where(random.random(64) < 0.1, -base, base)]
+    rows = [(0, near()) for _ in range(40)] + [(7, near()) for _ in range(60)] + [(9, near()) for _ in range(5)]
+    rows += [(100 + k, [float(x) for x in random.normal(size=64)]) for k in range(50)]
+    df = vectors(frame, rows)
+    out = hamming.top_k(df, df.filter("vec_id % 50 = 0"), k=7).collect()
+    code = [(k, sum(1 << b for b, x in enumerate(v) if x > 0)) for k, v in rows]
+    want = []
+    for query in (0, 100):
+        least = {}
+        for k, c in code:
+            if k != query:
+                least[k] = min(least.get(k, 64), *((c ^ own).bit_count() for q, own in code if q == query), 64)
+        want += [(query, n + 1, k, d) for n, (d, k) in enumerate(sorted((d, k) for k, d in least.items())[:7])]
+    assert sorted(tuple(r) for r in out) == sorted(want)

@@ -65,6 +65,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, code: np.ndarray):
         self.ids, self.code = ids, code
+        self.distinct = len(np.unique(ids))
         self.rows, self.starts = [], []
         for segment in range(SEGMENTS):
             key = self.key(code, segment)
@@ -101,7 +102,7 @@ class Index:
                 yield np.repeat(at + part // len(flips), count[part]), rows[spans(starts[wanted[part]], count[part])]
 
     def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, distance, id) of the k nearest rows of each query code, ties by id."""
+        """(query, distance, id) of the k nearest distinct ids of each query code, ties by id."""
         none = np.zeros(0, np.int64)
         found = (none, none, none)  # query, distance, row
         active = np.arange(len(query))
@@ -115,16 +116,19 @@ class Index:
                 worst = np.zeros(len(query), np.int64)
                 np.maximum.at(worst, found[0], found[1])
                 covered = SEGMENTS * radius + segment
-                active = active[~((kept[active] >= min(k, len(self.code))) & (worst[active] <= covered))]
+                active = active[~((kept[active] >= min(k, self.distinct)) & (worst[active] <= covered))]
                 if not len(active):
                     return found[0], found[1], self.ids[found[2]]
         return found[0], found[1], self.ids[found[2]]
 
     def _best(self, q: np.ndarray, distance: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((row, self.ids[row], distance, q))
+        order = np.lexsort((distance, self.ids[row], q))  # an id counts once, with its nearest row
         q, distance, row = q[order], distance[order], row[order]
-        fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (row[1:] != row[:-1])]) if len(q) else np.zeros(0, bool)
+        ids = self.ids[row]
+        fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]) if len(q) else np.zeros(0, bool)
         q, distance, row = q[fresh], distance[fresh], row[fresh]
+        order = np.lexsort((self.ids[row], distance, q))
+        q, distance, row = q[order], distance[order], row[order]
         first = np.searchsorted(q, q, "left")
         keep = np.arange(len(q)) - first < k
         return q[keep], distance[keep], row[keep]
@@ -153,7 +157,7 @@ def _search(held, k: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_codes: int = BLOCK_CODES) -> DataFrame:
-    """(query_id, rank, neighbour_id, distance): the k nearest rows of every query, by Hamming distance of the codes."""
+    """(query_id, rank, neighbour_id, distance): the k nearest ids of every query, by Hamming distance of the codes."""
     spark = vectors.sparkSession
     coded = codes(vectors)
     same = Window.partitionBy("code").orderBy("vec_id")
@@ -170,9 +174,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_codes: int =
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
     best = Window.partitionBy("code").orderBy("distance", "neighbour_id")
+    # an id that stands in several rows counts once, with its nearest code, before the cut
+    found = found.groupBy("code", "neighbour_id").agg(F.min("distance").alias("distance"))
     found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     own = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     pairs = asked.withColumnRenamed("vec_id", "query_id").join(found, "code").filter("query_id <> neighbour_id")
-    # an id that stands in several rows counts once, with its nearest code
+    # a query id may have several codes too
     pairs = pairs.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
