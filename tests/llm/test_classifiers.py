@@ -79,3 +79,11 @@ def test_pairs_mean_more_than_their_sum():
         return 1 / (1 + np.exp(-raw))
 
     assert p([0, 1]) > 0.7 and p([2]) > 0.7 and p([0, 2]) < 0.3 and p([1, 3]) < 0.3
+
+
+def test_rare_toxic_terms_are_counted_in_all_labelled_rows(frame):
+    ids = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1][:500]
+    rows = [(k, f"some words of number {k} " + ("awful " if n % 10 == 0 else "fine ") + ("zorgle" if n % 80 == 0 else "")) for n, k in enumerate(ids)]
+    labels = frame([(k, int(n % 10 == 0)) for n, k in enumerate(ids)], "doc_id long, toxic int")
+    machine = toxicity.train(frame(rows, "doc_id long, text string"), labels, most_sample=100)
+    assert all(machine.kept[b] >= 0 for b in toxicity.terms(["zorgle"])[1][:1])

@@ -5,14 +5,14 @@ letters, which stand for inflected forms; words count up to twelve letters. They
 ``1 << BITS`` buckets. A factorization machine scores a text by linear weights and by a product of
 factors for every pair of its terms, so that two terms can mean more together than the sum of both.
 
-The model is learned from a sample of about ``most_sample`` labelled rows. One pass counts
-documents by bucket and label, and the ``FEATURES`` buckets that tell most about the label (G test)
-are kept; a second pass gathers the counts of those. Documents are then scored in one pass without
+One pass counts all labelled documents by bucket and label, and the ``FEATURES`` buckets that tell most about the label (G test)
+are kept; a second pass gathers the counts of those in a sample of about ``most_sample`` labelled rows,
+from which the model is learned. Documents are then scored in one pass without
 a shuffle. Only the text is an input of a score.
 
 Defined results: a null or empty text gets the score of a text without terms; rows of the labels
 without doc_id or label are not used, of several labels for a document the larger counts; without
-labels of both kinds the score is the share of toxic ones (0 without any); repeated rows each keep a
+labels of both kinds (in all rows, or in the sample) the score is the share of toxic ones (0 without any); repeated rows each keep a
 row; an empty table gives an empty one. Other columns are not read.
 """
 
@@ -183,10 +183,12 @@ def train(documents: DataFrame, labels: DataFrame, most_sample: int = MOST_SAMPL
     grain = 1 << 24
     share = min(grain, -(-grain * most_sample // max(1, total)))
     sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share)  # about most_sample rows of two numbers
-    rows = documents.select(F.col("text").cast("string").alias("text"), "doc_id").join(F.broadcast(sample), "doc_id").select("text", "label")
+    texts = documents.select(F.col("text").cast("string").alias("text"), "doc_id")
+    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label")
+    everything = texts.join(usable, "doc_id").select("text", "label")
     size = (1 << BITS) + LENGTHS
     there, totals = np.zeros((size, 2), np.int64), np.zeros(2, np.int64)
-    counts = rows.mapInArrow(_by_label, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
+    counts = everything.mapInArrow(_by_label, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
     for bucket, clean, toxic in counts.collect():  # one row per bucket at most
         if bucket < 0:
             totals[:] = clean, toxic
@@ -200,6 +202,8 @@ def train(documents: DataFrame, labels: DataFrame, most_sample: int = MOST_SAMPL
     gathered = rows.mapInArrow(_gather(context.broadcast(kept), max(1, len(chosen))), "label int, at binary, x binary")
     vectors = gathered.limit(4 * most_sample).collect()  # a few dozen numbers each
     examples = [(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), label) for label, at, x in sorted(vectors, key=tuple)]
+    if len({label for *_, label in examples}) < 2:
+        return float(totals[1] / totals.sum())
     return Machine(kept, *learn(examples, max(1, len(chosen))))
 
 
