@@ -144,3 +144,9 @@ def test_repeated_opening_is_ambiguous(frame):
     rows = [("f", 1, text), ("f", 4, text)]
     start, _ = x.locate_sections(frame(rows, "filing_id string, page_no int, text string"))
     assert start.first().ambiguous and start.first().start_page == 4
+
+
+def test_shared_phrases_of_texts_without_an_id(frame):
+    rows = [(None, "a", "one two three four five"), (1, "b", "zero one two three"), (2, "c", "one two three six"), (None, "d", "red green blue"), (None, "e", "red green blue")]
+    out = x.shared_phrases(frame(rows, "doc_id long, company string, text string"), ["doc_id"], "company", "text", threshold=2, n=3)
+    assert {(r.phrase, r.company_count) for r in out.collect()} == {("one two three", 3), ("red green blue", 2)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -66,14 +68,16 @@ def shared_phrases(
     cut = texts.select(*ids, *more, t.words(F.col(text)).alias("__words"))
     keys = F.transform(t.shingles(F.col("__words"), n), lambda p, i: F.struct(t.short_digest(p).alias("key"), i.alias("at")))
     rows = cut.select(*ids, *more, F.explode(keys).alias("k"))
-    pointer = F.struct(*ids, F.col("k.at").alias("at")).alias("pointer")
+    none = [F.col(c).isNull().alias(f"__none{k}") for k, c in enumerate(ids)]  # a null id is pointed to last
+    pointer = F.struct(*none, *ids, F.col("k.at").alias("at")).alias("pointer")
     rows = rows.select(F.col(company).alias("__company"), F.col("k.key").alias("phrase_key"), pointer)
     per_company = rows.groupBy("phrase_key", "__company").agg(F.min("pointer").alias("pointer"))
     shared = per_company.groupBy("phrase_key").agg(F.count(F.lit(1)).alias("company_count"), F.min("pointer").alias("pointer"))
     shared = shared.where(F.col("company_count") >= threshold).select("phrase_key", "company_count", "pointer.*")
-    words = texts.select(*ids, t.words(F.col(text)).alias("__words"))
+    words = texts.select(*[F.col(c).alias(f"__id{k}") for k, c in enumerate(ids)], t.words(F.col(text)).alias("__words"))
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"__id{k}")) for k, c in enumerate(ids)])
     phrase = F.array_join(F.slice("__words", F.col("at") + 1, n), " ").alias("phrase")
-    found = shared.join(words, list(ids)).select("phrase_key", phrase, "company_count")
+    found = shared.join(words, same).select("phrase_key", phrase, "company_count")
     found = found.where(t.short_digest(F.col("phrase")) == F.col("phrase_key")).dropDuplicates(["phrase_key"])
     return found.select(F.sha2("phrase", 256).alias("phrase_hash"), "phrase", "company_count")
 
