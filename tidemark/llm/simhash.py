@@ -85,16 +85,18 @@ def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def near(planes: np.ndarray, codes: np.ndarray, words: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each comparison (a code, a word of 64 members) the lanes within the radius, out of ``lanes``.
 
-    Returns the comparisons with such lanes, and the lanes. Two planes at a time go through a
+    ``codes`` has a row for every 64 planes, or is one such row. Returns the comparisons with such lanes, and the lanes. Two planes at a time go through a
     carry-save adder into counters of the lanes; a carry out of the top counter is above any radius.
     """
-    index, levels = np.arange(len(codes)), radius.bit_length()
+    limbs = np.atleast_2d(codes)
+    index, levels = np.arange(len(words)), radius.bit_length()
     dead = ~lanes
     counters = [np.zeros_like(lanes) for _ in range(levels)]
     zero = np.uint64(0)
-    for plane in range(0, 64, 2):
-        a = planes[plane][words] ^ (zero - (codes >> np.uint64(plane) & np.uint64(1)))
-        b = planes[plane + 1][words] ^ (zero - (codes >> np.uint64(plane + 1) & np.uint64(1)))
+    for plane in range(0, len(planes), 2):
+        limb, bit = limbs[plane >> 6], plane & 63
+        a = planes[plane][words] ^ (zero - (limb >> np.uint64(bit) & np.uint64(1)))
+        b = planes[plane + 1][words] ^ (zero - (limb >> np.uint64(bit + 1) & np.uint64(1)))
         if levels:
             half = counters[0] ^ a
             carry = (counters[0] & a) | (half & b)
@@ -108,7 +110,7 @@ def near(planes: np.ndarray, codes: np.ndarray, words: np.ndarray, lanes: np.nda
             gone = dead | _over(counters, radius) if levels else dead
             keep = gone != ~zero
             if not keep.all():
-                index, words, codes, dead = index[keep], words[keep], codes[keep], dead[keep]
+                index, words, limbs, dead = index[keep], words[keep], limbs[:, keep], dead[keep]
                 counters = [c[keep] for c in counters]
                 if not len(index):
                     break
