@@ -5,10 +5,11 @@ letters, which stand for inflected forms; words count up to twelve letters. They
 ``1 << BITS`` buckets. A factorization machine scores a text by linear weights and by a product of
 factors for every pair of its terms, so that two terms can mean more together than the sum of both.
 
-One pass counts all labelled documents by bucket and label, and the ``FEATURES`` buckets that tell most about the label (G test)
-are kept; a second pass gathers the counts of those in a sample of about ``most_sample`` labelled rows,
-from which the model is learned. Documents are then scored in one pass without
-a shuffle. Only the text is an input of a score.
+Labels go to the tasks in blocks of at most ``BLOCK_LABELS`` ids, sorted, and no text is shuffled to meet its label:
+one pass for each block counts all its labelled documents by bucket and label. The ``FEATURES`` buckets that tell
+most about the label (G test) are kept; a second pass gathers the counts of those in a sample of about
+``most_sample`` labelled ids, of each the first ``ROWS_PER_ID`` different texts, from which the model is learned. Documents
+are then scored in one pass without a shuffle. Only the text is an input of a score.
 
 Defined results: a null or empty text gets the score of a text without terms; rows of the labels
 without doc_id or label are not used, of several labels for a document the larger counts; without
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +32,10 @@ from tidemark.llm.columns import pieces
 from tidemark.llm.language import _letters
 
 BITS, BEGINNINGS, LONGEST = 18, (5, 6, 7, 8), 12
-#: Expected number of labelled rows that are learned from, kept buckets, size of the factors.
-MOST_SAMPLE, FEATURES, FACTORS = 12_000, 1500, 8
+#: Expected number of labelled ids that are learned from, different texts of each, kept buckets, size of the factors.
+MOST_SAMPLE, ROWS_PER_ID, FEATURES, FACTORS = 12_000, 2, 1500, 8
+#: Labels that are broadcast at once (nine bytes each).
+BLOCK_LABELS = 4_000_000
 #: Documents that a bucket must occur in, learning rate, penalties of weights and factors, passes.
 LEAST_DOCS, RATE, DECAY, EPOCHS = 4, 0.1, 2e-4, 12
 #: Buckets for the length of a text, in powers of two, after the hashed ones.
@@ -138,31 +141,56 @@ def telling(there: np.ndarray, totals: np.ndarray, most: int = FEATURES) -> np.n
     return np.sort(order[g[order] > 3.0])
 
 
-def _by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = (1 << BITS) + LENGTHS
-    there, totals = np.zeros((size, 2), np.int64), np.zeros(2, np.int64)
-    for batch in pieces(batches, PIECE_BYTES):
-        owner, bucket = terms(batch.column(0).fill_null("").to_pylist())
-        pair = np.unique(owner * size + bucket)
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        np.add.at(there, (pair % size, label[pair // size]), 1)
-        totals += np.bincount(label, minlength=2)
-    found = np.flatnonzero(there.sum(axis=1))
-    names = ["bucket", "clean", "toxic"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), *(pa.array(np.append(there[found, k], totals[k])) for k in (0, 1))], names)
-
-
-def _gather(held, features: int):
+@dataclass
+class Labels:
+    """A block of labels: ids in order, and of each its label, plus two if it is in the sample."""
+
+    ids: np.ndarray
+    kinds: np.ndarray
+
+    def of(self, batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        """The rows (text, id) with a label, and their kinds."""
+        ids = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.searchsorted(self.ids, ids)
+        place[place == len(self.ids)] = 0
+        there = (self.ids[place] == ids) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array(there)), self.kinds[place[there]]
+
+
+def _by_label(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = held.value
+        labels, size = held.value, (1 << BITS) + LENGTHS
+        there, totals = np.zeros((size, 2), np.int64), np.zeros(2, np.int64)
         for batch in pieces(batches, PIECE_BYTES):
+            batch, kinds = labels.of(batch)
+            if len(batch):
+                owner, bucket = terms(batch.column(0).fill_null("").to_pylist())
+                pair = np.unique(owner * size + bucket)
+                np.add.at(there, (pair % size, kinds[pair // size] & 1), 1)
+                totals += np.bincount(kinds & 1, minlength=2)
+        found = np.flatnonzero(there.sum(axis=1))
+        names = ["bucket", "clean", "toxic"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), *(pa.array(np.append(there[found, k], totals[k])) for k in (0, 1))], names)
+
+    return run
+
+
+def _gather(labelled, held, features: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, kept = labelled.value, held.value
+        for batch in pieces(batches, PIECE_BYTES):
+            batch, kinds = labels.of(batch)
+            batch, kinds = batch.filter(pa.array(kinds > 1)), kinds[kinds > 1]
+            if not len(batch):
+                continue
             owner, bucket = terms(batch.column(0).fill_null("").to_pylist())
             feature = kept[bucket]
             row, feature, value = counted(owner[feature >= 0], feature[feature >= 0].astype(np.int64), features)
             cut = np.searchsorted(row, np.arange(len(batch) + 1))
             at = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             x = [value[a:b].astype("<f4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["label", "at", "x"])
+            columns = [batch.column(1), pa.array((kinds & 1).astype(np.int32)), pa.array(at, pa.binary()), pa.array(x, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "at", "x"])
 
     return run
 
@@ -172,36 +200,56 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def train(documents: DataFrame, labels: DataFrame, most_sample: int = MOST_SAMPLE) -> Machine | float:
+def label_blocks(labels: DataFrame, most_sample: int, block_labels: int) -> Iterator[Labels]:
+    """The labels (id, toxic) without those that are held out, in blocks by a hash of the id."""
+    usable = labels.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("label"))
+    total = usable.count()
+    grain = 1 << 24
+    share = min(grain, -(-grain * most_sample // max(1, total)))
+    kinds = F.col("label") + F.when(F.pmod(F.xxhash64("id"), F.lit(grain)) < share, 2).otherwise(0)
+    count = -(-total // block_labels)
+    part = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(max(1, count)))
+    for block in range(count):
+        found = usable.filter(part == block).select("id", kinds.cast("byte").alias("kind")).toArrow()  # about block_labels rows
+        ids, kind = found.column("id").to_numpy(), found.column("kind").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        yield Labels(ids[order], kind[order])
+
+
+def train(documents: DataFrame, labels: DataFrame, most_sample: int = MOST_SAMPLE, block_labels: int = BLOCK_LABELS) -> Machine | float:
     """A machine from documents (doc_id, text) and labels (doc_id, toxic), without held-out rows.
 
     The share of toxic labels instead, if there are none of one kind.
     """
     context = documents.sparkSession.sparkContext
-    usable = labels.filter(~held_out()).dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    total = usable.count()
-    grain = 1 << 24
-    share = min(grain, -(-grain * most_sample // max(1, total)))
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share)  # about most_sample rows of two numbers
-    texts = documents.select(F.col("text").cast("string").alias("text"), "doc_id")
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label")
-    everything = texts.join(usable, "doc_id").select("text", "label")
+    whole = isinstance(documents.schema["doc_id"].dataType, T.IntegralType) and isinstance(labels.schema["doc_id"].dataType, T.IntegralType)
+    own = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string")))
+    usable = labels.filter(~held_out()).dropna(subset=["doc_id", "toxic"]).select(own.alias("id"), "toxic")
+    texts = documents.select(F.col("text").cast("string").alias("text"), own.alias("id"))
     size = (1 << BITS) + LENGTHS
     there, totals = np.zeros((size, 2), np.int64), np.zeros(2, np.int64)
-    counts = everything.mapInArrow(_by_label, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
-    for bucket, clean, toxic in counts.collect():  # one row per bucket at most
-        if bucket < 0:
-            totals[:] = clean, toxic
-        else:
-            there[bucket] = clean, toxic
+    held = [context.broadcast(block) for block in label_blocks(usable, most_sample, block_labels)]
+    for block in held:
+        counts = texts.mapInArrow(_by_label(block), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
+        for bucket, clean, toxic in counts.collect():  # one row per bucket at most
+            if bucket < 0:
+                totals += (clean, toxic)
+            else:
+                there[bucket] += (clean, toxic)
     if not totals.all():
         return float(totals[1] / max(1, totals.sum()))
     chosen = telling(there, totals)
     kept = np.full(size, -1, np.int16)
     kept[chosen] = np.arange(len(chosen))
-    gathered = rows.mapInArrow(_gather(context.broadcast(kept), max(1, len(chosen))), "label int, at binary, x binary")
-    vectors = gathered.limit(4 * most_sample).collect()  # a few dozen numbers each
-    examples = [(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), label) for label, at, x in sorted(vectors, key=tuple)]
+    of_bucket = context.broadcast(kept)
+    examples = []
+    few = Window.partitionBy("id").orderBy("at", "x")
+    for block in held:
+        gathered = texts.mapInArrow(_gather(block, of_bucket, max(1, len(chosen))), "id long, label int, at binary, x binary").distinct()
+        vectors = gathered.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= ROWS_PER_ID).drop("n")
+        examples += [tuple(r) for r in vectors.drop("id").collect()]  # ROWS_PER_ID of the sample's ids at most, a few dozen numbers each
+        block.unpersist()
+    examples = [(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), label) for label, at, x in sorted(examples)]
     if len({label for *_, label in examples}) < 2:
         return float(totals[1] / totals.sum())
     return Machine(kept, *learn(examples, max(1, len(chosen))))
