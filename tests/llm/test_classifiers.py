@@ -36,7 +36,7 @@ def test_language_cases(frame, spark):
 def test_weights_are_sparse_and_temperature_calibrates(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train(docs)
-    assert 0 < np.mean(model.weights != 0) < 0.5
+    assert all(0 < len(kept) < 0.5 * (1 << language.BITS) for kept in model.features)
     random = np.random.default_rng(0)
     truth = random.integers(0, 3, 4000)
     logits = np.log(np.where(np.arange(3) == truth[:, None], 0.8, 0.1))
@@ -87,3 +87,113 @@ def test_rare_toxic_terms_are_counted_in_all_labelled_rows(frame):
     labels = frame([(k, int(n % 10 == 0)) for n, k in enumerate(ids)], "doc_id long, toxic int")
     machine = toxicity.train(frame(rows, "doc_id long, text string"), labels, most_sample=100)
     assert all(machine.kept[b] >= 0 for b in toxicity.terms(["zorgle"])[1][:1])
+
+
+def test_a_doc_id_with_very_many_rows_does_not_fill_the_sample(frame):
+    ids = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1][:300]
+    rows = [(k, f"number {k} says " + ("awful thing" if n % 3 == 0 else "fine thing")) for n, k in enumerate(ids)]
+    rows += [(ids[1], f"row {j} of one id fine") for j in range(3000)]
+    labels = frame([(k, int(n % 3 == 0)) for n, k in enumerate(ids)], "doc_id long, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.score(frame(rows, "doc_id long, text string"), labels, most_sample=200).collect()}
+    assert min(out[k] for n, k in enumerate(ids) if n % 3 == 0) > 0.7 > 0.3 > max(out[k] for n, k in enumerate(ids) if n % 3)
+
+
+def test_blocks_of_labels_make_no_difference(frame, documents):
+    labels = frame([(k, k % 2) for k in range(150)] + [(3, 0)], "doc_id long, toxic int")
+    one, many = (toxicity.train(documents, labels, block_labels=n) for n in (10_000, 40))
+    assert (one.kept == many.kept).all() and one.bias == many.bias and (one.weights == many.weights).all() and (one.factors == many.factors).all()
+    words = documents.selectExpr("cast(doc_id as string) doc_id", "text")
+    named = toxicity.train(words, labels.selectExpr("cast(doc_id as string) doc_id", "toxic"))
+    assert (named.kept == one.kept).all()
+
+
+def test_scores_equal_a_plain_factorization_machine(spark, documents, texts, frame):
+    """Terms one by one, every pair of terms, and counts by label, without arrays."""
+    labels = [(k, k % 2) for k in range(150)]
+    machine = toxicity.train(documents, frame(labels, "doc_id long, toxic int"))
+    for _, text in texts[::40] + [(0, None), (0, "Awful AWFUL awfully x"), (0, "")]:
+        buckets = toxicity.terms([text or ""])[1].tolist()
+        found = {}
+        for b in buckets:
+            if machine.kept[b] >= 0:
+                found[int(machine.kept[b])] = found.get(int(machine.kept[b]), 0) + 1
+        value = {f: np.log2(1.0 + n) for f, n in found.items()}
+        raw = machine.bias + sum(machine.weights[f] * v for f, v in value.items())
+        names = sorted(value)
+        for i, f in enumerate(names):
+            for g in names[i + 1 :]:
+                raw += float(machine.factors[f] @ machine.factors[g]) * value[f] * value[g]
+        assert np.isclose(machine.scores([text or ""])[0], 1 / (1 + np.exp(-raw)))
+    size = (1 << toxicity.BITS) + toxicity.LENGTHS
+    there, totals = np.zeros((size, 2), int), np.zeros(2, int)
+    known = {k: v for k, v in labels if zlib.crc32(str(k).encode()) % 3 != 1}
+    for doc_id, text in texts:
+        if doc_id in known:
+            totals[known[doc_id]] += 1
+            for b in set(toxicity.terms([text or ""])[1].tolist()):
+                there[b, known[doc_id]] += 1
+    assert (np.flatnonzero(machine.kept >= 0) == toxicity.telling(there, totals)).all()
+
+
+def test_every_language_of_a_sorted_table_is_learned(frame):
+    """Thirty languages of own letters, one after the other, and more of them than the sample could hold whole."""
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(30) for j in range(8)]
+    random = np.random.default_rng(1)
+    rows = [(60 * k + n, "".join(letters[8 * k + j] for j in random.integers(0, 8, 30)), f"l{k:02}") for k in range(30) for n in range(60)]
+    model = language.train(frame(rows, "doc_id long, text string, lang string"), most_sample=600)
+    out = language.predict(frame(rows, "doc_id long, text string, lang string").select("text", "lang"), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.99 and {r.lang_pred for r in out} == {f"l{k:02}" for k in range(30)}
+    few = language.train(frame(rows + rows[:60], "doc_id long, text string, lang string"), most_languages=3)
+    assert few.languages == ["l00", "l01", "l02"]
+
+
+def test_a_language_of_equal_texts_is_learned(frame):
+    rows = [(k, "the same english words every time", "en") for k in range(2000)]
+    rows += [(5000 + k, f"les mots numéro {k} de la langue", "fr") for k in range(2000)]
+    out = language.identify(frame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 5000 else "fr") for r in out)
+
+
+def test_the_leader_equals_a_plain_version():
+    """The update of every weight one by one, with the bias as a feature that is not penalised."""
+    random = np.random.default_rng(2)
+    rows = []
+    for _ in range(30):
+        at = np.sort(random.choice(12, 4, replace=False)) * 5000
+        rows.append((at, random.random(4) * 9, int(random.integers(3))))
+    weights, bias = language.follow_the_leader(rows, 3, seed=4)
+    z, n = {}, {}
+
+    def weight(f, c):
+        a, b = z.get((f, c), 0.0), n.get((f, c), 0.0)
+        l1 = 0.0 if f == "bias" else language.L1
+        return 0.0 if abs(a) <= l1 else -np.sign(a) * (abs(a) - l1) / ((language.BETA + b**0.5) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(4)
+    for _ in range(language.EPOCHS):
+        for k in order.permutation(len(rows)):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)), "bias": 1.0}
+            w = {(f, c): weight(f, c) for f in x for c in range(3)}
+            score = [np.exp(sum(v * w[f, c] for f, v in x.items())) for c in range(3)]
+            for f, v in x.items():
+                for c in range(3):
+                    g = v * (score[c] / sum(score) - (c == rows[k][2]))
+                    b = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - ((b + g * g) ** 0.5 - b**0.5) / language.ALPHA * w[f, c]
+                    n[f, c] = b + g * g
+    assert np.allclose(bias, [weight("bias", c) for c in range(3)])
+    assert np.allclose(weights[::5000], [[weight(f, c) for c in range(3)] for f in range(0, 1 << language.BITS, 5000)])
+
+
+def test_a_text_s_features_are_its_shares():
+    """TF-IDF logits of texts, n-gram by n-gram."""
+    texts = ["Ab  c!", "", "été", "a"]
+    features, offsets, _ = language.ngrams(texts)
+    weights = np.random.default_rng(0).normal(size=(1 << language.BITS, 2)) * (np.arange(1 << language.BITS) % 3 == 0)[:, None]
+    logits = language.Model.of(["x", "y"], weights, np.array([0.1, 0.2])).logits(features, offsets)
+    for k in range(len(texts)):
+        own = features[offsets[k] : offsets[k + 1]].tolist()
+        want = language.SCALE * sum(weights[f] for f in own) / max(1, len(own)) + np.array([0.1, 0.2]) if own else np.array([0.1, 0.2])
+        assert np.allclose(logits[k], want)
+    padded = " ab c "
+    assert len(language.ngrams(["Ab  c"])[0]) == sum(len(padded) + 1 - n for n in (1, 2, 3))

@@ -3,9 +3,13 @@
 Characters are lower-cased, every run of non-letters becomes one space, and n-grams of one to three
 characters are hashed to ``1 << BITS`` features. A feature's value is its share of the text's n-grams
 times its inverse document frequency, which is counted over all learnable documents. The weights are
-learned by follow-the-regularised-leader with elastic-net penalties, so most stay at zero, from a
-sample of about ``per_language`` documents of each language; a fifth of the sample sets the
-temperature that calibrates the scores. Documents then go through one pass without a shuffle.
+learned by follow-the-regularised-leader with elastic-net penalties, so most stay at zero and only the
+others are kept, from a sample; a fifth of the sample sets the temperature that calibrates the scores. Documents
+then go through one pass without a shuffle.
+
+The sample: rows of equal text and language count once, and each language gives those of its texts with
+the smallest hashes, ``per_language`` of them or, with many languages, its part of ``most_sample``. The
+``MOST_LANGUAGES`` values of lang with the most rows are learned.
 
 Only the text is an input of a prediction. Defined results: null texts and texts without a letter
 are ``und`` with score 0; a null doc_id is neither held out nor learned from; without learnable
@@ -23,15 +27,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.columns import pieces, spans, text_column
+from tidemark.session import staged
 
 BITS, ORDERS = 16, (1, 2, 3)
-#: Documents of each language in the training sample, and the most rows it may have in all.
-PER_LANGUAGE, MOST_SAMPLE = 800, 20_000
+#: Different texts of each language in the training sample, the most it may have in all, and the languages learned.
+PER_LANGUAGE, MOST_SAMPLE, MOST_LANGUAGES = 800, 20_000, 128
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties; passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.01, 4
 SCALE = 20.0
@@ -105,8 +110,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, lang, tuning -> the distinct features and their counts, as bytes."""
+    """text, lang, hash -> the distinct features and their counts, as bytes; once in a task for each lang and hash."""
+    seen: set[tuple] = set()
     for batch in pieces(batches, PIECE_BYTES):
+        fresh = [pair not in seen and not seen.add(pair) for pair in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
+        if not len(batch):
+            continue
         features, offsets, lettered = ngrams(_texts(batch))
         index, count = [], []
         for k in range(len(batch)):
@@ -115,24 +125,34 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index.append(found.astype("<u4").tobytes())
             count.append(n.astype("<f4").tobytes())
         columns = [batch.column(1), batch.column(2), pa.array(index, pa.binary()), pa.array(count, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "tuning", "features", "counts"])
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "hash", "features", "counts"])
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # features x languages, the inverse document frequency included
+    features: list[np.ndarray]  # of each language: the features with a weight
+    weights: list[np.ndarray]  # and their weights, the inverse document frequency included
     bias: np.ndarray
     temperature: float = 1.0
 
+    @classmethod
+    def of(cls, languages: list[str], weights: np.ndarray, bias: np.ndarray) -> Model:
+        """From weights by feature and language."""
+        kept = [np.flatnonzero(column) for column in weights.T]
+        return cls(languages, [k.astype(np.uint32) for k in kept], [weights[k, j] for j, k in enumerate(kept)], bias)
+
     def logits(self, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of each text, from the features of its n-grams."""
+        """Of each text, from the features of its n-grams; one language at a time, so memory does not grow with them."""
         count = np.diff(offsets)
         sums = np.zeros((len(count), len(self.languages)))
         some = count > 0
         if some.any():
-            taken = self.weights[features]
-            sums[some] = np.add.reduceat(taken, offsets[:-1][some], axis=0)
+            dense = np.zeros(1 << BITS)
+            for language, (kept, weights) in enumerate(zip(self.features, self.weights, strict=True)):
+                dense[kept] = weights
+                sums[some, language] = np.add.reduceat(dense[features], offsets[:-1][some])
+                dense[kept] = 0.0
         return SCALE * sums / np.maximum(count, 1)[:, None] + self.bias
 
 
@@ -189,13 +209,20 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_sample: int = MOST_SAMPLE) -> Model | None:
+def sampled(rows: DataFrame, per_language: int) -> DataFrame:
+    """(lang, hash) of the texts that are learned from: of each language the ``per_language`` smallest hashes."""
+    own = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    order = Window.partitionBy("lang").orderBy("hash")
+    return own.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
+
+
+def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_sample: int = MOST_SAMPLE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """A model from all rows of (text, lang); None if there is no language to learn."""
     rows = documents.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    if not per:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    languages = sorted(r["lang"] for r in counts.collect())
+    if not languages:
         return None
-    languages = sorted(per)
     inverse = np.zeros(1 << BITS)
     total = 0
     parts = rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -206,20 +233,19 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_sample: i
             inverse[feature] = n
     inverse = np.where(inverse > 0, np.log((1 + total) / (1 + inverse)) + 1, 0.0)
 
-    grain = 1 << 24
-    share = F.create_map(*[x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(grain, -(-grain * per_language // n))))])
-    dice = F.pmod(F.xxhash64("text", "lang"), F.lit(grain))
-    sample = rows.filter(dice < share[F.col("lang")]).withColumn("tuning", F.pmod(F.xxhash64("lang", "text", F.lit(5)), F.lit(5)) == 0)
-    vectors = sample.select("text", "lang", "tuning").mapInArrow(_vectors, "lang string, tuning boolean, features binary, counts binary").limit(most_sample)
+    known = rows.filter(F.col("lang").isin(languages))
+    few = staged(sampled(known, max(1, min(per_language, most_sample // len(languages)))), "sample")
+    hashed = known.withColumn("hash", F.xxhash64("text")).join(F.broadcast(few), ["lang", "hash"])  # most_sample rows at most
+    vectors = hashed.select("text", "lang", "hash").mapInArrow(_vectors, "lang string, hash long, features binary, counts binary").distinct()
     learn, tune = [], []
-    for lang, tuning, features, counts in sorted(vectors.collect(), key=lambda r: tuple(r)):
+    for lang, own, features, counts in sorted(tuple(r) for r in vectors.collect()):  # most_sample rows at most
         index, values = np.frombuffer(features, "<u4").astype(np.int64), np.frombuffer(counts, "<f4").astype(float)
         if len(index):
             row = (index, SCALE * values / values.sum() * inverse[index], languages.index(lang))
-            (tune if tuning else learn).append(row)
+            (tune if own % 5 == 0 else learn).append(row)
     learn = learn or tune
     weights, bias = follow_the_leader(learn, len(languages))
-    model = Model(languages, weights * inverse[:, None], bias)
+    model = Model.of(languages, weights * inverse[:, None], bias)
     if tune:
         logits = np.array([x @ weights[index] + bias for index, x, _ in tune])
         model.temperature = calibrate(logits, np.array([language for *_, language in tune]))
