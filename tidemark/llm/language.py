@@ -37,6 +37,7 @@ from tidemark.session import staged
 BITS, ORDERS = 16, (1, 2, 3)
 #: Different texts of each language in the training sample, the most it may have in all, and the languages learned.
 PER_LANGUAGE, MOST_SAMPLE, MOST_LANGUAGES = 800, 20_000, 128
+PARTS = 64
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties; passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.01, 4
 SCALE = 20.0
@@ -211,9 +212,11 @@ def held_out() -> Column:
 
 def sampled(rows: DataFrame, per_language: int) -> DataFrame:
     """(lang, hash) of the texts that are learned from: of each language the ``per_language`` smallest hashes."""
-    own = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
-    order = Window.partitionBy("lang").orderBy("hash")
-    return own.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
+    found = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    for group in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):  # parts first, so a language is not one task
+        order = Window.partitionBy(*group).orderBy("hash")
+        found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
+    return found
 
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_sample: int = MOST_SAMPLE, most_languages: int = MOST_LANGUAGES) -> Model | None:

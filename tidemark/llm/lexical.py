@@ -349,7 +349,9 @@ def rank(documents: DataFrame, items: DataFrame, k: int = K, block_terms: int =
         for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # the block's terms at most
             df[r["term"]] = r["count"]
         search = spark.sparkContext.broadcast(_prepare(rows, hashes, df, total["documents"], total["words"]))
-        best = vectors.filter(F.size("terms") > 0).mapInArrow(_search(search, k, shard_terms, arrow), schema)
+        # the vectors are far smaller than the texts, so their files would make few and long tasks
+        dealt = vectors.filter(F.size("terms") > 0).repartition(max(1, source.rdd.getNumPartitions()))
+        best = dealt.mapInArrow(_search(search, k, shard_terms, arrow), schema)
         found = best if found is None else found.unionByName(best)
     if found is None:
         found = spark.createDataFrame([], schema)
