@@ -3,6 +3,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark import config
 from tidemark.operators import events as e
 
@@ -120,6 +122,41 @@ def test_rate_limit_matches_replay(frame):
     assert got == replay([(at + epoch, i, who) for at, i, who in hits], 20, 60_000_000)
 
 
+@pytest.mark.parametrize("block", [1, 2, 64])
+@pytest.mark.parametrize("step", [40_000, 900_000, 7_000_000, 45_000_000])
+def test_rate_limit_over_blocks(frame, block, step):
+    """Dense and sparse hits, hits of one moment, quiet spells inside and at the edges of blocks."""
+    rng = random.Random(step + block)
+    hits = []
+    for who in "abc":
+        at = rng.randrange(100_000_000)
+        for _ in range(300):
+            at += rng.choice([0, 1, step, rng.randrange(1, 2 * step), 59_999_999 if rng.random() < 0.05 else 1, 60_000_000 if rng.random() < 0.05 else 2])
+            hits.append((at, len(hits), who))
+    base = datetime(2024, 1, 1)
+    epoch = int((base - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    df = frame([(who, i, base + timedelta(microseconds=at)) for at, i, who in hits] + [(None, -1, base)], "identity string, event_id int, ts timestamp")
+    got = {r.event_id: (r.place, r.rejected) for r in e.rate_limit(df.repartition(3), 5, 60, block_windows=block).collect()}
+    assert got == replay([(at + epoch, i, who) for at, i, who in hits], 5, 60_000_000)
+
+
+def test_a_busy_identity_is_spread(spark):
+    """A million hits of one identity without a quiet spell: many tasks, and the places of a replay."""
+    import numpy as np
+
+    n, gap = 1_000_000, 7_300_000
+    df = spark.range(n).select(F.lit("bot").alias("identity"), F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * gap + F.pmod(F.xxhash64("id"), F.lit(900_000))).alias("ts"))
+    out = e.rate_limit(df, 3, 60)
+    shares = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) >= 4 and max(r["count"] for r in shares) < 0.5 * n
+    times = df.select("event_id", F.unix_micros("ts").alias("at")).toPandas().sort_values(["at", "event_id"])
+    ranks, *_ = e.anchored_window(60_000_000)(times["at"].to_numpy(), None, 0)
+    got = out.toPandas().sort_values("event_id")
+    want = np.empty(n, np.int64)
+    want[times["event_id"].to_numpy()] = ranks
+    assert (got["place"].to_numpy() == want).all() and (got["rejected"].to_numpy() == (want > 3)).all()
+
+
 def test_licence_states(frame):
     df = frame([(None, None), (datetime(2024, 1, 5), None), (datetime(2024, 1, 1), datetime(2024, 1, 3)), (datetime(2024, 1, 1), None)], "x timestamp, g timestamp")
     from pyspark.sql import functions as F

@@ -6,11 +6,9 @@ values are parameters. Time ties are broken by ``event_id``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark import config
 from tidemark.functions.exprs import rule_table, stable_key
+from tidemark.operators.limits import anchored_window, rate_limit  # noqa: F401  (part of this module's interface)
 from tidemark.operators.ranking import first_per_key
 from tidemark.operators.relational import upsert
 from tidemark.operators.skew import salted_join
@@ -386,89 +385,3 @@ def licence_state(expires: Column, grace: Column, as_of: str) -> Column:
     return (
         F.when(expires.isNull() | (now <= expires), "active").when(now <= grace, "grace").otherwise("read_only")
     )
-
-
-Placing = Callable[[np.ndarray, "int | None", int], "tuple[np.ndarray, int | None, int]"]
-
-
-def anchored_window(width: int) -> Placing:
-    """Function that places hits of one identity, in time order, in their anchored windows.
-
-    A window opens at the first hit and lasts ``width``; the first hit after it opens the next.
-    Made by a factory so that workers get it by value and need no copy of this package.
-    """
-
-    def place(at: np.ndarray, start: int | None, count: int) -> tuple[np.ndarray, int | None, int]:
-        ranks = np.empty(len(at), dtype=np.int64)
-        i = 0
-        while i < len(at):
-            if start is None or at[i] >= start + width:
-                start, count = int(at[i]), 0
-            j = i + int(np.searchsorted(at[i:], start + width, side="left"))
-            ranks[i:j] = np.arange(count + 1, count + 1 + j - i)
-            count += j - i
-            i = j
-        return ranks, start, count
-
-    return place
-
-
-def rate_limit(hits: DataFrame, limit: int, window_seconds: int = 60) -> DataFrame:
-    """Hits (identity, ts, event_id) with their place in the anchored window and the rejection.
-
-    Windows chain from hit to hit, so one task follows one chain. A quiet spell as long as the
-    window ends every chain, which lets even one busy identity be cut into many bursts: the spells
-    are found on per-bucket minima and maxima, and each burst is then followed on its own. Batches
-    stream through the task with a constant state (start, count).
-    """
-    width = int(window_seconds) * 1_000_000
-    rows = hits.select("identity", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    rows = rows.withColumn("bucket", F.floor(F.col("at") / width))
-    spans = rows.groupBy("identity", "bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    order = W.partitionBy("identity").orderBy("bucket")
-    gap = F.coalesce(F.col("lo") - F.lag("hi").over(order) >= width, F.lit(True))
-    spans = spans.withColumn("burst", F.sum(gap.cast("int")).over(order)).select("identity", "bucket", "burst")
-    ready = (
-        rows.join(spans, ["identity", "bucket"])
-        .repartition("identity", "burst")
-        .sortWithinPartitions("identity", "burst", "at", "event_id")
-        .select("identity", "burst", "event_id", "at")
-    )
-
-    place_hits = anchored_window(width)
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, start, count = None, None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            same = (pdf["identity"].to_numpy()[1:] == pdf["identity"].to_numpy()[:-1]) & (
-                pdf["burst"].to_numpy()[1:] == pdf["burst"].to_numpy()[:-1]
-            )
-            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(pdf)]
-            at, parts = pdf["at"].to_numpy(), []
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                key = (pdf["identity"].iat[low], pdf["burst"].iat[low])
-                if key != chain:
-                    chain, start, count = key, None, 0
-                ranks, start, count = place_hits(at[low:high], start, count)
-                parts.append(ranks)
-            place = np.concatenate(parts)
-            yield pd.DataFrame(
-                {
-                    "identity": pdf["identity"],
-                    "event_id": pdf["event_id"],
-                    "place": place,
-                    "rejected": place > limit,
-                }
-            )
-
-    schema = T.StructType(
-        [
-            T.StructField("identity", T.StringType()),
-            T.StructField("event_id", T.LongType()),
-            T.StructField("place", T.LongType()),
-            T.StructField("rejected", T.BooleanType()),
-        ]
-    )
-    return ready.mapInPandas(follow, schema)
