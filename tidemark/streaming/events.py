@@ -5,19 +5,23 @@ Streams carry ``event_id, ts (timestamp), name, user_id, anon_id, props``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from tidemark.operators import events as e
 from tidemark.streaming.runner import last_update, nothing_yet, run_available
 
+#: Microseconds of the shortest slot by which rows of a busy identity are parked.
+SLOT = 3_600_000_000
+
 
 def intake(stream: DataFrame, opted_out: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Events without opted-out users and without repeats of an event id within the delay.
@@ -80,52 +84,118 @@ def daily_rollup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def _holder() -> Callable[[GroupState, tuple, int], None]:
-    """Made by a factory so that workers get it by value."""
-
-    def hold(state: GroupState, value: tuple, until: int) -> None:
-        """Keep a value until the watermark passes a moment (milliseconds); not at all if it has passed already."""
-        if until > state.getCurrentWatermarkMs():
-            state.update(value)
-            state.setTimeoutTimestamp(until)
-        elif state.exists:
-            state.remove()
-
-    return hold
+def _keeper(width: int) -> type[StatefulProcessor]:
+    """Base of the processors below. Made by a factory so that workers get it by value."""
+
+    class Keeper(StatefulProcessor):
+        """Typed state of an identity, until a moment that the watermark passes, and its rows in time order.
+
+        Rows come in chunks of no particular order. If there are several, they are parked in the state
+        store by slots of ``width`` microseconds and read slot by slot, so what is held is one chunk, or
+        an identity's rows in one slot, however many of them a micro-batch has.
+        """
+
+        value_schema = ""
+        columns: tuple[str, ...] = ()
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.kept = handle.getValueState("kept", f"{self.value_schema}, until long")
+            self.parked = handle.getMapState("parked", "slot long, part int", "block binary")
+
+        def in_time_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+            """Blocks of numbers, a row for each of ``columns``: first the time, then the event."""
+            blocks = (np.stack([pdf[c].to_numpy(np.int64) for c in self.columns]) for pdf in rows if len(pdf))
+            sort = lambda block: block[:, np.lexsort((block[1], block[0]))]
+            first, second = next(blocks, None), next(blocks, None)
+            if second is None:
+                if first is not None:
+                    yield sort(first)
+                return
+            parts: dict[int, int] = {}
+            for block in itertools.chain([first, second], blocks):
+                slots = block[0] // width
+                for slot in np.unique(slots).tolist():
+                    part = parts.get(slot, 0)
+                    self.parked.updateValue((slot, part), (block[:, slots == slot].tobytes(),))
+                    parts[slot] = part + 1
+            for slot in sorted(parts):
+                held = [np.frombuffer(self.parked.getValue((slot, part))[0], np.int64) for part in range(parts[slot])]
+                yield sort(np.concatenate([x.reshape(len(self.columns), -1) for x in held], axis=1))
+                for part in range(parts[slot]):
+                    self.parked.removeKey((slot, part))
+
+        def hold(self, value: tuple, until: int, timers: TimerValues) -> None:
+            """Keep a value until the watermark passes a moment (milliseconds); not at all if it has passed already."""
+            if until > timers.getCurrentWatermarkInMs():
+                self.kept.update((*value, until))
+                self.handle.registerTimer(until)
+            elif self.kept.exists():
+                self.kept.clear()
+
+        def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            if self.kept.exists() and self.kept.get()[-1] <= expiredTimerInfo.getExpiryTimeInMs():
+                self.kept.clear()  # an earlier timer of a value that was renewed does nothing
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Keeper
+
+
+def _limiter(width: int, limit: int, slot: int) -> StatefulProcessor:
+    place_hits = e.anchored_window(width)
+
+    class Limiter(_keeper(slot)):
+        value_schema, columns = "start long, count long", ("at", "event_id")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            start, count = self.kept.get()[:2] if self.kept.exists() else (None, 0)
+            for at, event_id in self.in_time_order(rows):
+                ranks, start, count = place_hits(at, start, count)
+                yield pd.DataFrame({"identity": key[0], "event_id": event_id, "place": ranks, "rejected": ranks > limit})
+            self.hold((start, count), (start + width) // 1000, timerValues)
+
+    return Limiter()
 
 
 def rate_limiter(hits: DataFrame, limit: int, window_seconds: int = 60, delay: str = "1 hour") -> DataFrame:
     """Place of each hit in its identity's anchored window and whether it is rejected.
 
     State per identity: start of the window and hits in it, until the watermark has passed the
-    window's end. Hits of one micro-batch are put into time order first; the batch size bounds what
-    one task holds.
+    window's end. Hits of one micro-batch are placed in time order. Run it on a state store that keeps
+    state on disk, as ``runner`` does.
     """
     width = int(window_seconds) * 1_000_000
-    place_hits, hold = e.anchored_window(width), _holder()
-
-    def place(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(chunks)).sort_values(["at", "event_id"])
-        start, count = state.get if state.exists else (None, 0)
-        ranks, start, count = place_hits(pdf["at"].to_numpy(), start, count)
-        hold(state, (start, count), (start + width) // 1000)
-        yield pd.DataFrame(
-            {"identity": key[0], "event_id": pdf["event_id"].to_numpy(), "place": ranks, "rejected": ranks > limit}
-        )
-
-    rows = hits.withWatermark("ts", delay).select("identity", "event_id", "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("identity").applyInPandasWithState(
-        place,
-        "identity string, event_id long, place long, rejected boolean",
-        "start long, count long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    rows = hits.withWatermark("ts", delay).select("identity", F.col("event_id").cast("long").alias("event_id"), "ts", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("identity").transformWithStateInPandas(
+        _limiter(width, limit, max(width, SLOT)), "identity string, event_id long, place long, rejected boolean", "append", "eventTime"
     )
 
 
+def _advancer(wanted: list[list[int]], kept_ms: int, slot: int) -> StatefulProcessor:
+    class Advancer(_keeper(slot)):
+        value_schema, columns = "stage int", ("at", "event_id", "code")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            stage, newest, reached = (self.kept.get()[0] if self.kept.exists() else 0), 0, []
+            for at, event_id, code in self.in_time_order(rows):
+                low, newest = 0, int(at[-1])
+                while stage < len(wanted):
+                    hits = np.flatnonzero(np.isin(code[low:], wanted[stage]))
+                    if not len(hits):
+                        break
+                    low += int(hits[0]) + 1
+                    reached.append((key[0], stage, int(event_id[low - 1])))
+                    stage += 1
+            self.hold((stage,), newest // 1000 + kept_ms, timerValues)
+            if reached:
+                yield pd.DataFrame(reached, columns=["identity", "stage", "event_id"])
+
+    return Advancer()
+
+
 def funnel_progress(
     stream: DataFrame, steps: Sequence[tuple[str, Sequence[str]]], look_back_days: int = 90, delay: str = "1 hour"
 ) -> DataFrame:
@@ -135,32 +205,14 @@ def funnel_progress(
     that comes back later starts anew. Events are in time order within a micro-batch; an event
     that comes a batch too late counts from where the identity stands (batch results may differ).
     """
-    wanted = [frozenset(names) for _, names in steps]
-    every, hold = sorted(set().union(*wanted)), _holder()
-
-    def advance(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(chunks)).sort_values(["at", "event_id"])
-        names, ids = pdf["name"].to_numpy(), pdf["event_id"].to_numpy()
-        stage, low, reached = (state.get[0] if state.exists else 0), 0, []
-        while stage < len(wanted):
-            hits = np.flatnonzero(np.isin(names[low:], list(wanted[stage])))
-            if not len(hits):
-                break
-            low += int(hits[0]) + 1
-            reached.append((key[0], stage, int(ids[low - 1])))
-            stage += 1
-        hold(state, (stage,), int(pdf["at"].iloc[-1]) // 1000 + look_back_days * 86_400_000)
-        yield pd.DataFrame(reached, columns=["identity", "stage", "event_id"])
-
+    every = sorted({name for _, names in steps for name in names})
+    wanted = [[every.index(name) for name in names] for _, names in steps]
+    code = F.coalesce(*[F.when(F.col("name") == name, F.lit(k)) for k, name in enumerate(every)])
     rows = stream.withWatermark("ts", delay).where(F.col("name").isin(every)).select(
-        e.identity().alias("identity"), "event_id", "name", "ts", F.unix_micros("ts").alias("at")
-    )
-    return rows.groupBy("identity").applyInPandasWithState(
-        advance, "identity string, stage int, event_id long", "stage int", "append", GroupStateTimeout.EventTimeTimeout
+        e.identity().alias("identity"), F.col("event_id").cast("long").alias("event_id"), code.alias("code"), "ts", F.unix_micros("ts").alias("at")
     )
+    processor = _advancer(wanted, look_back_days * 86_400_000, 24 * SLOT)
+    return rows.groupBy("identity").transformWithStateInPandas(processor, "identity string, stage int, event_id long", "append", "eventTime")
 
 
 def run_lead_scores(

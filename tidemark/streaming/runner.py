@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.session import shared_dir
 
 BatchWriter = Callable[[DataFrame, int], None]
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream.
@@ -23,16 +28,35 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(any_kind)
 
 
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state in RocksDB, which typed state and timers need and memory does not bound."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
 def run_available(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there now, then stop. Restarts go on from the checkpoint."""
-    query = (
+    with state_on_disk(stream.sparkSession):
+        query = _started(stream, write, checkpoint, mode)
+    query.awaitTermination()
+
+
+def _started(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str) -> StreamingQuery:
+    return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
     )
-    query.awaitTermination()
 
 
 def batch_folder(path: str) -> BatchWriter:
