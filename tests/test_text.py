@@ -35,6 +35,19 @@ def test_quotes_match_brute_force_on_random_text(frame):
     assert {(r.quote_id, r.page_id) for r in got.collect()} == want
 
 
+def test_quotes_in_blocks_share_heads_and_shuffle_no_page(frame):
+    """More quotes than a block holds, many with the same beginning; pages stay where they are."""
+    common = "the board of the company has approved "
+    quotes = [(k, f"{common}item {k}") for k in range(60)] + [(100, "a"), (101, common), (102, None), (103, f"{common}item 1")]
+    pages = [(k, f"x {common.upper()} item   {k} and more") for k in range(0, 90, 3)] + [(500, None), (501, ""), (502, "A")]
+    got = x.find_quotes(frame(quotes, "quote_id int, quote string"), frame(pages, "page_id int, text string"), block=7)
+    norm = lambda s: " ".join((s or "").split()).lower()
+    want = sorted((q, p) for q, quote in quotes for p, page in pages if norm(quote) and norm(quote) in norm(page))
+    assert sorted((r.quote_id, r.page_id) for r in got.collect()) == want and len(want) > 60
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert x.find_quotes(frame([], "quote_id int, quote string"), frame(pages, "page_id int, text string")).count() == 0
+
+
 @pytest.mark.parametrize("block, chunk", [(1000, 20_000), (2, 70)])
 def test_dense_top_k_matches_numpy(frame, monkeypatch, block, chunk):
     whole = x.block_top_k

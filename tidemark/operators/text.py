@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -307,59 +308,58 @@ def evidence_gaps(field_defs: DataFrame, evidenced: DataFrame) -> DataFrame:
 
 # ---- verbatim quotes -----------------------------------------------------------------------
 
-ANCHOR_WORDS = 3
+#: Quotes, and characters of quotes, that go to the tasks at once; characters of a quote in the automaton.
+QUOTE_BLOCK, QUOTE_CHARS, QUOTE_HEAD = 20_000, 4_000_000, 24
 
 
-def find_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote_id, page_id) for every page that has the normalised quote word for word.
+def _quote_finder(held: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Made by a factory so that workers get it by value."""
+    head = QUOTE_HEAD
 
-    A quote can start or end inside a word of the page, but its inner words stand there whole. Three
-    of them make an anchor: pages are looked up by their word triples, and only those candidates
-    are compared in full. Quotes with too few words for that are looked for in blocks.
-    """
-    # Inner words only; the first and last may be cut. Non-ASCII letters split words on both
-    # sides in the same way, so the triples agree.
-    listed = quotes.select("quote_id", "quote", t.normalised(F.col("quote")).alias("q")).where(F.col("q") != "")
-    listed = listed.withColumn("w", t.words(F.col("q")))
-    long_enough = F.size("w") >= ANCHOR_WORDS + 2
-    normal = pages.select("page_id", t.normalised(F.col("text")).alias("text"))
-    inner = F.slice("w", F.lit(2), F.size("w") - 2)
-    anchors = F.transform(t.shingles(inner, ANCHOR_WORDS), lambda p: t.short_digest(p))
-    possible = listed.where(long_enough).select("quote_id", "quote", F.explode(F.array_distinct(anchors)).alias("anchor"))
-    triples = distinct_phrases(normal, ["page_id"], "text", ANCHOR_WORDS).withColumnRenamed("phrase_key", "anchor")
-    # The rarest triple of a quote leads to the fewest pages; a triple of no page rules the quote out.
-    spread = triples.join(possible.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("pages"))
-    counted = possible.join(spread, "anchor", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
-    chosen = counted.groupBy("quote_id", "quote").agg(F.min(F.struct("pages", "anchor")).alias("rarest"))
-    chosen = chosen.where("rarest.pages > 0").select("quote_id", "quote", F.col("rarest.anchor").alias("anchor"))
-    hits = triples.join(chosen, "anchor").select("quote_id", "quote", "page_id")
-    found = (
-        hits.distinct()
-        .join(pages.select("page_id", "text"), "page_id")
-        .where(t.is_verbatim(F.col("quote"), F.col("text")))
-        .select("quote_id", "page_id")
-    )
-    return found.unionByName(_short_quotes(listed.where(~long_enough).select("quote_id", "q"), normal))
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
 
+        quotes = held.value
+        by_head: dict[str, list[int]] = {}
+        for k, (_, quote) in enumerate(quotes):
+            by_head.setdefault(quote[:head], []).append(k)
+        automaton = ahocorasick.Automaton()
+        for start, those in by_head.items():
+            automaton.add_word(start, (len(start), those))
+        automaton.make_automaton()
+        for pdf in batches:
+            rows = []
+            for page, text in zip(pdf["page_id"], pdf["text"], strict=True):
+                there: set[int] = set()
+                for end, (size, those) in automaton.iter(text):
+                    there.update(k for k in those if k not in there and text.startswith(quotes[k][1], end - size + 1))
+                rows += [(quotes[k][0], page) for k in there]
+            yield pd.DataFrame(rows, columns=["quote_id", "page_id"])
 
-def _short_quotes(quotes: DataFrame, pages: DataFrame, block: int = 500, chunk: int = 2000) -> DataFrame:
-    """(quote_id, page_id) of quotes without an anchor: blocks of quotes are looked for in chunks of pages.
+    return find
 
-    Numbers of blocks and chunks are scalar subqueries, so the plan is the same with and without such quotes.
-    """
-    number = lambda df, size: F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(size)).cast("int"), F.lit(1))
-    blocks, chunks = number(quotes, block), number(pages, chunk)
-    place = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = quotes.withColumn("b", place("quote_id", blocks)).withColumn("c", every(chunks))
-    right = pages.withColumn("c", place("page_id", chunks)).withColumn("b", every(blocks))
-    schema = T.StructType([quotes.schema["quote_id"], pages.schema["page_id"]])
 
-    def inside(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, p) for i, q in zip(asked["quote_id"], asked["q"], strict=True) for p, text in zip(held["page_id"], held["text"], strict=True) if text and q in text]
-        return pd.DataFrame(rows, columns=schema.names)
+def find_quotes(quotes: DataFrame, pages: DataFrame, block: int = QUOTE_BLOCK, chars: int = QUOTE_CHARS) -> DataFrame:
+    """(quote_id, page_id) for every page that has the normalised quote word for word.
 
-    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(inside, schema)
+    Quotes go to the tasks in blocks of about ``block`` quotes and ``chars`` characters, which all pages pass in a map: an
+    automaton over the heads of the quotes (Aho-Corasick) reads a page once, whatever the number of
+    quotes, and a quote is compared in full where its head stands. No page is shuffled.
+    """
+    spark = quotes.sparkSession
+    listed = quotes.select("quote_id", t.normalised(F.col("quote")).alias("q")).where(F.col("q") != "")
+    normal = pages.select("page_id", t.normalised(F.col("text")).alias("text")).where(F.col("text") != "")
+    schema = T.StructType([quotes.schema["quote_id"], pages.schema["page_id"]])
+    size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("q")), F.lit(0)).alias("chars")).first()
+    number = max(-(-size["n"] // block), -(-size["chars"] // chars))
+    found = spark.createDataFrame([], schema)
+    for part in range(number):
+        rows = listed.where(F.pmod(F.xxhash64("quote_id", "q"), F.lit(number)) == part).collect()  # a block
+        if rows:
+            finder = _quote_finder(spark.sparkContext.broadcast([(r["quote_id"], r["q"]) for r in rows]))
+            some = normal.mapInPandas(finder, schema)
+            found = some if part == 0 else found.unionByName(some)
+    return found
 
 
 # ---- sections and tables -------------------------------------------------------------------
