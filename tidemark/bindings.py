@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """As many tasks as the session has cores, where the scan has fewer: the test tables are single files.
+
+    For inputs of operators that work long on each row. Tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -220,7 +229,7 @@ CLOSINGS = (
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a closing sentence by number: doc_id, company (source), text."""
     closing = F.element_at(F.array(*[F.lit(c) for c in CLOSINGS]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("source").alias("company"), F.concat("text", closing).alias("text"), "lang", "n_chars"
     )
 

@@ -39,7 +39,8 @@ def _s1(spark: SparkSession, d: str) -> DataFrame:
 
 def instances(spark: SparkSession, d: str) -> DataFrame:
     """One instance document per line item: a few facts in one context, as XML text."""
-    li = b.table(spark, d, "lineitem")
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"]
+    li = b.spread(b.table(spark, d, "lineitem").select(*columns))
     text = lambda column: F.col(column).cast("string")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     year = F.year("l_shipdate")

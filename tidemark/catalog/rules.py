@@ -62,7 +62,7 @@ PRIOR = """pri AS MATERIALIZED (SELECT filing_id, field_key, CASE WHEN field_key
 def answers(spark: SparkSession, d: str) -> DataFrame:
     orders = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     pairs = ", ".join(f"'{key}', {text.format(s='STRING')}" for key, text in VALUES.items())
-    long = orders.select("k", F.expr(f"stack({len(VALUES)}, {pairs}) AS (field_key, value)"))
+    long = b.spread(orders).select("k", F.expr(f"stack({len(VALUES)}, {pairs}) AS (field_key, value)"))
     code = F.col("k") + F.length("field_key")
     training = F.col("field_key") == "p1.training.pct"
     return long.where(F.col("value").isNotNull() & (F.col("k") % 33 != 0)).select(

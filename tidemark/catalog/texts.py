@@ -61,7 +61,7 @@ def _t3(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, index, CAST(weight AS BIGINT) AS weight, round(weight / sqrt(norm2), 6) AS value FROM v""",
 )
 def _t4(spark: SparkSession, d: str) -> DataFrame:
-    rows = x.hash_vectors(b.table(spark, d, "documents"), "doc_id", "text")
+    rows = x.hash_vectors(b.spread(b.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     value = F.col("weight") / F.sqrt(F.col("norm2").cast("double"))
     return rows.select("doc_id", "index", "weight", F.round(value, 6).alias("value"))
 
@@ -131,7 +131,7 @@ def field_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "documents").select(
+    return b.spread(b.table(spark, d, "documents")).select(
         F.col("doc_id").alias("page_id"), F.col("source").alias("org"), "text"
     )
 
@@ -158,7 +158,7 @@ def report_pages(spark: SparkSession, d: str) -> DataFrame:
         "",
     )
     heading = F.element_at(F.array(*[F.lit(h) for h in headings]), (F.floor(F.col("doc_id") / 20) % 7 + 1).cast("int"))
-    return b.table(spark, d, "documents").select(
+    return b.spread(b.table(spark, d, "documents")).select(
         F.col("source").alias("filing_id"),
         F.floor(F.col("doc_id") / 20).alias("page_no"),
         F.concat(heading, "text").alias("text"),
@@ -277,7 +277,7 @@ def _t14(spark: SparkSession, d: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, page_id) <= 5""",
 )
 def _t15(spark: SparkSession, d: str) -> DataFrame:
-    pages = b.table(spark, d, "documents").select(
+    pages = b.spread(b.table(spark, d, "documents")).select(
         F.col("doc_id").alias("page_id"),
         (F.col("doc_id") % 10).alias("company_id"),
         (F.col("doc_id") % 5 + 1996).cast("int").alias("fy"),
