@@ -14,13 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table below which dealing it anew costs next to nothing.
+SMALL_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """As many tasks as the session has cores, where the scan has fewer: the test tables are single files.
+    """At least as many tasks as the session has cores, for inputs of operators that work long on each row.
 
-    For inputs of operators that work long on each row. Tables of many files are left as they are.
+    A small table is dealt anew whatever its scan says: a file of one row group is one task, into however many
+    ranges it is cut. A large one only if its scan has fewer partitions than there are cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL_BYTES or df.rdd.getNumPartitions() < cores else df
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
