@@ -48,21 +48,72 @@ def test_quotes_in_blocks_share_heads_and_shuffle_no_page(frame):
     assert x.find_quotes(frame([], "quote_id int, quote string"), frame(pages, "page_id int, text string")).count() == 0
 
 
-@pytest.mark.parametrize("block, chunk", [(1000, 20_000), (2, 70)])
-def test_dense_top_k_matches_numpy(frame, monkeypatch, block, chunk):
-    whole = x.block_top_k
-    monkeypatch.setattr(x, "block_top_k", lambda *a, **k: whole(*a, **{**k, "block": block, "chunk": chunk}))
+@pytest.mark.parametrize("pivots, chunk", [(64, 20_000), (5, 40), (1, 7)])
+def test_vector_top_k_matches_numpy(frame, pivots, chunk):
     rng = np.random.default_rng(0)
-    vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(300)]
-    queries = [(f"q{i}", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(4)]
-    df = frame(vectors, "item int, v array<double>").repartition(5)
-    got = x.dense_top_k(frame(queries, "q string, v array<double>"), df, "q", "item", "v", 7)
-    matrix = np.array([v for _, v in vectors])
+    vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(300)] + [(1000 + i, [0.0] * 6) for i in range(9)] + [(2000, None)]
+    vectors += [(3000 + i, [1.0, 2.0, 0.0, 0.0, 1.0, 0.0]) for i in range(100)]  # a quarter of the rows
+    queries = [(f"q{i}", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(4)] + [("zero", [0.0] * 6), ("one", [-1.0] * 6)]
+    df = frame(vectors, "item long, v array<double>").repartition(5)
+    got = x.vector_top_k(frame(queries, "q string, v array<double>"), df, "q", "item", "v", 7, pivots=pivots, chunk=chunk)
+    some = [(i, v) for i, v in vectors if v]
+    matrix = np.array([v for _, v in some])
+    rows = got.collect()
     for name, q in queries:
         scores = matrix @ np.array(q)
-        want = sorted(range(300), key=lambda i: (-scores[i], i))[:7]
-        rows = sorted((r for r in got.where(F.col("q") == name).collect()), key=lambda r: (-r.score, r.item))
-        assert [r.item for r in rows] == want
+        want = sorted(range(len(some)), key=lambda i: (-scores[i], some[i][0]))[:7]
+        own = sorted((r for r in rows if r.q == name), key=lambda r: (-r.score, r.item))
+        assert [(r.item, r.score) for r in own] == [(some[i][0], scores[i]) for i in want]
+    assert x.vector_top_k(frame(queries, "q string, v array<double>"), df.limit(0), "q", "item", "v", 7).count() == 0
+
+
+def test_most_products_of_clustered_vectors_are_skipped():
+    from tidemark.operators import search
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    items = np.repeat(centres, 100, axis=0) + 0.05 * rng.normal(size=(4000, 16))
+    pivots = items[:: len(items) // 64][:64] / np.linalg.norm(items[:: len(items) // 64][:64], axis=1, keepdims=True)
+    angle = search.angles(items, pivots)
+    cluster = angle.argmin(axis=1)
+    numbers = np.unique(cluster)
+    norm = np.linalg.norm(items, axis=1)
+    of = lambda values, how: np.array([how(values[cluster == c]) for c in numbers])
+    held = search.Clusters(pivots, numbers, of(angle[np.arange(4000), cluster], np.max), of(norm, np.max), of(norm, np.min), of(norm, len))
+    queries = centres[::4] + 0.05 * rng.normal(size=(10, 16))
+    products = queries @ items.T
+    bounds = held.bounds(queries)
+    for c, bound in zip(numbers, bounds.T, strict=True):
+        assert (products[:, cluster == c].max(axis=1) <= bound).all()
+    seeds = held.first(bounds, 10)
+    least = np.array([np.sort(products[q][np.isin(cluster, numbers[seeds[q]])])[-10] for q in range(10)])
+    visited = seeds | (bounds >= least[:, None])
+    assert (visited * held.items).sum() < 0.3 * products.size
+
+
+def test_retrieval_equals_a_scan(frame):
+    """Every page of the organisation scored: common words, equal scores, pages of any size, few and many results."""
+    rng = np.random.default_rng(4)
+    word = lambda: f"word{min(int(rng.zipf(1.3)), 400)}"
+    pages = [(k, f"o{k % 3}", " ".join(word() for _ in range(rng.integers(0, 60)))) for k in range(400)] + [(900, "o1", None), (901, "o1", "")]
+    queries = [(k, f"o{k % 4}", " ".join(word() for _ in range(rng.integers(0, 12)))) for k in range(60)] + [(99, "o1", "absentword nothing")]
+    tokens = lambda s: {w for w in __import__("re").findall("[a-z0-9]+", (s or "").lower()) if len(w) > 2}
+    want = []
+    for q, org, query in queries:
+        own = tokens(query)
+        found = [(-round(len(own & p) / len(own | p), 9), i) for i, o, text in pages if o == org and own & (p := tokens(text))]
+        want += [(q, i, -s) for s, i in sorted(found)[:5]]
+    got = x.retrieve(frame(queries, "query_id long, org string, query string"), frame(pages, "page_id long, org string, text string"), 5)
+    assert sorted((r.query_id, r.page_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+
+
+def test_pages_are_indexed_once_whatever_other_organisations_ask(frame):
+    from tidemark.operators import search
+
+    pages = frame([(k, f"o{k % 2}", [1, 2, 3]) for k in range(10)], "page_id long, org string, set array<long>")
+    few = frame([(1, "o0", [1, 9])], "query_id long, org string, set array<long>")
+    many = frame([(1, "o0", [1, 9])] + [(k, f"other{k}", [1, 2, 3]) for k in range(2, 900)], "query_id long, org string, set array<long>")
+    assert search.postings_of(few, pages).count() == search.postings_of(many, pages).count() == 5
 
 
 def test_retrieval_stays_inside_the_organisation(frame):

@@ -76,7 +76,7 @@ def _t4(spark: SparkSession, d: str) -> DataFrame:
 def _t5(spark: SparkSession, d: str) -> DataFrame:
     vectors = b.table(spark, d, "embeddings")
     queries = vectors.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    top = x.dense_top_k(queries, vectors, "query_id", "vec_id", "embedding", 12)
+    top = x.vector_top_k(queries, vectors, "query_id", "vec_id", "embedding", 12)
     return top.withColumn("score", F.round("score", 6))
 
 

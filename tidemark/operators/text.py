@@ -18,6 +18,7 @@ from tidemark import config
 from tidemark.functions import text as t
 from tidemark.functions.exprs import rule_table
 from tidemark.operators.ranking import first_per_key
+from tidemark.operators.search import retrieve, sparse, vector_top_k
 from tidemark.session import staged
 
 
@@ -143,8 +144,7 @@ def rank_texts(
 ) -> DataFrame:
     """Top pages per query text by embedding similarity; ties by page.
 
-    A page counts for a query if they share an index. Blocks of queries meet chunks of pages as
-    matrices, and only the best ``k`` rows of each are passed on.
+    A page counts for a query if they share an index. See ``vector_top_k``.
     """
 
     def packed(texts: DataFrame, doc: str) -> DataFrame:
@@ -152,19 +152,7 @@ def rank_texts(
         pair = F.array_sort(F.collect_list(F.struct("index", "weight")))  # at most ``dimensions`` entries
         return rows.groupBy(doc).agg(pair.alias("vector"))
 
-    def matrix(vectors: pd.Series) -> np.ndarray:
-        out = np.zeros((len(vectors), dimensions))
-        for row, vector in enumerate(vectors):
-            for entry in vector:
-                out[row, entry["index"]] = entry["weight"]
-        return out
-
-    def similarity(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
-        q, p = matrix(asked["vector"]), matrix(held["vector"])
-        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((p * p).sum(axis=1))
-        return np.where((q != 0).astype(float) @ (p != 0).astype(float).T > 0, (q @ p.T) / norms, np.nan)
-
-    scored = block_top_k(packed(queries, query), packed(pages, page), query, page, similarity, k, block=1000, chunk=5000)
+    scored = vector_top_k(packed(queries, query), packed(pages, page), query, page, "vector", k, sparse(dimensions), shared=True)
     return scored.withColumnRenamed("score", "similarity")
 
 
@@ -187,86 +175,7 @@ def themes(texts: DataFrame, doc: str, text: str, seeds: dict[str, str] | None =
     )
 
 
-# ---- dense vectors -------------------------------------------------------------------------
-
-
-def block_top_k(
-    queries: DataFrame,
-    items: DataFrame,
-    query: str,
-    item: str,
-    score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray],
-    k: int,
-    block: int,
-    chunk: int,
-    within: Sequence[str] = (),
-) -> DataFrame:
-    """(query, item, score): the best ``k`` items of every query; ties by item, scores rounded to 9 places.
-
-    About ``block`` queries and ``chunk`` items meet in a group, which scores them as a matrix (NaN:
-    no match) and passes on ``k`` rows per query. The numbers of blocks and chunks are scalar
-    subqueries of the plan, so one plan serves any number of queries, and nothing runs while it is
-    made. ``within``: columns that query and item must agree on.
-    """
-    number = lambda df, size: F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(size)).cast("int")
-    blocks, chunks = F.greatest(number(queries, block), F.lit(1)), F.greatest(number(items, chunk), F.lit(1))
-    place = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = queries.withColumn("__b", place(query, blocks)).withColumn("__c", every(chunks))
-    right = items.withColumn("__c", place(item, chunks)).withColumn("__b", every(blocks))
-    schema = T.StructType([queries.schema[query], items.schema[item], T.StructField("score", T.DoubleType())])
-
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame(columns=schema.names)
-        held = held.sort_values(item)
-        scores = np.round(score(asked, held), 9)
-        top = np.argsort(np.where(np.isnan(scores), np.inf, -scores), axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame(
-            {
-                query: np.repeat(asked[query].to_numpy(), top.shape[1]),
-                item: held[item].to_numpy()[top].ravel(),
-                "score": np.take_along_axis(scores, top, axis=1).ravel(),
-            }
-        )
-        return out[out["score"].notna()]
-
-    keys = [*within, "__b", "__c"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
-    return first_per_key(partial, [query], F.desc("score"), F.asc(item), n=k)
-
-
-def dense_top_k(queries: DataFrame, vectors: DataFrame, query: str, item: str, vector: str, k: int) -> DataFrame:
-    """Exact top ``k`` items per query by dot product; ties by item."""
-
-    def product(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
-        stacked = lambda df: np.stack(df[vector].to_numpy()).astype(np.float64)
-        return stacked(asked) @ stacked(held).T
-
-    return block_top_k(queries.select(query, vector), vectors.select(item, vector), query, item, product, k, block=1000, chunk=20_000)
-
-
-# ---- token-set retrieval -------------------------------------------------------------------
-
-
-def retrieve(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """Top ``k`` pages of the query's organisation by Jaccard score of token sets, ties by page.
-
-    ``queries``: query_id, org, query. ``pages``: page_id, org, text. Pages without a common token
-    do not count. Tokens travel as 64-bit hashes.
-    """
-    hashes = lambda text: F.transform(t.token_set(F.col(text)), lambda w: F.xxhash64(w))
-
-    def overlap(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
-        known = np.unique(np.concatenate([np.asarray(s, np.int64) for s in asked["set"]]))
-        member = lambda sets: np.stack([np.isin(known, np.asarray(s, np.int64)) for s in sets]).astype(np.float32)
-        common = (member(asked["set"]) @ member(held["set"]).T).astype(float)
-        sizes = np.array([len(s) for s in asked["set"]])[:, None] + np.array([len(s) for s in held["set"]])
-        return np.where(common > 0, common / np.maximum(1, sizes - common), np.nan)
-
-    asked = queries.select("query_id", "org", hashes("query").alias("set"))
-    held = pages.select("page_id", "org", hashes("text").alias("set"))
-    return block_top_k(asked, held, "query_id", "page_id", overlap, k, block=200, chunk=2000, within=["org"])
+# ---- retrieval -----------------------------------------------------------------------------
 
 
 def propose_fields(fields: DataFrame, pages: DataFrame, answered: DataFrame) -> DataFrame:
