@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from tidemark import config
 from tidemark.functions import text as t
 from tidemark.functions.exprs import rule_table
-from tidemark.operators.ranking import first_per_key
 from tidemark.operators.search import retrieve, sparse, vector_top_k
 from tidemark.session import staged
 
