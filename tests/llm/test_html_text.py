@@ -101,3 +101,91 @@ def test_named_containers_inside_the_article_go(name):
 def test_a_named_wrapper_of_the_text_stays(name):
     page = f'<body>{NAV}<div class=top><h1>Flood</h1></div><div class="{name}"><p>{P1}</p><p>{P2}</p></div><div class="sidebar"><p>{P1[:100]}</p></div></body>'
     assert one(f"{P1} {P2}") in main_text(page) and main_text(page).count(P1[:60]) == 3  # P1 says it three times
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section class="reader-comments">{}</section>', '<div class="user-comments">{}</div>', '<div class="article-comments">{}</div>', '<div id="disqus_thread">{}</div>',
+        '<blockquote class="comment">{}</blockquote>', '<div class="google-ads">{}</div>', '<div class="ad-leaderboard">{}</div>', '<p class="advertisement">{}</p>',
+        '<span class="sponsored">{}</span>', '<p class="cookie-notice">{}</p>', '<div class="article-sidebar">{}</div>', '<div id="ads">{}</div>', '<div id="notice">{}</div>',
+        '<div id="cookie">{}</div>', '<div id="comment">{}</div>', '<ul class="commentList"><li>{}</ul>', '<div class="inline_newsletter">{}</div>',
+    ],
+)
+def test_named_parts_of_the_article_go(part):
+    page = f"<body>{NAV}<article><h1>Flood</h1><p>{P1}</p>{part.format('not of it')}<p>{P2}</p></article></body>"
+    assert main_text(page) == one(f"Flood {P1} {P2}")
+
+
+@pytest.mark.parametrize("part", ['<div class="article-header">{}</div>', '<div class="informed-consent">{}</div>', '<p class="has-comments">{}</p>', '<div class="widget-making">{}</div>', '<li id="cookies-of-the-world">{}</li>'])
+def test_names_that_only_sound_alike_stay(part):
+    page = f"<body>{NAV}<article><h1>Flood</h1><p>{P1}</p>{part.format('the words of it')}<p>{P2}</p></article></body>"
+    assert main_text(page) == one(f"Flood {P1} the words of it {P2}")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>{nav}<h1>Flood</h1><div class=x1><p>{a}</p><p>{b}</p></div></body>",
+        "<body>{nav}<div class=head><h1>Flood</h1><p>It came at night.</p></div><div class=x1><p>{a}</p><p>{b}</p></div></body>",
+        "<body><header><h1>Flood</h1></header><main><p>{a}</p><p>{b}</p></main></body>",
+        "<body>{nav}<div><h1>Flood</h1></div><div class=tools><a href=x>Print</a> <a href=y>Mail</a></div><article><p>{a}</p><p>{b}</p></article></body>",
+    ],
+)
+def test_a_title_outside_the_text_belongs_to_it(page):
+    lead = "It came at night. " if "night" in page else ""
+    assert main_text(page.format(nav=NAV, a=P1, b=P2)) == one(f"Flood {lead}{P1} {P2}")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><header><h1><a href=/>The Daily</a></h1></header><main><p>{a}</p><p>{b}</p></main></body>",
+        "<body><header><h1>The Daily</h1>{nav}</header><main><p>{a}</p><p>{b}</p></main></body>",
+        "<body><div><h1>The Daily</h1></div>{nav}<article><h2></h2><p>{a}</p><p>{b}</p></article><aside><h1>More</h1></aside></body>".replace("<h2></h2>", "<h2>River</h2>"),
+    ],
+)
+def test_the_title_of_the_site_does_not(page):
+    own = "River " if "River" in page else ""
+    assert main_text(page.format(nav=NAV, a=P1, b=P2)) == one(f"{own}{P1} {P2}")
+
+
+@pytest.mark.parametrize("name", ["divs", "links", "table", "deep"])
+def test_densities_equal_a_plain_computation(name):
+    """The formula of the docstring, node by node, from the nodes below each."""
+    import math
+
+    from tidemark.llm import html_text as h
+
+    page = CASES[name][0] if name != "deep" else "<div>" * 50 + P1
+    tree = h.parse(page)
+    out = h._left_out(tree)
+    density, total = h.densities(tree, out)
+    count = len(tree.tag)
+    ends = h._ends(tree)
+
+    def counts(k):
+        below = [j for j in range(k, ends[k]) if not out[j]]
+        size = lambda j: len(" ".join(tree.text[j].split()))
+        links = [j for j in below if tree.tag[j] == "a"]
+        inner = {j for a in links for j in range(a, ends[a])}
+        tags = sum(1 for j in below if tree.tag[j] and j != k)
+        return sum(map(size, below)), max(1, tags), sum(size(j) for j in below if j in inner), len(links)
+
+    body = counts(0)
+    for k in range(count):
+        c, t, lc, lt = counts(k)
+        want = 0.0
+        if not out[k] and c:
+            base = math.log(c / max(1, c - lc) * lc + body[2] / max(1, body[0]) * c + math.e)
+            share = c / max(1, lc) * t / max(1, lt)
+            want = c / t * (math.log(max(1.0, share) + 1e-9) / math.log(base) if base > 1 + 1e-9 else math.log(max(1.0, c * t)))
+        assert math.isclose(density[k], want, rel_tol=1e-9, abs_tol=1e-9)
+    for k in range(count):
+        below = [j for j in range(1, count) if tree.parent[j] == k and not out[j]]
+        assert math.isclose(total[k], sum(density[j] for j in below) if not out[k] else total[k], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_columns_that_clash(frame):
+    pages = frame([("t", 1, "u", 5, "<p>x")], "text string, page_id long, url string, n_chars int, html string")
+    assert [tuple(r) for r in extract(pages).collect()] == [(1, "u", "x", 1)]

@@ -9,7 +9,8 @@ lowered by the share of link characters and tags:
 with C characters, T tags, LC and LT those of links, and b for the whole body. The sum of its
 children's densities singles out the node that holds the text; the smallest density on the path from
 the body to that node is the threshold that other nodes must reach to belong to the text. Where the
-chosen node lies in an ``article`` or ``main`` element, that element is the text.
+chosen node lies in an ``article`` or ``main`` element, that element is the text. If it has no ``h1``, the
+nearest one before it is its title, and what lies between belongs to the text.
 
 Defined results: a null or empty page, or one without text, gives an empty text; repeated rows each
 keep a row; unclosed elements end where a browser ends them, a tag without an end is text; pages of
@@ -67,14 +68,28 @@ FILLER = set(
     "area bar block bottom box btn button buttons container content entry form global group inner item items left link links list main outer "
     "page panel post posts primary right row secondary section site slot top unit wrap wrapper".split()
 )
-#: Words that as an id of a part of the article may be the anchor of its heading.
+#: Those that are hardly ever what an article is about, in any element; as the first and as the last word of a longer name.
+STRONG = set(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter "
+    "subscribe signup sidebar sidebars comments commentlist disqus replies respond breadcrumb breadcrumbs pagination pager widget widgets".split()
+)
+FIRST = set(
+    "ad ads adv advert adverts advertisement advertisements sponsored disqus comments commentlist newsletter sidebar sidebars promo popup modal "
+    "breadcrumb breadcrumbs pagination".split()
+)
+LAST = STRONG - set("adv advertising sponsor consent cookie cookies gdpr respond widget widgets".split())
+#: First words of names that say what a page is like, such as ``with-sidebar``.
+STATES = set("has hide is no not show with without".split())
+#: Words that as an id of a section of the article may be the anchor of its heading.
 TOPICS = set(
-    "ad ads alert banner comment cookie cookies copyright discussion footer gdpr header login menu menus navigation notice notices "
-    "notification overlay promotion related search share sharing social sponsor".split()
+    "alert banner comment copyright discussion footer header login menu menus navigation notice notices notification overlay promotion related "
+    "search share sharing social".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Elements that may be left out by name inside an article.
-CONTAINERS = set("div section article ul ol dl table center details header".split())
+#: Elements that a less certain name leaves out inside an article.
+CONTAINERS = set("div section article ul ol dl table center details header blockquote figure".split())
+#: How far a name marks what is not the article.
+PART_OF_NAME, TOPIC, WHOLE, CERTAIN = 1, 2, 3, 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -84,6 +99,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+$")
 
 
 class Tree:
@@ -105,19 +121,23 @@ class Tree:
 
 
 def _named_aside(attributes: str) -> int:
-    """How far class, id or role mark what is not the article: 0 not, 1 a part of a name, 2 a topic as the id, 3 a whole name."""
+    """How far class, id or role mark what is not the article: 0 not, a part of a name, a topic as the id, a whole name, certain."""
     most = 0
     for attribute, *values in NAMED.findall(attributes):
         for name in "".join(values).split():
             words = [word.lower() for word in PART.findall(name)]
-            if not any(word in ASIDE for word in words):
+            if not words or not any(word in ASIDE or word in STRONG for word in words):
                 continue
-            if not all(word in ASIDE or word in FILLER or word.isdigit() for word in words):
-                most = max(most, 1)
-            elif attribute.lower() == "id" and len(words) == 1 and words[0] in TOPICS:
-                most = max(most, 2)
+            whole = all(word in ASIDE or word in STRONG or word in FILLER or word.isdigit() for word in words)
+            if words[0] in STATES:
+                level = PART_OF_NAME
+            elif words[0] in FIRST or words[-1] in LAST or (whole and any(word in STRONG for word in words)):
+                level = CERTAIN
+            elif not whole:
+                level = PART_OF_NAME
             else:
-                most = 3
+                level = TOPIC if attribute.lower() == "id" and len(words) == 1 and words[0] in TOPICS else WHOLE
+            most = max(most, level)
     return most
 
 
@@ -162,7 +182,7 @@ def parse(page: str) -> Tree:
         if name in ENDS:
             end(*ENDS[name])
         node = tree.add(stack[-1], name, named=_named_aside(attributes) if attributes and "=" in attributes else 0)
-        empty = attributes.endswith("/")
+        empty = attributes.endswith("/") and not UNQUOTED_END.search(attributes)  # the slash may belong to a value
         if name in RAW and not (empty and any(tree.tag[k] in ("svg", "math") for k in stack)):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -182,14 +202,35 @@ def _bulk(tree: Tree, shown: list[bool]) -> list[int]:
     return chars
 
 
+def _ends(tree: Tree) -> list[int]:
+    """The node after the last one below each node."""
+    ends = list(range(1, len(tree.tag) + 1))
+    for k in range(len(tree.tag) - 1, 0, -1):
+        ends[tree.parent[k]] = max(ends[tree.parent[k]], ends[k])
+    return ends
+
+
+def _titles(tree: Tree, ends: list[int]) -> list[int]:
+    """The ``h1`` nodes with text of their own, not only a link."""
+    found = []
+    for k, tag in enumerate(tree.tag):
+        if tag == "h1":
+            linked = [j for j in range(k, ends[k]) if tree.tag[j] == "a"]
+            if any(tree.text[j].strip() and not any(a < j < ends[a] for a in linked) for j in range(k, ends[k])):
+                found.append(k)
+    return found
+
+
 def _left_out(tree: Tree) -> list[bool]:
     """Whether a node belongs to menus, notices and the like.
 
     A class or id does not take out the article itself: what holds a ``h1``, ``main`` or ``article``, or,
     on a page without the latter two, most of the text outside links (nearly all of it, if the whole name
-    says so). Inside an article only containers go by their name, and only by a whole name; headings never go.
+    says so). Inside an article a certain name takes out any element but a heading, and a less certain one
+    containers only. A header outside the article stays if it has no menu and the page's only title.
     """
-    count = len(tree.tag)
+    count, ends = len(tree.tag), _ends(tree)
+    titles = _titles(tree, ends)
     holds = [False] * count
     marked = False
     inside = [False] * count
@@ -198,9 +239,11 @@ def _left_out(tree: Tree) -> list[bool]:
         inside[k] = inside[tree.parent[k]] or tree.tag[k] in ("article", "main")
         marked = marked or tree.tag[k] == "main" or (tree.tag[k] == "article" and not tree.named[k])
         head = tree.tag[k] == "header" and not inside[tree.parent[k]]
+        if head and titles and all(k < j < ends[k] for j in titles) and not any(tree.tag[j] == "nav" for j in range(k, ends[k])):
+            head = False
         shown[k] = not (tree.tag[k] in NOT_TEXT or (tree.tag[k] in EMBEDDED and k in tree.ended) or head)
     for k in range(count - 1, 0, -1):
-        if tree.tag[k] in ("h1", "main") or (tree.tag[k] == "article" and tree.named[k] < 2):
+        if tree.tag[k] in ("h1", "main") or (tree.tag[k] == "article" and tree.named[k] < TOPIC):
             holds[k] = True
         if holds[k]:
             holds[tree.parent[k]] = True
@@ -208,13 +251,13 @@ def _left_out(tree: Tree) -> list[bool]:
     out = [False] * count
     for k in range(1, count):
         up, named, tag = tree.parent[k], tree.named[k], tree.tag[k]
-        if inside[up]:
-            goes = named == 3 and tag in CONTAINERS
-        elif tag in HEADINGS:
+        if tag in HEADINGS:
             goes = False
+        elif inside[up]:
+            goes = named == CERTAIN or (tag in CONTAINERS and named >= (WHOLE if tag == "section" else TOPIC))
         else:
-            goes = named >= (2 if tag == "p" or tag in INLINE else 1)
-        if goes and not marked and chars[k] > (0.8 if named >= 2 else 0.5) * chars[0]:
+            goes = named >= (TOPIC if tag == "p" or tag in INLINE else PART_OF_NAME)
+        if goes and not marked and chars[k] > (0.8 if named >= TOPIC else 0.5) * chars[0]:
             goes = False
         out[k] = out[up] or not shown[k] or (goes and not holds[k])
     return out
@@ -271,9 +314,42 @@ def chosen(tree: Tree) -> list[bool]:
             within[k] = True
         elif not roots and k not in above and up in above and density[k] >= threshold > 0:
             within[k] = True
+    _add_title(tree, out, within, root)
     return within
 
 
+def _add_title(tree: Tree, out: list[bool], within: list[bool], root: int) -> None:
+    """The nearest title before a text without one, and the blocks between, if they are not mostly links.
+
+    Where the text begins with a heading of its own and a menu lies between, the title is the site's.
+    """
+    ends = _ends(tree)
+    if any(within[k] and tree.tag[k] == "h1" for k in range(len(tree.tag))):
+        return
+    before = [k for k in _titles(tree, ends) if k < root and not out[k]]
+    if not before:
+        return
+    title = before[-1]
+    first = next((k for k in range(root, ends[root]) if within[k] and tree.text[k].strip()), root)
+    up = first
+    while up > root and tree.tag[up] not in HEADINGS:
+        up = tree.parent[up]
+    if up > root and any(out[k] and tree.tag[k] for k in range(ends[title], root)):
+        return
+    k = title
+    while k < root:
+        if ends[k] > root or out[k]:  # around the text, or left out
+            k = k + 1 if ends[k] > root else ends[k]
+            continue
+        runs = [(j, len(" ".join(tree.text[j].split()))) for j in range(k, ends[k]) if not out[j] and tree.text[j]]
+        linked = [j for j in range(k, ends[k]) if tree.tag[j] == "a"]
+        in_links = sum(n for j, n in runs if any(a < j < ends[a] for a in linked))
+        if k == title or 2 * in_links <= sum(n for _, n in runs):
+            for j in range(k, ends[k]):
+                within[j] = not out[j]
+        k = ends[k]
+
+
 def main_text(page: str) -> str:
     """The main text: blocks in page order, white space and block ends as one space."""
     tree = parse(page)
