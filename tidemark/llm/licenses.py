@@ -1,17 +1,20 @@
-"""Licence scans: passages compared with licence templates by the Dice coefficient over word bigrams.
-
-Passages are the lines, the paragraphs of more than one line and the whole of a text. They are
-lower-cased, everything but letters and digits becomes one space, and their bigrams are counted with
-repeats, so that Dice = 2 * shared / (n + m). It can reach ``least`` only if the number of bigrams n
-of the passage lies between m * least / (2 - least) and m * (2 - least) / least for the template's m,
-and only if at least m * least / (2 - least) bigrams are shared. The first bound prunes templates by
-size; from the second follow a few words of which a passage must hold one (every template gets words
-that touch so many of its bigrams that a match cannot do without). All of it is DataFrame functions;
-templates are literals of the plan.
-
-Defined results: null and empty texts match nothing; passages of one word have no bigram and match
-nothing; rows that share a doc_id count as one document; a text matches as many templates as reach
-the bound; an empty table gives an empty one. Other columns are not read.
+"""Licence scans: windows of a text compared with licence templates by the Dice coefficient over word bigrams.
+
+Texts and templates are lower-cased and everything but letters and digits becomes one space, so line ends, blank
+lines and comment marks do not matter. A template of m words is compared with windows of m words (of all words of a
+text that has fewer), wherever they stand. Bigrams are counted with repeats: Dice = 2 * shared / (n + m) for n and m
+bigrams. A window begins where a bigram of the template stands, at latest m words before the end; moving any window up
+to the next such place, or to the end, loses nothing that is shared. Three bounds prune:
+
+- size: a text needs m * least / (2 - least) bigrams at least;
+- words: a match holds one of a few words of the template, chosen so that its bigrams without them are too few;
+- places: from its first bigram of the template on, a window must hold as many of them as Dice needs.
+
+All of it is DataFrame functions; templates are literals of the plan.
+
+Defined results: null and empty texts match nothing, nor does a text of one word; rows that share a doc_id count as one
+document; a text matches as many templates as reach the bound, also one that is part of another; an empty
+table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ COMMON = set("a and any as at be by can for from if in is it may no not of on or
 
 
 def needed_words(text: str, least: float) -> list[str]:
-    """Words of which every passage that matches holds one: the bigrams without them are too few."""
+    """Words of which every window that matches holds one: the bigrams without them are too few."""
     words = normal_words(text)
     pairs = list(zip(words, words[1:], strict=False))
     worth = lambda w: sum(w in p for p in pairs) * (min(len(w), 8) if w not in COMMON else 0.1)
@@ -100,69 +103,68 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def passages(documents: DataFrame) -> DataFrame:
-    """doc_id, unit (line, paragraph or text) and passage. Units that are one line are lines only."""
-    text = F.col("text").cast("string")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("passage")))
-    parts = F.filter(F.split(text, "\n[ \t\r]*\n"), lambda x: F.contains(F.trim(x), F.lit("\n")))
-    blocks = F.transform(parts, lambda x: F.struct(F.lit("paragraph").alias("unit"), x.alias("passage")))
-    whole = F.when(
-        F.contains(text, F.lit("\n")), F.array(F.struct(F.lit("text").alias("unit"), text.alias("passage")))
-    ).otherwise(F.array().cast("array<struct<unit:string,passage:string>>"))
-    return documents.filter(text.isNotNull()).select("doc_id", F.explode(F.concat(lines, blocks, whole)).alias("p")).select("doc_id", "p.*")
+def _templates(templates: dict[str, str], least: float) -> Column:
+    """The templates as an array: name, number of bigrams, different bigrams and how often each, fewest bigrams of a text, words."""
+    rows = []
+    for name, text in sorted(templates.items()):
+        words = normal_words(text)
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        different = sorted(set(pairs))
+        rows.append(
+            F.struct(
+                F.lit(name).alias("license"),
+                F.lit(len(pairs)).alias("m"),
+                F.array(*map(F.lit, different)).alias("pairs"),
+                F.array(*[F.lit(pairs.count(p)) for p in different]).alias("times"),
+                F.lit(len(pairs) * least / (2 - least) - 1e-9).alias("low"),
+                F.array(*map(F.lit, needed_words(text, least))).alias("needed"),
+            )
+        )
+    return F.array(*rows)
 
 
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, license, dice (of the best passage), passages (how many reach ``least``), longest unit."""
-    bigrams = {name: numbered_bigrams(text) for name, text in templates.items()}
-    low = {name: len(b) * least / (2 - least) - 1e-9 for name, b in bigrams.items()}
-    high = {name: len(b) * (2 - least) / least + 1e-9 for name, b in bigrams.items()}
+    """doc_id, license, dice (of the best window), first_word (of the earliest best one, from 0), windows (that reach ``least``)."""
     needed = {w for text in templates.values() for w in needed_words(text, least)}
     words = sorted(w for w in needed if not any(v in w for v in needed - {w}))  # who holds a word holds its parts
-    text = F.lower(F.col("text").cast("string"))
-    holds = lambda c: functools.reduce(operator.or_, [F.contains(c, F.lit(w)) for w in words])
-    some = documents.filter(holds(text))  # no passage of the others can match
-    found = passages(some).filter(holds(F.lower("passage")))
-    size = F.size(F.split("passage", "[^A-Za-z0-9]+"))  # the words, and up to two empty ends
-    found = found.filter((size - 1 >= min(low.values())) & (size - 3 <= max(high.values())))
-    found = found.withColumn("words", F.split(_normal(F.col("passage")), " ")).withColumn("n", F.size("words") - 1)
-    found = found.filter((F.col("n") >= min(low.values())) & (F.col("n") <= max(high.values())))
+    lower = F.lower(F.col("text").cast("string"))
+    holds = functools.reduce(operator.or_, [F.contains(lower, F.lit(w)) for w in words])
+    some = documents.filter(holds).select("doc_id", F.split(_normal(F.col("text").cast("string")), " ").alias("words"))
+    some = some.withColumn("n", F.size("words") - 1).filter("n > 0")
+    fits = F.filter(_templates(templates, least), lambda t: (F.col("n") >= t["low"]) & F.arrays_overlap("words", t["needed"]))
+    some = some.withColumn("fits", fits).filter(F.size("fits") > 0)
     pairs = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws(" ", F.element_at("words", k), F.element_at("words", k + 1)))
-    found = found.withColumn("pairs", pairs)
-    nth = lambda p, k: F.concat_ws(" ", p, F.size(F.filter(F.slice("pairs", 1, k + 1), lambda x: x == p)).cast("string"))
-    found = found.withColumn("pairs", F.transform("pairs", nth))
-    candidates = F.array(
-        *[
-            F.struct(F.lit(name).alias("license"), F.lit(low[name]).alias("low"), F.lit(high[name]).alias("high"), F.array(*map(F.lit, b)).alias("pairs"))
-            for name, b in sorted(bigrams.items())
-        ]
-    )
-    near = F.filter(candidates, lambda t: (F.col("n") >= t["low"]) & (F.col("n") <= t["high"]))  # by size alone
-    dice = F.transform(
-        near,
-        lambda t: F.struct(t["license"].alias("license"), (2.0 * F.size(F.array_intersect("pairs", t["pairs"])) / (F.col("n") + F.size(t["pairs"]))).alias("dice")),
-    )
-    matched = found.select("doc_id", "unit", F.explode(dice).alias("m")).select("doc_id", "unit", "m.*").filter(F.col("dice") >= least)
-    return matched.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("passages"), F.max("unit").alias("unit"))
+    each = some.select("doc_id", "n", pairs.alias("pairs"), F.explode("fits").alias("t"))
+    each = each.withColumn("size", F.least("n", "t.m"))  # bigrams of a window
+    each = each.withColumn("need", F.ceil(least * (F.col("size") + F.col("t.m")) / 2 - 1e-9).cast("int"))
+    at = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains(F.col("t.pairs"), p), i)), lambda i: i.isNotNull())
+    each = each.withColumn("at", at).filter(F.size("at") >= F.col("need"))
+    full = lambda i, j: F.get("at", j + F.col("need") - 1) - i < F.col("size")
+    starts = F.transform("at", lambda i, j: F.when(full(i, j), F.least(i, F.col("n") - F.col("size"))))
+    each = each.withColumn("starts", F.array_distinct(F.filter(starts, lambda s: s.isNotNull()))).filter(F.size("starts") > 0)
+    each = each.select("doc_id", "t", "size", "pairs", F.explode("starts").alias("first_word"))
+    own = each.withColumn("window", F.slice("pairs", F.col("first_word") + 1, F.col("size"))).drop("pairs")
+    there = F.zip_with("t.pairs", "t.times", lambda p, c: F.least(F.size(F.filter("window", lambda x: x == p)), c))
+    shared = F.aggregate(there, F.lit(0), lambda total, c: total + c)
+    scored = own.select("doc_id", "t.license", "first_word", (2.0 * shared / (F.col("size") + F.col("t.m"))).alias("dice"))
+    best = F.max(F.struct("dice", (-F.col("first_word")).alias("before"))).alias("best")
+    found = scored.filter(F.col("dice") >= least).groupBy("doc_id", "license").agg(best, F.count(F.lit(1)).alias("windows"))
+    return found.select("doc_id", "license", F.col("best.dice").alias("dice"), (-F.col("best.before")).cast("long").alias("first_word"), "windows")
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
-    """The same in SQL: bigrams of every passage as rows, counted and joined with those of the templates."""
+    """The same in SQL, without any bound but the place where a window begins: bigrams of every window as rows."""
     values = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in sorted(templates.items()))
+    normal = "string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')"
     return f"""
 WITH templates(license, body) AS (VALUES {values}),
-passages AS (
-  SELECT doc_id, 'line' AS unit, unnest(string_split(text, chr(10))) AS passage FROM documents
-  UNION ALL
-  SELECT doc_id, 'paragraph', passage FROM (
-    SELECT doc_id, unnest(string_split_regex(text, '\\n[ \\t\\r]*\\n')) AS passage FROM documents) WHERE contains(trim(passage, ' '), chr(10))
-  UNION ALL
-  SELECT doc_id, 'text', text FROM documents WHERE contains(text, chr(10))),
-p AS (SELECT row_number() OVER () AS pid, doc_id, unit, string_split(trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM passages),
-sized AS (SELECT *, len(w) - 1 AS n FROM p WHERE len(w) BETWEEN 2 AND 400),
-pb AS (SELECT pid, w[i] || ' ' || w[i + 1] AS b, count(*) AS c FROM (SELECT pid, w, unnest(range(1, len(w))) AS i FROM sized) GROUP BY ALL),
-t AS (SELECT license, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM templates),
-tb AS (SELECT license, w[i] || ' ' || w[i + 1] AS b, count(*) AS c, len(w) - 1 AS m FROM (SELECT license, w, unnest(range(1, len(w))) AS i FROM t) GROUP BY license, b, m),
-m AS (SELECT pb.pid, tb.license, 2.0 * sum(least(pb.c, tb.c)) AS twice, any_value(tb.m) AS m FROM pb JOIN tb USING (b) GROUP BY pb.pid, tb.license)
-SELECT doc_id, license, max(CAST(twice AS DOUBLE) / (n + m)) AS dice, count(*) AS passages, max(unit) AS unit
-FROM m JOIN sized USING (pid) WHERE CAST(twice AS DOUBLE) / (n + m) >= {least} GROUP BY doc_id, license"""
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {normal.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+b AS MATERIALIZED (SELECT r, i - 1 AS i, w[i] || ' ' || w[i + 1] AS b FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+t AS (SELECT license, {normal.format('body')} AS w FROM templates),
+tb AS MATERIALIZED (SELECT license, b, count(*) AS c FROM (SELECT license, w[i] || ' ' || w[i + 1] AS b FROM (SELECT license, w, unnest(range(1, len(w))) AS i FROM t)) GROUP BY ALL),
+hits AS MATERIALIZED (SELECT r, license, i, b, c FROM b JOIN tb USING (b)),
+sized AS MATERIALIZED (SELECT r, license, doc_id, len(d.w) - 1 AS n, len(t.w) - 1 AS m, least(len(d.w), len(t.w)) - 1 AS size FROM (SELECT DISTINCT r, license FROM hits) JOIN d USING (r) JOIN t USING (license)),
+starts AS (SELECT DISTINCT r, license, least(i, n - size) AS s FROM hits JOIN sized USING (r, license)),
+inside AS (SELECT r, license, s, b, least(count(*), any_value(c)) AS met FROM starts JOIN sized USING (r, license) JOIN hits USING (r, license) WHERE i >= s AND i < s + size GROUP BY r, license, s, b),
+dice AS (SELECT doc_id, license, s, 2.0::DOUBLE * sum(met) / (any_value(size) + any_value(m)) AS dice FROM inside JOIN sized USING (r, license) GROUP BY r, doc_id, license, s)
+SELECT doc_id, license, max(dice) AS dice, CAST(arg_min(s, (-dice, s)) AS BIGINT) AS first_word, count(*) AS windows FROM dice WHERE dice >= {least} GROUP BY doc_id, license"""
