@@ -47,6 +47,38 @@ def test_longest_matches(frame):
     assert sorted(tuple(r) for r in out) == [("a", 5, 1, 0, 35), ("a", 5, 4, 1, 35), ("a", 20, 2, 1, 35)]
 
 
+def test_a_match_of_any_length_is_whole(frame):
+    """A match of 5,000 words over several segments, one that crosses the end of a segment, and a repeat of its middle."""
+    item = [f"w{k}" for k in range(7000)]
+    docs = [(1, "a b " + " ".join(item[1000:6000]) + " c"), (2, " ".join(item[1990:2010])), (3, " ".join(item[1000:3000]) + " gap " + " ".join(item[3000:6000])), (3, "other text " + " ".join(item[10:40]))]
+    out = d.longest_matches(frame(docs, "doc_id long, text string"), frame([("long", " ".join(item)), ("part", " ".join(item[1995:2300]))], "item_id string, text string")).collect()
+    assert sorted(tuple(r) for r in out) == [("long", 1000, 1, 2, 5000), ("part", 0, 1, 997, 305), ("part", 0, 3, 995, 305)]
+
+
+@pytest.mark.parametrize("window", [3, 5])
+def test_longest_matches_of_short_windows(frame, window):
+    import numpy as np
+
+    random = np.random.default_rng(window)
+    text = lambda n: [f"w{x}" for x in random.integers(0, 6, n)]
+    docs, items = [(k, text(40)) for k in range(25)], [(f"i{k}", text(30)) for k in range(6)]
+    want = []
+    for name, item in items:
+        runs = []
+        for doc_id, words in docs:
+            for i in range(len(item)):
+                for j in range(len(words)):
+                    if i and j and item[i - 1] == words[j - 1]:
+                        continue
+                    n = next((n for n in range(min(len(item) - i, len(words) - j)) if item[i + n] != words[j + n]), min(len(item) - i, len(words) - j))
+                    if n >= window:
+                        runs.append((name, i, doc_id, j, n))
+        want += [r for r in runs if r[4] == max(x[4] for x in runs)]
+    df = lambda rows, key: frame([(k, " ".join(w)) for k, w in rows], f"{key}, text string")
+    out = d.longest_matches(df(docs, "doc_id long"), df(items, "item_id string"), window=window).collect()
+    assert sorted(tuple(r) for r in out) == sorted(want)
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 

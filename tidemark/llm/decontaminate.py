@@ -23,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -347,14 +348,15 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     return out
 
 
-def _longest(held):
+def _longest(held, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
+        block, seen = held.value, TaskContext.get().partitionId() << 33
+        names = ["item_id", "item_word", "doc_id", "doc_word", "n_words", "row"]
         for batch in pieces(batches, SHARD_BYTES):
             words, begin = shard_words(batch, block)
             best: dict[int, tuple] = {}
             for suffix, low, high, array, length in search(words, block):
-                if length >= WINDOW or (block.need[suffix] == length).any():
+                if length >= window or (block.need[suffix] == length).any():
                     for t, a, b in zip(suffix.tolist(), low.tolist(), high.tolist(), strict=True):
                         if length >= block.need[t]:
                             best[t] = (length, array[a:b])
@@ -362,29 +364,42 @@ def _longest(held):
             for t, (length, places) in best.items():
                 row = np.searchsorted(begin, places, "right") - 1
                 for p, r in zip(places.tolist(), row.tolist(), strict=True):
-                    rows.append((block.names[block.item[t]], int(block.origin[t]), batch.column(0)[r].as_py(), p - int(begin[r]), length))
-            names = ["item_id", "item_word", "doc_id", "doc_word", "n_words"]
-            kinds = [pa.string(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
+                    rows.append((block.names[block.item[t]], int(block.origin[t]), batch.column(0)[r].as_py(), p - int(begin[r]), length, seen + r))
+            seen += len(batch)
+            kinds = [pa.string(), pa.int64(), batch.schema.field(0).type, *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
 
     return run
 
 
+def _joined(found: DataFrame) -> DataFrame:
+    """Matches of a document that continue each other, on the same diagonal of item and document, as one."""
+    diagonal = ["item_id", "doc_id", "row", F.col("doc_word") - F.col("item_word")]
+    order = Window.partitionBy(*diagonal).orderBy("item_word", "n_words")
+    end = F.max(F.col("item_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = found.withColumn("new", F.coalesce(F.col("item_word") > end, F.lit(True)).cast("long"))
+    parts = new.withColumn("part", F.sum("new").over(order))
+    size = (F.max(F.col("item_word") + F.col("n_words")) - F.min("item_word")).alias("n_words")
+    joined = parts.groupBy("item_id", "doc_id", "row", (F.col("doc_word") - F.col("item_word")).alias("diagonal"), "part")
+    return joined.agg(F.min("item_word").alias("item_word"), F.min("doc_word").alias("doc_word"), size)
+
+
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per benchmark item its longest verbatim match of at least a window, with all places of that length.
 
-    Matches inside an item longer than ``SEGMENT_WORDS`` are reported up to that length.
+    Long items are searched in segments; matches that go on in the next one are joined, so a match of any length is whole.
     """
     context = documents.sparkSession.sparkContext
     source = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     fields = [T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_id", source.schema["doc_id"].dataType)]
-    schema = T.StructType(fields + [T.StructField(n, T.LongType()) for n in ("doc_word", "n_words")])
+    schema = T.StructType(fields + [T.StructField(n, T.LongType()) for n in ("doc_word", "n_words", "row")])
     found = None
     for block in blocks(benchmark, window, block_words):
-        part = source.mapInArrow(_longest(context.broadcast(block)), schema)
+        part = source.mapInArrow(_longest(context.broadcast(block), window), schema)
         found = part if found is None else found.unionByName(part)
+    names = [name for name in schema.names if name != "row"]
     if found is None:
-        return documents.sparkSession.createDataFrame([], schema)
-    found = staged(found, "matches")
+        return documents.sparkSession.createDataFrame([], schema).select(*names)
+    found = staged(_joined(found), "matches")
     best = found.groupBy("item_id").agg(F.max("n_words").alias("n_words"))
-    return found.join(best, ["item_id", "n_words"]).select(*schema.names)
+    return found.join(best, ["item_id", "n_words"]).select(*names)
