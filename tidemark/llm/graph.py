@@ -19,8 +19,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates two steps until nothing changes: larger neighbours are linked to the smallest
     neighbour, then smaller ones are. Every round is a table in the shared folder, so a lost
-    executor costs one round. Joins are plain equi-joins, which AQE splits where a node has very
-    many links. Loops and repeated links are allowed; no links give no rows.
+    executor costs one round. Joins are plain equi-joins; where a grouping by the same node follows, AQE
+    cannot split a node with very many links. Loops and repeated links are allowed; no links give no rows.
     """
     links = staged(links.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     last = None
