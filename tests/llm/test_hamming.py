@@ -33,6 +33,13 @@ def test_few_rows(frame):
     assert hamming.top_k(df, df.limit(0)).count() == 0
 
 
+def test_longer_vectors_and_columns_that_clash(frame):
+    rows = [(k, "x", k, [float((k >> b & 1) * 2 - 1) for b in range(8)] * (9 if k == 3 else 8)) for k in range(20)]
+    df = frame(rows, "vec_id long, code string, distance int, embedding array<double>")
+    out = hamming.top_k(df, df.filter("vec_id IN (0, 3)"), k=5).collect()
+    assert {r.query_id for r in out} == {0} and 3 not in {r.neighbour_id for r in out} and len(out) == 5
+
+
 def test_ids_with_many_vectors(frame, monkeypatch):
     monkeypatch.setattr(hamming, "SHARD_ROWS", 64)
     random = np.random.default_rng(3)

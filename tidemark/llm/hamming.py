@@ -10,8 +10,8 @@ Queries go to the tasks in blocks of at most ``BLOCK_CODES`` distinct codes. Of
 only the k + 1 smallest ids can be among the nearest of any query, so a hot code is cut down to those
 before it is shuffled; nothing else is left out.
 
-Defined results: rows without an id or a vector have no code and are neither queries nor neighbours;
-missing or NaN elements give bit zero; rows with the query's own id are not its neighbours; ties go
+Defined results: rows without an id or a vector, or with one of more than 64 elements, have no code and are neither
+queries nor neighbours (project longer vectors first); missing or NaN elements give bit zero; rows with the query's own id are not its neighbours; ties go
 to the smaller id; fewer than k rows give fewer neighbours; an empty table gives an empty one.
 """
 
@@ -38,8 +38,6 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = batch.column(1)
         sizes = np.diff(vectors.offsets.to_numpy())
-        if len(sizes) and sizes.max() > 64:
-            raise ValueError("codes hold 64 bits; project longer vectors first")
         values = vectors.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
         row, place = np.repeat(np.arange(len(sizes)), sizes), spans(np.zeros(len(sizes), np.int64), sizes)
         code = np.zeros(len(sizes), np.uint64)
@@ -50,7 +48,7 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def codes(vectors: DataFrame) -> DataFrame:
     """(vec_id, code) of (vec_id, embedding)."""
-    there = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropna()
+    there = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropna().filter(F.size("embedding") <= 64)
     return there.mapInArrow(_codes, "vec_id long, code long")
 
 
