@@ -55,5 +55,7 @@ def test_rebuild_is_repeatable(spark, tmp_path):
         out = rebuild(pinned, firms, b.form_fields(spark), rules, f"{tmp_path}/out")
         seen.append({name: sorted(str(r) for r in df.collect()) for name, df in out.items()})
     assert seen[0] == seen[1] and all(seen[0].values())
+    assert len(list((tmp_path / "out/governed").glob("facts-*"))) == 1
+    assert {r.measure for r in out["governed"].collect()} >= {"completeness", "energy_per_water"}
     percentiles = [r.percentile_all for r in out["metrics"].collect()]
     assert all(0 <= p <= 100 for p in percentiles)

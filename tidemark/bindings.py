@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions.exprs import money, stable_key
+from tidemark.session import shared_place
 
 METRIC_KEYS = ("qty", "revenue", "discount", "tax", "rev_a", "rev_n", "rev_r")
 
@@ -133,6 +135,18 @@ def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("company_id", "fy", "metric_key", "value", "pin_id")
 
 
+def governed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and newest scores with company dimensions, built once for each state of the tables they come from."""
+    from tidemark.plans import store
+
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "supplier", "nation", "region")]
+    key = store.fingerprint(spark, inputs, {"metrics": METRIC_KEYS, "scoring": config.SCORING})
+    return store.FactStore(spark, shared_place(spark, "governed")).ensure(
+        key,
+        lambda: store.dimensioned_facts(long_metrics(spark, sf_dir), scores(spark, sf_dir), companies(spark, sf_dir)),
+    )
+
+
 # fixed values: order priorities stand for the fields of a filing
 FIELD_OF_PRIORITY = {
     "1-URGENT": "p1.e1.urgent",

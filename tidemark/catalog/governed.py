@@ -12,6 +12,7 @@ from tidemark.catalog import query
 from tidemark.catalog.fragments import COMPANIES, SCORES, STAR
 from tidemark.config import COHORT_LABEL, TIERS_PAID
 from tidemark.plans import semantic as s
+from tidemark.plans import store
 
 CATALOG = s.Catalog(
     measures={
@@ -36,6 +37,13 @@ def ask(spark: SparkSession, d: str, spec: dict[str, Any], tier: str = "research
     return result.data.withColumn("value", F.round("value", 6))
 
 
+def ask_store(spark: SparkSession, d: str, spec: dict[str, Any], tier: str = "research") -> DataFrame:
+    """The same question, answered from the materialised facts."""
+    result = store.answer(b.governed_facts(spark, d), spec, tier, CATALOG)
+    assert result.data is not None
+    return result.data.withColumn("value", F.round("value", 6))
+
+
 def eq(dimension: str, value: Any) -> dict[str, Any]:
     return {"dimension": dimension, "operator": "eq", "value": value}
 
@@ -54,7 +62,7 @@ def grouped_sql(measure: str, dims: str, where: str, order: str, limit: int, ext
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     spec = {"measures": ["revenue"], "dimensions": ["industry"], "filters": [eq("fy", 1998)],
             "shape": "distribution", "limit": 20}
-    return ask(spark, d, spec)
+    return ask_store(spark, d, spec)
 
 
 @query(
@@ -154,7 +162,7 @@ def _latest(spark: SparkSession, d: str) -> DataFrame:
 )
 def _multi(spark: SparkSession, d: str) -> DataFrame:
     spec = {"measures": ["qty", "tax", "substance"], "dimensions": ["sector"], "shape": "comparison", "limit": 3}
-    return ask(spark, d, spec)
+    return ask_store(spark, d, spec)
 
 
 @query(
@@ -222,7 +230,7 @@ def _normalise(spark: SparkSession, d: str) -> DataFrame:
 def _top(spark: SparkSession, d: str) -> DataFrame:
     rank = {"dimension": "company", "operator": "top_n", "value": 10}
     spec = {"measures": ["revenue"], "dimensions": ["company"], "filters": [eq("fy", 1996), rank], "shape": "ranking"}
-    return ask(spark, d, spec)
+    return ask_store(spark, d, spec)
 
 
 @query(

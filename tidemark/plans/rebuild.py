@@ -1,4 +1,4 @@
-"""The full rebuild: metrics, shared phrases and scores from the published fields."""
+"""The full rebuild: metrics, shared phrases, scores and the governed facts from the published fields."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from tidemark import config
 from tidemark.operators import metrics as m
 from tidemark.operators import scores as s
 from tidemark.operators import text as x
+from tidemark.plans import store
 
 
 def rebuild(
@@ -21,11 +22,12 @@ def rebuild(
     out_dir: str,
     scoring: dict[str, Any] | None = None,
 ) -> dict[str, DataFrame]:
-    """Write metrics, scores and shared phrases below ``out_dir`` and return them.
+    """Write metrics, scores, shared phrases and governed facts below ``out_dir`` and return them.
 
     ``pinned`` has the columns of :mod:`tidemark.operators.scores` plus ``value`` for numeric
     fields. Metrics are replaced as a whole; scores and phrases only for the method version of this
-    run, so earlier versions stay for comparison. The same inputs always give the same rows.
+    run, so earlier versions stay for comparison. The same inputs always give the same rows, and a new build
+    of the governed facts is written only if rows or rules are others than before.
     """
     scoring = scoring or config.SCORING
     spark = pinned.sparkSession
@@ -47,4 +49,9 @@ def rebuild(
     shared = x.shared_phrases(texts, ["company_id", "fy", "field_key"], "company_id", "value_raw", threshold, words)
     shared = shared.withColumn("method_version", version)
     m.replace_partitions(shared, f"{out_dir}/shared_phrases", "method_version")
-    return {name: spark.read.parquet(f"{out_dir}/{name}") for name in ("metrics", "scores", "shared_phrases")}
+    out = {name: spark.read.parquet(f"{out_dir}/{name}") for name in ("metrics", "scores", "shared_phrases")}
+    key = store.content([store.facts_of(out["metrics"], out["scores"]), companies], [rules, scoring])
+    out["governed"] = store.FactStore(spark, f"{out_dir}/governed").ensure(
+        key, lambda: store.dimensioned_facts(out["metrics"], out["scores"], companies)
+    )
+    return out

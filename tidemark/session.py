@@ -81,6 +81,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """The folder of that name below the application's folder, the same at every call."""
+    return f"{_base(spark)}/{name}"
+
+
 def release(spark: SparkSession) -> None:
     """Remove all staged tables and stream folders of the application; called at exit, or when results are written."""
     context = spark.sparkContext
