@@ -1,9 +1,9 @@
 """Governed facts as a table, so that a query reads the rows of its measures and years and nothing else.
 
 A build holds the metrics and the scores of the newest method version with the company's dimensions on
-every row, in one folder per measure and year. Builds are known by the hash of what they were made from; a
-manifest names the folder of each hash and gets its line only after the whole build is written, so a
-reader never sees half of one and two writers do no harm.
+every row, in one folder per measure, ordered by year so that row groups of other years are skipped.
+Builds are known by the hash of what they were made from; a manifest names the folder of each hash and gets
+its line only after the whole build is written, so a reader never sees half of one and two writers do no harm.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ from tidemark.plans import semantic
 
 MANIFEST = "fingerprint string, folder string, columns string"
 
-#: Ranges of companies in which one measure and year is written, so that a large one is the work of many tasks.
-RANGES = 16
-
 
 def fingerprint(spark: SparkSession, paths: Sequence[str], settings: Any) -> str:
     """Hash of the settings and of name, length and time of every file below the paths; no content is read.
@@ -100,13 +97,12 @@ class FactStore:
     def publish(self, key: str, facts: DataFrame) -> DataFrame:
         """Write a build and name it in the manifest.
 
-        Rows go to tasks by measure, year and range of companies: a file per task and folder, and no
-        measure or year that is larger than the others is the work of one task.
+        Rows are rebalanced by measure: AQE writes a small folder as one file and cuts a large one by size,
+        so that no measure is the work of one task. Each file is ordered by year.
         """
         folder = f"facts-{uuid.uuid4().hex}"
-        part = F.pmod(F.xxhash64("company_id"), F.lit(RANGES))
-        rows = facts.repartition("measure", "fy", part).sortWithinPartitions("measure", "fy", "company_id")
-        rows.write.partitionBy("measure", "fy").parquet(f"{self.path}/{folder}")
+        rows = facts.hint("rebalance", F.col("measure")).sortWithinPartitions("measure", "fy", "company_id")
+        rows.write.partitionBy("measure").parquet(f"{self.path}/{folder}")
         line = [(key, folder, facts.schema.json())]
         self.spark.createDataFrame(line, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         found = self.find(key)
