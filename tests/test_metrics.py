@@ -1,4 +1,5 @@
 from decimal import Decimal as D
+from random import Random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,50 @@ def test_closure_follows_chains():
     assert m.blocked_keys(rules) == [("a", "a"), ("a", "b"), ("a", "c")]
 
 
+def reachable(starts, edges):
+    out = set()
+    for start in starts:
+        seen, todo = {start}, [start]
+        while todo:
+            key = todo.pop()
+            new = {b for a, b in edges if a == key and None not in (a, b)} - seen
+            seen |= new
+            todo += new
+        out |= {(start, key) for key in seen}
+    return out
+
+
+def test_dependent_keys_match_brute_force(frame):
+    """Forty small random graphs side by side: cycles, loops, repeated edges, nulls, keys that nothing leads to."""
+    draw = Random(7)
+    starts, edges = [None, "nowhere"], [(None, "0a"), ("0a", None)]
+    for g in range(40):
+        keys = [f"{g}{letter}" for letter in "abcdef"]
+        edges += [(draw.choice(keys), draw.choice(keys)) for _ in range(draw.randrange(12))]
+        starts += draw.choices(keys, k=draw.randrange(4))
+    rows = m.dependent_keys(frame([(s,) for s in starts], "failed string"), frame(edges, "metric_key string, dependent_key string"))
+    got = [tuple(r) for r in rows.collect()]
+    assert len(got) == len(set(got)) and set(got) == reachable(set(starts) - {None}, edges)
+
+
+def test_layers_of_diamonds_are_followed_once_per_key(spark, frame):
+    """2^12 paths lead through twelve layers of diamonds; pairs are as many as keys."""
+    edges = [(f"{i}x{j}", f"{i + 1}x{k}") for i in range(12) for j in range(2) for k in range(2)] + [("12x0", "0x0")]
+    rows = m.dependent_keys(frame([("0x0",)], "failed string"), frame(edges, "metric_key string, dependent_key string"))
+    assert rows.count() == rows.distinct().count() == 1 + 12 * 2
+
+
+def test_dependents_are_withheld_in_the_failing_filing_only(frame):
+    rows = [(c, 1, "s", k, 1) for c in ("bad", "ok") for k in ("a", "b", "c", "z")]
+    edges = frame([("a", "b"), ("b", "gone"), ("gone", "c"), ("c", "a"), ("z", "z")], "metric_key string, dependent_key string")
+    odd = frame([("bad", None, "s", "a", D(1), "n1"), (None, 1, "s", "b", D(1), "n2"), ("bad", 1, "s", None, D(1), "n3")], CAND)
+    failures = frame([("bad", 1, "b"), ("bad", 1, "b"), (None, 1, "z"), ("ok", 1, None), ("ok", 2, "z")], "company_id string, fy int, metric_key string")
+    kept = m.withhold_dependents(cands(frame, rows).unionByName(odd), failures, edges)
+    got = sorted((r.company_id or "", r.fy or 0, r.metric_key or "") for r in kept.collect())
+    assert got == [("", 1, "b"), ("bad", 0, "a"), ("bad", 1, ""), ("bad", 1, "z"), ("ok", 1, "a"), ("ok", 1, "b"), ("ok", 1, "c"), ("ok", 1, "z")]
+    assert m.withhold_dependents(cands(frame, rows), failures.limit(0), edges).count() == 8
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("gh"), st.one_of(st.just(0.0), st.floats(-1e9, 1e9), st.integers(-3, 3).map(float))), min_size=1, max_size=60))
 def test_ordered_counts_match_brute_force(frame, rows):

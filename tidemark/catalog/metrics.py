@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import bindings as b
 from tidemark.catalog import query
 from tidemark.catalog.fragments import BROKEN, CANDIDATES
+from tidemark.functions.exprs import money
 from tidemark.operators import metrics as m
 from tidemark.session import shared_dir
 
@@ -126,6 +127,33 @@ def _m6(spark: SparkSession, d: str) -> DataFrame:
     return plain(rows.drop("pin_id", "contributing_pin_ids"))
 
 
+PARTS = """cand AS (SELECT l_suppkey AS company_id, CAST(year(l_shipdate) AS INTEGER) AS fy, l_partkey AS metric_key,
+  sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS value FROM lineitem GROUP BY 1, 2, 3),
+dep AS (SELECT p_partkey AS metric_key, p_partkey + 1 AS dependent_key FROM part WHERE p_partkey % 8 <> 7
+  UNION ALL SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey % 16 = 7
+  UNION ALL SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey % 8 = 0),
+failed AS (SELECT company_id, fy, metric_key AS failed FROM cand WHERE metric_key % 11 = 3 AND value > 60000),
+closure AS (SELECT DISTINCT failed, failed AS metric_key FROM failed
+  UNION SELECT c.failed, d.dependent_key FROM closure c JOIN dep d USING (metric_key)),
+blocked AS (SELECT DISTINCT company_id, fy, metric_key FROM failed JOIN closure USING (failed))"""
+
+
+@query(
+    "m6_dependency_table",
+    f"WITH RECURSIVE {PARTS} SELECT company_id, fy, metric_key, CAST(value AS DOUBLE) AS value FROM cand ANTI JOIN blocked USING (company_id, fy, metric_key)",
+)
+def _m6_table(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as metrics, with a table of dependencies: rings of 16 and chains of 8 parts, linked by doubling."""
+    amount = F.sum(money("l_extendedprice")).alias("value")
+    keys = (F.col("l_suppkey").alias("company_id"), F.year("l_shipdate").alias("fy"), F.col("l_partkey").alias("metric_key"))
+    rows = b.table(spark, d, "lineitem").groupBy(*keys).agg(amount)
+    part = F.col("p_partkey")
+    following = F.array(F.when(part % 8 != 7, part + 1), F.when(part % 16 == 7, part - 7), F.when(part % 8 == 0, part * 2))
+    edges = b.table(spark, d, "part").select(part.alias("metric_key"), F.explode(following).alias("dependent_key"))
+    failures = rows.where((F.col("metric_key") % 11 == 3) & (F.col("value") > 60000))
+    return plain(m.withhold_dependents(rows, failures, edges))
+
+
 @query(
     "m7_midrank_percentile",
     f"WITH {CANDIDATES} SELECT company_id, fy, metric_key, {midrank_sql('fy, metric_key')} AS percentile_all FROM cand",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import rule_table
 from tidemark.operators.ranking import attach_ranks
-from tidemark.session import staged
+from tidemark.session import shared_dir, staged
 
 FILING = ("company_id", "fy")
 VALUE = "decimal(24,6)"
@@ -206,6 +206,43 @@ def blocked_keys(rules: MetricRules) -> list[tuple[str, str]]:
     return sorted(pairs)
 
 
+def dependent_keys(starts: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(failed, metric_key): every key that can be reached from each start, the start itself included.
+
+    ``starts`` has the column ``failed`` and ``dependencies`` the columns ``metric_key, dependent_key``, a table of any size
+    in which chains may be of any length and may close to cycles. Each round follows the dependencies of the pairs that
+    the round before found and leaves out pairs known from any round, so every pair is followed once and a cycle ends by
+    itself; a recursive query would follow a key once for every path that leads to it. Rounds are tables in the shared
+    folder: a lost executor costs one. Nulls depend on nothing; repeated rows count once.
+    """
+    spark, path = starts.sparkSession, shared_dir(starts.sparkSession, "dependents")
+    edges = staged(dependencies.select("metric_key", "dependent_key").dropna().distinct(), "dependencies")
+    found = starts.select("failed").dropna().distinct().withColumn("metric_key", F.col("failed"))
+    found.write.parquet(f"{path}/round=0")
+    schema = found.schema
+    pairs = lambda folder: spark.read.schema(schema).parquet(folder).select("failed", "metric_key")
+    number, last = 0, pairs(f"{path}/round=0")
+    while not last.isEmpty():
+        number += 1
+        following = last.join(edges, "metric_key").select("failed", F.col("dependent_key").alias("metric_key")).distinct()
+        following.join(pairs(path), ["failed", "metric_key"], "left_anti").write.parquet(f"{path}/round={number}")
+        last = pairs(f"{path}/round={number}")
+    return pairs(path)
+
+
+def withhold_dependents(candidates: DataFrame, failures: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Drop failing keys and all keys that depend on them, for the failing filing only.
+
+    ``failures`` has company_id, fy and metric_key; the keys and what depends on them are data, as in
+    :func:`dependent_keys`. Keys are followed once, whatever number of filings they fail in. Candidates without a
+    company, year or key stay.
+    """
+    failed = failures.select(*FILING, F.col("metric_key").alias("failed")).dropna().distinct()
+    reached = dependent_keys(failed, dependencies)
+    blocked = failed.join(reached, "failed").select(*FILING, "metric_key")
+    return candidates.join(blocked, [*FILING, "metric_key"], "left_anti")
+
+
 def withhold_implausible(candidates: DataFrame, rules: MetricRules) -> DataFrame:
     """Drop failing keys and all keys derived from them, for the failing filing only."""
     pairs = blocked_keys(rules)
