@@ -82,6 +82,23 @@ def test_dataset_keeps_its_licence(spark, frame, tmp_path):
     assert meta["licence_terms"] == "/licence"
 
 
+def test_every_csv_file_begins_with_the_licence(spark, frame, tmp_path):
+    values = ["plain", "#not a note", 'with "quotes", comma', "", None, " padded ", "back\\slash", "é", "# licence: no"]
+    schema = "`first, name` string, n int, note string"
+    df = frame([(v, i, v) for i, v in enumerate(values)], schema).repartition(3)
+    licence = {"licence": "Line one\nline two", "terms": "/t"}
+    sinks.write_licensed_csv(df, f"{tmp_path}/csv", licence)
+    files = [p.read_text().splitlines() for p in (tmp_path / "csv").glob("part-*")]
+    assert len(files) == 3 and all(f[:4] == ["# licence: Line one", "# line two", "# terms: /t", '"first, name",n,note'] for f in files)
+    options = {"header": True, "comment": "#", "escape": '"'}
+    back = spark.read.options(**options).schema(schema).csv(f"{tmp_path}/csv")
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == [(v or None, i, v or None) for i, v in enumerate(values)]
+    assert sum('"",3,""' in f for f in files) == 1
+    assert spark.read.options(**options).csv(f"{tmp_path}/csv").columns == df.columns
+    sinks.write_licensed_csv(df.limit(0), f"{tmp_path}/empty", licence)
+    assert spark.read.options(**options).schema(schema).csv(f"{tmp_path}/empty").count() == 0
+
+
 def test_event_months_replace_only_themselves(spark, frame, tmp_path):
     path = f"{tmp_path}/events"
     df = frame([(1, "2024-01-05"), (2, "2024-02-05")], "event_id int, ts string").selectExpr("event_id", "timestamp(ts) ts")

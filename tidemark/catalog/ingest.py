@@ -320,7 +320,7 @@ def _s11(spark: SparkSession, d: str) -> DataFrame:
     path = shared_dir(spark, "dataset-csv")
     sinks.write_dataset(dataset(spark, d), path, "csv")
     schema = "sector string, financial_year int, measure string, company_count long, average_value double"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
 
 
 @query("s11_dataset_parquet", DATASET)
