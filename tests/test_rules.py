@@ -143,3 +143,12 @@ def test_small_prior_values_count(frame):
     prior = frame([("f", "a.b.one", "0.0000001")], "filing_id string, field_key string, value string")
     moved = r.movement_findings(answers(frame, ("f", "a.b.one", "0.0000003", None)), prior, FORM).collect()
     assert [x.field_key for x in moved] == ["a.b.one"]
+
+
+def test_prefill_never_broadcasts_answers(frame, capsys):
+    prior = frame([(1, "a", "x"), (1, "b", "y"), (None, "a", "z"), (2, "q", "w")], "filing_id long, field_key string, value string")
+    now = frame([(1, "a"), (None, "a")], "filing_id long, field_key string")
+    rows = r.prefill_candidates(now, prior, [r.FieldDef("a", "A"), r.FieldDef("b", "A")])
+    assert {(x.filing_id, x.field_key) for x in rows.collect()} == {(1, "b"), (None, "a")}
+    rows.explain()
+    assert "BroadcastHashJoin [filing_id" not in capsys.readouterr().out

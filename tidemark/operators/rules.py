@@ -339,7 +339,9 @@ def progress(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef]) -
 def prefill_candidates(answers: DataFrame, prior: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     """Last year's answers to known fields that have no answer yet."""
     known = F.broadcast(form_table(answers.sparkSession, form).select("field_key"))  # configuration
-    open_rows = prior.join(answers.select("filing_id", "field_key"), ["filing_id", "field_key"], "left_anti")
+    # Sizes are guessed from the filings, which become many answers each, so a broadcast would be chosen far too late.
+    present = answers.select("filing_id", "field_key").hint("merge")
+    open_rows = prior.join(present, ["filing_id", "field_key"], "left_anti")
     return open_rows.join(known, "field_key", "left_semi").select(
         "filing_id", "field_key", "value", F.lit("candidate").alias("status")
     )
