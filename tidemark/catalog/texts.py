@@ -20,15 +20,7 @@ from tidemark.operators import text as x
       min(sha256(phrase)) AS first_hash, max(sha256(phrase)) AS last_hash FROM sh GROUP BY 1""",
 )
 def _t1(spark: SparkSession, d: str) -> DataFrame:
-    # Copies of a shingle within a document are counted before anything is shuffled per document.
-    rows = x.shingle_rows(b.narratives(spark, d), ["doc_id"], "text")
-    per_phrase = rows.groupBy("doc_id", "phrase_hash").agg(F.count(F.lit(1)).alias("n"))
-    return per_phrase.groupBy("doc_id").agg(
-        F.sum("n").alias("shingles"),
-        F.count(F.lit(1)).alias("distinct_shingles"),
-        F.lower(F.hex(F.min("phrase_hash"))).alias("first_hash"),
-        F.lower(F.hex(F.max("phrase_hash"))).alias("last_hash"),
-    )
+    return x.shingle_counts(b.narratives(spark, d), "doc_id", "text")
 
 
 @query(

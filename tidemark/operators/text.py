@@ -36,19 +36,62 @@ def shingle_rows(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) ->
     return phrase_rows(texts, ids, text, n).select(*ids, t.digest(F.col("phrase")).alias("phrase_hash"))
 
 
+def shingle_counts(texts: DataFrame, doc: str, text: str, n: int = 8) -> DataFrame:
+    """(doc, shingles, distinct_shingles, first_hash, last_hash) of every document with a shingle.
+
+    A document in one row is counted in that row, so none of its shingles is shuffled. Only where several rows have
+    the same id do their shingles come together by id and hash.
+    """
+    rows = texts.select(doc, F.col(text).alias("__text"))
+    more = rows.groupBy(F.col(doc).alias("__id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    more = staged(more.select("__id"), "repeated-ids")
+    same = F.col(doc).eqNullSafe(F.col("__id"))
+    cut = rows.join(more, same, "left_anti").select(doc, t.words(F.col("__text")).alias("__words"))
+    hashed = cut.select(doc, F.transform(t.shingles(F.col("__words"), n), lambda p: F.sha2(p, 256)).alias("__hashes"))
+    figures = F.struct(
+        F.size("__hashes").cast("long").alias("shingles"),
+        F.size(F.array_distinct("__hashes")).cast("long").alias("distinct_shingles"),
+        F.array_min("__hashes").alias("first_hash"),
+        F.array_max("__hashes").alias("last_hash"),
+    )
+    # Not a filter: pushed below, it would cut the text into words anew for every shingle.
+    once = hashed.select(doc, F.inline(F.when(F.size("__hashes") > 0, F.array(figures))))
+    split = shingle_rows(rows.join(more, same, "left_semi"), [doc], "__text", n)
+    per_phrase = split.groupBy(doc, "phrase_hash").agg(F.count(F.lit(1)).alias("n"))
+    joined = per_phrase.groupBy(doc).agg(
+        F.sum("n").alias("shingles"),
+        F.count(F.lit(1)).alias("distinct_shingles"),
+        F.lower(F.hex(F.min("phrase_hash"))).alias("first_hash"),
+        F.lower(F.hex(F.max("phrase_hash"))).alias("last_hash"),
+    )
+    return once.unionByName(joined)
+
+
+#: The key of a shingle, 16 bytes in two columns of fixed width, which hash aggregation keeps without sorting.
+PHRASE_KEY = ["phrase_key", "phrase_key_more"]
+
+
+def phrase_key(phrase: Column) -> list[Column]:
+    """Two 64-bit hashes with different seeds."""
+    return [F.xxhash64(phrase).alias(PHRASE_KEY[0]), F.xxhash64(F.lit(1), phrase).alias(PHRASE_KEY[1])]
+
+
 def distinct_phrases(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) -> DataFrame:
     """Distinct shingle keys per id; repeats inside a text are dropped before the shuffle.
 
-    There is about one shingle per word, so the size of its key is the size of the job: 16 bytes.
+    There is about one shingle per word, so the size of its key is the size of the job: 16 bytes. Rows are dealt by
+    the key alone; what counts or joins by the key after that needs no further exchange.
     """
-    rows = phrase_rows(texts, ids, text, n)
-    return rows.select(*ids, t.short_digest(F.col("phrase")).alias("phrase_key")).distinct()
+    cut = texts.select(*ids, t.words(F.col(text)).alias("__words"))
+    # Of an array column of its own Spark would ask first whether it is empty, and work it out twice.
+    rows = cut.select(*ids, F.explode(F.array_distinct(t.shingles(F.col("__words"), n))).alias("phrase"))
+    return rows.select(*ids, *phrase_key(F.col("phrase"))).repartition(*PHRASE_KEY).distinct()
 
 
 def phrase_companies(phrases: DataFrame, company: str) -> DataFrame:
     """Distinct companies per shingle key. Only keys are shuffled, never phrase text."""
-    pairs = phrases.select(company, "phrase_key").distinct()
-    return pairs.groupBy("phrase_key").agg(F.count(F.lit(1)).alias("company_count"))
+    pairs = phrases.select(company, *PHRASE_KEY).distinct()
+    return pairs.groupBy(*PHRASE_KEY).agg(F.count(F.lit(1)).alias("company_count"))
 
 
 def boilerplate(phrases: DataFrame, company: str, threshold: int = 3) -> DataFrame:
@@ -61,37 +104,38 @@ def shared_phrases(
 ) -> DataFrame:
     """(phrase_hash, phrase, company_count) of shingles used by at least ``threshold`` companies.
 
-    One pass cuts the texts; every key carries a pointer, the smallest (ids, place) it stands at. The
-    few pointers of shared keys go back to their texts, which slice the words out there, so no phrase
-    is shuffled. ``ids`` name a text; where they do not, the key tells the right one.
+    One pass cuts the texts; every key carries a pointer, a number made of a hash of the text with its ids and of the
+    place it stands at there. Rows of fixed width are dealt by the key alone, once. The pointers of shared keys go back to
+    their texts as one list per text, which slices the words out there. Where texts have the same hash,
+    the key tells the right one.
     """
-    more = [] if company in ids else [company]
-    cut = texts.select(*ids, *more, t.words(F.col(text)).alias("__words"))
-    keys = F.transform(t.shingles(F.col("__words"), n), lambda p, i: F.struct(t.short_digest(p).alias("key"), i.alias("at")))
-    rows = cut.select(*ids, *more, F.explode(keys).alias("k"))
-    none = [F.col(c).isNull().alias(f"__none{k}") for k, c in enumerate(ids)]  # a null id is pointed to last
-    pointer = F.struct(*none, *ids, F.col("k.at").alias("at")).alias("pointer")
-    rows = rows.select(F.col(company).alias("__company"), F.col("k.key").alias("phrase_key"), pointer)
-    per_company = rows.groupBy("phrase_key", "__company").agg(F.min("pointer").alias("pointer"))
-    shared = per_company.groupBy("phrase_key").agg(F.count(F.lit(1)).alias("company_count"), F.min("pointer").alias("pointer"))
-    shared = shared.where(F.col("company_count") >= threshold).select("phrase_key", "company_count", "pointer.*")
-    words = texts.select(*[F.col(c).alias(f"__id{k}") for k, c in enumerate(ids)], t.words(F.col(text)).alias("__words"))
-    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"__id{k}")) for k, c in enumerate(ids)])
-    phrase = F.array_join(F.slice("__words", F.col("at") + 1, n), " ").alias("phrase")
-    found = shared.join(words, same).select("phrase_key", phrase, "company_count")
-    found = found.where(t.short_digest(F.col("phrase")) == F.col("phrase_key")).dropDuplicates(["phrase_key"])
+    number = F.pmod(F.xxhash64(*ids, text), F.lit(1 << 32)).alias("__number")
+    cut = texts.select(F.col(company).alias("__company"), number, t.words(F.col(text)).alias("__words"))
+    rows = cut.select("__company", "__number", F.posexplode(t.shingles(F.col("__words"), n)).alias("at", "phrase"))
+    pointer = (F.col("__number") * (1 << 31) + F.col("at")).alias("pointer")  # a place in an array has 31 bits
+    rows = rows.select("__company", *phrase_key(F.col("phrase")), pointer).repartition(*PHRASE_KEY)
+    per_company = rows.groupBy(*PHRASE_KEY, "__company").agg(F.min("pointer").alias("pointer"))
+    shared = per_company.groupBy(*PHRASE_KEY).agg(F.count(F.lit(1)).alias("company_count"), F.min("pointer").alias("pointer"))
+    shared = shared.where(F.col("company_count") >= threshold)
+    place = F.struct(*PHRASE_KEY, "company_count", F.pmod("pointer", F.lit(1 << 31)).cast("int").alias("at"))
+    lists = shared.groupBy(F.shiftright("pointer", 31).alias("__number")).agg(F.collect_list(place).alias("places"))
+    found = texts.select(number, F.col(text).alias("__text")).join(lists, "__number")
+    found = found.select("places", t.words(F.col("__text")).alias("__words"))
+    sliced = lambda p: F.array_join(F.slice("__words", p["at"] + 1, n), " ").alias("phrase")
+    found = found.select(F.explode(F.transform("places", lambda p: F.struct(p.alias("p"), sliced(p)))).alias("f")).select("f.p.*", "f.phrase")
+    right = functools.reduce(operator.and_, [F.col(name) == key for name, key in zip(PHRASE_KEY, phrase_key(F.col("phrase")), strict=True)])
+    found = found.where(right).dropDuplicates(PHRASE_KEY)
     return found.select(F.sha2("phrase", 256).alias("phrase_hash"), "phrase", "company_count")
 
 
 def originality(phrases: DataFrame, docs: DataFrame, doc: str, shared: DataFrame) -> DataFrame:
     """Share of a document's distinct shingles that are not boilerplate; 1 without shingles.
 
-    ``phrases`` are the :func:`distinct_phrases` by document. A shared line makes one key hot; the
-    list of shared keys has one row per key and the next step groups by document, so AQE may split
-    that key.
+    ``phrases`` are the :func:`distinct_phrases` by document, ``shared`` the :func:`boilerplate` among them: both are
+    dealt by key already.
     """
-    own = phrases.select(doc, "phrase_key").distinct()
-    marked = own.join(shared.select("phrase_key", F.lit(1).alias("hit")), "phrase_key", "left")
+    own = phrases.select(doc, *PHRASE_KEY).distinct()
+    marked = own.join(shared.select(*PHRASE_KEY, F.lit(1).alias("hit")), PHRASE_KEY, "left")
     counts = marked.groupBy(doc).agg(
         F.count(F.lit(1)).alias("phrase_count"), F.count("hit").alias("boilerplate_phrases")
     )
