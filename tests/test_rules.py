@@ -152,3 +152,15 @@ def test_prefill_never_broadcasts_answers(frame, capsys):
     assert {(x.filing_id, x.field_key) for x in rows.collect()} == {(1, "b"), (None, "a")}
     rows.explain()
     assert "BroadcastHashJoin [filing_id" not in capsys.readouterr().out
+
+
+def test_filings_are_gathered_without_sorting(frame, capsys):
+    form = [r.FieldDef(f"a.b.f{i}", "A", condition=("a.b.f0", "No") if i == 69 else None) for i in range(70)]
+    rows = [("x", f"a.b.f{i}", "No" if i == 0 else "v", None) for i in range(70) if i not in (61, 62, 63, 69)] + [("y", "a.b.f0", "No", None), ("y", "a.b.f0", "Yes", None)]
+    df = answers(frame, *rows)
+    found = r.missing_required(of(df), df, form)
+    assert sorted(x.field_key for x in found.where("filing_id = 'x'").collect()) == ["a.b.f61", "a.b.f62", "a.b.f63", "a.b.f69"]
+    assert found.where("filing_id = 'y'").count() == 68  # the greatest answer is Yes, so f69 is not asked for
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

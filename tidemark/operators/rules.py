@@ -68,8 +68,9 @@ def _with_form(answers: DataFrame, form: Sequence[FieldDef], how: str) -> DataFr
 
 
 def _numbered(answers: DataFrame) -> DataFrame:
-    """With ``__number``: the value as a plain number, thousands separators taken out; null if it is none."""
-    return num.with_plain(answers, "__number", F.replace(F.trim("value"), F.lit(","), F.lit("")))
+    """With ``__number``: the value as a plain number, thousands separators taken out; null if it is none or no rule asks."""
+    asked = F.col("dtype").isin("integer", "number") | (F.col("expected_unit") == "percent")
+    return num.with_plain(answers, "__number", F.when(asked, F.replace(F.trim("value"), F.lit(","), F.lit(""))))
 
 
 def _value_error() -> Column:
@@ -187,22 +188,17 @@ def relation_findings(answers: DataFrame, relations: Sequence[Relation]) -> Data
     """Totals that differ from their operands; checked only where all of them are numbers."""
     numbers, name = _relation_numbers(relations)
     wide = _plain_values(answers.where(F.col("field_key").isin(list(name)))).groupBy("filing_id").agg(*numbers)
-    return _with_broken_relations(wide, relations, name).select("filing_id", F.inline("broken")).select(*FINDING)
+    # An expression, not the column: that one Spark would ask for its size first, with all steps above worked out again.
+    found = F.inline(F.array_compact("broken"))
+    return _with_broken_relations(wide, relations, name).select("filing_id", found).select(*FINDING)
 
 
 def filing_findings(
     filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef], relations: Sequence[Relation]
 ) -> DataFrame:
-    """Findings that need a filing's answers together, in one shuffle: totals and missing fields."""
-    numbers, name = _relation_numbers(relations)
-    rows = _per_filing(filings, _plain_values(answers) if relations else answers, form, *numbers)
-    missing = F.transform(
-        F.array_except(_required(form, form), F.col("present")),
-        lambda key: _finding_struct("error", key, MISSING_MESSAGE, "L3"),
-    )
-    if relations:
-        rows, missing = _with_broken_relations(rows, relations, name), F.concat("broken", missing)
-    return rows.select("filing_id", F.inline(missing)).select(*FINDING)
+    """Findings that need a filing's answers together: missing fields, and totals from the few answers that relations name."""
+    missing = missing_required(filings, answers, form)
+    return relation_findings(answers, relations).unionByName(missing) if relations else missing
 
 
 def movement_findings(
@@ -216,44 +212,63 @@ def movement_findings(
     now = _plain_values(answers.where(F.col("field_key").isin(numeric))).select(
         "filing_id", "field_key", F.col("__plain").try_cast("double").alias("now")
     )
-    before = _plain_values(prior).select("filing_id", "field_key", F.col("__plain").try_cast("double").alias("before"))
-    pairs = now.join(before, ["filing_id", "field_key"])
+    before = _plain_values(prior.where(F.col("field_key").isin(numeric))).select(
+        "filing_id", "field_key", F.col("__plain").try_cast("double").alias("before")
+    )
+    pairs = now.join(before.hint("merge"), ["filing_id", "field_key"])  # as for the candidates, no broadcast by guess
     # Not a filter of its own: pushed below the join, it would parse every number anew for each digit it looks at.
     change = F.when(F.col("before") != 0, F.abs((F.col("now") - F.col("before")) / F.col("before") * 100))
     moved = pairs.where(change > float(threshold))
     return moved.select(*finding("warning", f"Year-on-year movement exceeds {threshold}%", "L2"))
 
 
-def _condition_keys(form: Sequence[FieldDef]) -> list[str]:
-    """Fields that conditions look at: the name as it is, and below the basics."""
-    names = {f.condition[0] for f in form if f.condition}
-    return sorted(names | {SHORT_NAME_PREFIX + name for name in names})
+def _conditions(form: Sequence[FieldDef]) -> dict[tuple[str, str], int]:
+    """(field that a condition looks at, value it must have), numbered: the name as it is, and below the basics."""
+    asked = {f.condition for f in form if f.condition}
+    pairs = sorted({(key, value) for name, value in asked for key in (name, SHORT_NAME_PREFIX + name)})
+    return {pair: i for i, pair in enumerate(pairs)}
+
+
+WORD = 62  # fields whose bits share a column
 
 
-def _per_filing(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef], *extra: Column) -> DataFrame:
+def _per_filing(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef]) -> DataFrame:
     """Present and reviewed field sets of every filing, also of those without any answer.
 
-    Both sets are bounded by the size of the form.
+    Both sets are bounded by the size of the form. They are gathered as bits, and conditions as flags: all
+    buffers have a fixed width, so the answers are aggregated by hash and never sorted.
     """
-    keys = [f.field_key for f in form]
-    known = F.when(F.col("field_key").isin(keys), F.col("field_key"))
-    eligible = F.when(F.col("field_key").isin(keys) & ~_machine(), F.col("field_key"))
+    keys = F.array(*[F.lit(f.field_key) for f in form]).cast("array<string>")
+    words = range(-(-len(form) // WORD))
+    answers = answers.withColumn("__place", F.array_position(keys, F.col("field_key")) - 1)  # -1: not in the form
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("__place", F.lit(WORD)).cast("int"))
+
+    def bits(name: str, counts: Column) -> list[Column]:
+        here = lambda w: counts & (F.col("__place") >= w * WORD) & (F.col("__place") < (w + 1) * WORD)
+        return [F.bit_or(F.when(here(w), bit)).alias(f"{name}{w}") for w in words]
+
+    def keys_of(name: str) -> Column:
+        if not words:
+            return keys
+        word = F.array(*[F.coalesce(f"{name}{w}", F.lit(0).cast("long")) for w in words])
+        return F.filter(keys, lambda key, i: F.getbit(F.get(word, F.floor(i / WORD).cast("int")), F.pmod(i, F.lit(WORD))) == 1)
+
+    flags = []
+    for (key, value), i in _conditions(form).items():
+        text = F.when(F.col("field_key") == key, F.col("value"))  # the greatest answer counts, should there be several
+        for name, holds in (("h", text.isNotNull()), ("q", text == value), ("g", text > value)):
+            flags.append(F.bool_or(holds).alias(f"{name}{i}"))
     grouped = answers.groupBy("filing_id").agg(
-        F.collect_set(known).alias("present"),
-        F.collect_set(eligible).alias("eligible"),
+        *bits("present", F.lit(True)),
+        *bits("eligible", ~_machine()),
         F.count_if(F.coalesce(F.col("evidence") != "", F.lit(False))).alias("evidenced"),
-        *[
-            F.max(F.when(F.col("field_key") == key, F.col("value"))).alias(f"c{i}")
-            for i, key in enumerate(_condition_keys(form))
-        ],
-        *extra,
+        *flags,
     )
-    none = F.array().cast("array<string>")
     every = filings.select("filing_id").distinct().join(grouped, "filing_id", "full")
     return every.withColumns(
         {
-            "present": F.coalesce("present", none),
-            "eligible": F.coalesce("eligible", none),
+            "present": keys_of("present"),
+            "eligible": keys_of("eligible"),
             "evidenced": F.coalesce("evidenced", F.lit(0).cast("long")),
         }
     )
@@ -261,15 +276,18 @@ def _per_filing(filings: DataFrame, answers: DataFrame, form: Sequence[FieldDef]
 
 def _required(form: Sequence[FieldDef], fields: Sequence[FieldDef]) -> Column:
     """Array of the required keys among ``fields``, given the filing's condition answers."""
-    place = {key: f"c{i}" for i, key in enumerate(_condition_keys(form))}
+    place = _conditions(form)
+    flag = lambda name, pair: F.coalesce(F.col(f"{name}{place[pair]}"), F.lit(False))
+    equal = lambda pair: flag("q", pair) & ~flag("g", pair)
     items = []
     for f in fields:
         if not f.required or f.leadership:
             continue
         if f.condition:
             name, value = f.condition
-            answer = F.coalesce(place[name], place[SHORT_NAME_PREFIX + name])
-            items.append(F.when(answer == value, F.lit(f.field_key)))
+            short = (SHORT_NAME_PREFIX + name, value)
+            holds = F.when(flag("h", (name, value)), equal((name, value))).otherwise(equal(short))
+            items.append(F.when(holds, F.lit(f.field_key)))
         else:
             items.append(F.lit(f.field_key))
     if not items:
@@ -299,7 +317,7 @@ def validate_filings(
     prior: DataFrame | None = None,
     threshold: str = "50",
 ) -> DataFrame:
-    """All findings of all filings: one pass per answer, one shuffle per filing, one prior join."""
+    """All findings of all filings: one pass per answer, one shuffle per filing and one of related numbers, one prior join."""
     out = answer_findings(answers, form).unionByName(filing_findings(filings, answers, form, relations))
     if prior is not None:
         out = out.unionByName(movement_findings(answers, prior, form, threshold))
