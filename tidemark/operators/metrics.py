@@ -213,7 +213,7 @@ def dependent_keys(starts: DataFrame, dependencies: DataFrame) -> DataFrame:
     in which chains may be of any length and may close to cycles. Each round follows the dependencies of the pairs that
     the round before found and leaves out pairs known from any round, so every pair is followed once and a cycle ends by
     itself; a recursive query would follow a key once for every path that leads to it. Rounds are tables in the shared
-    folder: a lost executor costs one. Nulls depend on nothing; repeated rows count once.
+    folder: a lost executor costs one. No round is broadcast: what goes through the driver would grow with their number. Nulls depend on nothing; repeated rows count once.
     """
     spark, path = starts.sparkSession, shared_dir(starts.sparkSession, "dependents")
     edges = staged(dependencies.select("metric_key", "dependent_key").dropna().distinct(), "dependencies")
@@ -224,8 +224,8 @@ def dependent_keys(starts: DataFrame, dependencies: DataFrame) -> DataFrame:
     number, last = 0, pairs(f"{path}/round=0")
     while not last.isEmpty():
         number += 1
-        following = last.join(edges, "metric_key").select("failed", F.col("dependent_key").alias("metric_key")).distinct()
-        following.join(pairs(path), ["failed", "metric_key"], "left_anti").write.parquet(f"{path}/round={number}")
+        following = last.join(edges.hint("merge"), "metric_key").select("failed", F.col("dependent_key").alias("metric_key")).distinct()
+        following.join(pairs(path).hint("merge"), ["failed", "metric_key"], "left_anti").write.parquet(f"{path}/round={number}")
         last = pairs(f"{path}/round={number}")
     return pairs(path)
 
@@ -239,8 +239,8 @@ def withhold_dependents(candidates: DataFrame, failures: DataFrame, dependencies
     """
     failed = failures.select(*FILING, F.col("metric_key").alias("failed")).dropna().distinct()
     reached = dependent_keys(failed, dependencies)
-    blocked = failed.join(reached, "failed").select(*FILING, "metric_key")
-    return candidates.join(blocked, [*FILING, "metric_key"], "left_anti")
+    blocked = failed.join(reached.hint("merge"), "failed").select(*FILING, "metric_key")
+    return candidates.join(blocked.hint("merge"), [*FILING, "metric_key"], "left_anti")
 
 
 def withhold_implausible(candidates: DataFrame, rules: MetricRules) -> DataFrame:
