@@ -127,3 +127,20 @@ def test_one_value_holding_most_rows_and_one_hot_group(spark):
     assert hot[8997.0].below == 2999
     median = quantiles(df, ["g"], "v", {"q": 0.5}).where("g = 'hot'").first().q
     assert median == (0.0 + 3.0) / 2
+
+
+def test_dependents_are_never_broadcast(frame, capsys):
+    rows = frame([(1, 2000, k, 1.0) for k in range(6)], "company_id int, fy int, metric_key int, value double")
+    edges = frame([(0, 1), (1, 2), (2, 0), (4, 5)], "metric_key int, dependent_key int")
+    kept = m.withhold_dependents(rows, rows.where("metric_key = 0"), edges)
+    assert {r.metric_key for r in kept.collect()} == {3, 4, 5}
+    kept.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_rebuild_reads_its_candidates_once(monkeypatch, spark):
+    from tidemark.catalog import metrics as catalog
+
+    kept = []
+    monkeypatch.setattr(catalog, "staged", lambda df, purpose: kept.append(purpose) or df.limit(0), raising=False)
+    assert catalog._m10(spark, "/root/testdata/sf0.001").count() == 0 and kept == ["reported"]

@@ -10,7 +10,7 @@ from tidemark.catalog import query
 from tidemark.catalog.fragments import BROKEN, CANDIDATES
 from tidemark.functions.exprs import money
 from tidemark.operators import metrics as m
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, staged
 
 RULES = m.MetricRules(
     additive=[m.Additive("rev_ar", ["rev_a", "rev_r"])],
@@ -195,7 +195,7 @@ REBUILD = f"""WITH {KEPT} SELECT k.company_id, k.fy, k.metric_key, k.value, k.pi
 def _m10(spark: SparkSession, d: str) -> DataFrame:
     """A stale table, partitioned by year, that the rebuild replaces."""
     path = shared_dir(spark, "metrics")
-    candidates = b.candidates(spark, d, broken=True)
+    candidates = staged(b.candidates(spark, d, broken=True), "reported")  # worked out once for both writes
     rows = m.materialise(candidates, RULES).drop("sector")
     stale = m.build_candidates(candidates).withColumn("value", F.lit(0).cast(m.VALUE))
     m.replace_partitions(stale.select("company_id", "fy", "metric_key", "value"), path, "fy")
