@@ -100,3 +100,12 @@ def test_needed_words_leave_too_few_bigrams(name):
 def test_no_python_in_the_plan(documents, capsys):
     li.scan(documents).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_no_filter_works_a_step_out_again(frame, capsys):
+    rows = frame([(1, "Released under the MIT License."), (2, "under the MIT tent")], "doc_id long, text string")
+    found = li.scan(rows)
+    assert [r.license for r in found.collect()] == ["MIT"]
+    found.explain(True)
+    optimized = capsys.readouterr().out.partition("== Optimized Logical Plan ==")[2].partition("== Physical Plan ==")[0]
+    assert not [line for line in optimized.splitlines() if "Filter" in line and "lambdafunction" in line]

@@ -116,6 +116,7 @@ def _templates(templates: dict[str, str], least: float) -> Column:
                 F.lit(len(pairs)).alias("m"),
                 F.array(*map(F.lit, different)).alias("pairs"),
                 F.array(*[F.lit(pairs.count(p)) for p in different]).alias("times"),
+                F.lit(max(map(pairs.count, different), default=0)).alias("most"),
                 F.lit(len(pairs) * least / (2 - least) - 1e-9).alias("low"),
                 F.array(*map(F.lit, needed_words(text, least))).alias("needed"),
             )
@@ -123,6 +124,12 @@ def _templates(templates: dict[str, str], least: float) -> Column:
     return F.array(*rows)
 
 
+def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once. A filter on a plain column is pushed below it, where it works the value
+    out again: inside a function of arrays even once per element. Past a generator it is not pushed."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, license, dice (of the best window), first_word (of the earliest best one, from 0), windows (that reach ``least``)."""
     needed = {w for text in templates.values() for w in needed_words(text, least)}
@@ -132,16 +139,18 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     some = documents.filter(holds).select("doc_id", F.split(_normal(F.col("text").cast("string")), " ").alias("words"))
     some = some.withColumn("n", F.size("words") - 1).filter("n > 0")
     fits = F.filter(_templates(templates, least), lambda t: (F.col("n") >= t["low"]) & F.arrays_overlap("words", t["needed"]))
-    some = some.withColumn("fits", fits).filter(F.size("fits") > 0)
+    some = _with(some, "fits", fits).filter(F.size("fits") > 0)
     pairs = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat_ws(" ", F.element_at("words", k), F.element_at("words", k + 1)))
-    each = some.select("doc_id", "n", pairs.alias("pairs"), F.explode("fits").alias("t"))
+    each = _with(some, "pairs", pairs).select("doc_id", "n", "pairs", F.explode("fits").alias("t"))
     each = each.withColumn("size", F.least("n", "t.m"))  # bigrams of a window
     each = each.withColumn("need", F.ceil(least * (F.col("size") + F.col("t.m")) / 2 - 1e-9).cast("int"))
-    at = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains(F.col("t.pairs"), p), i)), lambda i: i.isNotNull())
-    each = each.withColumn("at", at).filter(F.size("at") >= F.col("need"))
+    # No window shares more bigrams than the different ones of the whole text, each as often as the template has any.
+    each = _with(each, "common", F.array_intersect("t.pairs", "pairs")).filter(F.size("common") * F.col("t.most") >= F.col("need"))
+    at = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains(F.col("common"), p), i)), lambda i: i.isNotNull())
+    each = _with(each, "at", at).filter(F.size("at") >= F.col("need"))
     full = lambda i, j: F.get("at", j + F.col("need") - 1) - i < F.col("size")
     starts = F.transform("at", lambda i, j: F.when(full(i, j), F.least(i, F.col("n") - F.col("size"))))
-    each = each.withColumn("starts", F.array_distinct(F.filter(starts, lambda s: s.isNotNull()))).filter(F.size("starts") > 0)
+    each = _with(each, "starts", F.array_distinct(F.filter(starts, lambda s: s.isNotNull()))).filter(F.size("starts") > 0)
     each = each.select("doc_id", "t", "size", "pairs", F.explode("starts").alias("first_word"))
     own = each.withColumn("window", F.slice("pairs", F.col("first_word") + 1, F.col("size"))).drop("pairs")
     there = F.zip_with("t.pairs", "t.times", lambda p, c: F.least(F.size(F.filter("window", lambda x: x == p)), c))
