@@ -152,10 +152,10 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     starts = F.transform("at", lambda i, j: F.when(full(i, j), F.least(i, F.col("n") - F.col("size"))))
     each = _with(each, "starts", F.array_distinct(F.filter(starts, lambda s: s.isNotNull()))).filter(F.size("starts") > 0)
     each = each.select("doc_id", "t", "size", "pairs", F.explode("starts").alias("first_word"))
-    own = each.withColumn("window", F.slice("pairs", F.col("first_word") + 1, F.col("size"))).drop("pairs")
+    own = _with(each, "window", F.slice("pairs", F.col("first_word") + 1, F.col("size"))).drop("pairs")
     there = F.zip_with("t.pairs", "t.times", lambda p, c: F.least(F.size(F.filter("window", lambda x: x == p)), c))
     shared = F.aggregate(there, F.lit(0), lambda total, c: total + c)
-    scored = own.select("doc_id", "t.license", "first_word", (2.0 * shared / (F.col("size") + F.col("t.m"))).alias("dice"))
+    scored = _with(own, "dice", 2.0 * shared / (F.col("size") + F.col("t.m"))).select("doc_id", "t.license", "first_word", "dice")
     best = F.max(F.struct("dice", (-F.col("first_word")).alias("before"))).alias("best")
     found = scored.filter(F.col("dice") >= least).groupBy("doc_id", "license").agg(best, F.count(F.lit(1)).alias("windows"))
     return found.select("doc_id", "license", F.col("best.dice").alias("dice"), (-F.col("best.before")).cast("long").alias("first_word"), "windows")
