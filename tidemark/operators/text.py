@@ -347,18 +347,18 @@ def anchor_scorer(anchors: dict[str, tuple[str, ...]]) -> Callable[[list[str], f
     """Function from page texts to one score per section: 1 for an exact heading, else line likeness.
 
     Likeness is the sequence-matcher ratio of the heading and the start of a line (lines end at a
-    full stop). A ratio is at most twice the letters in common over the letters of both, so the
-    lines that could exceed ``floor`` are found for all pages at once from their letter counts,
-    and only those are compared. Made by a factory so that workers get it by value.
+    full stop). The blocks it counts are a common subsequence, so a ratio is at most twice the longest
+    common subsequence over the letters of both. That is worked out for all lines at once, a heading as the bits of a
+    word (Hyyrö); only lines that could exceed ``floor`` and what their page has already are compared, the
+    most promising first. Made by a factory so that workers get it by value.
     """
-    letters = " abcdefghijklmnopqrstuvwxyz0123456789-"
+    letters = "".join(sorted({letter for options in anchors.values() for a in options for letter in a}))
     longest = max(len(a) for options in anchors.values() for a in options) + 20
 
     def score(texts: list[str], floor: float) -> np.ndarray:
-        import re
         from difflib import SequenceMatcher
 
-        normal = [re.sub(r"\s+", " ", text.lower()).strip() for text in texts]
+        normal = [" ".join(text.lower().split()) for text in texts]
         out = np.zeros((len(texts), len(anchors)))
         lines: list[str] = []
         owner: list[int] = []
@@ -372,31 +372,36 @@ def anchor_scorer(anchors: dict[str, tuple[str, ...]]) -> Callable[[list[str], f
         for code, letter in enumerate(letters):
             table[ord(letter)] = code
         padded = np.array(lines, dtype=f"U{longest}").view(np.uint32).reshape(len(lines), longest)
-        codes = table[padded]
-        heads: dict[int, np.ndarray] = {}
-
-        def head_counts(width: int) -> np.ndarray:
-            if width not in heads:
-                flat = codes[:, :width] + (np.arange(len(lines), dtype=np.int64) * (len(letters) + 1))[:, None]
-                counts = np.bincount(flat.ravel(), minlength=len(lines) * (len(letters) + 1))
-                heads[width] = counts.reshape(len(lines), -1)[:, :-1]
-            return heads[width]
+        codes = np.ascontiguousarray(table[padded].T)  # a row per place in the line
+
+        def common(part: str, width: int) -> np.ndarray:
+            """Length of the longest common subsequence of at most 64 letters with the start of every line."""
+            at = np.zeros(len(letters) + 1, dtype=np.uint64)
+            for place, letter in enumerate(part):
+                at[letters.index(letter)] |= np.uint64(1 << place)
+            rest = np.full(len(lines), np.iinfo(np.uint64).max, dtype=np.uint64)
+            for row in codes[:width]:
+                met = rest & at[row]
+                rest = (rest + met) | (rest - met)
+            return np.bitwise_count(~rest & np.uint64((1 << len(part)) - 1)).astype(np.int64)
 
         for section, options in enumerate(anchors.values()):
             exact = np.array([any(anchor in text for anchor in options) for text in normal], dtype=bool)
             out[exact, section] = 1.0
-            for anchor in options:
+            bounds = np.zeros((len(options), len(lines)))
+            for number, anchor in enumerate(options):
                 width = len(anchor) + 20
-                wanted = np.array([anchor.count(letter) for letter in letters])
-                common = np.minimum(head_counts(width), wanted).sum(axis=1)
-                bound = 2.0 * common / (len(anchor) + np.minimum(size, width))
-                matcher = SequenceMatcher(None, "", "")
-                likely = np.flatnonzero(bound > floor)
-                for line in likely[np.argsort(-bound[likely], kind="stable")]:
-                    page = owner[line]
-                    if exact[page] or bound[line] <= out[page, section]:
-                        continue
-                    matcher.set_seqs(anchor, lines[line][:width])
+                letters_met = sum(common(anchor[low : low + 64], width) for low in range(0, len(anchor), 64))
+                bounds[number] = 2.0 * letters_met / (len(anchor) + np.minimum(size, width))
+            bounds[:, exact[owner]] = 0.0
+            option, line = np.nonzero(bounds > floor)
+            likely = bounds[option, line]
+            matcher = SequenceMatcher(None, "", "")
+            for k in np.argsort(-likely, kind="stable"):
+                page = owner[line[k]]
+                if likely[k] > out[page, section]:
+                    anchor = options[option[k]]
+                    matcher.set_seqs(anchor, lines[line[k]][: len(anchor) + 20])
                     out[page, section] = max(out[page, section], matcher.ratio())
         return out
 
