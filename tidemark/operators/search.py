@@ -72,6 +72,8 @@ def retrieve(queries: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
 
 #: Items that stand for the table, items of a cluster that meet the queries at once.
 PIVOTS, CHUNK = 64, 20_000
+#: Rows that a task works on at once besides a chunk of items.
+SLICE = 1024
 Matrix = Callable[[pa.Array], np.ndarray]
 
 
@@ -81,16 +83,16 @@ def dense(vectors: pa.Array) -> np.ndarray:
 
 
 def sparse(dimensions: int) -> Matrix:
-    """Lists of (index, weight) as rows of that many dimensions, of length one."""
+    """Lists of whole numbers ``weight * dimensions + index`` as rows of that many dimensions, of length one."""
 
     def matrix(vectors: pa.Array) -> np.ndarray:
         out = np.zeros((len(vectors), dimensions))
-        entries = vectors.flatten()
+        entries = vectors.flatten().to_numpy(zero_copy_only=False)
         sizes = np.diff(vectors.offsets.to_numpy())
-        index, weight = (pa.compute.struct_field(entries, k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        out[np.repeat(np.arange(len(vectors)), sizes), index] = weight
-        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return out / np.where(norms > 0, norms, 1)
+        out[np.repeat(np.arange(len(vectors)), sizes), entries % dimensions] = entries // dimensions
+        norms = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]  # whole numbers: exact in any order
+        out /= np.where(norms > 0, norms, 1)  # in its place: a chunk of items is the largest thing that a task holds
+        return out
 
     return matrix
 
@@ -131,18 +133,18 @@ def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _assign(held: Broadcast, matrix: Matrix, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    near = angles
+    near, size = angles, SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # item, vector
-            if not len(batch):
-                continue
-            rows = matrix(batch.column(1))
-            angle = near(rows, held.value)
-            cluster = angle.argmin(axis=1)
-            norm = np.sqrt((rows * rows).sum(axis=1))
-            angle = np.where(norm > 0, angle[np.arange(len(rows)), cluster], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster.astype(np.int32)), pa.array(angle), pa.array(norm)], schema=schema)
+        for whole in batches:  # item, vector
+            for at in range(0, len(whole), size):
+                batch = whole.slice(at, size)
+                rows = matrix(batch.column(1))
+                angle = near(rows, held.value)
+                cluster = angle.argmin(axis=1)
+                norm = np.sqrt((rows * rows).sum(axis=1))
+                angle = np.where(norm > 0, angle[np.arange(len(rows)), cluster], 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster.astype(np.int32)), pa.array(angle), pa.array(norm)], schema=schema)
 
     return run
 
@@ -150,11 +152,14 @@ def _assign(held: Broadcast, matrix: Matrix, schema: pa.Schema) -> Callable[[Ite
 def _visits(held: Broadcast, matrix: Matrix, k: int, later: bool, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The clusters that queries (query, vector, least) go to: first the most promising, later all others in reach of ``least``."""
 
+    size = SLICE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters = held.value
+        step = max(1, 8 * size // len(clusters.number))  # a query may go to every cluster
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
                 bounds = clusters.bounds(matrix(part.column(1)))
                 chosen = clusters.first(bounds, k)
                 if later:
@@ -169,12 +174,16 @@ def _visits(held: Broadcast, matrix: Matrix, k: int, later: bool, schema: pa.Sch
 
 def _products(matrix: Matrix, k: int, shared: bool, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The ``k`` best items of a chunk for each query that comes to it: rows are sorted by chunk, items before queries."""
+    size = SLICE
 
     def best(items: pa.RecordBatch, asked: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
         q = matrix(asked.column("vector"))
         scores = np.round(q @ rows.T, 9)
         if shared:
-            scores[(q != 0).astype(float) @ (rows != 0).astype(float).T == 0] = np.nan
+            nonzero = (q != 0).astype(np.float32)
+            for at in range(0, len(rows), size):
+                common = nonzero @ (rows[at : at + size] != 0).astype(np.float32).T
+                scores[:, at : at + size][common == 0] = np.nan
         top = np.argsort(np.where(np.isnan(scores), np.inf, -scores), axis=1, kind="stable")[:, :k]
         query = np.repeat(np.arange(len(asked)), top.shape[1])
         value = np.take_along_axis(scores, top, axis=1).ravel()

@@ -36,6 +36,12 @@ def shingle_rows(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) ->
     return phrase_rows(texts, ids, text, n).select(*ids, t.digest(F.col("phrase")).alias("phrase_hash"))
 
 
+def repeated_ids(texts: DataFrame, doc: str) -> DataFrame:
+    """(__id) of the ids that more than one row has, as a table in the shared folder."""
+    more = texts.groupBy(F.col(doc).alias("__id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return staged(more.select("__id"), "repeated-ids")
+
+
 def shingle_counts(texts: DataFrame, doc: str, text: str, n: int = 8) -> DataFrame:
     """(doc, shingles, distinct_shingles, first_hash, last_hash) of every document with a shingle.
 
@@ -43,8 +49,7 @@ def shingle_counts(texts: DataFrame, doc: str, text: str, n: int = 8) -> DataFra
     the same id do their shingles come together by id and hash.
     """
     rows = texts.select(doc, F.col(text).alias("__text"))
-    more = rows.groupBy(F.col(doc).alias("__id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    more = staged(more.select("__id"), "repeated-ids")
+    more = repeated_ids(rows, doc)
     same = F.col(doc).eqNullSafe(F.col("__id"))
     cut = rows.join(more, same, "left_anti").select(doc, t.words(F.col("__text")).alias("__words"))
     hashed = cut.select(doc, F.transform(t.shingles(F.col("__words"), n), lambda p: F.sha2(p, 256)).alias("__hashes"))
@@ -152,24 +157,60 @@ def originality(phrases: DataFrame, docs: DataFrame, doc: str, shared: DataFrame
 # ---- signed hash embeddings ----------------------------------------------------------------
 
 
+def packed_vectors(texts: DataFrame, doc: str, text: str, dimensions: int = 1024) -> DataFrame:
+    """The vectors of :func:`hash_vectors` in one row each: (doc, vector, norm2), vector a list of (index, weight) by index.
+
+    A document in one row is counted in that row, as runs of equal index in its sorted tokens: a task holds no table
+    of documents, however many it reads, and nothing is shuffled. Only where several rows have the same id
+    are their tokens counted by id and index.
+    """
+    # The first ten digits of a token's hash: four bytes for the index, one for the sign.
+    number = F.transform(t.tokens(F.col("__text")), lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 10), 16, 10).cast("long"))
+    code = F.transform(number, lambda h: F.shiftright(h, 8) % dimensions * 2 + h.bitwiseAND(1))
+    codes = F.coalesce(F.array_sort(code), F.array().cast("array<bigint>")).alias("__codes")
+    rows = texts.select(doc, F.col(text).alias("__text"))
+    more = repeated_ids(rows, doc)
+    same = F.col(doc).eqNullSafe(F.col("__id"))
+    # Steps are columns of their own: an expression would be worked out again for every token.
+    once = rows.join(more, same, "left_anti").select(doc, codes)
+    size = F.size("__codes")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    index = lambda place: F.shiftright(F.get("__codes", place), 1)
+    begins = F.filter(places, lambda i: (i == 0) | (index(i) != index(i - 1)))
+    once = once.select(doc, "__codes", begins.alias("__begins"))
+
+    def entry(begin: Column, run: Column) -> Column:
+        end = F.coalesce(F.get("__begins", run + 1), size)
+        signs = F.slice("__codes", begin + 1, end - begin)
+        weight = F.aggregate(signs, F.lit(0).cast("long"), lambda total, c: total + 1 - c.bitwiseAND(1) * 2)
+        return F.struct(index(begin).cast("int").alias("index"), weight.alias("weight"))
+
+    once = once.select(doc, F.filter(F.transform("__begins", entry), lambda e: e["weight"] != 0).alias("vector"))
+    square = F.aggregate("vector", F.lit(0).cast("long"), lambda total, e: total + e["weight"] * e["weight"])
+    figures = F.struct("vector", square.alias("norm2"))
+    # Not a filter, which would be pushed below and work out the vector twice.
+    once = once.select(doc, F.inline(F.when(F.size("vector") > 0, F.array(figures))))
+    split = rows.join(more, same, "left_semi").select(doc, F.explode(code).alias("__code"))
+    counted = (
+        split.groupBy(doc, F.shiftright("__code", 1).cast("int").alias("index"))
+        .agg(F.sum(1 - F.col("__code").bitwiseAND(1) * 2).alias("weight"))
+        .where(F.col("weight") != 0)
+    )
+    # A document has at most ``dimensions`` entries.
+    joined = counted.groupBy(doc).agg(
+        F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("vector"), F.sum(F.col("weight") * F.col("weight")).alias("norm2")
+    )
+    return once.unionByName(joined)
+
+
 def hash_vectors(texts: DataFrame, doc: str, text: str, dimensions: int = 1024) -> DataFrame:
     """Sparse signed hash embedding: (doc, index, weight, norm2) with whole-number weights.
 
     A token's hash gives its index (first four bytes) and sign (lowest bit of the fifth). The
     L2-normalised value is ``weight / sqrt(norm2)``; keeping whole numbers makes sums exact.
     """
-    hashed = F.sha2(F.col("token"), 256)
-    index = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % dimensions
-    odd = F.conv(F.substring(hashed, 9, 2), 16, 10).cast("int") % 2 == 1
-    rows = (
-        texts.select(doc, F.explode(t.tokens(F.col(text))).alias("token"))
-        .select(doc, index.cast("int").alias("index"), F.when(odd, -1).otherwise(1).alias("sign"))
-        .groupBy(doc, "index")
-        .agg(F.sum("sign").alias("weight"))
-        .where(F.col("weight") != 0)
-    )
-    # A document has at most ``dimensions`` rows here, so the window group is bounded.
-    return rows.withColumn("norm2", F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(doc)))
+    rows = packed_vectors(texts, doc, text, dimensions)
+    return rows.select(doc, "norm2", F.inline("vector")).select(doc, "index", "weight", "norm2")
 
 
 def seed_similarity(seeds: DataFrame, texts: DataFrame, seed: str, doc: str) -> DataFrame:
@@ -191,11 +232,11 @@ def rank_texts(
     """
 
     def packed(texts: DataFrame, doc: str) -> DataFrame:
-        rows = hash_vectors(texts, doc, text, dimensions)
-        pair = F.array_sort(F.collect_list(F.struct("index", "weight")))  # at most ``dimensions`` entries
-        return rows.groupBy(doc).agg(pair.alias("vector"))
+        entries = F.transform("vector", lambda e: e["weight"] * dimensions + e["index"])
+        return packed_vectors(texts, doc, text, dimensions).select(doc, entries.alias("vector"))
 
-    scored = vector_top_k(packed(queries, query), packed(pages, page), query, page, "vector", k, sparse(dimensions), shared=True)
+    held = staged(packed(pages, page), "page-vectors")  # read for the pivots and for the search
+    scored = vector_top_k(packed(queries, query), held, query, page, "vector", k, sparse(dimensions), shared=True)
     return scored.withColumnRenamed("score", "similarity")
 
 
