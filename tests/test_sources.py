@@ -111,3 +111,23 @@ def test_link_discovery(frame):
     html = '<a href="/x">2022</a><A class=z HREF=/brsr-2021.pdf><b>Report</b></A><a href="/brsr-2022.pdf">later</a>'
     out = g.find_report_link(frame([(1, html), (2, "<p>none</p>")], "page_id int, html string"), ["brsr"], __import__("pyspark.sql.functions", fromlist=["lit"]).lit(2022)).collect()
     assert [(r.page_id, r.href, r.label) for r in out] == [(1, "/brsr-2021.pdf", "Report")]
+
+
+def test_short_documents_are_read_together_and_long_ones_as_a_stream():
+    """Each document gives what it gives alone, whatever its neighbours are; broken ones do not mend each other."""
+    read, alone = xbrl.fact_reader(), xbrl.fact_reader(0)
+    fact = b'<x:r xmlns:x="urn:x"><x:context id="c"><x:instant>2024-01-01</x:instant></x:context><x:Q contextRef="c">7&amp;</x:Q></x:r>'
+    nested = b'<r><context id="a"><context id="b"><instant>2024-01-01</instant></context></context><Q contextRef="b">1</Q></r>'
+    odd = [b"<a><x/>", b"</a><b/>", b"<a/><b/>", b"<a/>&#32;", b" <a/> ", b'<a x=">', b'"/>', b"", b"<p:a/>", b"</r><r>", "<a/>".encode("utf-16"), b'<!DOCTYPE a [<!ENTITY e "v">]><a contextRef="c">&e;</a>']
+    for those in ([fact] * 5, [fact, *odd, fact], [INSTANCE, nested, fact], *([fact, o] for o in odd), odd[:2]):
+        assert read(those) == [alone([one])[0] for one in those]
+    assert read([fact])[0] == [("Q", "7&", None, None, "2024-01-01", "c", [], 3, None, None)]
+    assert read([nested])[0][0][3:6] == (None, "2024-01-01", "b")
+
+
+def test_short_documents_take_no_call_for_every_element(monkeypatch):
+    from xml.parsers import expat
+
+    monkeypatch.setattr(expat, "ParserCreate", None)  # the stream is not needed
+    many = [b'<r><unit id="u"><measure>iso:GJ</measure></unit><Q contextRef="c" unitRef="u" decimals="2">%d</Q></r>' % k for k in range(500)]
+    assert [rows[0][:3] for rows in xbrl.fact_reader()(many)] == [("Q", str(k), "GJ") for k in range(500)]

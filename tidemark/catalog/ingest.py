@@ -43,7 +43,7 @@ def instances(spark: SparkSession, d: str) -> DataFrame:
     li = b.spread(b.table(spark, d, "lineitem").select(*columns))
     text = lambda column: F.col(column).cast("string")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    year = F.year("l_shipdate")
+    year, whole = F.year("l_shipdate"), F.col("l_quantity").cast("int")
     body = F.concat(
         F.lit('<x:xbrl xmlns:x="urn:x" xmlns:f="urn:f"><x:context id="c1"><x:period><x:startDate>'),
         year - 1,
@@ -54,7 +54,7 @@ def instances(spark: SparkSession, d: str) -> DataFrame:
         F.lit('</x:explicitMember></x:scenario></x:context><x:unit id="u1"><x:measure>iso:GJ</x:measure></x:unit>'),
         F.lit('<x:unit id="u2"><x:divide><x:measure>iso:INR</x:measure><x:measure>f:piece</x:measure></x:divide></x:unit>'),
         F.lit('<f:Quantity contextRef="c1" unitRef="u1" decimals="2">1,0'),
-        F.format_string("%02d", F.col("l_quantity").cast("int")),
+        F.when(whole.isNull(), "null").when(whole.between(0, 9), F.concat(F.lit("0"), whole)).otherwise(whole.cast("string")),
         F.lit('</f:Quantity><f:Price contextRef="c1" unitRef="u2" decimals="INF"> '),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
         F.lit(' </f:Price><f:Flag contextRef="c1">'),
