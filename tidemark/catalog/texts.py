@@ -43,7 +43,8 @@ orig AS (SELECT n.doc_id, count(o.phrase) AS phrase_count, count(s.phrase) AS bo
 def _t3(spark: SparkSession, d: str) -> DataFrame:
     texts = b.narratives(spark, d)
     phrases = x.distinct_phrases(texts, ["doc_id", "company"], "text")
-    rows = x.originality(phrases, texts, "doc_id", x.boilerplate(phrases, "company"))
+    docs = b.table(spark, d, "documents").select("doc_id")
+    rows = x.originality(phrases, docs, "doc_id", x.boilerplate(phrases, "company"))
     return rows.withColumn("originality", F.round("originality", 6))
 
 

@@ -69,7 +69,7 @@ def substance(pinned: DataFrame, field_defs: DataFrame, weights: dict[str, Any]
     signals = t.narrative_signals(F.col("value_raw"))
     any_signal = texts.select("filing_id", *[hit.alias(name) for name, hit in signals.items()]).groupBy("filing_id")
     any_signal = any_signal.agg(*[F.bool_or(name).alias(name) for name in t.SIGNALS])
-    phrases = x.distinct_phrases(texts, ["filing_id", "company_id"], "value_raw", weights["phrase_words"])
+    phrases = x.distinct_phrases(texts, ["filing_id", "company_id"], "value_raw", weights["phrase_words"], several=True)
     shared = x.boilerplate(phrases, "company_id", weights["company_threshold"])
     filings = pinned.select(*FILING).distinct()
     own = x.originality(phrases, filings, "filing_id", shared)

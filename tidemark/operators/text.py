@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark import config
 from tidemark.functions import text as t
 from tidemark.functions.exprs import rule_table
+from tidemark.operators.phrases import added_up, counted, marked, packed
 from tidemark.operators.search import retrieve, sparse, vector_top_k
 from tidemark.session import staged
 
@@ -81,27 +82,49 @@ def phrase_key(phrase: Column) -> list[Column]:
     return [F.xxhash64(phrase).alias(PHRASE_KEY[0]), F.xxhash64(F.lit(1), phrase).alias(PHRASE_KEY[1])]
 
 
-def distinct_phrases(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8) -> DataFrame:
-    """Distinct shingle keys per id; repeats inside a text are dropped before the shuffle.
-
-    There is about one shingle per word, so the size of its key is the size of the job: 16 bytes. Rows are dealt by
-    the key alone; what counts or joins by the key after that needs no further exchange.
-    """
-    cut = texts.select(*ids, t.words(F.col(text)).alias("__words"))
-    # Of an array column of its own Spark would ask first whether it is empty, and work it out twice.
-    rows = cut.select(*ids, F.explode(F.array_distinct(t.shingles(F.col("__words"), n))).alias("phrase"))
-    return rows.select(*ids, *phrase_key(F.col("phrase"))).repartition(*PHRASE_KEY).distinct()
+def distinct_phrases(texts: DataFrame, ids: Sequence[str], text: str, n: int = 8, several: bool = False) -> DataFrame:
+    """Distinct shingle keys of every document (the first id) and company (the last), packed.
 
+    There is about one shingle per word, so the size of its key is the size of the job. A block of many texts holds its
+    keys in order: of the 96 bits of a key some 77 are left as a step from the key before, and the text is told by a number of
+    a few bits. A row has the keys with the same first bits and is dealt by these alone; what counts or joins by the key after
+    that needs no exchange of keys. One more row for a block, by its negative number, has its documents and their counts.
 
-def phrase_companies(phrases: DataFrame, company: str) -> DataFrame:
-    """Distinct companies per shingle key. Only keys are shuffled, never phrase text."""
-    pairs = phrases.select(company, *PHRASE_KEY).distinct()
-    return pairs.groupBy(*PHRASE_KEY).agg(F.count(F.lit(1)).alias("company_count"))
+    Rows of repeated ids name the document beside the keys, since its keys meet by key only; with ``several`` all rows do.
+    """
+    doc, company = ids[0], ids[-1]
+    kind = {field.name: field.dataType for field in texts.schema.fields}
+    fields = {"phrase_key": T.LongType(), "block": T.LongType(), "phrases": T.BinaryType(), f"companies_{company}": T.ArrayType(kind[company])}
+    fields |= {f"docs_{doc}": T.ArrayType(kind[doc]), "counts": T.ArrayType(T.LongType())}
+    schema = T.StructType([T.StructField(*field) for field in fields.items()])
+    rows = texts.select(doc, F.col(company).alias("__company"), F.lower(F.col(text)).alias("__text"))
+    more = None if several else repeated_ids(texts, doc)
+    prefix = (4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()  # a few groups for a partition
+
+    def blocks(df: DataFrame, named: bool) -> DataFrame:
+        # A task that runs again has to cut the same blocks: rows of a scan keep their order, those of an exchange are put in order.
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if not named and any(step in plan for step in ("Repartition", "Join", "Aggregate", "Window", "Distinct", "Rebalance")):
+            df = df.sortWithinPartitions(doc, "__text")
+        return df.mapInArrow(packed(n, prefix, named, schema), schema)
+
+    if several or more.isEmpty():
+        return blocks(rows, several).repartition("phrase_key")
+    same = F.col(doc) == F.col("__id")
+    parts = blocks(rows.join(more, same, "left_anti"), False), blocks(rows.join(more, same, "left_semi"), True)
+    return parts[0].unionByName(parts[1]).repartition("phrase_key")
+
+
+def phrase_companies(phrases: DataFrame, company: str, least: int = 1) -> DataFrame:
+    """Distinct companies per shingle key with at least ``least``: the first bits, the key, the number."""
+    assert f"companies_{company}" in phrases.columns
+    schema = T.StructType([T.StructField(*f) for f in zip([*PHRASE_KEY, "company_count"], [T.LongType(), T.BinaryType(), T.LongType()], strict=True)])
+    return phrases.groupBy("phrase_key").applyInArrow(counted(least, schema), schema)
 
 
 def boilerplate(phrases: DataFrame, company: str, threshold: int = 3) -> DataFrame:
     """Shingles used by at least ``threshold`` companies."""
-    return phrase_companies(phrases, company).where(F.col("company_count") >= threshold)
+    return phrase_companies(phrases, company, threshold)
 
 
 def shared_phrases(
@@ -136,14 +159,17 @@ def shared_phrases(
 def originality(phrases: DataFrame, docs: DataFrame, doc: str, shared: DataFrame) -> DataFrame:
     """Share of a document's distinct shingles that are not boilerplate; 1 without shingles.
 
-    ``phrases`` are the :func:`distinct_phrases` by document, ``shared`` the :func:`boilerplate` among them: both are
-    dealt by key already.
+    ``phrases`` are the :func:`distinct_phrases` by document, ``shared`` the :func:`boilerplate` among them: the first are
+    dealt by key already, of the others a row for each group is. What comes back to a block is the numbers of texts, a few bits each.
     """
-    own = phrases.select(doc, *PHRASE_KEY).distinct()
-    marked = own.join(shared.select(*PHRASE_KEY, F.lit(1).alias("hit")), PHRASE_KEY, "left")
-    counts = marked.groupBy(doc).agg(
-        F.count(F.lit(1)).alias("phrase_count"), F.count("hit").alias("boilerplate_phrases")
-    )
+    kind = phrases.schema[f"docs_{doc}"].dataType
+    told = {"phrase_key": T.LongType(), f"docs_{doc}": kind, "counts": T.ArrayType(T.LongType()), "hits": T.BinaryType()}
+    told = T.StructType([T.StructField(*field) for field in told.items()])
+    keys = shared.groupBy(PHRASE_KEY[0]).agg(F.collect_list(PHRASE_KEY[1]).alias("keys"))
+    hits = phrases.groupBy("phrase_key").cogroup(keys.groupBy("phrase_key")).applyInArrow(marked(told), told)
+    summed = T.StructType([T.StructField(doc, kind.elementType), *(T.StructField(name, T.LongType()) for name in ("phrase_count", "boilerplate_phrases"))])
+    counts = hits.groupBy("phrase_key").applyInArrow(added_up(summed), summed)
+    counts = counts.groupBy(doc).agg(*[F.sum(name).alias(name) for name in ("phrase_count", "boilerplate_phrases")])
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return (
         docs.select(doc)
